@@ -1,11 +1,16 @@
 """The queries of this folder and their SQL, for the registry at the repository's top."""
 
+from .bpe import op4_byte_bpe
+from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
+    "op1_exact_dedup": OP1_SQL,
     "op9_quality_rules": OP9_SQL,
 }
