@@ -2,11 +2,13 @@
 
 from .bpe import op4_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .jaccard_join import op7_jaccard_join
 from .quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
