@@ -3,6 +3,7 @@
 from .bpe import op4_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op7_jaccard_join
+from .mixing import op10_mixing
 from .quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
