@@ -5,9 +5,11 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op7_jaccard_join
 from .mixing import op10_mixing
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
