@@ -4,6 +4,7 @@ from .bpe import op4_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op7_jaccard_join
 from .mixing import op10_mixing
+from .pii import op8_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .suffix_dedup import op2_suffix_dedup
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
