@@ -318,7 +318,7 @@ def repeated_spans(docs: DataFrame, length: int, folder: str, group: int = GROUP
 
     # the bytes of one segment of each kind, cut from its document
     asked = written(heads.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "seg", "copies", "lo", "windows", "at")).alias("asked")), f"{folder}/asked")
-    texts = docs.select("id", "text_key", "bytes").join(broadcast_if_small(asked, 1000), ["id", "text_key"])
+    texts = docs.select("id", "text_key", "bytes").join(asked, ["id", "text_key"])
     piece = "key long, anchor long, seg long, first int, copies long, at int, bytes binary"
 
     def slices(batches):
@@ -373,7 +373,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     id, key = _keys(F.col(f"`{id_col}`"), text)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), id, key, text.cast("binary").alias("bytes"))
     spans = written(repeated_spans(docs, length, folder, group), f"{folder}/spans")
-    return docs.join(broadcast_if_small(spans, 500), ["id", "text_key"], "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, CUT)
+    return docs.join(spans, ["id", "text_key"], "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, CUT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
