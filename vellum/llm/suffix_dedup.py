@@ -5,6 +5,7 @@
    Segments whose anchor is met once hold no repeat.
 2. An anchor met several times with one segment only: all of the segment is repeated. Otherwise its
    distinct segments, each once however often it occurs, go to one task in blocks of bounded size.
+   A segment is first cut down to the windows whose common bytes another one of its anchor shares.
 3. In a block the suffixes are put in order up to `length` bytes and their Burrows-Wheeler transform is
    taken. Breadth-first backward extension starts from the intervals of single bytes; an interval is
    extended only if its right end is a boundary not seen before, so the step at which a boundary is first
@@ -21,6 +22,7 @@ table gives an empty result; columns other than id and text are ignored, whateve
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -213,14 +215,43 @@ def repeated_windows(segments: list[bytes], length: int) -> list[list[tuple[int,
     return out
 
 
+def places(at: int, windows: int, run: int):
+    """(place, first, last) of the runs that a segment's windows fall into by their distance to the anchor."""
+    for p in range(max(0, at - windows + 1) // run, at // run + 1):
+        yield p, max(0, at - (p + 1) * run + 1), min(windows - 1, at - p * run)
+
+
+def core(raw: bytes, at: int, p: int, run: int, length: int) -> bytes:
+    """The bytes that all windows of a place have in common, whatever segment they are of."""
+    return raw[at - p * run : at - (p + 1) * run + 1 + length]
+
+
+def _with_company(rows, length: int, run: int = RUNS[0]):
+    """Rows (key, anchor, seg, first, at, bytes) cut down to the places whose core another row of the key has."""
+    met = Counter()
+    cores = []
+    for key, _, _, _, at, raw in rows:
+        own = [((key, p, xxhash.xxh3_64_intdigest(core(raw, at, p, run, length))), a, b) for p, a, b in places(at, len(raw) - length + 1, run)]
+        met.update(c for c, _, _ in own)
+        cores.append(own)
+    for (_, anchor, seg, first, _, raw), own in zip(rows, cores, strict=True):
+        kept = sorted((a, b) for c, a, b in own if met[c] > 1)
+        while kept:
+            a, b = kept.pop(0)
+            while kept and kept[0][0] == b + 1:
+                b = kept.pop(0)[1]
+            yield anchor, seg, first + a, raw[a : b + length]
+
+
 FOUND = "anchor long, seg long, first int, past int"
 
 
 def _solve(length: int):
-    """Rows (key, anchor, seg, first, bytes), sorted by key -> runs of repeated windows of (anchor, seg)."""
+    """Rows (key, anchor, seg, first, at, bytes), sorted by key -> runs of repeated windows of (anchor, seg)."""
 
     def block(rows):
         out = []
+        rows = list(_with_company(rows, length))
         if len(rows) > 1:
             for (anchor, seg, first, _), runs in zip(rows, repeated_windows([r[3] for r in rows], length), strict=True):
                 out += [(anchor, seg, first + a, first + b) for a, b in runs]
@@ -230,12 +261,12 @@ def _solve(length: int):
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "seg", "first", "bytes")], strict=True):
+            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "seg", "first", "at", "bytes")], strict=True):
                 if key != last and size >= BLOCK_BYTES:
                     yield block(rows)
                     rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
+                rows.append((key, *row))
+                size += len(row[4])
                 last = key
         yield block(rows)
 
@@ -243,7 +274,7 @@ def _solve(length: int):
 
 
 def solve(pieces: DataFrame, length: int) -> DataFrame:
-    rows = pieces.select("key", "anchor", "seg", "first", "bytes")
+    rows = pieces.select("key", "anchor", "seg", "first", "at", "bytes")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_solve(length), FOUND)
 
 
@@ -255,14 +286,9 @@ def _cut(run: int, length: int):
         for batch in batches:
             out = []
             for anchor, seg, first, copies, at, raw in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "first", "copies", "at", "bytes")], strict=True):
-                windows = len(raw) - length + 1
-                for p in range(max(0, at - windows + 1) // run, at // run + 1):
-                    a, b = max(0, at - (p + 1) * run + 1), min(windows - 1, at - p * run)
-                    if a > b:
-                        continue
-                    core = raw[at - p * run : at - (p + 1) * run + 1 + length] if run > 1 else raw[a : a + length]
+                for p, a, b in places(at, len(raw) - length + 1, run):
                     piece = raw[a : b + length]
-                    key = xxhash.xxh3_64_intdigest(core, seed=p) - (1 << 63)
+                    key = xxhash.xxh3_64_intdigest(core(raw, at, p, run, length), seed=p) - (1 << 63)
                     out.append((key, anchor, seg, first + a, xxhash.xxh3_128_digest(piece), copies, at - a, piece))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
             cols = list(zip(*out, strict=True)) or [[]] * 8
