@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # full bytes on every hit: the retained content is fetched by its locator
     hits = content.join(broadcast_if_small(several, 250), "digest")
     retained = hits.where("file = keep.file AND row = keep.row").select("digest", F.col("text").alias("retained"))
-    unequal = written(hits.join(retained, "digest").where("text <> retained").select("digest").distinct(), f"{folder}/unequal")
+    unequal = written(hits.join(retained, "digest").where("text <> retained").select("digest"), f"{folder}/unequal").distinct()
     joined = rows.join(kept, "digest")
     if not unequal.isEmpty():
         joined = joined.join(unequal, "digest", "left_anti")
