@@ -7,10 +7,12 @@ from .mixing import op10_mixing
 from .pii import op8_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_pii": op8_pii,
