@@ -34,7 +34,7 @@ from .components import components
 from .shingles import mix, shingle_set
 
 #: Sets in one block of a large rough group.
-BLOCK = 4096
+BLOCK = 512
 #: Signatures of one task that are held and folded at a time.
 FOLD = 1 << 20
 LEAF, FANOUT = 16, 8
