@@ -1,4 +1,6 @@
 """All queries over the driver tables and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalogue, documents, retrieval
+
+QUERIES = {**documents.QUERIES, **catalogue.QUERIES, **retrieval.QUERIES}
+ORACLES = {**documents.ORACLES, **catalogue.ORACLES, **retrieval.ORACLES}
