@@ -4,9 +4,12 @@
    differ in at most (100 - t) * (a + b) / (100 + t) shingles, so with more parts than that, at least one
    part is the same in both. One signature a part goes to the shuffle: linked sets always meet. Sets of
    about one size share P (a size class); a set also joins the next class if a partner may be there.
-   Equal signatures of one task are folded into one before the shuffle.
-2. Meeting sets are tied into rough groups, which hold every link but are no links yet. Most documents
-   meet none and are done. Equal sets are folded into one.
+   A signature that many sets of one task have is folded into one row before the shuffle.
+2. Sets with a signature in common are tied to the least id that has it. There are spare parts, so a linked
+   set shares m signatures or more with its partner. Ties to an id that a set meets in few signatures are
+   dropped if all of them together are fewer than m / 2: of two linked sets' m common signatures one at
+   least then keeps both ties. What stays tied is a rough group; it holds every link but is no link yet.
+   Most documents are tied to none and are done. Equal sets are folded into one.
 3. In each rough group a signature tree is built: nodes hold the OR of their sets' bitmaps and the range
    of their sizes. A dual traversal drops pairs of nodes whose greatest possible overlap is too small,
    and pairs that are one component already; the pairs of sets that remain are counted exactly.
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, shared_dir, table, written
@@ -34,9 +37,11 @@ from .components import components
 from .shingles import mix, shingle_set
 
 #: Sets in one block of a large rough group.
-BLOCK = 512
+BLOCK = 4096
 #: Signatures of one task that are held and folded at a time.
 FOLD = 1 << 20
+#: Owners of one signature among those held from which on it is folded.
+HOT = 64
 LEAF, FANOUT = 16, 8
 
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -55,69 +60,76 @@ def size_class(size: int) -> int:
 
 
 @lru_cache(maxsize=1024)
-def parts(top: int, t: int) -> tuple[np.ndarray, int]:
-    """Bounds of the parts for a class, and how many of them may be empty without being sent.
+def parts(top: int, t: int) -> np.ndarray:
+    """Lower bounds of a class's parts.
 
-    One part more than sets can differ in suffices when empty parts count; spare parts are added so
-    that all but very few sets needn't send empty parts, which would match by chance.
+    One part more than sets can differ in would do; spare ones are added so that all but very few sets needn't
+    send empty parts, which match by chance, and so that linked sets share several.
     """
     k = 2 * top * (100 - t) // (100 + t)
-    spare = 0
-    if k:
-        spare = 2 + int(2 * (k + 1) * np.exp(-(2 * top / 3) / (k + 1)))
+    spare = 2 + k // 16 + int(2 * (k + 1) * np.exp(-(2 * top / 3) / (k + 1))) if k else 0
     n = k + 1 + spare
-    edges = (np.arange(n + 1, dtype=object) * (1 << 64)) // n
-    return np.array([int(x) for x in edges[:-1]], np.uint64), spare
+    return np.array([int(x) for x in (np.arange(n, dtype=object) * (1 << 64)) // n], np.uint64)
 
 
-def signatures(h: np.ndarray, t: int) -> np.ndarray:
-    """Of a set's sorted hashes: those of its parts, in each class that a linked set may be in."""
-    out, spread = [], None
+def signatures(h: np.ndarray, t: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, m, signatures) of a set's sorted hashes, for each class that a linked set may be in.
+
+    m: how many signatures it shares at least with a linked set of that class; 0 if that isn't known.
+    """
     size = len(h)
     most = 100 * size // t
     top = size_class(size)
+    spread = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _K1))])
+    out = []
     while True:
-        starts, spare = parts(top, t)
+        starts = parts(top, t)
         at = np.searchsorted(h, starts)
-        if spread is None:
-            spread = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _K1))])
         ends = np.append(at[1:], size)
-        sums = spread[ends] - spread[at]
         full = ends > at
-        sig = mix(sums + (np.arange(1, len(starts) + 1, dtype=np.uint64) + np.uint64(top << 32)) * _K2)
-        # linked sets share more than spare parts: if one of them has at most spare empty ones, a full one is shared
-        out.append(sig if len(full) - np.count_nonzero(full) > spare else sig[full])
+        sig = mix(spread[ends] - spread[at] + (np.arange(1, len(starts) + 1, dtype=np.uint64) + np.uint64(top << 32)) * _K2)
+        # equal parts, less those that may be equal for being empty
+        m = len(starts) - (100 - t) * (size + min(top, most)) // (100 + t) - int(len(full) - np.count_nonzero(full))
+        out.append((top, m, sig[full]) if m > 0 else (top, 0, sig))
         if top >= most:
-            return np.concatenate(out)
+            return out
         top = size_class(top + 1)
 
 
-ROW = "kind int, key long, id long, other long, digest binary"
+ROW = "kind int, key long, id long, other long, class int, m int, digest binary"
 DOC, SIGNATURE, EDGE = 0, 1, 2
+#: m of a tie that is always kept.
+ALWAYS = -1
 
 
 def _sketch(n: int, t: int):
     names = [x.split()[0] for x in ROW.split(", ")]
 
-    def rows(kind, key, ids, other, digests=None):
+    def rows(kind, key, ids, other, class_=None, m=None, digests=None):
         size = len(key)
+        ints = [pa.array(np.zeros(size, np.int32) if x is None else x.astype(np.int32)) for x in (class_, m)]
         digests = pa.nulls(size, pa.binary()) if digests is None else pa.array(digests, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(other, pa.int64()), digests], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(other, pa.int64()), *ints, digests], names=names)
 
-    def fold(sigs, owners):
-        sig, owner = np.concatenate(sigs), np.repeat([x for x, _ in owners], [k for _, k in owners]).astype(np.int64)
+    def fold(held):
+        sig = np.concatenate([s for _, _, _, s in held])
+        sizes = [len(s) for _, _, _, s in held]
+        owner, class_, m = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in range(3))
         order = np.lexsort((owner, sig))
-        sig, owner = sig[order], owner[order]
+        sig, owner, class_, m = sig[order], owner[order], class_[order], m[order]
         first = np.r_[True, sig[1:] != sig[:-1]]
-        centre = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        yield rows(SIGNATURE, sig[first], owner[first], owner[first])
-        tied = centre != owner
-        if tied.any():
-            pairs = np.unique(np.stack([owner[tied], centre[tied]], 1), axis=0)
-            yield rows(EDGE, mix(pairs[:, 0].astype(np.uint64)), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+        starts = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        hot = (np.diff(np.append(starts, len(sig))) >= HOT)[group]
+        kept = ~hot | first
+        yield rows(SIGNATURE, sig[kept], owner[kept], owner[kept], class_[kept], np.where(hot, ALWAYS, m)[kept])
+        if hot.any():
+            pairs = np.unique(np.stack([owner[hot], owner[starts][group[hot]]], 1), axis=0)
+            pairs = np.ascontiguousarray(pairs[pairs[:, 0] != pairs[:, 1]].T)
+            yield rows(EDGE, mix(pairs[0].astype(np.uint64)), pairs[0], pairs[1])
 
     def run(batches):
-        sigs, owners, held = [], [], 0
+        held, n_held = [], 0
         for batch in batches:
             ids, sizes, digests = batch.column(0).to_pylist(), [], []
             for id, text in zip(ids, batch.column(1), strict=True):
@@ -125,16 +137,15 @@ def _sketch(n: int, t: int):
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 if len(h) and id is not None:
-                    sig = signatures(h, t)
-                    sigs.append(sig)
-                    owners.append((id, len(sig)))
-                    held += len(sig)
-                    if held >= FOLD:
-                        yield from fold(sigs, owners)
-                        sigs, owners, held = [], [], 0
-            yield rows(DOC, np.frombuffer(b"".join(x[:8] for x in digests), np.uint64), ids, sizes, digests)
+                    for class_, m, sig in signatures(h, t):
+                        held.append((id, class_, m, sig))
+                        n_held += len(sig)
+                    if n_held >= FOLD:
+                        yield from fold(held)
+                        held, n_held = [], 0
+            yield rows(DOC, np.frombuffer(b"".join(x[:8] for x in digests), np.uint64), ids, sizes, digests=digests)
         if held:
-            yield from fold(sigs, owners)
+            yield from fold(held)
 
     return run
 
@@ -148,6 +159,15 @@ def sketch(docs: DataFrame, n: int, t: int, folder: str) -> DataFrame:
     return written(met.drop("key"), f"{folder}/met")
 
 
+def ties(found: DataFrame) -> DataFrame:
+    """(u, v) of the ties that are needed for no link to be lost, from sketch's rows."""
+    met = found.where(f"kind = {SIGNATURE}").groupBy("id", "other", "class").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"), F.min("m").alias("least"))
+    low = (F.col("c") * 4 < F.col("m")) & (F.col("least") != ALWAYS)
+    lost = F.sum(F.when(low, F.col("c")).otherwise(0)).over(Window.partitionBy("id", "class"))
+    met = met.withColumn("low", low).withColumn("lost", lost).where("NOT low OR 2 * lost >= m")
+    return met.select(F.col("id").alias("u"), F.col("other").alias("v")).unionByName(found.where(f"kind = {EDGE}").select(F.col("id").alias("u"), F.col("other").alias("v"))).distinct()
+
+
 # --- signature tree -------------------------------------------------------------------------------
 
 
@@ -367,7 +387,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = sketch(docs, n, t, folder)
     all_docs = found.where(f"kind = {DOC}").select("id", F.col("other").alias("n"), "digest")
-    met = found.where(f"kind <> {DOC}").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    met = written(ties(found), f"{folder}/ties")
     rough = written(components(met, f"{folder}/rough"), f"{folder}/rough-roots")
 
     # equal sets are one; its least id stands for it
