@@ -112,7 +112,7 @@ def unwrapped(text: Column, schema: str) -> Column:
     """from_json of the slice; JSON that is a string of JSON is read once more."""
     first = json_slice(text)
     inner = F.from_json(F.concat(F.lit('{"v":'), first, F.lit("}")), "v string")["v"]
-    return F.coalesce(F.from_json(first, schema), F.from_json(json_slice(inner), schema))
+    return F.when(F.startswith(first, F.lit('"')), F.from_json(json_slice(inner), schema)).otherwise(F.from_json(first, schema))
 
 
 # --- sinks ----------------------------------------------------------------------------------------
