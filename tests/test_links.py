@@ -55,3 +55,27 @@ def test_answers(spark):
     d = spark.createDataFrame([("付款改了", "odd", "甲", "乙")], "original string, change_type string, old_quote string, new_quote string")
     r = answers.default_item(d).first()
     assert (r.change_type, r.category, r.risk_level, r.evidence) == ("modified", "付款条款", "medium", "旧合同约定：甲；新合同约定：乙")
+
+
+def test_template_fill(spark):
+    from vellum.operators import diff
+
+    df = spark.createDataFrame([(1, ["合同标题", "甲方付款三十日", "作废条款一二", "乙方交货地点"], ["合同标题", "甲方付款六十日", "乙方交货地点", "新增xyz条"]), (2, [], ["a"]), (3, ["a"], None), (4, ["共同"], ["插入段", "共同"])], "pair_id int, old_paragraphs array<string>, new_paragraphs array<string>")
+    got = {}
+    for r in diff.template_fill(df).orderBy("pair_id", "step").collect():
+        got.setdefault(r.pair_id, []).append((r.action, r.old_index, r.new_index))
+    assert got[1] == [("replace", 0, 0), ("replace", 1, 1), ("clear", 2, None), ("replace", 3, 2), ("append", None, 3)]
+    assert got[2] == [("append", None, 0)] and got[3] == [("clear", 0, None)] and got[4] == [("replace", 0, 1), ("append", None, 0)]
+
+
+def test_best_match_equals_plain_maximum():
+    import random
+
+    from vellum.operators import diff
+
+    r = random.Random(9)
+    for _ in range(200):
+        text, *others = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(7))
+        best = max(range(6), key=lambda j: (diff.ratio(text, others[j]), -j))
+        want = best if diff.ratio(text, others[best]) >= 0.22 else None
+        assert diff._best(text, others, dict.fromkeys(range(6)), 0.22, {}) == want
