@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Pre-tokens remembered in one Python worker; beyond it the memory starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 #: Pre-tokens of a text held at once.
@@ -43,77 +43,98 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank. low: a bitmap of the ranks in use, in words of 256 bits; above it,
-    while a pre-token is merged, stands one bitmap of the words in use."""
+    """Buckets of positions by rank: the least position of each in head (-1: empty), the others in a heap in rest.
+
+    low: a bitmap of the ranks in use, in words of 256 bits; above it, while a pre-token is merged, stands one
+    bitmap of the words in use.
+    """
 
     def __init__(self, n_ranks: int):
+        self.head = [-1] * n_ranks
         self.low = [0] * ((n_ranks >> 8) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.rest: dict[int, list[int]] = {}
+
+    def more(self, rank: int, place: int) -> None:
+        """Add to a bucket that isn't empty."""
+        first = self.head[rank]
+        if place < first:
+            self.head[rank], place = place, first
+        heappush(self.rest.setdefault(rank, []), place)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token. queue is empty before and after; its pushes and pops stand inline, for speed."""
+    """Ids of one pre-token. queue is empty before and after; most of its pushes and pops stand inline, for speed."""
     get = ranks.get
     whole = get(piece)
     if whole is not None:
         return [whole]
-    low, buckets, top = queue.low, queue.buckets, 0
+    head, low, rest, more, top = queue.head, queue.low, queue.rest, queue.more, 0
     n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here; 0 when the part was joined to the one before
+    end = list(range(1, n + 1))  # of the part that starts here
     before = list(range(-1, n - 1))  # start of the part before
-    of_pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of this part with the next
-    of_pair[-1] = -1
-    for i, rank in enumerate(of_pair):
+    of_pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of this part with the next
+    of_pair.append(-1)
+    i = 0
+    for rank in of_pair:
         if rank >= 0:
-            if rank in buckets:
-                buckets[rank].append(i)  # ascending, and so a heap
+            if head[rank] < 0:
+                head[rank] = i
+                h = rank >> 8
+                low[h] |= BIT[rank & 255]
+                top |= 1 << h
             else:
-                buckets[rank] = [i]
-                low[rank >> 8] |= BIT[rank & 255]
-                top |= 1 << (rank >> 8)
+                more(rank, i)
+        i += 1
     while top:
         # find-first-set, level by level
-        b = (top & -top).bit_length() - 1
-        w = low[b]
-        rank = b << 8 | (w & -w).bit_length() - 1
-        bucket = buckets[rank]
-        if len(bucket) > 1:
-            i = heappop(bucket)
+        h = (top & -top).bit_length() - 1
+        w = low[h]
+        rank = h << 8 | (w & -w).bit_length() - 1
+        i = head[rank]
+        if rest and rank in rest:
+            others = rest[rank]
+            head[rank] = heappop(others)
+            if not others:
+                del rest[rank]
         else:
-            i = bucket[0]
-            del buckets[rank]
-            low[b] = w = w & (w - 1)
+            head[rank] = -1
+            low[h] = w = w & (w - 1)
             if not w:
                 top &= top - 1
         if of_pair[i] != rank:
             continue  # stale
         j = end[i]
         e = end[i] = end[j]
-        end[j] = 0
         of_pair[j] = -1
         if e < n:
             before[e] = i
-            after = get(piece[i : end[e]], -1)
+            of_pair[i] = rank = get(piece[i : end[e]], -1)
+            if rank >= 0:
+                if head[rank] < 0:
+                    head[rank] = i
+                    h = rank >> 8
+                    low[h] |= BIT[rank & 255]
+                    top |= 1 << h
+                else:
+                    more(rank, i)
         else:
-            after = -1
-        of_pair[i] = after
+            of_pair[i] = -1
         p = before[i]
         if p >= 0:
-            of_pair[p] = left = get(piece[p:e], -1)
-        else:
-            left = -1
-        for rank, place in ((after, i), (left, p)):
+            of_pair[p] = rank = get(piece[p:e], -1)
             if rank >= 0:
-                if rank in buckets:
-                    heappush(buckets[rank], place)
+                if head[rank] < 0:
+                    head[rank] = p
+                    h = rank >> 8
+                    low[h] |= BIT[rank & 255]
+                    top |= 1 << h
                 else:
-                    buckets[rank] = [place]
-                    low[rank >> 8] |= BIT[rank & 255]
-                    top |= 1 << (rank >> 8)
+                    more(rank, p)
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        e = end[i]
+        ids.append(ranks[piece[i:e]])
+        i = e
     return ids
 
 

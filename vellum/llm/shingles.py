@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash one Python worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
