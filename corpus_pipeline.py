@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import decode, encode
+from vellum.llm.bpe import encode_decode
 from vellum.llm.common import shared_dir, written
 from vellum.llm.exact_dedup import drop_copies
 from vellum.llm.jaccard_join import one_of_each
@@ -45,8 +45,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, public_tokenizers.PATTERN).drop("text")
-    made = decode(ids, path)
+    made = encode_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, public_tokenizers.PATTERN)
     return made.select("doc_id", "lang", "source", "n_chars", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 #: Pre-tokens remembered in one Python worker; beyond it the memory starts anew.
 CACHE_ENTRIES = 300_000
@@ -34,6 +34,8 @@ CACHE_ENTRIES = 300_000
 CACHE_BYTES = 64
 #: Pre-tokens of a text held at once.
 PIECE = 1 << 16
+#: Rows of a batch that is sent back.
+ROWS = 1024
 
 BIT = [1 << i for i in range(256)]
 
@@ -175,45 +177,64 @@ def _once(key: tuple, make):
     return _MADE[key]
 
 
-def _with_column(docs: DataFrame, source: str, out_col: str, job) -> DataFrame:
-    """docs and a binary column that job makes from a list of source's values."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.BinaryType())])
-    at = docs.columns.index(source)
+def _with_columns(docs: DataFrame, *steps) -> DataFrame:
+    """docs and the binary columns of steps (source, out_col, job), in one pass: job makes out_col from source's values."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(out_col, T.BinaryType()) for _, out_col, _ in steps]])
 
     def run(batches):
-        for batch in batches:
-            made = pa.array(job(batch.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                names, columns = list(batch.schema.names), list(batch.columns)
+                for source, out_col, job in steps:
+                    columns.append(pa.array(job(columns[names.index(source)]), pa.binary()))
+                    names.append(out_col)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text. The vocabulary file is read once by the driver and sent along."""
+def _encoding(spark: SparkSession, ranks_path: str, pattern: str):
     with open(ranks_path, "rb") as f:
         data = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+    sent = spark.sparkContext.broadcast(data)
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
 
     def job(texts):
         encoder = _once(("encode", key), lambda: Encoder(read_ranks(sent.value), pattern))
         return [encoder.encode(t.as_py() or "") for t in texts]
 
-    return _with_column(docs, text_col, out_col, job)
+    return job
 
 
-def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """docs with the bytes that the ids stand for."""
+def _decoding(spark: SparkSession, ranks_path: str):
     with open(ranks_path, "rb") as f:
         data = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+    sent = spark.sparkContext.broadcast(data)
     key = hashlib.sha256(data).hexdigest()
 
     def job(ids):
         tokens = _once(("decode", key), lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
         return [b"".join(map(tokens.__getitem__, array("I", x.as_py() or b""))) for x in ids]
 
-    return _with_column(docs, ids_col, out_col, job)
+    return job
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """docs with the ids of each whole text. The vocabulary file is read once by the driver and sent along."""
+    return _with_columns(docs, (text_col, out_col, _encoding(docs.sparkSession, ranks_path, pattern)))
+
+
+def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs with the bytes that the ids stand for."""
+    return _with_columns(docs, (ids_col, out_col, _decoding(docs.sparkSession, ranks_path)))
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """decode(encode(docs)) in one pass, by one Python worker a task."""
+    spark = docs.sparkSession
+    return _with_columns(docs, (text_col, ids_col, _encoding(spark, ranks_path, pattern)), (ids_col, out_col, _decoding(spark, ranks_path)))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +242,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    return decode(ids, path).select(
+    return encode_decode(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,10 @@ def has_locator(df: DataFrame) -> bool:
     except AnalysisException:
         return False
     return True
+
+
+def give_back() -> None:
+    """At a task's end: the free memory of its Python worker, which stays for later tasks, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

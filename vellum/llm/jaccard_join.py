@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir, table, written
+from .common import broadcast_if_small, give_back, shared_dir, table, written
 from .components import components
 from .shingles import mix, shingle_set
 
 #: Sets in one block of a large rough group.
 BLOCK = 4096
 #: Signatures of one task that are held and folded at a time.
-FOLD = 1 << 20
+FOLD = 1 << 18
 #: Owners of one signature among those held from which on it is folded.
 HOT = 64
 LEAF, FANOUT = 16, 8
@@ -146,6 +146,8 @@ def _sketch(n: int, t: int):
             yield rows(DOC, np.frombuffer(b"".join(x[:8] for x in digests), np.uint64), ids, sizes, digests=digests)
         if held:
             yield from fold(held)
+        held = None
+        give_back()
 
     return run
 
@@ -215,7 +217,7 @@ class Level:
     def may_link(self, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
         """Whether some set below a and some set below b can reach t %, by sizes and by common bits."""
         out = np.zeros(len(a), bool)
-        step = max(1, (1 << 22) // max(1, self.maps.shape[1]))
+        step = max(1, (1 << 20) // max(1, self.maps.shape[1]))
         for i in range(0, len(a), step):
             x, y = a[i : i + step], b[i : i + step]
             common = np.bitwise_count(self.maps[x] & self.maps[y]).sum(1, dtype=np.int64)
@@ -313,6 +315,8 @@ def _tiles(t: int):
                 sets.append(np.frombuffer(h.as_py(), np.uint64))
             yield _edges(out)
         yield _edges(solve(ids, sets))
+        ids = sets = None
+        give_back()
 
     return run
 
