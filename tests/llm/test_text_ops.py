@@ -105,6 +105,23 @@ def test_pii_disclosing_terms(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_pii_terms_of_rare_identifiers(spark):
+    far = " and so it went on" * 40
+    rows = [(1, f"zanzibar{far} a@b.com"), (2, f"Quokka{far} 12.3.4.5 quokka"), (3, f"Quokka{far} 12.3.4.5"), (4, f"wombat{far} 1.23.4.5"), *((i, f"plain{far}") for i in range(5, 60))]
+    df = spark.createDataFrame(rows, DOCS)
+    end = 8 + len(far) + 1
+    found = {r.doc_id: r.s for r in pii.find_pii(df).select("doc_id", pii.span_list(F.col("all")).alias("s")).collect()}
+    assert found[1] == f"term:0:8,email:{end}:{end + 7}"
+    assert found[2] == f"term:0:6,ip:{end - 2}:{end + 6},term:{end + 7}:{end + 13}"
+    assert found[4] == f"term:0:6,ip:{end - 2}:{end + 6}" and found[5] == ""
+
+
+def test_pii_term_is_marked_away_from_the_identifier(spark):
+    rows = [*((i, "the marmalade of alpha@b.com") for i in range(9)), (20, "only marmalade"), *((i, "plain text") for i in range(30, 400))]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert clean[0] == "the [TERM] of [EMAIL]" and clean[20] == "only [TERM]" and clean[30] == "plain text"
+
+
 def pii_spans(row):
     return row.s
 

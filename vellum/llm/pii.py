@@ -1,14 +1,17 @@
 """Personal data: identifiers by pattern, and terms that give an identifier away.
 
 Everything is DataFrame and SQL functions. Identifiers (e-mail, IP, card, phone) are found by linear-time
-forms of the given patterns. Then corpus co-occurrence tells how strongly a term near an identifier reveals
-it: with document frequencies over all documents, a term t discloses an identifier e if it stands near it
-in MIN_SUPPORT documents or more and
+forms of the given patterns. Then corpus co-occurrence tells how strongly a term of a document that holds an
+identifier reveals it: with document frequencies over all documents, and identifiers told apart by kind and
+exact value, a term t discloses an identifier e if
 
     PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))) >= ALPHA * IC(e),   IC(e) = log2(N / df(e))
 
-that is, if knowing t takes away ALPHA of the information that e carries. Such terms get spans of kind
-`term` where they stand near e. sanitise() removes terms that always come with e and generalises the rest.
+that is, if knowing t takes away ALPHA of the information that e carries. Pairs seen in fewer than MIN_SUPPORT
+documents must do so of their joint information as well, PMI(e; t) >= ALPHA * log2(N / df(e, t)): a rare term
+beside a rare identifier passes, one that came by chance into one document of a common identifier doesn't.
+Terms are taken from whole documents, outside their identifiers, and every occurrence of a disclosing term in
+any document gets a span of kind `term`. sanitise() removes terms that always come with e and generalises the rest.
 
 Defined results: null text counts as empty and has no spans; spans are half-open ranges of code points,
 sorted by start, then kind; of spans that overlap sanitise() takes the first; rows that repeat id and text
@@ -35,32 +38,30 @@ PATTERNS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{4,}"
-#: Code points on either side of an identifier, and terms taken from them.
-CONTEXT, NEAR = 200, 5
 MIN_SUPPORT = 3
 ALPHA = 0.9
 
 
-def matches(text: Column, pattern: str, context: int = 0) -> Column:
-    """Array of (start, end, value[, left, right]) of pattern's matches in text."""
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of pattern's matches in text."""
+    return _walked(text, pattern, lambda value: F.lit(True))
+
+
+def _walked(text: Column, pattern: str, wanted) -> Column:
+    """As matches(), of those whose value is wanted."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def placed(found: Column) -> Column:
         def walk(gaps: Column) -> Column:
-            side = [F.lit("").alias("left"), F.lit("").alias("right")]
-
             def step(acc: Column, i: Column) -> Column:
-                gap, value = F.get(gaps, i), F.get(found, i)
-                start = acc["at"] + F.length(gap)
+                value, start = F.get(found, i), acc["at"] + F.length(F.get(gaps, i))
                 end = start + F.length(value)
-                here = [F.substring(gap, -context, context).alias("left"), F.substring(F.get(gaps, i + 1), 1, context).alias("right")] if context else side
-                one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), *here)
-                return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+                one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+                return F.struct(end.alias("at"), F.when(wanted(value), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-            kind = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+            zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
             return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
 
-        none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
         return F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), walk))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
@@ -79,7 +80,7 @@ def _luhn(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (start, kind, end, value, left, right) of identifiers, sorted; kind is a place in KINDS."""
+    """Array of (start, kind, end, value) of identifiers, sorted; kind is a place in KINDS."""
     digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
     gates = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+")}
     valid = {
@@ -88,47 +89,48 @@ def base_spans(text: Column) -> Column:
         "card": _luhn,
         "phone": lambda v: digits(v).between(9, 15),
     }
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def of_kind(k: int, name: str) -> Column:
-        good = F.filter(matches(text, PATTERNS[name], CONTEXT), lambda m: valid[name](m["value"]))
-        typed = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
+        good = F.filter(matches(text, PATTERNS[name]), lambda m: valid[name](m["value"]))
+        typed = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
         return F.when(gates[name], typed).otherwise(none)
 
     return F.array_sort(F.concat(*[of_kind(k, name) for k, name in enumerate(KINDS[:4])]))
 
 
-def _near(base: DataFrame) -> DataFrame:
-    """One row for each term near an identifier: row name, entity, term, start, end."""
-    each = base.where(F.size("base") > 0).select("id", "text_key", F.explode("base").alias("b"))
-    each = each.select("id", "text_key", F.concat_ws(":", "b.kind", F.lower(F.regexp_replace("b.value", r"[\x20().-]", ""))).alias("entity"), "b.*")
-    # a term at the far edge of the context may have been cut
-    left = F.filter(matches(F.col("left"), TERM), lambda m: (m["start"] > 0) | (F.length("left") < CONTEXT))
-    right = F.filter(matches(F.col("right"), TERM), lambda m: (m["end"] < F.length("right")) | (F.length("right") < CONTEXT))
-    before = F.transform(F.slice(F.reverse(left), 1, NEAR), lambda m: F.struct((F.col("start") - F.length("left") + m["start"]).alias("s"), (F.col("start") - F.length("left") + m["end"]).alias("e"), F.lower(m["value"]).alias("term")))
-    after = F.transform(F.slice(right, 1, NEAR), lambda m: F.struct((F.col("end") + m["start"]).alias("s"), (F.col("end") + m["end"]).alias("e"), F.lower(m["value"]).alias("term")))
-    return each.select("id", "text_key", "entity", F.explode(F.concat(before, after)).alias("t")).select("id", "text_key", "entity", "t.*")
-
-
-def disclosing(near: DataFrame, docs: DataFrame, folder: str, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, certain) of terms over the threshold. docs: (id, text_key, text), all documents."""
-    n = docs.count()
-    ic = F.log2(F.lit(float(n)) / F.col("df_entity"))
-    together = near.select("entity", "term", "id", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
-    entities = near.select("entity", "id", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    # a term is in no fewer documents than it is near identifiers in: pairs that fail by that count fail by df(t) too
-    near_any = near.select("term", "id", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
-    together = together.where(F.col("df_both") >= support).join(entities, "entity").join(near_any, "term")
-    together = written(together.where((ic > 0) & (ic + F.log2(F.col("df_both") / F.col("df_near")) >= ic * alpha - 1e-9)), f"{folder}/together")
-    asked = written(together.select("term").distinct(), f"{folder}/asked")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    few = broadcast_if_small(asked, 60)
-    if few is not asked:
-        words = words.join(few, "term", "left_semi")
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    joined = together.join(terms, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    return written(joined.where((pmi >= ic * alpha)).select("entity", "term", (F.col("df_both") >= F.col("df_term")).alias("certain")), f"{folder}/disclosing")
+def _blanked(text: Column, base: Column) -> Column:
+    """text with blanks in the place of its identifiers; other places stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        told = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"])), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), told.alias("out")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(base, zero, step, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))), ""))
+    return F.when(F.size(base) == 0, text).otherwise(done)
+
+
+def disclosing(base: DataFrame, folder: str, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
+    """(entity, term, certain) of terms over the threshold. base: (row, entities, words), one row for each document."""
+    n = float(base.count())
+    holders = base.where(F.size("entities") > 0)
+    entities = holders.select("row", F.explode("entities").alias("entity"))
+    df_entity = written(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") < n), f"{folder}/entities")
+    most = df_entity.agg(F.max("df_entity")).first()[0] or 0
+    # df(e, t) is at most df(e) and df(t), so a pair passes only if N / max(df(e), df(t)) >= (N / df(e)) ** alpha
+    reach = lambda df: n ** (1 - alpha) * df**alpha * (1 + 1e-9)
+    terms = base.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    terms = written(terms.where(F.col("df_term") <= F.lit(float(max(reach(most), most)))), f"{folder}/words")
+    told = holders.select("row", F.explode("words").alias("term")).join(broadcast_if_small(terms, 80), "term")
+    known = entities.join(broadcast_if_small(df_entity, 100), "entity")
+    pairs = known.join(told, "row").where(F.col("df_term") <= F.greatest(F.col("df_entity"), F.lit(n) ** (1 - alpha) * F.col("df_entity") ** alpha * (1 + 1e-9)))
+    both = pairs.groupBy("entity", "term", "df_entity", "df_term").agg(F.count(F.lit(1)).alias("df_both"))
+    ic, joint = F.log2(F.lit(n) / F.col("df_entity")), F.log2(F.lit(n) / F.col("df_both"))
+    pmi = F.log2(F.lit(n) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
+    passed = both.where((pmi >= ic * alpha) & ((F.col("df_both") >= support) | (pmi >= joint * alpha)))
+    return written(passed.select("entity", "term", (F.col("df_both") >= F.col("df_term")).alias("certain")), f"{folder}/disclosing")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
@@ -138,13 +140,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     folder = shared_dir(docs.sparkSession, "pii")
     docs = _named(docs, id_col, text_col)
-    base = written(docs.select("doc_id", "id", "text_key", base_spans(F.col("text")).alias("base")), f"{folder}/base")
-    near = written(_near(base), f"{folder}/near")
-    pairs = disclosing(near, docs.select("id", "text_key", "text"), folder, alpha, support)
-    hits = near.join(broadcast_if_small(pairs, 200), ["entity", "term"])
-    one = F.struct(F.col("s").alias("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("e").alias("end"), "certain")
-    terms = written(hits.groupBy("id", "text_key", "s", "e").agg(F.max("certain").alias("certain")).groupBy("id", "text_key").agg(F.collect_list(one).alias("terms")), f"{folder}/terms")
-    joined = base.join(broadcast_if_small(terms, 400), ["id", "text_key"], "left")
+    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], b["value"])))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(_blanked(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)), F.lower))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "text_key", "text", base_spans(F.col("text")).alias("base"))
+    base = written(base.select("row", "doc_id", "id", "text_key", "base", entities.alias("entities"), words.alias("words")), f"{folder}/base")
+    given = written(disclosing(base, folder, alpha, support).groupBy("term").agg(F.max("certain").alias("certain")), f"{folder}/given")
+    hits = base.select("id", "text_key", "base", F.explode("words").alias("term")).join(broadcast_if_small(given, 80), "term")
+    hits = hits.groupBy("id", "text_key").agg(F.first("base").alias("base"), F.collect_set(F.when(F.col("certain"), F.col("term"))).alias("sure"), F.collect_set("term").alias("hit"))
+    hits = broadcast_if_small(written(hits, f"{folder}/hits"), 2_000)
+    found = docs.select("id", "text_key", "text").join(hits, ["id", "text_key"])
+    places = _walked(_blanked(F.col("text"), F.col("base")), TERM, lambda v: F.array_contains("hit", F.lower(v)))
+    typed = F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), m["end"].alias("end"), F.array_contains("sure", F.lower(m["value"])).alias("certain")))
+    terms = written(found.select("id", "text_key", typed.alias("terms")).groupBy("id", "text_key").agg(F.first("terms").alias("terms")), f"{folder}/terms")
+    joined = base.select("doc_id", "id", "text_key", "base").join(broadcast_if_small(terms, 2_000), ["id", "text_key"], "left")
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(False).alias("certain")))
     spans = F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,certain:boolean>>"))))
     return joined.select("doc_id", "id", "text_key", "base", spans.alias("all"))
