@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text as T
-from ..operators import audit, diff, locate, redact, segment, splice
+from ..operators import audit, diff, locate, redact, segment, splice, versions
 
 #: Words of the driver's Latin texts, in the place of the Chinese key words: module and its words, in order.
 MODULES_LATIN = (("license", ["Licen", "licen"]), ("contact", ["@", "+1 ("]), ("secret", ["token", "key ="]), ("table", [" | "]), ("shout", ["!!"]))
@@ -155,10 +155,10 @@ def evidence_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark, sf_dir):
-    """Neighbours by id whose first 40 characters agree: an old and a new version."""
-    d = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", "text", F.substring("text", 1, 40).alias("k"))
-    before = F.lag(F.struct("doc_id", "text")).over(Window.partitionBy("k").orderBy("doc_id"))
-    return d.withColumn("o", before).where("o IS NOT NULL").select(F.col("doc_id").alias("pair_id"), F.col("o.text").alias("old"), F.col("text").alias("new"))
+    """Each document with the nearest lower id among its copies and near-duplicates: an old and a new version."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = versions.version_ids(d).join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
+    return pairs.join(d, "doc_id").select(F.col("doc_id").alias("pair_id"), "old", F.col("text").alias("new"))
 
 
 def section_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
