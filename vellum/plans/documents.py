@@ -128,6 +128,27 @@ SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.s, b.s))
 FROM c a JOIN c b ON a.item_id <> b.item_id WHERE a.item_id % 20 = 0"""
 
 
+#: Benchmark items of one block; a sentence meets a block at a time.
+ITEMS = 64
+
+
+def jaccard_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character-set similarity of benchmark items whose id is divisible by 20 with every sentence of documents, in blocks of items."""
+    items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    n = max(1, -(-items.count() // ITEMS))
+    blocks = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n))).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("block")).select("block")
+    place = ["doc_id", "paragraph_index", "sentence_in_paragraph"]
+    met = doc_sentences(spark, sf_dir).select(*place, "text").crossJoin(blocks).select(*place, "text", F.inline("block"))
+    return met.select("item_id", *place, F.round(T.char_jaccard(F.col("item"), F.col("text")), 6).alias("similarity"))
+
+
+def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of documents most similar to each of those items; of equal ones the first."""
+    place = [F.col(c) for c in ("doc_id", "paragraph_index", "sentence_in_paragraph")]
+    best = F.max_by(F.struct(*place, "similarity"), F.struct("similarity", *[-c for c in place]))
+    return jaccard_sentences(spark, sf_dir).groupBy("item_id").agg(best.alias("m")).select("item_id", "m.*")
+
+
 def _evidence(spark, sf_dir):
     """Of each document its longest paragraph's first 60 characters, as a quote to be found again."""
     paras = _paras(spark, sf_dir)
@@ -228,7 +249,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_TEXT_SQL = r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, sha256(t) AS text_sha256, length(t) AS n_chars FROM t"""
 
-QUERIES = {f.__name__: f for f in (doc_paragraphs, doc_sentences, mask_basic, redact_reversible, redact_roundtrip, keyword_trigger_hits, doc_risk_summary, jaccard_pairs, evidence_paragraph, evidence_sentence, section_outer_join, sentence_diff, diff_stats, clause_diff_moves, overlap_check, span_splice, page_text)}
+QUERIES = {f.__name__: f for f in (doc_paragraphs, doc_sentences, mask_basic, redact_reversible, redact_roundtrip, keyword_trigger_hits, doc_risk_summary, jaccard_pairs, jaccard_sentences, best_match, evidence_paragraph, evidence_sentence, section_outer_join, sentence_diff, diff_stats, clause_diff_moves, overlap_check, span_splice, page_text)}
 ORACLES = {
     "doc_paragraphs": DOC_PARAGRAPHS_SQL, "doc_sentences": DOC_SENTENCES_SQL, "mask_basic": MASK_BASIC_SQL, "redact_roundtrip": REDACT_ROUNDTRIP_SQL,
     "keyword_trigger_hits": KEYWORD_SQL, "doc_risk_summary": DOC_RISK_SQL, "jaccard_pairs": JACCARD_SQL, "evidence_paragraph": EVIDENCE_SQL,
