@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import retrieve
 from ..streaming import sessions as S
 from .documents import table
@@ -25,9 +26,14 @@ def _words(df: DataFrame, id: str, name: str) -> DataFrame:
     return df.select(F.col(id).alias(name), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"))
 
 
-def _bm25(spark, sf_dir):
-    q = _words(table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), "item_id", "query_id")
-    return retrieve.bm25(q, _words(table(spark, sf_dir, "documents"), "doc_id", "doc_id"))
+def _tokens(df: DataFrame, id: str, name: str) -> DataFrame:
+    """CJK runs, ASCII words and pairs of characters; a null text has none, as an empty one."""
+    return df.select(F.col(id).alias(name), T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def _bm25(spark, sf_dir, tokens=_words):
+    q = tokens(table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), "item_id", "query_id")
+    return retrieve.bm25(q, tokens(table(spark, sf_dir, "documents"), "doc_id", "doc_id"))
 
 
 _BM25 = """d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents), nd AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM d),
@@ -38,9 +44,9 @@ qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0
 bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term) JOIN tfc USING (term), nd GROUP BY ALL)"""
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
     """The five best documents by BM25 for benchmark items whose id is divisible by 20."""
-    s = _bm25(spark, sf_dir).withColumn("score", F.round("score", 6))
+    s = _bm25(spark, sf_dir, tokens).withColumn("score", F.round("score", 6))
     return retrieve.ranked(s, "query_id", [F.desc("score"), "doc_id"], 5).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -56,9 +62,9 @@ def _vectors(spark, sf_dir):
 _VEC = "v AS (SELECT query_id, doc_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rk FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rk <= 100)"
 
 
-def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_fusion(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
     """Vector top 100 and normalised BM25, weighted, filtered by language where any document is allowed."""
-    fused = retrieve.fuse(_vectors(spark, sf_dir), retrieve.max_normalized(_bm25(spark, sf_dir)))
+    fused = retrieve.fuse(_vectors(spark, sf_dir), retrieve.max_normalized(_bm25(spark, sf_dir, tokens)))
     langs = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id")
     allowed = fused.where("query_id % 40 = 0").select("query_id", "doc_id").join(langs, "doc_id")
     kept = retrieve.filter_open(fused, allowed).withColumn("score", F.round("score", 6))
@@ -72,9 +78,9 @@ k AS (SELECT * FROM f WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FRO
 r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM k) SELECT * FROM r WHERE rank <= 10"""
 
 
-def tiered_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tiered_retrieval(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
     """Filters by language and source, then language, then none: the first with any hit."""
-    scored = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("score", F.round("score", 6))
+    scored = _bm25(spark, sf_dir, tokens).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("score", F.round("score", 6))
     tier = F.when((F.col("lang") == "es") & (F.col("source") == F.concat(F.lit("src"), F.col("query_id"))), 0).when(F.col("lang") == "es", 1).otherwise(2)
     best = retrieve.positional(retrieve.first_tier(scored, tier, 3).drop("score"))
     return best.select("query_id", "doc_id", "tier", F.col("rank").cast("int").alias("rank"), "score")
@@ -85,6 +91,19 @@ m AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM s), r AS (S
 SELECT query_id, doc_id, tier, rank, round(1 - (rank - 1) / greatest(count(*) OVER (PARTITION BY query_id), 10), 4) AS score FROM r WHERE rank <= 3"""
 
 
+def bm25_topk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk with all tokens: CJK runs, ASCII words and pairs of characters."""
+    return bm25_topk(spark, sf_dir, _tokens)
+
+
+def hybrid_fusion_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_fusion(spark, sf_dir, _tokens)
+
+
+def tiered_retrieval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_retrieval(spark, sf_dir, _tokens)
+
+
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as sparse hashed vectors."""
     e = retrieve.hashed_embedding(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
@@ -131,5 +150,5 @@ def session_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("status").agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("user_id", "session").alias("n_sessions"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, hash_embedding, event_dedup, user_sessions, session_state_machine)}
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, event_dedup, user_sessions, session_state_machine)}
 ORACLES = {"vector_topk": VECTOR_SQL, "bm25_topk": BM25_SQL, "hybrid_fusion": HYBRID_SQL, "tiered_retrieval": TIERED_SQL, "hash_embedding": HASH_SQL, "event_dedup": DEDUP_SQL, "user_sessions": SESSIONS_SQL}
