@@ -117,6 +117,12 @@ w AS (SELECT item_id, slot, sum(sign)::BIGINT AS weight FROM s GROUP BY ALL HAVI
 SELECT item_id, slot, weight, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY item_id)), 9) AS value FROM w"""
 
 
+def hash_embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sparse hashed vectors."""
+    e = retrieve.hashed_embedding(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return e.select("doc_id", "slot", "weight", F.round("value", 9).alias("value"))
+
+
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and kind in each five minutes."""
     return S.once_batch(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", S.MESSAGE_TTL).select("event_id", "user_id", "event_type")
@@ -150,5 +156,5 @@ def session_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("status").agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("user_id", "session").alias("n_sessions"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, event_dedup, user_sessions, session_state_machine)}
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, event_dedup, user_sessions, session_state_machine)}
 ORACLES = {"vector_topk": VECTOR_SQL, "bm25_topk": BM25_SQL, "hybrid_fusion": HYBRID_SQL, "tiered_retrieval": TIERED_SQL, "hash_embedding": HASH_SQL, "event_dedup": DEDUP_SQL, "user_sessions": SESSIONS_SQL}
