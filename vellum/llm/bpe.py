@@ -7,7 +7,8 @@ An entry whose pair has changed meanwhile is stale and skipped. A pre-token of n
 
 Ids are bytes of little-endian unsigned 32-bit integers. Defined results: a null or empty text has no
 ids; a null or empty list of ids decodes to no bytes; rows are encoded alone, so ties and repeated
-rows change nothing; an empty table gives an empty result; the other columns come through unchanged.
+rows change nothing; an empty table gives an empty result; the other columns come through unchanged, but for
+one that has the name of a column that is made, which is replaced.
 A very long text is split into pre-tokens a piece at a time.
 """
 
@@ -16,10 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from array import array
 from heapq import heappop, heappush
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import give_back, table
 
-#: Pre-tokens remembered in one Python worker; beyond it the memory starts anew.
-CACHE_ENTRIES = 300_000
+#: Pre-tokens that one Python worker remembers as met lately; as many met before these are remembered beside them.
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 #: Pre-tokens of a text held at once.
@@ -82,8 +83,11 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
             if head[rank] < 0:
                 head[rank] = i
                 h = rank >> 8
-                low[h] |= BIT[rank & 255]
-                top |= 1 << h
+                if low[h]:
+                    low[h] |= BIT[rank & 255]
+                else:
+                    low[h] = BIT[rank & 255]
+                    top |= 1 << h
             else:
                 more(rank, i)
         i += 1
@@ -91,7 +95,8 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
         # find-first-set, level by level
         h = (top & -top).bit_length() - 1
         w = low[h]
-        rank = h << 8 | (w & -w).bit_length() - 1
+        bit = w & -w
+        rank = (h << 8) + bit.bit_length() - 1
         i = head[rank]
         if rest and rank in rest:
             others = rest[rank]
@@ -100,9 +105,9 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                 del rest[rank]
         else:
             head[rank] = -1
-            low[h] = w = w & (w - 1)
+            low[h] = w = w ^ bit
             if not w:
-                top &= top - 1
+                top ^= 1 << h
         if of_pair[i] != rank:
             continue  # stale
         j = end[i]
@@ -115,8 +120,11 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                 if head[rank] < 0:
                     head[rank] = i
                     h = rank >> 8
-                    low[h] |= BIT[rank & 255]
-                    top |= 1 << h
+                    if low[h]:
+                        low[h] |= BIT[rank & 255]
+                    else:
+                        low[h] = BIT[rank & 255]
+                        top |= 1 << h
                 else:
                     more(rank, i)
         else:
@@ -128,8 +136,11 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                 if head[rank] < 0:
                     head[rank] = p
                     h = rank >> 8
-                    low[h] |= BIT[rank & 255]
-                    top |= 1 << h
+                    if low[h]:
+                        low[h] |= BIT[rank & 255]
+                    else:
+                        low[h] = BIT[rank & 255]
+                        top |= 1 << h
                 else:
                     more(rank, p)
     ids, i = [], 0
@@ -141,21 +152,29 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token -> its ids as bytes; encodes what it hasn't met."""
+    """Pre-token -> its ids as bytes; encodes what it hasn't met.
+
+    When it is full its entries become the older half of the memory, and those that are met again come back.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
     def __missing__(self, token: str) -> bytes:
-        piece = token.encode()
-        ids = merge(piece, self.ranks, self.queue)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[token] = packed
+        packed = self.older.get(token)
+        if packed is None:
+            piece = token.encode()
+            ids = merge(piece, self.ranks, self.queue)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) > CACHE_BYTES:
+                return packed
+        if len(self) >= CACHE_ENTRIES:
+            self.older = self.copy()
+            self.clear()
+        self[token] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -178,18 +197,24 @@ def _once(key: tuple, make):
 
 
 def _with_columns(docs: DataFrame, *steps) -> DataFrame:
-    """docs and the binary columns of steps (source, out_col, job), in one pass: job makes out_col from source's values."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(out_col, T.BinaryType()) for _, out_col, _ in steps]])
+    """docs and the binary columns of steps (source, out_col, job), in one pass: job makes out_col from source's values.
+
+    A column of docs that has the name of one that is made is replaced.
+    """
+    made = [out_col for _, out_col, _ in steps]
+    lower = {x.lower() for x in made}
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in lower]
+    schema = T.StructType([*[docs.schema.fields[i] for i in kept], *[T.StructField(x, T.BinaryType()) for x in made]])
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                names, columns = list(batch.schema.names), list(batch.columns)
+                at = dict(zip(batch.schema.names, batch.columns, strict=True))
                 for source, out_col, job in steps:
-                    columns.append(pa.array(job(columns[names.index(source)]), pa.binary()))
-                    names.append(out_col)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    at[out_col] = pa.array(job(at[source]), pa.binary())
+                columns = [*[batch.column(i) for i in kept], *[at[x] for x in made]]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
         give_back()
 
     return docs.mapInArrow(run, schema)
@@ -214,9 +239,15 @@ def _decoding(spark: SparkSession, ranks_path: str):
     sent = spark.sparkContext.broadcast(data)
     key = hashlib.sha256(data).hexdigest()
 
+    def by_id() -> np.ndarray:
+        ranks = read_ranks(sent.value)
+        tokens = np.full(max(ranks.values(), default=0) + 1, None, object)
+        tokens[list(ranks.values())] = list(ranks)
+        return tokens
+
     def job(ids):
-        tokens = _once(("decode", key), lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
-        return [b"".join(map(tokens.__getitem__, array("I", x.as_py() or b""))) for x in ids]
+        tokens = _once(("decode", key), by_id)
+        return [b"".join(tokens[np.frombuffer(x.as_py() or b"", "<u4")].tolist()) for x in ids]
 
     return job
 
