@@ -1,9 +1,13 @@
 """Plain versions of what the operators do, for small inputs."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import defaultdict
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +93,103 @@ def identifiers(text):
                 continue
             out.append((m.start(), k, m.end()))
     return sorted(out)
+
+
+def entities_of(text):
+    """kind, kind~class and kind=value of each identifier."""
+    out = set()
+    for a, k, b in identifiers(text):
+        v = text[a:b]
+        digits = "".join(c for c in v if c.isdigit())
+        of = [v.split("@")[-1].lower(), ".".join(v.split(".")[:2]) + ".", digits[:6], re.match(r"\+[0-9]{1,3}", v + "").group() if v[0] == "+" else ""][k]
+        out |= {f"{k}", f"{k}~{of}", f"{k}={v}"}
+    return out
+
+
+def disclosing_terms(docs, alpha, support):
+    """{term: whether it is certain} by a plain loop over all entities and terms. docs: [text]"""
+    held, words = [], []
+    for t in docs:
+        t = t or ""
+        blank = list(t)
+        for a, _, b in identifiers(t):
+            blank[a:b] = " " * (b - a)
+        held.append(entities_of(t))
+        words.append({w.lower() for w in re.findall(r"[^\W\d_]{4,}", "".join(blank))})
+    n, df_e, df_t, both = len(docs), defaultdict(int), defaultdict(int), defaultdict(int)
+    for es, ws in zip(held, words, strict=True):
+        for w in ws:
+            df_t[w] += 1
+        for e in es:
+            df_e[e] += 1
+            for w in ws:
+                both[e, w] += 1
+    out = {}
+    for (e, w), k in both.items():
+        pmi, ic, joint = math.log2(n * k / (df_e[e] * df_t[w])), math.log2(n / df_e[e]), math.log2(n / k)
+        if df_e[e] < n and pmi >= alpha * ic - 1e-9 and (k >= support or pmi >= alpha * joint - 1e-9):
+            out[w] = out.get(w, False) or k >= df_t[w]
+    return out
+
+
+def term_spans(text, given):
+    """[(start, end)] of given terms outside identifiers."""
+    blank = list(text or "")
+    for a, _, b in identifiers(text):
+        blank[a:b] = " " * (b - a)
+    return [m.span() for m in re.finditer(r"[^\W\d_]{4,}", "".join(blank)) if m.group().lower() in given]
+
+
+def topic_of(t):
+    if not t:
+        return "empty"
+    if " | " in t:
+        return "table"
+    if re.search(r"[#$%&*]{3}", t):
+        return "marked"
+    if "!!" in t:
+        return "shouting"
+    if "Licen" in t:
+        return "notice"
+    return "long prose" if len(t) > 6000 else "prose"
+
+
+def uniform(id, seed=42):
+    """The number between 0 and 1 that a document is drawn by: XXH64 of the seed, then of the id."""
+    first = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    return (xxhash.xxh64_intdigest(struct.pack("<q", id), first) >> 11) / float(1 << 53)
+
+
+def mixed_documents(docs, share, power=0.7):
+    """{id: (tokens, probability, sampled)} by plain raking. docs: (id, lang, source, text)"""
+    cell, tokens, cells = {}, {}, defaultdict(float)
+    for i, lang, source, text in docs:
+        cell[i], tokens[i] = (source or "(none)", lang or "(none)", topic_of(text)), len(WORD.findall(text or ""))
+        cells[cell[i]] += tokens[i]
+    w, targets = {c: n for c, n in cells.items() if n}, []
+    for d in range(3):
+        sums = defaultdict(float)
+        for c, n in w.items():
+            sums[c[d]] += n
+        all_of = sum(n**power for n in sums.values())
+        targets.append({k: n**power / all_of for k, n in sums.items()})
+    for _ in range(500):
+        for d in range(3):
+            have = defaultdict(float)
+            for c, x in w.items():
+                have[c[d]] += x
+            w = {c: x * targets[d][c[d]] / have[c[d]] for c, x in w.items()}
+    budget, c, sure = share * sum(cells.values()), 0.0, set()
+    while True:
+        rest = sum(x for k, x in w.items() if k not in sure)
+        c = (budget - sum(cells[k] for k in sure)) / rest
+        more = {k for k, x in w.items() if x / cells[k] * c >= 1}
+        if more <= sure:
+            break
+        sure |= more
+    out = {}
+    for i in tokens:
+        k = cell[i]
+        p = min(1.0, c * w[k] / cells[k]) if cells[k] else 1.0
+        out[i] = (tokens[i], p, uniform(i) < p)
+    return out

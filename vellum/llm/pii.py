@@ -1,15 +1,18 @@
 """Personal data: identifiers by pattern, and terms that give an identifier away.
 
 Everything is DataFrame and SQL functions. Identifiers (e-mail, IP, card, phone) are found by linear-time
-forms of the given patterns. Then corpus co-occurrence tells how strongly a term of a document that holds an
-identifier reveals it: with document frequencies over all documents, and identifiers told apart by kind and
-exact value, a term t discloses an identifier e if
+forms of the given patterns. Then corpus co-occurrence tells how strongly a term of a document that holds a
+protected entity reveals it. Entities are identifiers by exact value, and the classes they fall into: all of a
+kind, and those of one e-mail domain, network (two parts of an IP), card issuer (six digits) or country code.
+With document frequencies over all documents, a term t discloses an entity e if
 
     PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))) >= ALPHA * IC(e),   IC(e) = log2(N / df(e))
 
 that is, if knowing t takes away ALPHA of the information that e carries. Pairs seen in fewer than MIN_SUPPORT
 documents must do so of their joint information as well, PMI(e; t) >= ALPHA * log2(N / df(e, t)): a rare term
 beside a rare identifier passes, one that came by chance into one document of a common identifier doesn't.
+Entities that are in just the same documents disclose alike, so one stands for all of them: a document with
+thousands of identifiers of its own is one entity with its terms, not thousands.
 Terms are taken from whole documents, outside their identifiers, and every occurrence of a disclosing term in
 any document gets a span of kind `term`. sanitise() removes terms that always come with e and generalises the rest.
 
@@ -40,6 +43,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{4,}"
 MIN_SUPPORT = 3
 ALPHA = 0.9
+#: Bits by which a threshold may be missed for the rounding of logarithms.
+ROUNDING = 1e-9
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -112,24 +117,48 @@ def _blanked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, text).otherwise(done)
 
 
+def entities_of(base: Column) -> Column:
+    """Names of the entities that base spans belong to: kind, kind~class and kind=value of each, distinct."""
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+
+    def classed(b: Column) -> Column:
+        v = b["value"]
+        by_kind = (
+            F.lower(F.element_at(F.split(v, "@"), -1)),
+            F.regexp_extract(v, r"^[0-9]+\.[0-9]+\.", 0),
+            F.substring(digits(v), 1, 6),
+            F.regexp_extract(v, r"^\+[0-9]{1,3}", 0),
+        )
+        chosen = F.get(F.array(*by_kind), b["kind"])
+        kind = b["kind"].cast("string")
+        return F.array(kind, F.concat(kind, F.lit("~"), chosen), F.concat(kind, F.lit("="), v))
+
+    return F.array_distinct(F.flatten(F.transform(base, classed)))
+
+
 def disclosing(base: DataFrame, folder: str, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, certain) of terms over the threshold. base: (row, entities, words), one row for each document."""
+    """(entity, term, certain) of terms over the threshold. base: (row, entities, words), one row for each document.
+
+    entity stands for every entity that is in just the same documents.
+    """
     n = float(base.count())
     holders = base.where(F.size("entities") > 0)
     entities = holders.select("row", F.explode("entities").alias("entity"))
-    df_entity = written(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") < n), f"{folder}/entities")
+    places = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("row"))).alias(f"x{seed}") for seed in (1, 2)]
+    met = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"), *places).where(F.col("df_entity") < n)
+    df_entity = written(met.groupBy("df_entity", "x1", "x2").agg(F.min("entity").alias("entity")).select("entity", "df_entity"), f"{folder}/entities")
     most = df_entity.agg(F.max("df_entity")).first()[0] or 0
     # df(e, t) is at most df(e) and df(t), so a pair passes only if N / max(df(e), df(t)) >= (N / df(e)) ** alpha
     reach = lambda df: n ** (1 - alpha) * df**alpha * (1 + 1e-9)
     terms = base.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     terms = written(terms.where(F.col("df_term") <= F.lit(float(max(reach(most), most)))), f"{folder}/words")
-    told = holders.select("row", F.explode("words").alias("term")).join(broadcast_if_small(terms, 80), "term")
-    known = entities.join(broadcast_if_small(df_entity, 100), "entity")
+    told = holders.select("row", F.explode("words").alias("term")).join(broadcast_if_small(terms), "term")
+    known = entities.join(broadcast_if_small(df_entity), "entity")
     pairs = known.join(told, "row").where(F.col("df_term") <= F.greatest(F.col("df_entity"), F.lit(n) ** (1 - alpha) * F.col("df_entity") ** alpha * (1 + 1e-9)))
     both = pairs.groupBy("entity", "term", "df_entity", "df_term").agg(F.count(F.lit(1)).alias("df_both"))
     ic, joint = F.log2(F.lit(n) / F.col("df_entity")), F.log2(F.lit(n) / F.col("df_both"))
     pmi = F.log2(F.lit(n) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    passed = both.where((pmi >= ic * alpha) & ((F.col("df_both") >= support) | (pmi >= joint * alpha)))
+    passed = both.where((pmi >= ic * alpha - ROUNDING) & ((F.col("df_both") >= support) | (pmi >= joint * alpha - ROUNDING)))
     return written(passed.select("entity", "term", (F.col("df_both") >= F.col("df_term")).alias("certain")), f"{folder}/disclosing")
 
 
@@ -140,19 +169,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     folder = shared_dir(docs.sparkSession, "pii")
     docs = _named(docs, id_col, text_col)
-    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], b["value"])))
+    entities = entities_of(F.col("base"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(_blanked(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)), F.lower))
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "text_key", "text", base_spans(F.col("text")).alias("base"))
     base = written(base.select("row", "doc_id", "id", "text_key", "base", entities.alias("entities"), words.alias("words")), f"{folder}/base")
     given = written(disclosing(base, folder, alpha, support).groupBy("term").agg(F.max("certain").alias("certain")), f"{folder}/given")
-    hits = base.select("id", "text_key", "base", F.explode("words").alias("term")).join(broadcast_if_small(given, 80), "term")
+    hits = base.select("id", "text_key", "base", F.explode("words").alias("term")).join(broadcast_if_small(given), "term")
     hits = hits.groupBy("id", "text_key").agg(F.first("base").alias("base"), F.collect_set(F.when(F.col("certain"), F.col("term"))).alias("sure"), F.collect_set("term").alias("hit"))
-    hits = broadcast_if_small(written(hits, f"{folder}/hits"), 2_000)
+    hits = broadcast_if_small(written(hits, f"{folder}/hits"))
     found = docs.select("id", "text_key", "text").join(hits, ["id", "text_key"])
     places = _walked(_blanked(F.col("text"), F.col("base")), TERM, lambda v: F.array_contains("hit", F.lower(v)))
     typed = F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), m["end"].alias("end"), F.array_contains("sure", F.lower(m["value"])).alias("certain")))
     terms = written(found.select("id", "text_key", typed.alias("terms")).groupBy("id", "text_key").agg(F.first("terms").alias("terms")), f"{folder}/terms")
-    joined = base.select("doc_id", "id", "text_key", "base").join(broadcast_if_small(terms, 2_000), ["id", "text_key"], "left")
+    joined = base.select("doc_id", "id", "text_key", "base").join(broadcast_if_small(terms), ["id", "text_key"], "left")
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(False).alias("certain")))
     spans = F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,certain:boolean>>"))))
     return joined.select("doc_id", "id", "text_key", "base", spans.alias("all"))
