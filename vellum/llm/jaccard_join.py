@@ -13,8 +13,11 @@
 3. In each rough group a signature tree is built: nodes hold the OR of their sets' bitmaps and the range
    of their sizes. A dual traversal drops pairs of nodes whose greatest possible overlap is too small,
    and pairs that are one component already; the pairs of sets that remain are counted exactly.
-   A group of more than BLOCK sets is first split into blocks of bounded size, then its rough pairs
-   across blocks are counted, and then only blocks of different components meet.
+4. A tree that would hold more than a block (BLOCK sets or BLOCK_HASHES hashes) is cut at two levels. First
+   each set goes, with its fellows in blocks, to the set that it is tied to: most links are found there. Then
+   sets in order of size are dealt into bins, the tree's upper nodes, with their own bitmaps and ranges of
+   sizes. The upper part of the dual traversal works on these alone: pairs of bins that can't link, or that
+   are one component already, are dropped before any set is sent. Each pair that is left is traversed below.
 
 Defined results: null and empty texts have an empty set, linked with nothing; a document with fewer words
 than a shingle has its whole sequence as one; rows with a null id keep their size and get a null
@@ -32,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, give_back, shared_dir, table, written
+from .common import broadcast_if_small, give_back, packed, shared_dir, table, written
 from .components import components
 from .shingles import mix, shingle_set
 
-#: Sets in one block of a large rough group.
-BLOCK = 4096
+#: Sets in one block of a large rough group, and hashes in them: 8 MB.
+BLOCK, BLOCK_HASHES = 1024, 1 << 20
+#: Bits of a bin's bitmap.
+BIN_BITS = 1 << 13
 #: Signatures of one task that are held and folded at a time.
 FOLD = 1 << 18
 #: Owners of one signature among those held from which on it is folded.
@@ -190,17 +195,17 @@ class Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
+    row = np.zeros(bits, bool)
+    row[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(row).view(np.uint64)
+
+
+def _bitmaps(sets: list[np.ndarray], bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of each set's hashes, and how many more hashes than bits the set has."""
-    most = max(len(h) for h in sets)
-    bits = 1 << min(16, max(8, int(4 * most - 1).bit_length()))
-    maps = np.zeros((len(sets), bits // 64), np.uint64)
-    extra = np.empty(len(sets), np.int64)
-    for i, h in enumerate(sets):
-        row = np.zeros(bits, bool)
-        row[(h & np.uint64(bits - 1)).astype(np.int64)] = True
-        maps[i] = np.packbits(row).view(np.uint64)
-        extra[i] = len(h) - np.count_nonzero(row)
+    bits = bits or 1 << min(16, max(8, int(4 * max(len(h) for h in sets) - 1).bit_length()))
+    maps = np.stack([bitmap(h, bits) for h in sets])
+    extra = np.array([len(h) for h in sets], np.int64) - np.bitwise_count(maps).sum(1, dtype=np.int64)
     return maps, extra
 
 
@@ -284,12 +289,14 @@ def linked(x: np.ndarray, y: np.ndarray, t: int) -> bool:
 
 
 def _sets(n: int):
-    """(id, text) -> (id, hashes)."""
+    """(id, text) -> (id, size, lead, hashes)."""
 
     def run(batches):
         for batch in batches:
-            made = [shingle_set(x.as_py(), n).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "hashes"])
+            made = [shingle_set(x.as_py(), n) for x in batch.column("text")]
+            size = pa.array([len(h) for h in made], pa.int64())
+            lead = pa.array([int(h[0]) >> 1 if len(h) else None for h in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), size, lead, pa.array([h.tobytes() for h in made], pa.binary())], names=["id", "size", "lead", "hashes"])
 
     return run
 
@@ -325,66 +332,108 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["u", "v"])
 
 
-def _checked(t: int):
+def solve_tiles(tiles: DataFrame, sets: DataFrame, t: int, path: str) -> DataFrame:
+    """tiles: (tile, id). Exact links (u, v) inside each tile, enough to tie its components."""
+    rows = tiles.join(sets, "id").select("tile", "id", "hashes")
+    return written(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_tiles(t), "u long, v long"), path)
+
+
+BIN = "rough long, own long, bin long, id long, low long, high long, extra long, bitmap binary"
+
+
+def _bins(block: int, hashes: int):
+    """Rows (rough, own, id, size, hashes) in order -> each set's bin, and a row without id for each bin, the OR of its sets."""
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    names = [x.split()[0] for x in BIN.split(", ")]
+
     def run(batches):
+        out, now, members, held, node, low, high, extra = [], None, [], 0, None, 0, 0, 0
+
+        def close():
+            if members:
+                out.extend((*now, members[0], i, None, None, None, None) for i in members)
+                out.append((*now, members[0], None, low, high, extra, node.tobytes()))
+
         for batch in batches:
-            pairs = zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("x"), batch.column("y"), strict=True)
-            yield _edges([(u, v) for u, v, x, y in pairs if linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), t)])
+            for rough, own, id, size, raw in zip(*[batch.column(c).to_pylist() for c in ("rough", "own", "id", "size", "hashes")], strict=True):
+                if now != (rough, own) or len(members) >= block or held + size > hashes:
+                    close()
+                    now, members, held, node, low, high, extra = (rough, own), [], 0, np.zeros(BIN_BITS // 64, np.uint64), size, 0, 0
+                bits = bitmap(np.frombuffer(raw, np.uint64), BIN_BITS)
+                members.append(id)
+                held, node, low, high = held + size, node | bits, min(low, size), max(high, size)
+                extra = max(extra, size - int(np.bitwise_count(bits).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            out = []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def solve_tiles(tiles: DataFrame, sets: DataFrame, t: int, path: str) -> DataFrame:
-    """tiles: (tile, id). Exact links (u, v) inside each tile, enough to tie its components."""
-    rows = tiles.join(sets, "id").select("tile", "id", "hashes")
-    return written(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_tiles(t), "u long, v long"), path)
+def _open_pairs(t: int):
+    """Pairs of bins -> those that some two sets below may link in, by the test of the tree's nodes."""
 
+    def side(batch, s):
+        maps = np.stack([np.frombuffer(x, np.uint64) for x in batch.column(f"bitmap{s}").to_pylist()])
+        return Level(maps, *[batch.column(f"{c}{s}").to_numpy() for c in ("low", "high", "extra")], None, None)
 
-def exact_links(docs: DataFrame, members: DataFrame, met: DataFrame, n: int, t: int, folder: str, block: int = BLOCK) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = side(batch, 1), side(batch, 2)
+                n = len(a.low)
+                both = Level(*[np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("maps", "low", "high", "extra")], None, None)
+                ok = pa.array(both.may_link(np.arange(n), np.arange(n) + n, t))
+                yield batch.select(["rough", "bin1", "bin2"]).filter(ok)
+
+    return run
+
+
+def exact_links(docs: DataFrame, members: DataFrame, met: DataFrame, n: int, t: int, folder: str, block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
     """members: (id, rough) of distinct sets in rough groups of two or more. Returns links (u, v)."""
-    texts = docs.join(broadcast_if_small(members.select("id"), 24), "id", "left_semi")
-    sets = written(texts.select("id", "text").mapInArrow(_sets(n), "id long, hashes binary"), f"{folder}/sets")
-    groups = members.groupBy("rough").agg(F.count(F.lit(1)).alias("n"))
-    large = written(groups.where(F.col("n") > block), f"{folder}/large")
+    texts = docs.join(broadcast_if_small(members.select("id")), "id", "left_semi")
+    sets = written(texts.select("id", "text").mapInArrow(_sets(n), "id long, size long, lead long, hashes binary"), f"{folder}/sets")
+    sized = written(members.join(sets.select("id", "size", "lead"), "id"), f"{folder}/sized")
+    groups = sized.groupBy("rough").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    large = written(groups.where((F.col("n") > block) | (F.col("s") > hashes)).select("rough"), f"{folder}/large")
     if large.isEmpty():
         return solve_tiles(members.select(F.col("rough").alias("tile"), "id"), sets, t, f"{folder}/links")
-
-    # blocks of bounded size; small groups are one block each
-    blocks = F.coalesce(F.ceil(F.col("n") * 2 / block), F.lit(1)).cast("long")
-    placed = members.join(broadcast_if_small(large, 32), "rough", "left").withColumn("tile", F.xxhash64("rough", F.pmod(F.xxhash64("id"), blocks)))
-    links = solve_tiles(placed.select("tile", "id"), sets, t, f"{folder}/links-0")
-    inside = written(members.join(large, "rough", "left_semi"), f"{folder}/inside")
-    one = written(components(links, f"{folder}/one"), f"{folder}/one-roots")
-
-    # rough pairs that cross components, counted one by one
-    def labelled(found: DataFrame) -> DataFrame:
-        return inside.join(found, inside.id == found.node, "left").select("rough", "id", F.coalesce("root", "id").alias("root"))
-
-    ends = labelled(one)
-    cross = met.join(ends.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(ends.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v").where("ru <> rv").select("u", "v")
-    fetched = cross.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
-    links = links.unionByName(written(fetched.mapInArrow(_checked(t), "u long, v long"), f"{folder}/links-1"))
-    two = written(components(links, f"{folder}/two"), f"{folder}/two-roots")
-
-    # what is left: blocks of different components of one rough group. A large component has blocks of its own.
-    ends = labelled(two)
-    counts = ends.groupBy("rough", "root").agg(F.count(F.lit(1)).alias("c"))
-    small = counts.where(F.col("c") < block // 4).groupBy("rough").agg(F.sum("c").alias("s"))
-    own = counts.join(small, "rough", "left").withColumn("big", F.col("c") >= block // 4)
-    own = own.withColumn("bins", F.ceil(F.when(F.col("big"), F.col("c")).otherwise(F.col("s")) * 2 / block).cast("long"))
-    bin_of = F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("bins"))).otherwise(F.pmod(F.xxhash64("root"), F.col("bins")))
-    binned = ends.join(own, ["rough", "root"]).select("rough", "root", "id", F.when(F.col("big"), F.col("root")).alias("own"), F.xxhash64(F.when(F.col("big"), F.col("root")), bin_of).alias("bin"))
+    inside = written(sized.join(broadcast_if_small(large), "rough", "left_semi"), f"{folder}/inside")
+
+    # each set with the least one that it is tied to, in blocks; small groups are one block each
+    near = met.groupBy("u").agg(F.min("v").alias("home"))
+    homes = written(inside.join(near, inside.id == near.u, "left").select("id", "size", F.coalesce("home", "id").alias("home")), f"{folder}/homes")
+    held = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("s") * 2 / hashes))
+    placed = homes.join(written(held.select("home", blocks.alias("blocks")), f"{folder}/blocks"), "home")
+    placed = placed.select("id", "home", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k"))
+    heads = placed.select(F.col("home").alias("id"), "home", "k").distinct()
+    tiles = placed.unionByName(heads).distinct().select(F.xxhash64("home", "k").alias("tile"), "id")
+    tiles = tiles.unionByName(sized.join(broadcast_if_small(large), "rough", "left_anti").select(F.xxhash64("rough", F.lit(-1)).alias("tile"), "id"))
+    links = solve_tiles(tiles, sets, t, f"{folder}/links-0")
+    found = written(components(links, f"{folder}/one"), f"{folder}/one-roots")
+
+    # bins: sets of one large component, or of many small ones, of about one size
+    ends = inside.join(found, inside.id == found.node, "left").select("rough", "id", "size", "lead", F.coalesce("root", "id").alias("root"))
+    big = ends.groupBy("rough", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where((F.col("n") * 4 > block) | (F.col("s") * 4 > hashes))
+    big = written(big.select("rough", "root", F.col("root").alias("own")), f"{folder}/big")
+    ends = ends.join(broadcast_if_small(big), ["rough", "root"], "left").join(sets.select("id", "hashes"), "id")
+    order = ["rough", "own", "size", "lead", "id"]
+    binned = ends.repartitionByRange(*order).sortWithinPartitions(*order).select("rough", "own", "id", "size", "hashes").mapInArrow(_bins(max(1, block // 2), hashes // 2), BIN)
     binned = written(binned, f"{folder}/binned")
-    bins = binned.select("rough", "own", "bin").distinct()
-    other = bins.select("rough", F.col("own").alias("own2"), F.col("bin").alias("bin2"))
-    pairs = bins.join(other, "rough").where("bin <= bin2 AND NOT (own IS NOT NULL AND own2 IS NOT NULL AND own = own2)").where("bin < bin2 OR own IS NULL")
-    pairs = written(pairs.select(F.xxhash64("rough", "bin", "bin2").alias("tile"), "bin", "bin2"), f"{folder}/pairs")
-    ends_of = pairs.select("tile", "bin").unionByName(pairs.select("tile", F.col("bin2").alias("bin"))).distinct()
-    tiles = ends_of.join(binned, "bin").select("tile", "id")
+
+    # the upper part of the dual traversal: bins that may link and aren't one component
+    nodes = binned.where("id IS NULL")
+    side = lambda s: nodes.select("rough", *[F.col(c).alias(f"{c}{s}") for c in ("own", "bin", "low", "high", "extra", "bitmap")])
+    pairs = side(1).join(side(2), "rough").where(f"bin1 <= bin2 AND NOT coalesce(own1 = own2, false) AND 100 * high1 >= {t} * low2 AND 100 * high2 >= {t} * low1")
+    pairs = written(pairs.mapInArrow(_open_pairs(t), "rough long, bin1 long, bin2 long").select(F.xxhash64("rough", "bin1", "bin2").alias("tile"), "rough", "bin1", "bin2"), f"{folder}/pairs")
+    ends_of = pairs.select("tile", "rough", F.col("bin1").alias("bin")).unionByName(pairs.select("tile", "rough", F.col("bin2").alias("bin"))).distinct()
+    tiles = ends_of.join(binned.where("id IS NOT NULL"), ["rough", "bin"]).select("tile", "id")
     return links.unionByName(solve_tiles(tiles, sets, t, f"{folder}/links-2"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (least id reachable by links of t %)."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "jaccard")
@@ -399,7 +448,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id
     heads = written(named.groupBy("digest").agg(F.min("id").alias("head"), F.min("rough").alias("rough")), f"{folder}/heads")
     groups = heads.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(heads.join(groups, "rough", "left_semi").select(F.col("head").alias("id"), "rough").distinct(), f"{folder}/members")
-    links = exact_links(docs, members, met, n, t, folder, block)
+    links = exact_links(docs, members, met, n, t, folder, block, hashes)
     same = named.join(heads.select("digest", "head"), "digest").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
     roots = written(components(links.unionByName(same), f"{folder}/exact"), f"{folder}/roots")
     out = all_docs.join(roots, all_docs.id == roots.node, "left")
@@ -410,7 +459,8 @@ def one_of_each(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id"
     """The documents that are their group's least id, with the columns they came with."""
     found = jaccard_join(docs, n, t, id_col, text_col)
     gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), f"{shared_dir(docs.sparkSession, 'jaccard')}/gone")
-    return docs.join(broadcast_if_small(gone, 24), docs[id_col] == F.col("gone"), "left_anti")
+    rows = docs.select(packed(docs), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(broadcast_if_small(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
