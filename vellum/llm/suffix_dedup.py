@@ -3,16 +3,19 @@
 1. Every window of `length` bytes is given to the leftmost least k-byte hash inside it, its anchor. Equal
    windows have equal anchors, and every window has one, so windows fall into segments around anchors.
    Segments whose anchor is met once hold no repeat.
-2. An anchor met several times with one segment only: all of the segment is repeated. Otherwise its
-   distinct segments, each once however often it occurs, go to one task in blocks of bounded size.
-   A segment is first cut down to the windows whose common bytes another one of its anchor shares.
+2. The segments of every anchor met several times are cut from their texts and folded: segments with the same
+   bytes are one piece with a number of copies. (Bytes are compared; segments go by 64-bit hashes afterwards,
+   and if two different ones of an anchor share a hash, all is hashed anew.) All pieces of an anchor go to one
+   task, in blocks of bounded size, a piece with several copies twice. A piece is first cut down to the windows
+   whose common bytes another one of its anchor shares.
 3. In a block the suffixes are put in order up to `length` bytes and their Burrows-Wheeler transform is
    taken. Breadth-first backward extension starts from the intervals of single bytes; an interval is
    extended only if its right end is a boundary not seen before, so the step at which a boundary is first
    met is its common prefix plus one. Steps stop at `length`: neighbours without a boundary between them
    share a window.
-4. An anchor with more than GROUP distinct segments is cut into shorter runs of windows, each keyed by the
-   bytes that all its windows share, again and again down to single windows, which fold into one.
+4. The pieces of an anchor with more than GROUP of them are cut into shorter runs of windows, each keyed by the
+   bytes that all its windows share, and folded again; where a key still has too many, so are these, down to
+   single windows, of which a key has one. They all go through step 3.
 
 Spans are half-open byte ranges. Defined results: a null or empty text has no bytes; matches never cross
 documents; a text shorter than `length` keeps all bytes; rows that repeat a text lose every byte that a
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir, table, written
+from .common import broadcast_if_small, give_back, shared_dir, table, written
 from .shingles import mix
 
 ANCHOR = 64
@@ -41,8 +44,10 @@ CHUNK = 1 << 20
 GROUP = 1024
 #: Bytes of segments after which a block is closed.
 BLOCK_BYTES = 2 << 20
-#: Windows in a run, step by step, for anchors with more than GROUP segments.
+#: Windows in a run, step by step, for keys with more than GROUP pieces.
 RUNS = (48, 8, 1)
+#: Bytes of pieces that one task holds to fold copies before they are shuffled.
+FOLD_BYTES = 16 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -96,7 +101,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int = ANCHOR):
 SEGMENT = "anchor long, seg long, id long, text_key long, lo long, windows int, at int"
 
 
-def _segments(length: int):
+def segment_digest(raw: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed=seed)
+
+
+def _segments(length: int, seed: int, digest):
     """(id, text_key, bytes) -> a row for each run of windows with one anchor."""
     names = [x.split()[0] for x in SEGMENT.split(", ")]
 
@@ -125,7 +134,7 @@ def _segments(length: int):
             lo, hi, at, h = anchors(np.frombuffer(raw, np.uint8), ends, length)
             if not len(lo):
                 continue
-            seg = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64)
+            seg = np.array([digest(raw[a:b], seed) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64)
             of = np.searchsorted(ends, lo, "right")
             shift = (np.concatenate([[0], ends[:-1]]) - np.array([x[2] for x in held]))[of]
             cols = [h.view(np.int64), seg.view(np.int64), np.array([x[0] for x in held], np.int64)[of], np.array([x[1] for x in held], np.int64)[of], lo - shift, (hi - lo + 1).astype(np.int32), (at - lo).astype(np.int32)]
@@ -227,100 +236,118 @@ def core(raw: bytes, at: int, p: int, run: int, length: int) -> bytes:
 
 
 def _with_company(rows, length: int, run: int = RUNS[0]):
-    """Rows (key, anchor, seg, first, at, bytes) cut down to the places whose core another row of the key has."""
+    """(n1, n2, first, copies, bytes) of rows (key, n1, n2, copies, at, bytes), cut down to the places whose core the key has again."""
     met = Counter()
     cores = []
-    for key, _, _, _, at, raw in rows:
+    for key, _, _, copies, at, raw in rows:
         own = [((key, p, xxhash.xxh3_64_intdigest(core(raw, at, p, run, length))), a, b) for p, a, b in places(at, len(raw) - length + 1, run)]
-        met.update(c for c, _, _ in own)
+        for c, _, _ in own:
+            met[c] += copies
         cores.append(own)
-    for (_, anchor, seg, first, _, raw), own in zip(rows, cores, strict=True):
+    for (_, n1, n2, copies, _, raw), own in zip(rows, cores, strict=True):
         kept = sorted((a, b) for c, a, b in own if met[c] > 1)
         while kept:
             a, b = kept.pop(0)
             while kept and kept[0][0] == b + 1:
                 b = kept.pop(0)[1]
-            yield anchor, seg, first + a, raw[a : b + length]
+            yield n1, n2, a, copies, raw[a : b + length]
+
 
+PIECE = "key long, n1 long, n2 long, copies long, at int, bytes binary"
+FOUND = "n1 long, n2 long, first int, past int"
 
-FOUND = "anchor long, seg long, first int, past int"
+
+def _batch(rows, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _solve(length: int):
-    """Rows (key, anchor, seg, first, at, bytes), sorted by key -> runs of repeated windows of (anchor, seg)."""
+    """Rows of PIECE, sorted by key -> runs of windows of a piece that are met elsewhere."""
 
     def block(rows):
         out = []
-        rows = list(_with_company(rows, length))
-        if len(rows) > 1:
-            for (anchor, seg, first, _), runs in zip(rows, repeated_windows([r[3] for r in rows], length), strict=True):
-                out += [(anchor, seg, first + a, first + b) for a, b in runs]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "seg", "first", "past"])
+        cut = list(_with_company(rows, length))
+        twice = [raw for *_, copies, raw in cut if copies > 1]
+        if len(cut) + len(twice) > 1:
+            runs = repeated_windows([*[raw for *_, raw in cut], *twice], length)
+            for (n1, n2, first, _, _), of_piece in zip(cut, runs, strict=False):
+                out += [(n1, n2, first + a, first + b) for a, b in of_piece]
+        return _batch(out, FOUND)
 
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "anchor", "seg", "first", "at", "bytes")], strict=True):
+            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "n1", "n2", "copies", "at", "bytes")], strict=True):
                 if key != last and size >= BLOCK_BYTES:
                     yield block(rows)
                     rows, size = [], 0
                 rows.append((key, *row))
-                size += len(row[4])
+                size += len(row[4]) * min(2, row[2])
                 last = key
         yield block(rows)
+        rows = None
+        give_back()
 
     return run
 
 
 def solve(pieces: DataFrame, length: int) -> DataFrame:
-    rows = pieces.select("key", "anchor", "seg", "first", "at", "bytes")
+    rows = pieces.select("key", "n1", "n2", "copies", "at", "bytes")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_solve(length), FOUND)
 
 
+CUT_PIECE = PIECE + ", of1 long, of2 long, first int"
+
+
 def _cut(run: int, length: int):
-    """Segments -> runs of at most `run` windows, keyed by anchor, place and the bytes that all windows of the place share."""
-    names = ["key", "anchor", "seg", "first", "digest", "copies", "at", "bytes"]
+    """Pieces -> runs of at most `run` windows, keyed by place and the bytes that all windows of the place share.
+
+    of1, of2 and first: the piece that a run is of, and its place there.
+    """
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def cut(batches):
         for batch in batches:
             out = []
-            for anchor, seg, first, copies, at, raw in zip(*[batch.column(c).to_pylist() for c in ("anchor", "seg", "first", "copies", "at", "bytes")], strict=True):
+            for n1, n2, copies, at, raw in zip(*[batch.column(c).to_pylist() for c in ("n1", "n2", "copies", "at", "bytes")], strict=True):
                 for p, a, b in places(at, len(raw) - length + 1, run):
                     piece = raw[a : b + length]
-                    key = xxhash.xxh3_64_intdigest(core(raw, at, p, run, length), seed=p) - (1 << 63)
-                    out.append((key, anchor, seg, first + a, xxhash.xxh3_128_digest(piece), copies, at - a, piece))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    key = xxhash.xxh3_64_intdigest(core(raw, at, p, run, length), seed=p)
+                    name = xxhash.xxh3_128_intdigest(piece, seed=key)
+                    out.append((signed(key), signed(name >> 64), signed(name & (1 << 64) - 1), copies, at - a, piece, n1, n2, a))
+            yield _batch(out, CUT_PIECE)
 
     return cut
 
 
-def repeated(pieces: DataFrame, length: int, folder: str, group: int = GROUP) -> DataFrame:
-    """pieces: (key, anchor, seg, first, copies, at, bytes), distinct under a key. Runs of repeated windows."""
-    out = None
-    for step, run in enumerate((*RUNS, None)):
-        counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        large = written(counts.where(F.col("n") > group).select("key"), f"{folder}/large-{step}")
-        if large.isEmpty():
-            found = solve(pieces, length)
-            return found if out is None else out.unionByName(found)
-        large = broadcast_if_small(large, 16)
-        found = written(solve(pieces.join(large, "key", "left_anti"), length), f"{folder}/found-{step}")
-        out = found if out is None else out.unionByName(found)
-        cut = "key long, anchor long, seg long, first int, digest binary, copies long, at int, bytes binary"
-        rows = written(pieces.join(large, "key", "left_semi").mapInArrow(_cut(run, length), cut), f"{folder}/cut-{step}")
-        # equal runs fold into one; a run met several times is repeated throughout, whatever else its key holds
-        folded = written(rows.groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("anchor", "seg", "first", "at")).alias("one")), f"{folder}/folded-{step}")
-        several = folded.where("copies > 1").select("key", "digest")
-        windows = F.length("bytes") - length + 1
-        out = out.unionByName(rows.join(several, ["key", "digest"]).select("anchor", "seg", "first", (F.col("first") + windows).cast("int").alias("past")))
-        # the others, and one of each folded run for them to be held against
-        mixed = folded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        heads = folded.join(mixed, "key", "left_semi").select("key", "copies", "one.*")
-        pieces = written(heads.join(rows.select("key", "anchor", "seg", "first", "bytes"), ["key", "anchor", "seg", "first"]), f"{folder}/pieces-{step}")
-    raise AssertionError("runs of one window fold into one")
+def fold(pieces: DataFrame, path: str) -> DataFrame:
+    """Pieces with the same bytes as one, with their copies added up."""
+    return written(pieces.groupBy("key", "n1", "n2", "bytes").agg(F.sum("copies").alias("copies"), F.min("at").alias("at")), path)
+
+
+def ambiguous(pieces: DataFrame) -> bool:
+    """Whether two different pieces have one name."""
+    return not pieces.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def repeated(pieces: DataFrame, length: int, folder: str, group: int = GROUP, step: int = 0) -> DataFrame:
+    """pieces: PIECE, folded. Runs of repeated windows of each, as FOUND."""
+    counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = written(counts.where(F.col("n") > group).select("key"), f"{folder}/large-{step}")
+    if large.isEmpty():
+        return solve(pieces, length)
+    large = broadcast_if_small(large)
+    found = written(solve(pieces.join(large, "key", "left_anti"), length), f"{folder}/found-{step}")
+    rows = written(pieces.join(large, "key", "left_semi").mapInArrow(_cut(RUNS[step], length), CUT_PIECE), f"{folder}/cut-{step}")
+    runs = fold(rows, f"{folder}/folded-{step}")
+    if ambiguous(runs):
+        raise RuntimeError("two different runs of windows have one 128-bit hash")
+    inner = written(repeated(runs, length, folder, group, step + 1), f"{folder}/inner-{step}")
+    back = rows.select("n1", "n2", "of1", "of2", F.col("first").alias("at")).join(inner, ["n1", "n2"])
+    return found.unionByName(back.select(F.col("of1").alias("n1"), F.col("of2").alias("n2"), (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("past")).alias("past")))
 
 
 # --- the operator ---------------------------------------------------------------------------------
@@ -331,39 +358,49 @@ def _keys(id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(id.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("text_key")
 
 
-def repeated_spans(docs: DataFrame, length: int, folder: str, group: int = GROUP) -> DataFrame:
-    """docs: (id, text_key, bytes). (id, text_key, spans): byte ranges of windows met elsewhere, as found."""
-    segs = written(docs.select("id", "text_key", "bytes").mapInArrow(_segments(length), SEGMENT), f"{folder}/segments")
-    met = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    met = written(met.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), f"{folder}/met")
-    hits = written(segs.join(met, "anchor"), f"{folder}/hits")
-    end = F.col("lo") + F.col("windows") - 1 + length
-    mixed = hits.where("mixed")
-    heads = mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_key", "lo", "windows", "at")).alias("one"))
-    heads = written(heads.select("anchor", "seg", "copies", "one.*"), f"{folder}/heads")
-
-    # the bytes of one segment of each kind, cut from its document
-    asked = written(heads.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "seg", "copies", "lo", "windows", "at")).alias("asked")), f"{folder}/asked")
-    texts = docs.select("id", "text_key", "bytes").join(asked, ["id", "text_key"])
-    piece = "key long, anchor long, seg long, first int, copies long, at int, bytes binary"
-
-    def slices(batches):
+def _pieces(length: int):
+    """Texts with their segments -> pieces, copies in one task folded."""
+
+    def run(batches):
+        held, size = {}, 0
         for batch in batches:
-            out = []
             for raw, wanted in zip(batch.column("bytes").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                out += [(s["anchor"], s["anchor"], s["seg"], 0, s["copies"], s["at"], raw[s["lo"] : s["lo"] + s["windows"] - 1 + length]) for s in wanted]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in piece.split(", ")])
-
-    pieces = written(texts.mapInArrow(slices, piece), f"{folder}/pieces")
-    found = written(repeated(pieces, length, folder, group).groupBy("anchor", "seg").agg(F.collect_set(F.struct("first", "past")).alias("runs")), f"{folder}/found")
-
-    # back to every place where the segment occurs
-    whole = hits.join(heads.where("copies > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi")
-    spans = hits.where("NOT mixed").unionByName(whole).select("id", "text_key", F.col("lo").alias("start"), end.alias("end"))
-    part = mixed.join(found, ["anchor", "seg"]).select("id", "text_key", "lo", F.explode("runs").alias("r"))
-    spans = spans.unionByName(part.select("id", "text_key", (F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.past") - 1 + length).alias("end")))
+                for s in wanted:
+                    piece = raw[s["lo"] : s["lo"] + s["windows"] - 1 + length]
+                    one = held.get(k := (s["anchor"], s["seg"], piece))
+                    if one is None:
+                        held[k] = [1, s["at"]]
+                        size += len(piece)
+                    else:
+                        one[0] += 1
+                if size >= FOLD_BYTES:
+                    yield _batch([(a, a, g, c, at, x) for (a, g, x), (c, at) in held.items()], PIECE)
+                    held, size = {}, 0
+        yield _batch([(a, a, g, c, at, x) for (a, g, x), (c, at) in held.items()], PIECE)
+        held = None
+        give_back()
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, length: int, folder: str, group: int = GROUP, digest=segment_digest) -> DataFrame:
+    """docs: (id, text_key, bytes). (id, text_key, spans): byte ranges of windows met elsewhere, as found."""
+    seed, top = 0, folder
+    while True:
+        segs = written(docs.select("id", "text_key", "bytes").mapInArrow(_segments(length, seed, digest), SEGMENT), f"{folder}/segments")
+        met = written(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), f"{folder}/met")
+        hits = written(segs.join(met, "anchor"), f"{folder}/hits")
+        asked = written(hits.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "seg", "lo", "windows", "at")).alias("asked")), f"{folder}/asked")
+        texts = docs.select("id", "text_key", "bytes").join(asked, ["id", "text_key"])
+        pieces = fold(texts.mapInArrow(_pieces(length), PIECE), f"{folder}/pieces")
+        if not ambiguous(pieces):
+            break
+        seed += 1
+        folder = f"{top}/{seed}"
+    found = repeated(pieces, length, folder, group)
+    found = written(found.groupBy("n1", "n2").agg(F.collect_set(F.struct("first", "past")).alias("runs")), f"{folder}/found")
+    part = hits.join(found, (F.col("anchor") == F.col("n1")) & (F.col("seg") == F.col("n2"))).select("id", "text_key", "lo", F.explode("runs").alias("r"))
+    spans = part.select("id", "text_key", (F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.past") - 1 + length).alias("end"))
     return spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -392,13 +429,13 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, digest=segment_digest) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, spans, kept (the bytes left)."""
     folder = shared_dir(docs.sparkSession, "suffix")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     id, key = _keys(F.col(f"`{id_col}`"), text)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), id, key, text.cast("binary").alias("bytes"))
-    spans = written(repeated_spans(docs, length, folder, group), f"{folder}/spans")
+    spans = written(repeated_spans(docs, length, folder, group, digest), f"{folder}/spans")
     return docs.join(spans, ["id", "text_key"], "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, CUT)
 
 
