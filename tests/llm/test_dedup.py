@@ -35,6 +35,25 @@ def test_drop_copies_keeps_columns(spark):
     assert exact_dedup.drop_copies(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    parts = [[(1, "a"), (2, "b"), (3, "b")], [(4, "a"), (0, "b"), (5, "c")], [(6, "c"), (7, None)], []]
+    tables = []
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/part-{i}")
+        tables.append(f"{tmp_path}/part-{i}")
+    for digest in (exact_dedup.sha256, lambda t: F.length(t).cast("string")):
+        state, got = f"{tmp_path}/state-{digest is exact_dedup.sha256}", []
+        for i, path in enumerate(tables):
+            earlier = spark.read.parquet(*tables[:i]) if i else None
+            got.append(sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.read.parquet(path), digest=digest, state_dir=state, earlier=earlier).collect()))
+        assert got == [
+            [(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True)],
+            [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)],
+            [(6, 6, 2, True), (7, 7, 1, True)],
+            [],
+        ]
+
+
 def near_copies(seed=2):
     r = random.Random(seed)
     bases = [[f"w{r.randint(0, 400)}" for _ in range(120)] for _ in range(3)]
@@ -48,13 +67,35 @@ def near_copies(seed=2):
     return docs + edge
 
 
-@pytest.mark.parametrize(("n", "t", "block"), [(3, 90, 512), (5, 80, 512), (3, 90, 16)])
-def test_jaccard_join_equals_brute_force(spark, n, t, block):
+@pytest.mark.parametrize(("n", "t", "block", "hashes"), [(3, 90, 512, 1 << 20), (5, 80, 512, 1 << 20), (3, 90, 16, 1 << 20), (3, 90, 4, 1 << 20), (3, 90, 512, 900)])
+def test_jaccard_join_equals_brute_force(spark, n, t, block, hashes):
     docs = near_copies()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, DOCS), n, t, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, DOCS), n, t, block=block, hashes=hashes).collect()}
     assert got == jaccard_components(docs, n, t)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_exact_links_of_sets_that_only_seem_alike(spark, tmp_path, block):
+    """Every set is put into one rough group; the ties don't help, so only the tree tells what is linked."""
+    r = random.Random(6)
+    docs = [(i, " ".join(f"w{r.randint(0, 30)}" for _ in range(r.choice([8, 9, 20, 60])))) for i in range(120)]
+    docs += [(200 + i, docs[i][1] + " w1") for i in range(0, 120, 3)]
+    df = spark.createDataFrame(docs, DOCS).withColumnRenamed("doc_id", "id")
+    members = df.select("id", F.pmod("id", F.lit(2)).alias("rough"))
+    members = members.unionByName(members.select("id", (1 - F.col("rough")).alias("rough")))  # two large groups with the same sets
+    for name, met in (("none", "0 AS u, 0 AS v WHERE false"), ("wrong", "id AS u, 5L AS v FROM ids WHERE id > 5")):
+        df.createOrReplaceTempView("ids")
+        links = jaccard_join.exact_links(df, members, spark.sql(f"SELECT {met}"), 2, 70, f"file://{tmp_path}/{block}-{name}", block=block)
+        roots = {x.node: x.root for x in jaccard_join.components(links, f"file://{tmp_path}/{block}-{name}/roots").collect()}
+        assert {i: roots.get(i, i) for i, _ in docs} == {i: root for i, (_, root) in jaccard_components(docs, 2, 70).items()}
+
+
+def test_jaccard_stage_keeps_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None), (None, "a b c")], DOCS).withColumn("gone", F.lit(1)).withColumn("id", F.lit("x")).withColumn("row", F.lit(2))
+    left = jaccard_join.one_of_each(df)
+    assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3]
+
+
 def test_jaccard_query(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op7_jaccard_join"](spark, SMALL).collect()}
     assert got == jaccard_components(small_docs(), 3, 90)
@@ -68,8 +109,13 @@ def test_jaccard_join_nulls_and_repeats(spark):
     assert jaccard_join.jaccard_join(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("length", "group"), [(100, 1024), (70, 3)])
-def test_suffix_dedup_equals_brute_force(spark, length, group):
+def lengths_first(raw, seed):
+    """A digest by which different segments meet, until it is asked for another one."""
+    return len(raw) if seed == 0 else suffix_dedup.segment_digest(raw, seed)
+
+
+@pytest.mark.parametrize(("length", "group", "digest"), [(100, 1024, suffix_dedup.segment_digest), (70, 3, suffix_dedup.segment_digest), (70, 1, lengths_first)])
+def test_suffix_dedup_equals_brute_force(spark, length, group, digest):
     r = random.Random(3)
     p = "".join(r.choice("abc ") for _ in range(400))
     docs = []
@@ -80,7 +126,7 @@ def test_suffix_dedup_equals_brute_force(spark, length, group):
         docs.append((i, noise() + p[a:b] + noise() + (p[b:] if i % 3 else "") + ("é" * r.randint(0, 150) if i % 5 == 0 else "")))
     docs += [(1000, None), (1001, ""), (1002, "xy" * 300), (1003, p + p), (1004, p), (1004, p), (None, p + "q"), (None, "w" * 500), (1005, "\0" * 300), (1006, "only short")]
     df = spark.createDataFrame(docs, DOCS).withColumn("id", F.lit(1)).withColumn("bytes", F.lit(2))
-    got = sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.suffix_dedup(df, length, group=group).collect()], key=lambda x: (x[0] is None, x[0] or 0, x[4]))
+    got = sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.suffix_dedup(df, length, group=group, digest=digest).collect()], key=lambda x: (x[0] is None, x[0] or 0, x[4]))
     assert got == without_repeats(docs, length)
 
 
@@ -96,3 +142,13 @@ def test_suffix_dedup_splits_long_texts(spark, monkeypatch):
 def test_suffix_query(spark):
     got = sorted(tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, SMALL).collect())
     assert got == sorted((i, n, k, s, sha(b)) for i, n, k, s, b in without_repeats(small_docs(), 400))
+
+
+def test_all_that_is_removed_comes_from_the_transform(spark, tmp_path, monkeypatch):
+    """Segments met twice, alone under their anchor, and runs of a large group: each goes through solve()."""
+    p = "".join(random.Random(8).choice("abcdefgh") for _ in range(1500))
+    docs = spark.createDataFrame([(1, p), (2, p), (3, "x" + p[300:900])], DOCS)
+    assert suffix_dedup.suffix_dedup(docs).where("n_removed > 0").count() == 3
+    for group in (1024, 1):
+        monkeypatch.setattr(suffix_dedup, "solve", lambda pieces, length: pieces.sparkSession.createDataFrame([], suffix_dedup.FOUND))
+        assert suffix_dedup.suffix_dedup(docs, group=group).where("n_removed > 0").count() == 0

@@ -7,6 +7,10 @@ all rows reaches its state as one row a task. Every hit (a row whose digest was
 then held against the full text at the retained locator; rows that share a digest but not the bytes are
 grouped anew by their text.
 
+The state may outlive a call: with state_dir a later call goes on from it, so rows of a new table are held
+against all rows that earlier calls saw. The retained texts that they hit are read from `earlier`, the tables
+of these calls, by their locators; decisions are about the new rows only.
+
 Defined results: null text counts as empty; of equal texts the row with the largest id stays (a null id
 is smaller than any other); of rows that repeat both id and text exactly one stays; an empty table gives
 an empty result; other columns are ignored, whatever their names.
@@ -31,10 +35,11 @@ def sha256(text: Column) -> Column:
 
 
 def keep_state(rows: DataFrame, folder: str, files_per_batch: int) -> DataFrame:
-    """Run the stream over the written rows; one row a digest: the state after the last batch.
+    """Run the stream over the rows written under folder/rows; one row a digest: the state after the last batch.
 
     Each batch's updates are written under the batch's number, so a batch that is run again after a
-    failure overwrites its own output.
+    failure overwrites its own output. The stream's checkpoint remembers which files it has read, and its
+    state goes on where it stopped.
     """
     spark = rows.sparkSession
     updates = f"{folder}/updates"
@@ -42,7 +47,7 @@ def keep_state(rows: DataFrame, folder: str, files_per_batch: int) -> DataFrame:
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/rows/*")
         state = stream.groupBy("digest").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         query = (
             state.writeStream.outputMode("update")
@@ -55,31 +60,41 @@ def keep_state(rows: DataFrame, folder: str, files_per_batch: int) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = state.schema
-    if not query.lastProgress:  # no row at all
-        return written(spark.createDataFrame([], schema), f"{folder}/kept")
-    seen = spark.read.schema(schema).option("basePath", updates).parquet(f"{updates}/batch=*")
+    # an empty part, so that there is something to read when no batch has run
+    spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{updates}/batch=-1")
+    seen = spark.read.schema(state.schema).option("basePath", updates).parquet(f"{updates}/batch=*")
     # keep and group_size only grow, so the last update of a digest is its largest
-    return written(seen.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size")), f"{folder}/kept")
+    return seen.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
+
+
+def _content(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """(id, text, file, row) of docs, named by its own files or, if it isn't a plain scan, by those of a copy."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    named = [F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")]
+    if has_locator(docs):
+        return docs.select(*named, *place)
+    return written(docs.select(*named), folder).select("*", *place)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 64, state_dir: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, file, row (its locator), digest, keep_id, group_size, kept.
 
     digest may be any function of the text column; rows are equal only if their whole texts are.
+    state_dir: a shared folder whose state is gone on from; earlier: the tables that it has seen, plain Parquet scans.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "exact-dedup")
-    content = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if has_locator(docs) else []))
-    if "file" not in content.columns:
-        content = written(content, f"{folder}/content").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    content = content.withColumn("digest", digest(F.col("text")))
-    rows = written(content.select("id", "file", "row", "digest"), f"{folder}/rows")
-    kept = keep_state(rows, folder, files_per_batch)
+    content = _content(docs, id_col, text_col, f"{folder}/content").withColumn("digest", digest(F.col("text")))
+    stream = state_dir.rstrip("/") if state_dir else folder
+    rows = written(content.select("id", "file", "row", "digest"), f"{stream}/rows/{folder.rsplit('/', 1)[1]}")
+    kept = written(keep_state(rows, stream, files_per_batch), f"{folder}/kept")
     several = written(kept.where("group_size > 1"), f"{folder}/several")
+    known = content
+    if earlier is not None:
+        known = content.unionByName(_content(earlier, id_col, text_col, f"{folder}/earlier").withColumn("digest", digest(F.col("text"))))
 
     # full bytes on every hit: the retained content is fetched by its locator
-    hits = content.join(broadcast_if_small(several, 250), "digest")
+    hits = known.join(broadcast_if_small(several), "digest")
     retained = hits.where("file = keep.file AND row = keep.row").select("digest", F.col("text").alias("retained"))
     unequal = written(hits.join(retained, "digest").where("text <> retained").select("digest"), f"{folder}/unequal").distinct()
     joined = rows.join(kept, "digest")
@@ -87,9 +102,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = joined.join(unequal, "digest", "left_anti")
     out = joined.select("id", "file", "row", "digest", "keep", "group_size")
     if not unequal.isEmpty():
-        mixed = content.join(unequal, "digest", "left_semi")
+        mixed = known.join(unequal, "digest", "left_semi")
         exact = written(mixed.groupBy("digest", "text").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), f"{folder}/exact")
-        out = out.unionByName(mixed.join(exact, ["digest", "text"]).select("id", "file", "row", "digest", "keep", "group_size"))
+        out = out.unionByName(content.join(unequal, "digest", "left_semi").join(exact, ["digest", "text"]).select("id", "file", "row", "digest", "keep", "group_size"))
     stays = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     return out.select(F.col("id").alias("doc_id"), "file", "row", "digest", F.col("keep.id").alias("keep_id"), "group_size", stays.alias("kept"))
 
@@ -102,7 +117,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = exact_dedup(docs, id_col, text_col)
     gone = written(found.where("NOT kept").select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row")), f"{shared_dir(spark, 'exact-dedup')}/gone")
     place = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    left = place.join(broadcast_if_small(gone, 200), (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row")), "left_anti")
+    left = place.join(broadcast_if_small(gone), (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row")), "left_anti")
     return left.select("doc.*")
 
 
