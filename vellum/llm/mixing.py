@@ -6,9 +6,15 @@ other until every marginal is met. A cell's rate (weight over tokens) gives its
 probability min(1, c * rate), with c calibrated so that the expected tokens meet the budget; a document is
 drawn by a hash of its id, so a run that is repeated draws the same ones.
 
+Raking goes on until every marginal is met to TOLERANCE. Targets that contradict one another (a source that
+only comes in a language with another share) never are: when STALL sweeps have not taken a tenth off what is
+missing, the weights are as near as they get, and the share by which the worst marginal is missed is given as
+mixed.off; strict=True raises instead.
+
 Defined results: a null or missing category counts as the category NONE; a document without words (null or
 empty text) has no tokens and gets its cell's probability, 1 in a cell without tokens; rows that repeat an
-id are drawn together; an empty table gives an empty result; other columns pass through unchanged.
+id are drawn together; an empty table gives an empty result; other columns pass through unchanged, but for
+one named mixed, which is replaced.
 """
 
 from __future__ import annotations
@@ -16,17 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir, table, written
+from .common import added, broadcast_if_small, packed, shared_dir, table, written
 
 NONE = "(none)"
 #: Marginals are met when none is off by more than this share.
 TOLERANCE = 1e-6
-#: Sweeps after which targets that contradict one another are given up on, as near as they came.
-SWEEPS = 40
+#: Sweeps that must take a tenth off the greatest deviation.
+STALL = 10
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by the text's form: tables, marked-up junk, shouting, notices, long and short prose."""
+    """A stand-in for a topic column, where a table has none: a coarse class by the text's form.
+
+    mix() takes any column as a dimension; this one only gives it a third marginal to rake to.
+    """
     text = F.coalesce(text, F.lit(""))
     return (
         F.when(F.length(text) == 0, "empty")
@@ -48,8 +57,8 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("share")).where("share > 0")
 
 
-def fit(cells: DataFrame, targets: dict[str, DataFrame], folder: str) -> DataFrame:
-    """cells: the columns of targets and tokens. Adds w, the raked weight, which adds up to 1.
+def fit(cells: DataFrame, targets: dict[str, DataFrame], folder: str) -> tuple[DataFrame, float]:
+    """cells: the columns of targets and tokens. Adds w, the raked weight, which adds up to 1; and what is missing.
 
     targets: for each dimension its categories' shares (dim, share), of any sum; categories without a
     share, or with no tokens, get no weight.
@@ -61,20 +70,20 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], folder: str) -> DataFra
         t = t.join(present, d, "left_semi")
         total = t.agg(F.sum("share")).first()[0]
         want[d] = written(t.select(d, (F.col("share") / F.lit(total)).alias("target")), f"{folder}/target-{d}")
-    now = cells.withColumn("w", F.col("tokens"))
-    for sweep in range(SWEEPS):
+    now, offs = cells.withColumn("w", F.col("tokens")), []
+    while True:
         for d in dims:
             sums = now.groupBy(d).agg(F.sum("w").alias("have"))
             scale = sums.join(want[d], d, "left").select(d, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("scale"))
             now = now.join(scale, d).withColumn("w", F.col("w") * F.col("scale")).drop("scale")
-        now = written(now, f"{folder}/sweep-{sweep}")
+        now = written(now, f"{folder}/sweep-{len(offs)}")
         off = 0.0
         for d in dims[:-1]:  # the last one has just been met
             have = now.groupBy(d).agg(F.sum("w").alias("have"))
             off = max(off, have.join(want[d], d).agg(F.max(F.abs(F.col("have") / F.col("target") - 1))).first()[0] or 0.0)
-        if off <= TOLERANCE:
-            break
-    return now
+        offs.append(off)
+        if off <= TOLERANCE or len(offs) > STALL and off > 0.9 * offs[-1 - STALL]:
+            return now, off
 
 
 def calibrate(cells: DataFrame, share: float, folder: str) -> DataFrame:
@@ -99,22 +108,26 @@ def drawn(ids: Column, probability: Column, seed: int) -> Column:
     return u < probability
 
 
-def mix(docs: DataFrame, share: float, dims: tuple[str, ...] = ("source", "lang", "topic"), targets: dict[str, DataFrame] | None = None, power: float = 0.7, seed: int = 42, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """docs (with the columns dims and tokens) and a struct mixed: cell weight, probability, sampled."""
+def mix(docs: DataFrame, share: float, dims: tuple[str, ...] = ("source", "lang", "topic"), targets: dict[str, DataFrame] | None = None, power: float = 0.7, seed: int = 42, id_col: str = "doc_id", tokens_col: str = "tokens", strict: bool = False) -> DataFrame:
+    """docs (with the columns dims and tokens) and a struct mixed: the cell's weight w, rate and probability; sampled; off."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "mixing")
     named = {d: F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(NONE)) for d in dims}
-    cells = written(docs.groupBy(*[c.alias(d) for d, c in named.items()]).agg(F.sum(tokens_col).alias("tokens")), f"{folder}/cells")
+    cells = written(docs.groupBy(*[c.alias(d) for d, c in named.items()]).agg(F.sum(f"`{tokens_col}`").alias("tokens")), f"{folder}/cells")
     targets = {d: (targets or {}).get(d) or tempered(cells, d, power) for d in dims}
-    cells = calibrate(fit(cells, targets, folder), share, folder)
+    raked, off = fit(cells, targets, folder)
+    if strict and off > TOLERANCE:
+        raise ValueError(f"targets contradict one another: a marginal is missed by {off:.3g} of its share")
+    cells = calibrate(raked, share, folder)
     cells = written(cells.select(F.struct(*dims).alias("cell"), "w", "rate", "probability"), f"{folder}/mixed")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*[c.alias(d) for d, c in named.items()]).alias("cell"))
-    joined = keyed.join(broadcast_if_small(cells, 200), "cell")
-    mixed = F.struct("w", "rate", "probability", drawn(F.col("row")[id_col], F.col("probability"), seed).alias("sampled"))
-    return joined.select("row.*", mixed.alias("mixed"))
+    keyed = docs.select(packed(docs), F.struct(*[c.alias(d) for d, c in named.items()]).alias("cell"))
+    joined = keyed.join(broadcast_if_small(cells), "cell")
+    mixed = F.struct("w", "rate", "probability", drawn(F.col("row")[id_col], F.col("probability"), seed).alias("sampled"), F.lit(float(off)).alias("off"))
+    return added(joined, {"mixed": mixed}, docs.columns)
 
 
 def with_topic(docs: DataFrame) -> DataFrame:
+    """docs with tokens and the stand-in topic; columns of these names are replaced."""
     return docs.withColumn("topic", topic_of(F.col("text"))).withColumn("tokens", tokens_of(F.col("text")))
 
 
