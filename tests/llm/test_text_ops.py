@@ -8,12 +8,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from vellum.llm import bpe, compression_quality, mixing, pii, quality_rules, toxicity, warc_revisits
+from vellum.llm.labelled import calibrated
 from vellum.llm.queries import QUERIES
 
 from ..oracle import SMALL, rows_of_sql
-from .brute import identifiers, sha
+
+from .brute import disclosing_terms, identifiers, mixed_documents, sha, term_spans, uniform
 
 DOCS = "doc_id long, text string"
+LARGER = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(open(PATH, "rb").read())
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -54,6 +57,22 @@ def test_bpe_round_trip_keeps_columns(spark):
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_replaces_columns_of_its_names(spark):
+    rows = [(1, "a\0b \xe9", b"x", 1), (2, "same", b"y", 2), (2, "same", b"y", 2)]
+    df = spark.createDataFrame(rows, DOCS + ", ids binary, Decoded int")
+    out = bpe.encode_decode(df, PATH, public_tokenizers.PATTERN)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    assert [bytes(r.decoded).decode() for r in out.collect()] == [r[1] for r in rows]
+
+
+def test_bpe_memory_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    small, r = bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(2)
+    for _ in range(200):
+        text = " ".join(r.choice(["one", "twoo", "threee", "xqzw", "qqqv", "zzkj", "jjvx", "wwwq"]) for _ in range(9))
+        assert ids(small.encode(text)) == TIKTOKEN.encode_ordinary(text) and len(small) <= 5
+
+
 def test_bpe_query(spark):
     texts = dict(rows_of_sql("SELECT doc_id, text FROM documents", SMALL, ["doc_id", "text"]))
     for r in QUERIES["op4_byte_bpe"](spark, SMALL).collect():
@@ -116,6 +135,53 @@ def test_pii_terms_of_rare_identifiers(spark):
     assert found[4] == f"term:0:6,ip:{end - 2}:{end + 6}" and found[5] == ""
 
 
+def planted(seed=9, n=600):
+    """Documents in which a project's name gives a mail domain away, a nickname one person, and a word all phones."""
+    r = random.Random(seed)
+    common = [f"common{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    docs = []
+    for i in range(n):
+        w = [r.choice(common) for _ in range(r.randint(5, 60))]
+        if i % 20 == 0:
+            w += ["Bluebird", f"user{i}@bluebird.org"]
+        if i % 25 == 1:
+            w += ["hotline", f"+49 30 {1000000 + i}"]
+        if i % 150 == 2:
+            w += ["Quicksilver", "11.22.33.44"]
+        if i % 97 == 3:
+            w += ["4111 1111 1111 1111", *[f"x{j}@many.net" for j in range(40)]]
+        r.shuffle(w)
+        docs.append((i, " ".join(w)))
+    return docs + [(n, None), (n + 1, ""), (n + 2, "bluebird without any address"), (n + 3, "same a@same.org"), (n + 3, "same a@same.org")]
+
+
+@pytest.mark.parametrize(("alpha", "support"), [(0.9, 3), (0.6, 2)])
+def test_pii_terms_equal_a_plain_loop(spark, alpha, support):
+    docs = planted()
+    want = disclosing_terms([t for _, t in docs], alpha, support)
+    assert {"bluebird", "hotline", "quicksilver"} <= set(want) and not any(w.startswith("common") for w in want) or alpha < 0.9
+    found = pii.find_pii(spark.createDataFrame(docs, DOCS), alpha=alpha, support=support).select("doc_id", pii.span_list(F.col("all")).alias("s"), F.exists("all", lambda x: x["certain"]).alias("c")).collect()
+    by_id = dict(docs)
+    for row in found:
+        terms = [tuple(map(int, x.split(":")[1:])) for x in row.s.split(",") if x.startswith("term")]
+        assert terms == term_spans(by_id[row.doc_id], want)
+        assert row.c == any(want[(by_id[row.doc_id])[a:b].lower()] for a, b in terms)
+    # every planted mention is found, also the one away from any address
+    mentions = [i for i, t in docs if t and any(w in t.lower() for w in ("bluebird ", "hotline", "quicksilver"))]
+    assert {r.doc_id for r in found if "term" in r.s} >= set(mentions)
+
+
+def test_pii_query_terms_equal_a_plain_loop(spark):
+    docs = rows_of_sql("SELECT doc_id, text FROM documents", SMALL, ["doc_id", "text"])
+    want = disclosing_terms([t for _, t in docs], pii.ALPHA, pii.MIN_SUPPORT)
+    by_id, n = dict(docs), 0
+    for row in QUERIES["op8_pii"](spark, SMALL).collect():
+        terms = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("term")]
+        assert terms == term_spans(by_id[row.doc_id], want)
+        n += len(terms)
+    assert n > 0
+
+
 def test_pii_term_is_marked_away_from_the_identifier(spark):
     rows = [*((i, "the marmalade of alpha@b.com") for i in range(9)), (20, "only marmalade"), *((i, "plain text") for i in range(30, 400))]
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
@@ -162,10 +228,33 @@ def test_mixing_meets_marginals(spark):
         assert abs(x.mixed.w - want[key]) < 1e-5
     expected = sum(x.tokens * x.mixed.probability for x in out)
     assert abs(expected - 0.3 * sum(x.tokens for x in out)) < 1e-3
+    assert all(x.mixed.off <= mixing.TOLERANCE for x in out)
     assert [x.mixed.sampled for x in sorted(out, key=lambda x: x.doc_id)] == [x.mixed.sampled for x in sorted(mixing.mix(df, share=0.3).collect(), key=lambda x: x.doc_id)]
     assert mixing.mix(df.limit(0), share=0.3).count() == 0
 
 
+def test_mixing_of_targets_that_contradict(spark):
+    rows = [(1, "a", "en", "p", 10.0, 1), (2, "b", "de", "p", 10.0, 2), (3, "b", "de", "q", 0.0, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens double, Mixed int")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, share double")}
+    out = mixing.mix(df, 0.5, targets=targets)
+    assert out.columns == ["doc_id", "source", "lang", "topic", "tokens", "mixed"]
+    assert all(x.mixed.off > 0.1 for x in out.collect()) and out.count() == 3
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix(df, 0.5, targets=targets, strict=True)
+    slow = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double")}
+    assert all(x.mixed.off <= mixing.TOLERANCE for x in mixing.mix(df, 0.5, targets=slow, strict=True).collect())
+
+
+def test_mixing_query_equals_brute_force(spark):
+    docs = rows_of_sql("SELECT doc_id, lang, source, text FROM documents", SMALL, ["doc_id", "lang", "source", "text"])
+    want = mixed_documents(docs, 0.5)
+    got = {r.doc_id: (r.n_tokens, r.probability, r.sampled) for r in QUERIES["op10_mixing"](spark, SMALL).collect()}
+    assert set(got) == set(want)
+    for i, (n, p, s) in want.items():
+        assert got[i][0] == n and abs(got[i][1] - p) < 1e-4 and (got[i][2] == s or abs(got[i][1] - uniform(i)) < 1e-4)
+
+
 # --- classifiers ----------------------------------------------------------------------------------
 
 
@@ -190,8 +279,65 @@ def test_toxicity_held_out(spark):
     assert all((r.score >= 0.7) == bool(r.toxic) for r in got) and len(got) > 100
     edge = {r.doc_id: r.score for r in model.score(docs).where("doc_id >= 1000").collect()}
     assert edge[1000] == edge[1001] and edge[1002] > edge[1003] and all(0 <= s <= 1 for s in edge.values())
+    clashing(model, docs)
     constant = toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True))
     assert constant.score(docs.limit(1)).first().score == 0.0
+    assert toxicity.fit(docs.limit(0), labels, F.lit(True)).score(docs.limit(1)).first().score == 0.0
+    twice = toxicity.fit(docs, labels.unionByName(labels), ~held)
+    assert all((r.score >= 0.7) == bool(r.toxic) for r in twice.score(docs).join(labels, "doc_id").where(held).select("score", "toxic").collect())
+
+
+def clashing(model, docs):
+    """Scores of docs beside columns whose names the models use themselves."""
+    names = ("features", "prediction", "rawPrediction", "probability", "differences", "x", "row", "calibrated", "SCORE")
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = model.score(wide)
+    assert out.columns == [*docs.columns, *names[:-1], "score"] and out.where("row = 6 AND x = 5").count() == docs.count()
+    assert model.score(docs.limit(0)).count() == 0
+
+
+def held_out_of(name, spark, sf_dir, label):
+    truth = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).alias("truth"))
+    return QUERIES[name](spark, sf_dir).join(truth, "doc_id").where("held_out AND truth IS NOT NULL").select("predicted", "truth").collect()
+
+
+def test_toxicity_of_held_out_documents(spark):
+    rows = held_out_of("op3_toxicity", spark, LARGER, "toxic")
+    hit, false = sum(r.predicted and r.truth for r in rows), sum(r.predicted and not r.truth for r in rows)
+    assert hit >= 0.7 * sum(r.truth for r in rows) and false <= 0.02 * len(rows)
+
+
+def test_quality_of_held_out_documents(spark):
+    rows = held_out_of("op5_compression_quality", spark, LARGER, "quality")
+    good = [r.predicted for r in rows if r.truth]
+    bad = [r.predicted for r in rows if not r.truth]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.55 * len(bad)
+
+
+def test_quality_lives_by_its_dictionaries(spark):
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = compression_quality.fit(docs, labels, ~held)
+    rows = docs.join(labels, "doc_id").where(held & F.col("quality").isNotNull()).select("text", "quality")
+
+    def bad_kept(good, bad):
+        x = rows.select("quality", compression_quality.differences(F.col("text"), good, bad).alias("x"))
+        return {r.quality: r.n for r in calibrated(x, model.steps).where("calibrated >= 0.3").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    whole, same, swapped = bad_kept(model.good, model.bad), bad_kept(model.good, model.good), bad_kept(model.bad, model.good)
+    n = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert whole[1] >= 0.95 * n[1] and whole.get(0, 0) < n[0]
+    assert same.get(0, 0) / n[0] == same.get(1, 0) / n[1]  # without a difference nothing is told apart
+    assert swapped.get(1, 0) < 0.5 * n[1]
+
+
+def test_quality_dictionaries_read_whole_texts(spark):
+    mark = "".join(random.Random(4).choice("qxzvjk ") for _ in range(900))
+    docs = [(i, "lorem ipsum dolor sit amet " * 900 + (mark if i % 2 else "plain tail " * 80) * 4) for i in range(40)]
+    sample = spark.createDataFrame([(i, t) for i, t in docs if i % 2], DOCS)
+    pieces = compression_quality._pieces(sample, 10_000)
+    assert sum(map(len, pieces)) == sum(len(t) for i, t in docs if i % 2) and sum(mark[:50].encode() in p for p in pieces) >= 20
+    assert 20 < len(compression_quality._pieces(sample, 60)) < 110
 
 
 def test_quality_held_out(spark):
@@ -203,7 +349,9 @@ def test_quality_held_out(spark):
     assert all((r.score >= 0.3) == bool(r.quality) for r in got) and len(got) > 60
     edge = {r.doc_id: r.score for r in model.score(docs).where("doc_id >= 1000").collect()}
     assert edge[1000] == edge[1001] and all(0 <= s <= 1 for s in edge.values())
+    clashing(model, docs)
     assert compression_quality.fit(docs, labels.where("quality = 1"), F.lit(True)).score(docs.limit(1)).first().score == 1.0
+    assert compression_quality.fit(docs.limit(0), labels, F.lit(True)).score(docs.limit(1)).first().score == 0.0
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.7), ("op5_compression_quality", "quality", 0.3)])
@@ -234,3 +382,24 @@ def test_revisits(spark):
 @pytest.mark.parametrize(("a", "b"), [("http://Www.A.com:80/x/?utm_source=f&b=2&a=1#t", "a.com/x?a=1&b=2"), ("https://a.com", "a.com"), ("a.com/?ref=x", "a.com")])
 def test_canonical_url(spark, a, b):
     assert spark.range(1).select(warc_revisits.canonical_url(F.lit(a)).alias("u")).first().u == b
+
+
+def test_canonical_url_keeps_what_is_asked_for(spark):
+    u = lambda **k: spark.range(1).select(warc_revisits.canonical_url(F.lit("HTTPS://www.A.com/x/"), **k).alias("u")).first().u
+    assert (u(), u(scheme=True), u(www=True), u(scheme=True, www=True)) == ("a.com/x", "https://a.com/x", "www.a.com/x", "https://www.a.com/x")
+
+
+def test_revisits_equal_a_plain_loop_with_a_wrong_time(spark):
+    r = random.Random(3)
+    rows = [(i, f"http://h{r.randint(0, 3)}/", r.choice([*range(50), 10**15]), r.random() < 0.4, f"d{r.randint(0, 2)}", {"etag": f"e{r.randint(0, 2)}"}) for i in range(300)]
+    got = {x.record_id: (x.response_id, x.verdict) for x in warc_revisits.resolve_revisits(spark.createDataFrame(rows, warc_revisits.RECORD), slices=8).collect()}
+    for i, u, at, full, _, h in rows:
+        if not full:
+            before = [(x[2], x[0], x[5]) for x in rows if x[3] and x[1] == u and (x[2], x[0]) < (at, i)]
+            best = max(before, default=None, key=lambda x: x[:2])
+            assert got[i] == ((best[1], "resolved" if best[2] == h else "validator mismatch") if best else (None, "no earlier response"))
+
+
+def test_revisit_query_has_every_verdict(spark):
+    got = {r.verdict for r in QUERIES["op6_warc_revisits"](spark, SMALL).select("verdict").distinct().collect()}
+    assert got == {"resolved", "validator mismatch", "no validator", "no earlier response"}

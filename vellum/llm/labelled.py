@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +25,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, row
         share = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(float(1 << 53))
         known = known.where(share < rows / n)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+
+
+def isotonic(scored: DataFrame) -> IsotonicRegressionModel:
+    """The whole isotonic map from x to the share of label 1, linear between its steps. scored: (x, label); not empty."""
+    return IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="calibrated").fit(scored)
+
+
+def calibrated(scored: DataFrame, model: IsotonicRegressionModel) -> DataFrame:
+    """scored with a column calibrated, from its column x, between 0 and 1."""
+    return model.transform(scored).withColumn("calibrated", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated"))))

@@ -103,7 +103,7 @@ def compile_rules(thresholds=THRESHOLDS) -> Column:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """One row a document: its counts, base_failed and kept."""
-    m = docs.select(F.col(id_col).alias("doc_id"), metrics(F.col(text_col)).alias("m"))
+    m = docs.select(F.col(f"`{id_col}`").alias("doc_id"), metrics(F.col(f"`{text_col}`")).alias("m"))
     m = m.select("doc_id", "m.*").select("*", F.col("lines.n").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines")).drop("lines")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return m.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(thresholds))
@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def quality_filter(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The documents that keep all rules, with the columns they came with."""
-    m = metrics(F.col(text_col))
+    m = metrics(F.col(f"`{text_col}`"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), m.alias("m")).select("row", "m.*")
     row = row.select("*", F.col("lines.n").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)

@@ -4,11 +4,14 @@ Features of a whole text: densities of a fixed lexicon and of a lexicon learned
 hits near a second-person word, shares of capitals and punctuation, and rates of obfuscated words (letters
 mixed with digits or symbols, hits only after undoing that, long repeats of one letter). Lexicon counts
 stand beside densities so that one hit in a very long text is still seen. The trees (Spark ML) are fitted
-on part of the labelled rows, the isotonic map from tree score to probability on the rest.
+on part of the labelled rows, the isotonic map from tree score to probability on the rest; the whole map is applied.
+
+Bounds: FIT_ROWS labelled rows at most, drawn by a hash of the id. Scoring has no bound.
 
 Defined results: a null or empty text has all features 0 and gets the score of such a text; rows are
-scored alone, so ties and repeated rows change nothing; labels that are null or of one class only give a
-constant score, that class's share; an empty table gives an empty result; other columns are ignored.
+scored alone, so ties and repeated rows change nothing; repeated labels of a row count each; labels that are
+null are left out; labels of one class only give a constant score, that class's share (0 without any); an
+empty table gives an empty result; other columns come through, but for one named score, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +23,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .labelled import FIT_ROWS, fit_sample, fold
+from .common import added, packed, table
+from .labelled import FIT_ROWS, calibrated, fit_sample, fold, isotonic
 
 #: Insults of four languages.
 LEXICON = frozenset(
@@ -37,8 +39,8 @@ LEXICON = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tu usted ustedes vosotros".split())
 #: Words each way in which a word of address counts as near.
 NEAR = 4
-#: Entries of the learned lexicon at most, the documents that must have one, and its odds against other documents.
-LEARNED, LEARNED_SUPPORT, LEARNED_ODDS = 400, 8, 8.0
+#: Toxic documents that must have an entry of the learned lexicon, and its odds against other documents.
+LEARNED_SUPPORT, LEARNED_ODDS = 8, 8.0
 #: Lengths of word beginnings that the learned lexicon may hold beside whole words, for languages that inflect.
 STEMS = (4, 5, 6)
 
@@ -117,59 +119,46 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
     words = sample.select("label", F.explode(F.array_distinct(F.concat(whole, *[stem(k) for k in STEMS]))).alias("w"))
     counts = words.groupBy("w").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
     odds = ((F.col("bad") + 0.5) / bad) / ((F.col("good") + 0.5) / good)
-    top = counts.where((F.col("bad") >= LEARNED_SUPPORT) & (odds >= LEARNED_ODDS)).orderBy(F.desc("bad"), "w").limit(LEARNED)
-    return frozenset(r["w"] for r in top.collect())
+    # as many as the bounded sample gives: each entry takes LEARNED_SUPPORT of its toxic documents
+    return frozenset(r["w"] for r in counts.where((F.col("bad") >= LEARNED_SUPPORT) & (odds >= LEARNED_ODDS)).select("w").collect())
 
 
 class Model:
-    """Trees and the isotonic map, both over FEATURES."""
+    """Trees and the isotonic map, both over FEATURES; or a constant."""
 
-    def __init__(self, learned, trees, steps, constant):
+    def __init__(self, learned, trees, steps, constant=0.0):
         self.learned, self.trees, self.steps, self.constant = learned, trees, steps, constant
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs with a column score; docs has a column text."""
+        rows = docs.select(packed(docs), F.col("text").alias("text"))
         if self.trees is None:
-            return docs.withColumn("score", F.lit(float(self.constant)))
-        x = docs.withColumn("features", array_to_vector(feature_array(F.col("text"), self.learned)))
-        raw = self.trees.transform(x)
-        return raw.withColumn("score", self._calibrated(vector_to_array("probability")[1])).drop("features", "rawPrediction", "probability", "prediction")
-
-    def _calibrated(self, p: Column) -> Column:
-        """The isotonic map, linear between its bounded number of steps."""
-        bounds, values = self.steps
-        out = F.lit(values[-1])
-        for i in range(len(bounds) - 1, 0, -1):
-            a, b, u, v = bounds[i - 1], bounds[i], values[i - 1], values[i]
-            between = F.lit(v) if b == a or u == v else F.lit(u) + (p - a) * ((v - u) / (b - a))
-            out = F.when(p <= b, between).otherwise(out)
-        return F.when(p <= bounds[0], F.lit(values[0])).otherwise(out)
+            return added(rows, {"score": F.lit(float(self.constant))}, docs.columns)
+        x = rows.select("row", array_to_vector(feature_array(F.col("text"), self.learned)).alias("features"))
+        raw = self.trees.transform(x).select("row", vector_to_array("probability")[1].alias("x"))
+        return added(calibrated(raw, self.steps), {"score": F.col("calibrated")}, docs.columns)
 
 
-#: Steps kept of the isotonic map; more are thinned out evenly.
-STEPS = 32
+#: Partitions of the rows that trees are fitted on.
+FIT_PARTS = 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """Fitted on at most `rows` labelled rows: four fifths for the trees, one fifth for calibration."""
     sample = fit_sample(docs, labels, label, keep, rows).cache()
     try:
-        totals = Counter({r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()})
-        if not totals[0] or not totals[1]:
-            return Model(frozenset(), None, None, totals[1] / max(1, totals[0] + totals[1]))
         calibrates = fold(F.col("doc_id"), 5) == 0
+        parts = Counter({(r["c"], r["label"]): r["n"] for r in sample.groupBy(calibrates.alias("c"), "label").agg(F.count(F.lit(1)).alias("n")).collect()})
+        bad, good = (parts[True, which] + parts[False, which] for which in (1, 0))
+        if not parts[False, 0] or not parts[False, 1] or not parts[True, 0] + parts[True, 1]:
+            return Model(frozenset(), None, None, bad / max(1, bad + good))
         learned = learn_lexicon(sample.where(~calibrates))
-        x = sample.select(F.col("label").cast("double").alias("label"), calibrates.alias("calibrates"), array_to_vector(feature_array(F.col("text"), learned)).alias("features")).cache()
-        part = x.where("NOT calibrates").coalesce(8)
-        trees = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=3, maxIter=15, stepSize=0.3, seed=1).fit(part)
-        p = trees.transform(x.where("calibrates")).select(vector_to_array("probability")[1].alias("p"), "label")
-        rest = IsotonicRegression(featuresCol="p", labelCol="label").fit(p)
-        bounds, values = list(map(float, rest.boundaries)), [min(1.0, max(0.0, float(v))) for v in rest.predictions]
-        if len(bounds) > STEPS:
-            take = sorted({round(i * (len(bounds) - 1) / (STEPS - 1)) for i in range(STEPS)})
-            bounds, values = [bounds[i] for i in take], [values[i] for i in take]
+        x = sample.select(F.col("label").cast("double").alias("label"), calibrates.alias("calibrates"), array_to_vector(feature_array(F.col("text"), learned)).alias("features"))
+        x = x.repartition(FIT_PARTS).cache()  # few numbers a row: dealt evenly, whatever the texts' partitions are like
+        trees = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=3, maxIter=15, stepSize=0.3, seed=1).fit(x.where("NOT calibrates"))
+        steps = isotonic(trees.transform(x.where("calibrates")).select(vector_to_array("probability")[1].alias("x"), "label"))
         x.unpersist()
-        return Model(learned, trees, (bounds, values) if bounds else ([0.0, 1.0], [0.0, 1.0]), 0.0)
+        return Model(learned, trees, steps)
     finally:
         sample.unpersist()
 
