@@ -1,6 +1,6 @@
 """All queries over the driver tables and the SQL that must give the same rows."""
 
-from . import catalogue, documents, evaluation, retrieval
+from . import catalogue, contracts, documents, evaluation, retrieval
 
-QUERIES = {**documents.QUERIES, **catalogue.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
-ORACLES = {**documents.ORACLES, **catalogue.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES}
+QUERIES = {**documents.QUERIES, **catalogue.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **contracts.QUERIES}
+ORACLES = {**documents.ORACLES, **catalogue.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES, **contracts.ORACLES}
