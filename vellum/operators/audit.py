@@ -23,10 +23,10 @@ def risk_points(items: DataFrame) -> DataFrame:
     return kept.withColumn("action_type", F.when(F.col("action_type") == "append", "manual").otherwise(F.col("action_type")))
 
 
-def counts(items: DataFrame, by: str) -> DataFrame:
-    """Counts by final risk, as strings."""
+def counts(items: DataFrame, by: str, *more: Column) -> DataFrame:
+    """Counts by final risk, as strings, and more aggregates of the same rows."""
     n = lambda risk, name: F.count_if(F.col("risk") == risk).cast("string").alias(name)
-    return items.groupBy(by).agg(n("pass", "agreeCount"), n("high", "highlevelriskCount"), n("medium", "mediumlevelriskCount"), n("low", "lowlevelriskCount"))
+    return items.groupBy(by).agg(n("pass", "agreeCount"), n("high", "highlevelriskCount"), n("medium", "mediumlevelriskCount"), n("low", "lowlevelriskCount"), *more)
 
 
 def conformance(items: DataFrame, totals: DataFrame, by: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def ratio_or_null(hits: Column, of: Column) -> Column:
     """Share of rows with hits among those with of; null over nothing."""
@@ -21,26 +23,51 @@ def match_equal(gold: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     return n(gold, "gold_id").join(n(found, "found_id"), [*key, "_n"]).drop("_n")
 
 
+def change_key(kind: Column, old_quote: Column, new_quote: Column) -> Column:
+    """What a found difference must share with a gold one: type and new quote of an addition, type and old quote of a deletion, else all.
+
+    An addition with an old quote, or a deletion with a new one, matches nothing and has no key.
+    """
+    o, n = F.coalesce(old_quote, F.lit("")), F.coalesce(new_quote, F.lit(""))
+    some = F.when(kind == "added", o == "").when(kind == "deleted", n == "").otherwise(True)
+    return F.when(some, F.struct(kind.alias("kind"), o.alias("old"), n.alias("new")))
+
+
 def prf(matched: int | Column, gold: Column, found: Column) -> list[Column]:
     """precision, recall and F1 to six places; 0 over nothing."""
     p, r = F.coalesce(F.try_divide(matched, found), F.lit(0.0)), F.coalesce(F.try_divide(matched, gold), F.lit(0.0))
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1")]
 
 
+def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """The values at places (from 0, expressions of n, the group's number of values) in each group's order; nulls don't count.
+
+    Equal values are counted, the counts put in order over all tasks, and running sums taken inside each task's range
+    and over the ranges' totals, so that a group may be of any size.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    c = written(c.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "ordered-counts")
+    ranges = c.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_part")
+    ranges = ranges.withColumn("_off", F.sum("_t").over(before) - F.col("_t")).withColumn("n", F.sum("_t").over(Window.partitionBy(*by)))
+    run = c.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")))
+    run = run.join(ranges, [*by, "_part"]).withColumn("_end", F.col("_end") + F.col("_off")).withColumn("_start", F.col("_end") - F.col("_c"))
+    return run.groupBy(*by).agg(*[F.max(F.when((place >= F.col("_start")) & (place < F.col("_end")), F.col("_v"))).alias(name) for name, place in places.items()], F.max("n").alias("n"))
+
+
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """avg, p95 (interpolated) and max."""
-    return rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("avg_value"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95_value"), F.round(F.max(value), 6).alias("max_value"))
+    at = (F.col("n") - 1) * 0.95
+    found = at_places(rows, by, value, {"_low": F.floor(at), "_high": F.ceil(at)})
+    at = (F.col("n") - 1) * 0.95
+    p95 = F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))
+    sums = rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("avg_value"), F.round(F.max(value), 6).alias("max_value"))
+    return sums.join(found.select(*by, F.round(p95, 6).alias("p95_value")), by, "left").select(*by, "avg_value", "p95_value", "max_value")
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares=(0.5, 0.95)) -> DataFrame:
-    """The value at place round-half-even(p * (n - 1)) of the order, for each share p.
-
-    By counting and ranking rather than collecting, so that a group may be of any size.
-    """
-    w = Window.partitionBy(*by)
-    r = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_i") - 1 == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(f"p{round(100 * p)}")
-    return r.groupBy(*by).agg(*[at(p) for p in shares])
+    """The value at place round-half-even(p * (n - 1)) of the order, for each share p."""
+    return at_places(rows, by, value, {f"p{round(100 * p)}": F.bround(F.lit(p) * (F.col("n") - 1)) for p in shares}).drop("n")
 
 
 def stability(runs: DataFrame, by: str, signature: str) -> DataFrame:

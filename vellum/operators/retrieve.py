@@ -44,38 +44,50 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int
     return ranked(found, "query_id", [F.desc("score"), "vec_id"], k)
 
 
-def ranked(scores: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    """The k best of each query, with rank."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+def ranked(scores: DataFrame, by: str | list[str], order: list, k: int) -> DataFrame:
+    """The k best of each query, with rank; Spark keeps k of each task's rows before the shuffle."""
+    by = [by] if isinstance(by, str) else by
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+#: Distinct terms of all queries up to which they are sent to every task.
+FEW_TERMS = 100_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, module: str | None = None) -> DataFrame:
     """queries (query_id, tokens[, module]), docs (doc_id, tokens[, module]): (query_id, doc_id, score), one index a module.
 
-    A query's repeated tokens count again. Terms are joined as rows, so only documents that share a term meet,
-    and a query's terms are counted once: the document side is added up per (term, document) before the join.
+    A query's repeated tokens count again. The corpus is read twice: once for each term's document frequency and the
+    documents' lengths, added up before the shuffle, and once for the queries' terms alone; rows of (term, document)
+    are made only for these.
     """
     if module is None:  # one index over all documents
         module, queries, docs = "_all", queries.withColumn("_all", F.lit(0)), docs.withColumn("_all", F.lit(0))
     m = [module]
-    d = docs.select("doc_id", *m, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = d.groupBy(*m, "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = docs.groupBy(*m).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    # one row a module, so few that Spark sends them to all tasks by itself
-    df = tf.groupBy(*m, "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, m)
+    q = queries.select("query_id", *m, F.explode("tokens").alias("term")).groupBy("query_id", *m, "term").agg(F.count(F.lit(1)).alias("times"))
+    # a null term stands for the document itself, with its length
+    each = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("length")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").alias("length")))
+    met = docs.select(*m, F.inline(F.concat(whole, each))).groupBy(*m, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
+    sizes = met.where("term IS NULL").select(*m, F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    df = met.where("term IS NOT NULL").join(F.broadcast(sizes) if module == "_all" else sizes, m)
     df = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.groupBy(*m).agg(F.avg("raw").alias("mean"))
-    df = df.join(mean, m).withColumn("idf", F.when(F.col("raw") < 0, F.col("mean") * IDF_FLOOR).otherwise(F.col("raw")))
-    q = queries.select("query_id", *m, F.explode("tokens").alias("term")).groupBy("query_id", *m, "term").agg(F.count(F.lit(1)).alias("times"))
-    hit = q.join(df.select(*m, "term", "idf", "avgdl"), [*m, "term"]).join(tf, [*m, "term"])
+    asked = q.join(df, [*m, "term"]).join(mean, m).withColumn("idf", F.when(F.col("raw") < 0, F.col("mean") * IDF_FLOOR).otherwise(F.col("raw")))
+    terms = q.select(*m, "term").distinct()
+    terms = F.broadcast(terms) if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else terms
+    tf = docs.select("doc_id", *m, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [*m, "term"])
+    tf = tf.groupBy(*m, "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hit = asked.select("query_id", *m, "term", "times", "idf", "avgdl").join(tf, [*m, "term"])
     one = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
 
 
 def max_normalized(scores: DataFrame) -> DataFrame:
     """Scores over their query's largest, if that is positive; a score is at least 0."""
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    return scores.withColumn("score", F.greatest("score", F.lit(0.0))).withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.col("score")))
+    top = scores.groupBy("query_id").agg(F.max("score").alias("_top"))
+    out = scores.withColumn("score", F.greatest("score", F.lit(0.0))).join(top, "query_id")
+    return out.withColumn("score", F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.col("score"))).drop("_top")
 
 
 def fuse(vector: DataFrame, terms: DataFrame) -> DataFrame:
@@ -94,10 +106,11 @@ def filter_open(fused: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def first_tier(scored: DataFrame, tier: Column, k: int) -> DataFrame:
     """scored with the narrowest filter that each row passes (0 narrowest): the k best of the first tier with any row."""
-    t = scored.withColumn("tier", tier)
+    # the k best of each tier first, so that what is left of a query is small; a row's tier is the narrowest that it
+    # passes, so the first tier with any row is the least
+    best = ranked(scored.withColumn("tier", tier), ["query_id", "tier"], [F.desc("score"), "doc_id"], k)
     least = F.min("tier").over(Window.partitionBy("query_id"))
-    # a wider tier holds the narrower ones, so the first one with any row is the least
-    return ranked(t.withColumn("least", least).where(F.col("tier") <= F.col("least")), "query_id", [F.desc("score"), "doc_id"], k).drop("least")
+    return best.withColumn("least", least).where(F.col("tier") == F.col("least")).drop("least")
 
 
 def positional(hits: DataFrame, floor: int = 10) -> DataFrame:
@@ -113,3 +126,32 @@ def hashed_embedding(docs: DataFrame, id_col: str, text: Column, dim: int = T.EM
     slots = counted.groupBy(id_col, F.col("s.slot").alias("slot")).agg(F.sum(F.col("n") * F.col("s.sign")).alias("weight")).where("weight <> 0")
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col)))
     return slots.withColumn("value", F.col("weight") / norm)
+
+
+#: What a search for wording alone says, and the least score of a hit.
+WORDING_ZH, MIN_SCORE = ("普通润色", "仅措辞润色", "非实质", "未发生实质", "格式变化", "标点变化"), 0.02
+
+
+def about_wording(query: Column) -> Column:
+    """Whether a query is about wording alone, for which nothing is looked up."""
+    flat = F.regexp_replace(query, r"(?U)\s+", "")
+    hit = F.lit(False)
+    for w in WORDING_ZH:
+        hit = hit | F.contains(flat, F.lit(w))
+    return hit
+
+
+def worth_a_search(queries: DataFrame, text_col: str = "query") -> DataFrame:
+    return queries.where(~F.coalesce(about_wording(F.col(text_col)), F.lit(False)))
+
+
+def strong(hits: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    return hits.where(F.col("score") >= least)
+
+
+def index_append(index: DataFrame | None, cases: DataFrame, id_col: str, text: Column, dim: int = T.EMBEDDING_DIM) -> DataFrame:
+    """A vector index as rows (id, slot, weight, value): that of cases, in the place of what the index held of their ids."""
+    fresh = hashed_embedding(cases, id_col, text, dim)
+    if index is None:
+        return fresh
+    return index.join(cases.select(id_col).distinct(), id_col, "left_anti").unionByName(fresh)

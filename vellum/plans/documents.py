@@ -105,9 +105,7 @@ KEYWORD_SQL = f"WITH {_P} SELECT lang, module, count(*) AS n_paragraphs, count(D
 def doc_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of paragraphs by risk, as strings, and masked paragraphs, of each document."""
     hits = _triggers(_paras(spark, sf_dir))
-    masked = F.count_if(T.mask(F.col("text")) != F.col("text")).alias("n_masked")
-    counts = audit.counts(hits.select("doc_id", "risk"), "doc_id")
-    return counts.join(hits.groupBy("doc_id").agg(masked), "doc_id")
+    return audit.counts(hits, "doc_id", F.count_if(T.mask(F.col("text")) != F.col("text")).alias("n_masked"))
 
 
 DOC_RISK_SQL = f"""WITH {_P}, h AS (SELECT doc_id, text, {_TRIGGER} AS module FROM paras), r AS (SELECT doc_id, {_RISK} AS risk, {_mask_sql('text')} <> text AS m FROM h)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieve
+from ..operators.shared import folder_for
 from ..streaming import sessions as S
 from .documents import table
 
@@ -124,11 +125,14 @@ def hash_embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and kind in each five minutes."""
-    return S.once_batch(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", S.MESSAGE_TTL).select("event_id", "user_id", "event_type")
+    """Events of each kind and of four rooms of users, unless one was kept in the five minutes before."""
+    e = table(spark, sf_dir, "events").withColumn("room", F.pmod("user_id", F.lit(4)))
+    return S.once_batch(e, ["room", "event_type"], "ts", "event_id", S.MESSAGE_TTL).select("event_id", "room", "event_type")
 
 
-DEDUP_SQL = "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, epoch_us(ts) // 300000000 ORDER BY ts, event_id) AS n FROM events) WHERE n = 1"
+DEDUP_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS room, event_type, ts FROM events), f AS (SELECT room, event_type, min(ts) AS ts FROM e GROUP BY ALL
+ UNION ALL SELECT f.room, f.event_type, min(e.ts) FROM f JOIN e ON e.room = f.room AND e.event_type = f.event_type AND e.ts >= f.ts + INTERVAL 300 SECOND GROUP BY f.room, f.event_type)
+SELECT min(event_id) AS event_id, room, event_type FROM f JOIN e USING (room, event_type, ts) GROUP BY room, event_type, ts"""
 
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,20 +145,56 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 
 
 def session_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream through the two-file session; every state reached."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-")
-    folder = f"{base.rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    """The events table as a stream through the two-file session with a day of patience; every state reached."""
+    folder = folder_for(spark, "sessions")
     events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
     stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    out = S.file_sessions(stream)
+    out = S.file_sessions(stream, 86_400)
     query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("status").agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("user_id", "session").alias("n_sessions"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, event_dedup, user_sessions, session_state_machine)}
-ORACLES = {"vector_topk": VECTOR_SQL, "bm25_topk": BM25_SQL, "hybrid_fusion": HYBRID_SQL, "tiered_retrieval": TIERED_SQL, "hash_embedding": HASH_SQL, "event_dedup": DEDUP_SQL, "user_sessions": SESSIONS_SQL}
+def bm25_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of each language, an index of its own, for benchmark items whose id is divisible by 20."""
+    q = _words(table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), "item_id", "query_id")
+    d = table(spark, sf_dir, "documents")
+    langs = d.select("lang").distinct()
+    docs = d.select("doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"))
+    s = retrieve.bm25(q.crossJoin(langs), docs, "lang").join(d.select("doc_id", "lang"), "doc_id").withColumn("score", F.round("score", 6))
+    return retrieve.ranked(s, ["query_id", "lang"], [F.desc("score"), "doc_id"], 3).select("query_id", "lang", "doc_id", F.col("rank").cast("int").alias("rank"))
+
+
+BM25_LANG_SQL = """WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents), nd AS (SELECT lang, count(*) AS n, avg(len(tk)) AS avgdl FROM d GROUP BY 1),
+tf AS (SELECT doc_id, lang, len(tk) AS dl, unnest(tk) AS term FROM d), tfc AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
+dfc AS (SELECT lang, term, count(*) AS df FROM tfc GROUP BY ALL), raw AS (SELECT lang, term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc JOIN nd USING (lang)), mean AS (SELECT lang, avg(raw) AS m FROM raw GROUP BY 1),
+idf AS (SELECT lang, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mean USING (lang)),
+qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+bm AS (SELECT query_id, lang, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term) JOIN tfc USING (lang, term) JOIN nd USING (lang) GROUP BY ALL),
+r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM bm) SELECT * FROM r WHERE rank <= 3"""
+
+
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of benchmark items, then of those with an even id anew with a text of their own: vectors by how long they are."""
+    b = table(spark, sf_dir, "benchmark")
+    index = retrieve.index_append(None, b, "item_id", F.col("text"))
+    index = retrieve.index_append(index, b.where("item_id % 2 = 0"), "item_id", F.lit("abc"))
+    return index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length")).where("item_id % 2 = 0")
+
+
+INDEX_SQL = "SELECT item_id, 6::BIGINT AS n_slots, 1.0::DOUBLE AS length FROM benchmark WHERE item_id % 2 = 0"
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings at unit length, and their inner product with the vector itself."""
+    v = table(spark, sf_dir, "embeddings")
+    u = T.unit(F.transform("embedding", lambda x: x.cast("double")))
+    return v.select("vec_id", F.round(T.inner_product(u, F.col("embedding")), 6).alias("length"), F.round(T.inner_product(u, u), 6).alias("one"))
+
+
+UNIT_SQL = "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS one FROM embeddings"
+
+
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, bm25_by_language, index_upkeep, unit_vectors, event_dedup, user_sessions, session_state_machine)}
+ORACLES = {"vector_topk": VECTOR_SQL, "bm25_topk": BM25_SQL, "hybrid_fusion": HYBRID_SQL, "tiered_retrieval": TIERED_SQL, "hash_embedding": HASH_SQL, "event_dedup": DEDUP_SQL, "user_sessions": SESSIONS_SQL, "bm25_by_language": BM25_LANG_SQL, "index_upkeep": INDEX_SQL, "unit_vectors": UNIT_SQL}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed values, in seconds: how long a message is remembered, a session lasts idle, and a lock holds.
@@ -19,10 +21,32 @@ def once(events: DataFrame, key: str, ts: str = "ts", seconds: int = MESSAGE_TTL
 
 
 def once_batch(events: DataFrame, key: list[str], ts: str, order: str, seconds: int) -> DataFrame:
-    """Batch form with a fixed, not refreshed, time to live: the first event of each key and slot of time."""
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
-    first = F.row_number().over(Window.partitionBy(*key, "slot").orderBy(ts, order))
-    return events.withColumn("slot", slot).withColumn("_n", first).where("_n = 1").drop("_n")
+    """Batch form: an event is kept if none of its key was kept in the `seconds` before; only kept ones start the time anew.
+
+    Each task steps through its keys in order of time, a batch of rows after the other, and carries over when the last
+    one was kept; a key's events are never held together, however many there are.
+    """
+    cols = [*key, ts, order]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.where(F.col(ts).isNotNull()).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)], micros.alias("_at"), F.hash(*key).alias("_h"), F.struct("*").alias("_row"))
+    names = [f"_{i}" for i in range(len(key))]
+    same = [*names, "_at", f"_{len(cols) - 1}"]
+    kept_schema = T.StructType([f for f in rows.schema.fields if f.name in (*names, "_at", f"_{len(cols) - 1}")])
+
+    def step(batches):
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for k in zip(*[batch.column(n).to_pylist() for n in names], batch.column("_at").to_pylist(), strict=True):
+                if k[:-1] != now or k[-1] - last >= seconds * 1_000_000:
+                    now, last = k[:-1], k[-1]
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    dealt = rows.repartition(*names).sortWithinPartitions(*same).select(*[f.name for f in kept_schema.fields], "_row")
+    return dealt.mapInArrow(step, dealt.schema).select("_row.*")
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", seconds: int = SESSION_IDLE) -> DataFrame:
@@ -31,18 +55,23 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", seconds:
     return s.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
-STATE = "status string, n_files int, session int, last long"
-OUT = "user_id long, session int, status string, n_files int, at timestamp"
+STATE = "status string, n_files int, session long, last long"
+OUT = "user_id long, session long, status string, n_files int, at timestamp"
 
 
 def file_sessions(events: DataFrame, seconds: int = SESSION_IDLE) -> DataFrame:
     """events (user_id, ts, event_type) as a stream: the state of each user's session after each event.
 
     A file (view) opens a session that waits for a second one; a second file starts processing; purchase ends it
-    done, error ends it failed. After an end, or idle too long, the next file opens a new session.
+    done, error ends it failed. After an end, or idle too long, the next file opens a new session, named by that
+    file's second. A user's state goes once the watermark has passed the idle time. One trigger's events of a user
+    are put in order in memory; bound a trigger by the source's options.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, n, session, last = state.get if state.exists else ("none", 0, 0, 0)
         out = []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_type"])
@@ -51,7 +80,7 @@ def file_sessions(events: DataFrame, seconds: int = SESSION_IDLE) -> DataFrame:
             stale = now - last >= seconds
             if kind == "view":
                 if status in ("none", "done", "failed") or stale:
-                    status, n, session = "waiting", 1, session + 1
+                    status, n, session = "waiting", 1, now
                 else:
                     n += 1
                     status = "processing"
@@ -62,7 +91,10 @@ def file_sessions(events: DataFrame, seconds: int = SESSION_IDLE) -> DataFrame:
             last = now
             out.append((key[0], session, status, n, ts))
         state.update((status, n, session, last))
+        if last:
+            state.setTimeoutTimestamp(max((last + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "session", "status", "n_files", "at"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", f"{seconds} seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
