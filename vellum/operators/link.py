@@ -40,6 +40,38 @@ def link_accounts(logins: DataFrame, users: DataFrame) -> DataFrame:
     return out.withColumn("user_id", F.coalesce(*found)).drop(*found)
 
 
+def account_id(*keys: Column) -> Column:
+    """An id for a login that no account fits, made from its first filled identity."""
+    first = F.coalesce(*[T.blank_to_null(k) for k in keys])
+    return F.when(first.isNotNull(), F.sha2(first, 256))
+
+
+#: Terms whose places in a contract are looked up where a change names them.
+REFERENCES_ZH = ("附件", "验收标准", "服务费", "定义", "交付成果", "保密信息")
+MORE_REFERENCES_ZH = ("附件", "验收标准", "本条", "上述", "服务费", "定义", "交付成果", "保密信息")
+
+
+def reference_terms(before: Column, after: Column) -> Column:
+    """The terms that a change names; if it names none of the first list, those of the second."""
+    text = F.concat(F.coalesce(before, F.lit("")), F.coalesce(after, F.lit("")))
+    of = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return T.let(of(REFERENCES_ZH), lambda x: F.when(F.size(x) > 0, x).otherwise(of(MORE_REFERENCES_ZH)))
+
+
+def references(segments: DataFrame, diffs: DataFrame, doc_col: str, k: int = 2) -> DataFrame:
+    """The k best segments of each term that a difference (doc, diff_id, before, after) names, each text once."""
+    q = diffs.select(doc_col, "diff_id", F.explode(F.array_distinct(reference_terms(F.col("before"), F.col("after")))).alias("query"))
+    hits = context(segments, q.withColumn("query_id", F.concat_ws("|", F.col("diff_id").cast("string"), "query")), doc_col, k)
+    once = F.row_number().over(Window.partitionBy("diff_id", "title", "text").orderBy("order"))
+    return hits.withColumn("_n", once).where("_n = 1").select(doc_col, "diff_id", "query", "title", "text", "order")
+
+
+def outline(segments: DataFrame, doc_col: str) -> DataFrame:
+    """Distinct titles of each document with their place, in the order in which they first come."""
+    first = segments.where(T.blank_to_null(F.col("title")).isNotNull()).groupBy(doc_col, "title").agg(F.min("order").alias("order"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(doc_col).orderBy("order")))
+
+
 def overlap_score(tokens: Column, text: Column) -> Column:
     """Sum over the tokens that text has, without white space, of max(1, min(length, 8) / 2)."""
     flat = F.regexp_replace(F.lower(text), r"(?U)\s+", "")

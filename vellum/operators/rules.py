@@ -60,6 +60,26 @@ def snapshot(rules: DataFrame, contract_type: str | None, generic: str = GENERIC
     return rules.where(F.col("enabled") & F.col("contract_type").isin(*types))
 
 
+#: Fields of a rule as a snapshot has them, and the names that they go by in an answer to another service.
+SNAPSHOT = ("rule_code", "contract_type", "review_module", "risk_name", "check_point", "trigger_condition", "default_risk_level", "suggestion_template", "example_clause", "review_perspective")
+RENAMED = {"rule_code": "rule_id", "review_module": "module"}
+
+
+def snapshot_fields(rules: DataFrame) -> DataFrame:
+    return rules.select(*SNAPSHOT)
+
+
+def service_fields(rules: DataFrame) -> DataFrame:
+    return rules.select(*[F.col(c).alias(RENAMED.get(c, c)) for c in SNAPSHOT if c != "review_perspective"])
+
+
+def type_counts(rules: DataFrame, generic: str = GENERIC_ZH) -> DataFrame:
+    """Rules of each type and of each of its modules, how many modules it has, and whether it is the common one."""
+    each = rules.groupBy("contract_type", "review_module").agg(F.count(F.lit(1)).alias("n_module"))
+    whole = each.groupBy("contract_type").agg(F.sum("n_module").alias("n_rules"), F.count(F.lit(1)).alias("n_modules"))
+    return each.join(whole, "contract_type").withColumn("scope", F.when(F.col("contract_type") == generic, "common").otherwise("specific"))
+
+
 def bucket(rules: DataFrame, bucket_of: Column) -> DataFrame:
     """One row for each bucket: its rules' codes by module and code, and how many are of which type."""
     one = F.sort_array(F.collect_list(F.struct("review_module", "rule_code")))

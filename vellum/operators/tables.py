@@ -36,6 +36,70 @@ def page(df: DataFrame, order: list, skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+def owned(df: DataFrame, user, user_col: str = "user_id") -> DataFrame:
+    """Rows of one user; every read for a user goes through here. A null user owns nothing."""
+    return df.where(F.col(user_col) == F.lit(user))
+
+
+#: States of a task.
+STATES = ("pending", "parsing", "processing", "completed", "failed")
+
+
+def listing(df: DataFrame, user, status: str | None, order: list, skip: int, limit: int, since: str | None = None, until: str | None = None, user_col: str = "user_id", status_col: str = "status", at_col: str = "created_at", states=STATES) -> DataFrame:
+    """A page of a user's rows with total, the number of rows there are. An unknown status, and no date, filter nothing; dates are inclusive."""
+    rows = owned(df, user, user_col)
+    if status in states:
+        rows = rows.where(F.col(status_col) == status)
+    if since is not None:
+        rows = rows.where(F.col(at_col) >= F.lit(since).cast(df.schema[at_col].dataType))
+    if until is not None:
+        rows = rows.where(F.col(at_col) <= F.lit(until).cast(df.schema[at_col].dataType))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return page(rows, order, skip, limit).crossJoin(total)  # one row of one number
+
+
+def newest_first(versions: DataFrame, by: str, version: str = "version_no") -> DataFrame:
+    """Versions of each key with place 1 for the newest."""
+    return versions.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(version))))
+
+
+def inserted(rows: DataFrame, key: list[str], id_col: str = "id") -> DataFrame:
+    """Rows with an id made from their key, so that a row that is inserted again has the same one."""
+    parts = F.to_json(F.struct(*key))
+    return rows.select(F.sha2(parts, 256).alias(id_col), "*")
+
+
+def retried(tasks: DataFrame, asked: DataFrame, key: str = "task_id") -> DataFrame:
+    """Tasks after retries: only failed ones start again; accepted tells whether one that was asked for did."""
+    wanted = asked.select(key).distinct().withColumn("_asked", F.lit(True))
+    out = tasks.join(wanted, key, "left")
+    go = F.coalesce(F.col("_asked"), F.lit(False)) & (F.col("status") == "failed")
+    changed = {"status": F.when(go, "parsing").otherwise(F.col("status")), "progress": F.when(go, 0).otherwise(F.col("progress")), "error_message": F.when(~go, F.col("error_message"))}
+    return out.withColumns({"accepted": F.when(F.col("_asked"), go)} | changed).drop("_asked")
+
+
+def switched(rules: DataFrame, changes: DataFrame, key: str = "rule_code") -> DataFrame:
+    """Rules with enabled as the changes (key, enabled) say."""
+    return update_filled(rules, changes.select(key, "enabled"), key)
+
+
+def owners(risks: DataFrame, sources: dict[str, DataFrame], kind: str = "kind", task: str = "task_id") -> DataFrame:
+    """risks with the user of the task that they belong to, looked up in the table of their kind."""
+    tasks = None
+    for name, df in sources.items():
+        one = df.select(F.lit(name).alias(kind), F.col(task), F.col("user_id").alias("owner"))
+        tasks = one if tasks is None else tasks.unionByName(one)
+    return risks.join(tasks, [kind, task], "left")
+
+
+def all_owned(asked: DataFrame, owned_ids: DataFrame, by: str, id_col: str) -> DataFrame:
+    """For each `by`: how many different ids are asked for, how many of them are there, and whether all are."""
+    a = asked.select(by, id_col).distinct()
+    have = a.join(owned_ids.select(by, id_col).distinct().withColumn("_h", F.lit(1)), [by, id_col], "left")
+    out = have.groupBy(by).agg(F.count(F.lit(1)).alias("n_asked"), F.count("_h").alias("n_owned"))
+    return out.withColumn("all_owned", F.col("n_asked") == F.col("n_owned"))
+
+
 def decide(risks: DataFrame, decisions: DataFrame, key: str = "risk_id") -> DataFrame:
     """Latest decision of each risk: confirmed stamps time and user, ignored its reason; others leave it."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("decided_at"), F.desc("decision_id")))
