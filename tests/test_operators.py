@@ -47,7 +47,46 @@ def test_redaction_round_trip(spark):
     assert "13800138000" not in r.sanitized_text and r.sanitized_text.count("电话A") == 2 and "100元" in r.sanitized_text and "2024年1月1日" in r.sanitized_text
     assert {m.type for m in r.mappings} == {"company", "mobile", "email", "person"} and r.restored_text == text
     assert rows[2].mappings == [] and rows[3].sanitized_text == ""
-    assert [redact.letters(n) for n in (1, 26, 27, 52, 53)] == ["A", "Z", "AA", "AZ", "BA"]
+    ns = spark.createDataFrame([(n,) for n in (1, 26, 27, 52, 53, 702, 703)], "n long")
+    assert [r.x for r in ns.select(redact.letters(F.col("n")).alias("x")).collect()] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
+
+
+def plainly_redacted(text, patterns, person=None):
+    """The same by Python's engine, pattern after pattern."""
+    import re
+
+    counts, mappings = {}, []
+
+    def named(kind, label, original):
+        for m in mappings:
+            if m[1:] == (original, kind):
+                return m[0]
+        counts[label] = counts.get(label, 0) + 1
+        n, tail = counts[label], ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            tail = chr(65 + r) + tail
+        mappings.append((label + tail, original, kind))
+        return label + tail
+
+    for kind, label, pattern in patterns:
+        text = re.sub(pattern, lambda m, kind=kind, label=label: named(kind, label, m[0]), text)
+    if person:
+        text = re.sub(person, lambda m: m[1] + named("person", "人员", m[2]), text)
+    return text, mappings
+
+
+@pytest.mark.parametrize(("patterns", "person"), [(redact.PATTERNS_LATIN, None), (redact.PATTERNS_ZH, redact.PERSON_ZH)])
+def test_redaction_equals_a_plain_loop(spark, patterns, person):
+    import random
+
+    r = random.Random(5)
+    parts = ["a@b.co ", "x.y@z.org,", "+1 (555) 123-4567", "4111111111111111", "10.0.0.1", " word ", "星河科技有限公司", "13800138000", "010-12345678", "联系人：李四", "代表王五", "地址：北京市海淀区一号", "91110000MA01ABCD12", "6222 0000 1111 2222", "开户行：工商银行", "\n", "$1 \\"]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for i in range(150)] + [(900, "a@b.co " + " ".join(f"u{i}@v.org" for i in range(60)))]
+    rows = redact.redact(spark.createDataFrame(docs, "doc_id long, text string"), patterns=patterns, person=person).collect()
+    for row in rows:
+        text, mappings = plainly_redacted(row.text, patterns, person)
+        assert (row.sanitized_text, [(m.placeholder, m.original, m.type) for m in row.mappings]) == (text, mappings)
 
 
 def test_sentence_diff_is_a_partition(spark):
@@ -218,3 +257,35 @@ def test_file_session_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.user_id, r.at.isoformat(), r.session, r.status) for r in spark.sql("SELECT * FROM file_sessions").collect())
     assert [(u, s, st) for u, _, s, st in got] == [(1, 1, "waiting"), (1, 1, "processing"), (1, 1, "done"), (1, 2, "waiting"), (2, 1, "waiting"), (2, 2, "waiting")]
+
+
+def test_rule_files_have_row_numbers(spark, tmp_path):
+    heads = rules.HEADERS_ZH
+    (tmp_path / "f").mkdir()
+    body = ",".join(heads) + "\n" + "\n".join(f'R{i},t,甲方,m,"risk, with\nbreak",c,g,高,s,e' if i != 2 else "" for i in range(4))
+    (tmp_path / "f" / "a.csv").write_bytes(body.encode("gbk"))
+    (tmp_path / "f" / "b.csv").write_bytes("\ufeff".encode() + body.replace("R", "S").encode())
+    rows = {r.rule_code: (r.row_number, r.risk_name) for r in files.read_rules_csv(spark, str(tmp_path / "f"), heads).collect()}
+    assert rows == {f"{x}{i}": (n, "risk, with\nbreak") for x in "RS" for i, n in ((0, 2), (1, 3), (3, 5))}
+    (tmp_path / "g.csv").write_text("规则编码,合同类型\na,b\n")
+    with pytest.raises(ValueError, match="missing headers"):
+        files.read_rules_csv(spark, str(tmp_path / "g.csv"), heads)
+
+
+def test_case_lines_have_numbers(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n\n  \n{"a": \n[1]\n{"b": 2}')
+    got = [(r.line_number, r.row and r.row.a, r.error) for r in files.read_cases(spark, str(tmp_path / "c.jsonl"), "a int").orderBy("line_number").collect()]
+    assert got == [(1, 1, None), (4, None, "line 4 is no JSON object"), (5, None, "line 5 is no JSON object"), (6, None, None)]
+
+
+def test_rules_in_any_shape(spark):
+    said = ['[{"a": 1}, {"a": 2}]', '<think>[]</think>{"rules": [{"a": 3}]}', 'so: {"a": 4}', "none", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    got = [r.x and [y.a for y in r.x] for r in df.select("i", files.rules_in(F.col("s"), "struct<a:int>").alias("x")).orderBy("i").collect()]
+    assert got == [[1, 2], [3], [4], None, None]
+
+
+def test_table_block_round_trip(spark):
+    df = spark.createDataFrame([([["a", "b"], ["c", ""]],), ([],)], "rows array<array<string>>")
+    got = df.select(files.table_block(F.col("rows")).alias("t")).select("t", files.table_rows(F.col("t")).alias("r")).collect()
+    assert [r.r for r in got] == [[["a", "b"], ["c", ""]], None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -76,15 +77,49 @@ def read_documents(spark: SparkSession, path: str, pdf=pdf_text) -> DataFrame:
     return rows.mapInPandas(parse, "path string, kind string, text string, error string")
 
 
+def _whole_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """Rows that parse(text) gives of each file under path, as files of MAX_BYTES at most are read whole, one in each row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, raw in zip(batch.path, batch.content, strict=True):
+                if len(raw) > MAX_BYTES:
+                    raise ValueError(f"{name}: too large")
+                rows = parse(decode(bytes(raw)))
+                yield pd.DataFrame([(name, *r) for r in rows], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
 def read_rules_csv(spark: SparkSession, path: str, headers: dict[str, str], default_perspective: str | None = None) -> DataFrame:
-    """A rule file with its header names mapped; a missing header is an error unless it is the perspective's and has a default."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    lacking = [h for h, n in headers.items() if h not in df.columns and not (n == "review_perspective" and default_perspective)]
-    if lacking:
-        raise ValueError("missing headers: " + ", ".join(lacking))
-    cols = [(strip(F.col(f"`{h}`")) if h in df.columns else F.lit(default_perspective)).alias(n) for h, n in headers.items()]
-    return df.select(*cols, (F.monotonically_increasing_id() + 2).alias("row_number"))
+    """A rule file (UTF-8 or GBK) with its header names mapped, and each row's number in its file, the header's being 1.
+
+    A missing header is an error unless it is the perspective's and has a default; blank rows are left out.
+    """
+
+    def parse(text: str):
+        lines = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""))
+        names = [h.strip() for h in next(lines, [])]
+        yield (0, names, [])
+        yield from ((i, names, [c.strip() for c in row]) for i, row in enumerate(lines, 2) if any(c.strip() for c in row))
+
+    rows = _whole_files(spark, path, parse, "path string, row_number long, names array<string>, cells array<string>")
+    for name, found in {r["path"]: r["names"] for r in rows.where("row_number = 0").select("path", "names").collect()}.items():
+        lacking = [h for h, n in headers.items() if h not in found and not (n == "review_perspective" and default_perspective)]
+        if lacking:
+            raise ValueError(f"{name}: missing headers: " + ", ".join(lacking))
+    at = lambda h: F.coalesce(F.get("cells", F.nullif(F.array_position("names", F.lit(h)).cast("int"), F.lit(0)) - 1), F.when(F.array_contains("names", F.lit(h)), ""))
+    cols = [(F.coalesce(at(h), F.lit(default_perspective)) if n == "review_perspective" else at(h)).alias(n) for h, n in headers.items()]
+    return rows.where("row_number > 0").select(*cols, "row_number")
+
+
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of JSON lines as (path, line_number, row, error); blank lines are skipped, a malformed one has its number and no row."""
+    parse = lambda text: ((i, line) for i, line in enumerate(text.split("\n"), 1) if line.strip())
+    lines = _whole_files(spark, path, parse, "path string, line_number long, line string")
+    read = F.from_json("line", schema, {"mode": "PERMISSIVE"})
+    bad = F.try_parse_json("line").isNull() | ~F.trim("line").startswith("{")
+    return lines.select("path", "line_number", F.when(~bad, read).alias("row"), F.when(bad, F.concat(F.lit("line "), F.col("line_number").cast("string"), F.lit(" is no JSON object"))).alias("error"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
@@ -115,13 +150,25 @@ def unwrapped(text: Column, schema: str) -> Column:
     return F.when(F.startswith(first, F.lit('"')), F.from_json(json_slice(inner), schema)).otherwise(F.from_json(first, schema))
 
 
+def rules_in(text: Column, item: str) -> Column:
+    """Array of the rules in a model's answer, whether it is a list of them, an object that has them under `rules`, or one rule."""
+    found = json_slice(text)
+    under = F.get_json_object(found, "$.rules")
+    many = f"array<{item}>"
+    return F.when(F.startswith(found, F.lit("[")), F.from_json(found, many)).when(F.startswith(under, F.lit("[")), F.from_json(under, many)).when(found.isNotNull(), F.array(F.from_json(found, item)))
+
+
 # --- sinks ----------------------------------------------------------------------------------------
 
 
-def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """CSV with a fixed column order and a byte-order mark in the first header, for spreadsheets; one file."""
+def export_csv(df: DataFrame, path: str, columns: list[str], one_file: bool = False) -> None:
+    """CSV with a fixed column order and a byte-order mark in each part's first header, for spreadsheets.
+
+    one_file puts all rows through one task; it is for what a person opens.
+    """
     first = F.col(columns[0]).alias("﻿" + columns[0])
-    df.select(first, *columns[1:]).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out = df.select(first, *columns[1:])
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def table_rows(text: Column) -> Column:
@@ -130,3 +177,9 @@ def table_rows(text: Column) -> Column:
     rows = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda r: F.transform(F.split(r, r"\|"), lambda c: F.trim(c)))
     ragged = F.exists(rows, lambda r: F.size(r) != F.size(F.get(rows, F.lit(0))))
     return F.when((F.trim(F.get(lines, F.lit(0))) == TABLE_MARK) & (F.size(lines) > 1) & ~ragged, rows)
+
+
+def table_block(rows: Column) -> Column:
+    """The block that table_rows reads: the mark, then rows with bars between their cells."""
+    lines = F.transform(rows, lambda r: F.array_join(r, " | ", ""))
+    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.lit(TABLE_MARK), F.array_join(lines, "\n")))
