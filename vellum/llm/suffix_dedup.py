@@ -6,7 +6,7 @@
 2. The segments of every anchor met several times are cut from their texts and folded: segments with the same
    bytes are one piece with a number of copies. (Bytes are compared; segments go by 64-bit hashes afterwards,
    and if two different ones of an anchor share a hash, all is hashed anew.) All pieces of an anchor go to one
-   task, in blocks of bounded size, a piece with several copies twice. A piece is first cut down to the windows
+   task, in blocks of bounded size; a piece counts there for its number of copies. A piece is first cut down to the windows
    whose common bytes another one of its anchor shares.
 3. In a block the suffixes are put in order up to `length` bytes and their Burrows-Wheeler transform is
    taken. Breadth-first backward extension starts from the intervals of single bytes; an interval is
@@ -41,9 +41,9 @@ ANCHOR = 64
 #: Bytes hashed at a time; positions in it must fit the low bits of a hash.
 CHUNK = 1 << 20
 #: Distinct segments of one anchor that one block may hold.
-GROUP = 1024
+GROUP = 256
 #: Bytes of segments after which a block is closed.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 128 << 10
 #: Windows in a run, step by step, for keys with more than GROUP pieces.
 RUNS = (48, 8, 1)
 #: Bytes of pieces that one task holds to fold copies before they are shuffled.
@@ -200,8 +200,11 @@ def long_prefix_groups(symbols: np.ndarray, order: np.ndarray, depth: int) -> np
     return np.cumsum(met[:n])
 
 
-def repeated_windows(segments: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each of distinct segments the half-open runs of starts of windows met elsewhere among them."""
+def repeated_windows(segments: list[bytes], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """For each of distinct segments the half-open runs of starts of windows met elsewhere among them.
+
+    A segment stands in the transform once, and its places in an interval count for its number of copies.
+    """
     raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes + 1) - 1
@@ -211,7 +214,8 @@ def repeated_windows(segments: list[bytes], length: int) -> list[list[tuple[int,
     group = long_prefix_groups(symbols, order, length)
     of = np.searchsorted(ends, order)
     window = order + length <= ends[np.minimum(of, len(ends) - 1)]
-    many = np.bincount(group[window], minlength=group[-1] + 1) > 1
+    weight = np.minimum(np.array(copies), 2)[of[window]]
+    many = np.bincount(group[window], weight, minlength=group[-1] + 1) > 1
     starts = np.sort(order[window & many[group]])
     of = np.searchsorted(ends, starts)
     out: list[list[tuple[int, int]]] = [[] for _ in segments]
@@ -270,10 +274,9 @@ def _solve(length: int):
     def block(rows):
         out = []
         cut = list(_with_company(rows, length))
-        twice = [raw for *_, copies, raw in cut if copies > 1]
-        if len(cut) + len(twice) > 1:
-            runs = repeated_windows([*[raw for *_, raw in cut], *twice], length)
-            for (n1, n2, first, _, _), of_piece in zip(cut, runs, strict=False):
+        if cut:
+            runs = repeated_windows([raw for *_, raw in cut], [copies for *_, copies, _ in cut], length)
+            for (n1, n2, first, _, _), of_piece in zip(cut, runs, strict=True):
                 out += [(n1, n2, first + a, first + b) for a, b in of_piece]
         return _batch(out, FOUND)
 
@@ -285,7 +288,7 @@ def _solve(length: int):
                     yield block(rows)
                     rows, size = [], 0
                 rows.append((key, *row))
-                size += len(row[4]) * min(2, row[2])
+                size += len(row[4])
                 last = key
         yield block(rows)
         rows = None
