@@ -148,10 +148,13 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark, sf_dir):
-    """Of each document its longest paragraph's first 60 characters, as a quote to be found again."""
+    """A quote for each document: of even ones their longest paragraph's first 60 characters, of odd ones a whole benchmark item."""
     paras = _paras(spark, sf_dir)
-    quote = paras.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("paragraph_index"))).alias("t"))
-    return paras, quote.select("doc_id", F.col("doc_id").alias("evidence_id"), T.strip(F.substring("t", 1, 60)).alias("evidence"))
+    own = paras.where("doc_id % 2 = 0").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("paragraph_index"))).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    other = table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
+    quote = own.select("doc_id", F.substring("t", 1, 60).alias("evidence")).unionByName(other.select("doc_id", "evidence"))
+    return paras, quote.select("doc_id", F.col("doc_id").alias("evidence_id"), T.strip(F.col("evidence")).alias("evidence"))
 
 
 def evidence_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +162,15 @@ def evidence_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.best_paragraph(quote, paras)
 
 
-EVIDENCE_SQL = f"""WITH {_P}, q AS (SELECT doc_id, trim(left(arg_max(text, (length(text), -paragraph_index)), 60)) AS e FROM paras GROUP BY doc_id),
-j AS (SELECT p.doc_id, p.paragraph_index, p.text, p.char_offset_start AS s, q.e, CASE WHEN contains(p.text, q.e) THEN length(q.e) / length(p.text) WHEN contains(q.e, p.text) THEN length(p.text) / length(q.e) ELSE 0 END AS score FROM paras p JOIN q USING (doc_id)),
-b AS (SELECT doc_id, e, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (score, -paragraph_index)) AS m FROM j GROUP BY doc_id, e)
+EVIDENCE_SQL = f"""WITH {_P}, q0 AS (SELECT doc_id, left(arg_max(text, (length(text), -paragraph_index)), 60) AS e FROM paras WHERE doc_id % 2 = 0 GROUP BY doc_id UNION ALL SELECT doc_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE doc_id % 2 = 1),
+q AS (SELECT doc_id, trim(e) AS e, list_distinct(regexp_extract_all(trim(e), '(?s).')) AS ec FROM q0 WHERE trim(e) <> ''),
+j AS (SELECT p.doc_id, p.paragraph_index, p.text, p.char_offset_start AS s, q.e, len(ec) AS n, CASE WHEN contains(p.text, q.e) OR contains(regexp_replace(p.text, '\\s+', ' ', 'g'), regexp_replace(q.e, '\\s+', ' ', 'g')) THEN length(q.e) / length(p.text) WHEN contains(q.e, p.text) THEN length(p.text) / length(q.e) ELSE 0 END AS score,
+ len(list_intersect(ec, list_distinct(regexp_extract_all(p.text, '(?s).')))) AS common FROM paras p JOIN q USING (doc_id)),
+b AS (SELECT doc_id, e, n, max(score) AS top, max(common) AS most, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (score, -paragraph_index)) AS m1, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (common, -paragraph_index)) AS m2 FROM j GROUP BY doc_id, e, n),
+c AS (SELECT *, CASE WHEN top > 0 THEN m1 ELSE m2 END AS m FROM b WHERE top > 0 OR most >= n * 0.5)
 SELECT doc_id, doc_id AS evidence_id, m.i AS paragraph_index, (m.s + greatest(instr(m.t, e), 1) - 1)::INT AS char_offset_start,
- (CASE WHEN contains(m.t, e) THEN m.s + instr(m.t, e) - 1 + length(e) ELSE m.s + length(m.t) END)::INT AS char_offset_end, CASE WHEN contains(m.t, e) THEN 'containment_exact' ELSE 'containment_paragraph' END AS match_strategy FROM b"""
+ (CASE WHEN contains(m.t, e) THEN m.s + instr(m.t, e) - 1 + length(e) ELSE m.s + length(m.t) END)::INT AS char_offset_end,
+ CASE WHEN top > 0 THEN CASE WHEN contains(m.t, e) THEN 'containment_exact' ELSE 'containment_paragraph' END WHEN contains(m.t, e) THEN 'overlap_exact' ELSE 'overlap' END AS match_strategy FROM c"""
 
 
 def evidence_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
