@@ -289,3 +289,14 @@ def test_table_block_round_trip(spark):
     df = spark.createDataFrame([([["a", "b"], ["c", ""]],), ([],)], "rows array<array<string>>")
     got = df.select(files.table_block(F.col("rows")).alias("t")).select("t", files.table_rows(F.col("t")).alias("r")).collect()
     assert [r.r for r in got] == [[["a", "b"], ["c", ""]], None]
+
+
+def test_rules_from_a_provider(spark):
+    def provider(row):
+        if row["diff_id"] == 2:
+            raise ValueError("no answer")
+        return [{"risk_name": row["after"], "level": i} for i in range(row["diff_id"])]
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "diff_id long, after string")
+    got = sorted(map(tuple, mine.generated(df, provider, "risk_name string, level int").collect()), key=str)
+    assert got == [(1, "a", 0, None), (2, None, None, "ValueError: no answer"), (3, "c", 0, None), (3, "c", 1, None), (3, "c", 2, None)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +192,27 @@ def context_query(module: Column, before: Column, after: Column) -> Column:
     return F.concat_ws(" ", module, before, after, more)
 
 
+def generated(diffs: DataFrame, provider, schema: str, key: str = "diff_id") -> DataFrame:
+    """Rules from a provider that is passed in: provider(row as dict) -> list of dicts of schema's fields, or an exception.
+
+    A difference whose call fails has one row with its error and no rule; the provider runs inside the tasks.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    kind = diffs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                try:
+                    out += [(row[key], *[rule.get(n) for n in names], None) for rule in provider(row)]
+                except Exception as e:  # noqa: BLE001  whatever a provider raises is that difference's error
+                    out.append((row[key], *[None] * len(names), f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=[key, *names, "error"])
+
+    return diffs.mapInPandas(run, f"{key} {kind}, {schema}, error string")
+
+
 def case_queries(diffs: DataFrame, pairs: DataFrame, pair_col: str = "pair_id") -> DataFrame:
     """(pair, review_module, query): type, role, module, what its substantive changes are about, each once, in order."""
     told = diffs.where("is_substantive").select(pair_col, "review_module", "n", change_direction(F.col("before"), F.col("after")).alias("t"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import text as T
-from ..operators import answers, mine
+from ..operators import answers, base_info, mine, retrieve
 from .documents import table
 from .phrases import PHRASES, any_sql, cascade_sql, in_sql, pick, pick_sql, quoted
 
@@ -194,6 +194,44 @@ _MORE = "CASE review_module " + " ".join(f"WHEN {quoted(m)} THEN ' ' || {quoted(
 CONTEXT_QUERIES_SQL = f"WITH {_CHANGES} SELECT review_module || ' ' || before || ' ' || after || {_MORE} AS query, count(*) AS n_rows FROM cm GROUP BY ALL"
 
 
+def change_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes are about, in words, counted."""
+    o = table(spark, sf_dir, "orders").select(base_info.change_direction(pick(PHRASES, "o_orderkey"), pick(PHRASES, "o_custkey")).alias("direction"))
+    return _count(o)
+
+
+_NUMBERS = lambda c: f"list_transform(regexp_extract_all({c}, '[0-9]+\\s*(?:日|天|年|个月|月|%|％)?'), lambda x: regexp_replace(x, '\\s', '', 'g'))"
+_NUMBER = f"CASE WHEN len({_NUMBERS('before')}) > 0 AND len({_NUMBERS('after')}) > 0 AND {_NUMBERS('before')} <> {_NUMBERS('after')} THEN {_NUMBERS('before')}[1] || '改' || {_NUMBERS('after')}[1] END"
+_DIRECTION = (
+    "CASE " + " ".join(f"WHEN {any_sql('t', words.split())} THEN {quoted(name)}" + (" || coalesce(' ' || num, '')" if numbered else "") for name, words, numbered in base_info.CHANGES_ZH)
+    + " WHEN num IS NOT NULL THEN num " + " ".join(f"WHEN contains(before, {quoted(x)}) AND contains(after, {quoted(y)}) THEN {quoted(name)}" for name, x, y in base_info.TURNS_ZH)
+    + f" WHEN contains(t, {quoted(base_info.SECRECY_ZH[1])}) AND contains(t, {quoted(base_info.SECRECY_ZH[2])}) THEN {quoted(base_info.SECRECY_ZH[0])} WHEN {any_sql('t', base_info.DISPUTE_ZH[1].split())} THEN {quoted(base_info.DISPUTE_ZH[0])} ELSE {quoted(base_info.CHANGED_ZH)} END"
+)
+_DIRECTED = f"{_CHANGES}, nu AS (SELECT *, {_NUMBER} AS num FROM cm), di AS (SELECT *, {_DIRECTION} AS direction FROM nu)"
+DIRECTIONS_SQL = f"WITH {_DIRECTED} SELECT direction, count(*) AS n_rows FROM di GROUP BY ALL"
+
+
+def case_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pair's modules are looked up by."""
+    diffs, pairs, _ = _mining(spark, sf_dir)
+    return mine.case_queries(diffs, pairs)
+
+
+CASE_QUERIES_SQL = f"""WITH {_DIRECTED}, f AS (SELECT o_custkey, review_module, direction, min(o_orderkey) AS n FROM di WHERE o_orderkey % 3 <> 0 GROUP BY ALL), l AS (SELECT o_custkey, review_module, string_agg(direction, '；' ORDER BY n) AS d FROM f GROUP BY ALL)
+SELECT o_custkey AS pair_id, review_module, coalesce({pick_sql(_TYPES, 'o_custkey')}, '通用合同') || ' ' || coalesce(nullif({pick_sql(_ROLES, 'o_custkey')}, ''), '通用角色') || ' ' || review_module || ' ' || d || ' 逆向生成审核规则' AS query FROM l"""
+
+_ASKED = ("付款 条款", "仅措辞 润色", "格式变化", "未 发生 实质 变化", "", None, "标点 变化吗")
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as queries; those about wording alone are not looked up."""
+    q = table(spark, sf_dir, "part").select(pick(_ASKED, "p_partkey").alias("query"))
+    return _count(retrieve.worth_a_search(q))
+
+
+SEARCHES_SQL = f"WITH q AS (SELECT {pick_sql(_ASKED, 'p_partkey')} AS query FROM part) SELECT query, count(*) AS n_rows FROM q WHERE NOT coalesce({any_sql("replace(query, ' ', '')", retrieve.WORDING_ZH)}, false) GROUP BY 1"
+
+
 # --- results of comparisons -----------------------------------------------------------------------
 
 
@@ -320,9 +358,9 @@ SELECT text, array_to_string(list_filter(list_transform(regexp_extract_all(text,
  CASE WHEN length(trim(text)) <= 9 THEN trim(text) ELSE left(trim(text), 9) || '...(truncated)' END AS preview, round((contains(text, '甲方')::INT + contains(text, '付款')::INT) / 3, 6) AS ratio,
  (contains(text, '甲方') OR contains(text, '乙方')) AND (contains(text, '付款') OR contains(text, '整改')) AS covered, count(*) AS n_rows FROM p GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (change_labels, party_labels, heading_labels, mined_rules, candidate_import, candidate_decisions, coerced_rules, context_queries, comparison_results, enhanced_items, default_items, labelled_values, message_files, failure_items, clause_texts)}
+QUERIES = {f.__name__: f for f in (change_labels, party_labels, heading_labels, mined_rules, candidate_import, candidate_decisions, coerced_rules, context_queries, change_directions, case_queries, searches, comparison_results, enhanced_items, default_items, labelled_values, message_files, failure_items, clause_texts)}
 ORACLES = {
     "change_labels": CHANGE_LABELS_SQL, "party_labels": PARTY_LABELS_SQL, "heading_labels": HEADING_SQL, "mined_rules": MINED_SQL, "candidate_import": CANDIDATE_IMPORT_SQL, "candidate_decisions": DECISIONS_SQL,
-    "coerced_rules": COERCED_SQL, "context_queries": CONTEXT_QUERIES_SQL, "comparison_results": COMPARISON_SQL, "enhanced_items": ENHANCED_SQL, "default_items": DEFAULT_ITEMS_SQL,
+    "coerced_rules": COERCED_SQL, "context_queries": CONTEXT_QUERIES_SQL, "change_directions": DIRECTIONS_SQL, "case_queries": CASE_QUERIES_SQL, "searches": SEARCHES_SQL, "comparison_results": COMPARISON_SQL, "enhanced_items": ENHANCED_SQL, "default_items": DEFAULT_ITEMS_SQL,
     "labelled_values": LABELLED_SQL, "message_files": MESSAGE_FILES_SQL, "failure_items": FAILURE_SQL, "clause_texts": CLAUSE_TEXTS_SQL,
 }

@@ -294,6 +294,18 @@ CONFORMANCE_SQL = """WITH r AS (SELECT l_orderkey, bool_or(l_partkey % 40 = 0) A
 SELECT CASE WHEN a AND b THEN 'label_fits,code_present' WHEN a THEN 'label_fits' WHEN b THEN 'code_present' ELSE '' END AS issues, count(*) AS n_results FROM r GROUP BY ALL"""
 
 
+def inserted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sessions that are inserted twice: one id each, dates as ISO text, and an end half an hour later."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    rows = tables.inserted(e, ["user_id", "event_id"]).unionByName(tables.inserted(e, ["user_id", "event_id"])).dropDuplicates(["id"])
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    later = F.col("created_at") + F.expr("INTERVAL 1800 SECONDS")
+    return rows.select("event_id", iso(F.col("created_at")).alias("created_at"), iso(later).alias("expires_at"), F.to_timestamp_ntz(iso(later)).alias("parsed"), F.length("id").alias("id_chars"))
+
+
+INSERTED_SQL = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(ts + INTERVAL 1800 SECOND, '%Y-%m-%dT%H:%M:%S') AS expires_at, date_trunc('second', ts::TIMESTAMP + INTERVAL 1800 SECOND)::TIMESTAMP AS parsed, 64 AS id_chars FROM events"""
+
+
 def risk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' line items as risks: high and medium ones, and low ones that are more than wording."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", pick(("high", "medium", "low", "pass"), "l_partkey").alias("risk_level"), pick(("格式调整", "付款"), "l_suppkey").alias("summary"))  # noqa: E741
@@ -306,11 +318,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         task_listing, task_retries, versions_newest, risk_owners, id_sets, account_links, rule_checks, rule_types, rule_projection, contract_outline, contract_clauses, segment_lookup, reference_terms, item_diffs,
-        evidence_valid, answer_fields, base_infos, partial_updates, conformance_report, risk_totals,
+        evidence_valid, answer_fields, base_infos, partial_updates, conformance_report, inserted_sessions, risk_totals,
     )
 }
 ORACLES = {
     "task_listing": TASK_LISTING_SQL, "task_retries": TASK_RETRIES_SQL, "versions_newest": VERSIONS_SQL, "risk_owners": RISK_OWNERS_SQL, "id_sets": ID_SETS_SQL, "account_links": ACCOUNTS_SQL, "rule_checks": RULE_CHECKS_SQL,
     "rule_types": RULE_TYPES_SQL, "rule_projection": RULE_PROJECTION_SQL, "contract_outline": OUTLINE_SQL, "contract_clauses": CLAUSES_SQL, "segment_lookup": SEGMENT_SQL, "reference_terms": REFERENCE_SQL, "item_diffs": ITEM_DIFFS_SQL,
-    "evidence_valid": EVIDENCE_VALID_SQL, "answer_fields": ANSWER_SQL, "base_infos": BASE_SQL, "partial_updates": PARTIAL_SQL, "conformance_report": CONFORMANCE_SQL, "risk_totals": RISK_TOTALS_SQL,
+    "evidence_valid": EVIDENCE_VALID_SQL, "answer_fields": ANSWER_SQL, "base_infos": BASE_SQL, "partial_updates": PARTIAL_SQL, "conformance_report": CONFORMANCE_SQL, "risk_totals": RISK_TOTALS_SQL, "inserted_sessions": INSERTED_SQL,
 }
