@@ -175,7 +175,7 @@ def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("report", "nation").agg(F.count(F.lit(1)).alias("n_rows"), F.count("score").alias("n_scored"))
 
 
-MERGED_SQL = "SELECT 0 AS report, NULL::BIGINT AS nation, count(*) AS n_rows, count(o_totalprice) AS n_scored FROM orders UNION ALL SELECT 1, c_nationkey, count(*), 0 FROM customer GROUP BY c_nationkey UNION ALL SELECT 2, s_nationkey, count(*), 0 FROM supplier GROUP BY s_nationkey"
+MERGED_SQL = "SELECT 0 AS report, NULL::INTEGER AS nation, count(*) AS n_rows, count(o_totalprice) AS n_scored FROM orders UNION ALL SELECT 1, c_nationkey, count(*), 0 FROM customer GROUP BY c_nationkey UNION ALL SELECT 2, s_nationkey, count(*), 0 FROM supplier GROUP BY s_nationkey"
 
 
 def expanded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
