@@ -68,6 +68,24 @@ def test_template_fill(spark):
     assert got[2] == [("append", None, 0)] and got[3] == [("clear", 0, None)] and got[4] == [("replace", 0, 1), ("append", None, 0)]
 
 
+def test_template_fill_clears_the_cover(spark):
+    from vellum.operators import diff
+
+    old, new = ["封面", "\t编号：", "设备采购合同", "甲方付款三十日"], ["设备采购合同书", "甲方付款六十日"]
+    assert diff.fill_template(old, new) == [("clear", 0, None), ("clear", 1, None), ("replace", 2, 0), ("replace", 3, 1)]
+    assert diff.fill_template(["甲", "乙"], ["完全不同"]) == [("replace", 0, 0), ("clear", 1, None)]
+
+
+def test_references_and_outline(spark):
+    seg = spark.createDataFrame([("c", 1, "总则", "附件一为设备清单"), ("c", 2, "付款", "服务费按月支付"), ("c", 3, "付款", "服务费以附件为准"), ("c", 4, "", "无关内容"), ("d", 1, "总则", "附件二")], "doc string, `order` int, title string, text string")
+    diffs = spark.createDataFrame([("c", 7, "见附件", "服务费调整"), ("c", 8, "如上述", ""), ("d", 9, "没有词", None)], "doc string, diff_id int, before string, after string")
+    got = sorted((r.diff_id, r.order) for r in link.references(seg, diffs, "doc").collect())
+    assert got == [(7, 1), (7, 2), (7, 3)]
+    terms = {r.diff_id: r.t for r in diffs.select("diff_id", link.reference_terms(F.col("before"), F.col("after")).alias("t")).collect()}
+    assert terms == {7: ["附件", "服务费"], 8: ["上述"], 9: []}
+    assert [(r.doc, r.title, r.place) for r in link.outline(seg, "doc").orderBy("doc", "place").collect()] == [("c", "总则", 1), ("c", "付款", 2), ("d", "总则", 1)]
+
+
 def test_best_match_equals_plain_maximum():
     import random
 
