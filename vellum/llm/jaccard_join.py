@@ -13,11 +13,12 @@
 3. In each rough group a signature tree is built: nodes hold the OR of their sets' bitmaps and the range
    of their sizes. A dual traversal drops pairs of nodes whose greatest possible overlap is too small,
    and pairs that are one component already; the pairs of sets that remain are counted exactly.
-4. A tree that would hold more than a block (BLOCK sets or BLOCK_HASHES hashes) is cut at two levels. First
-   each set goes, with its fellows in blocks, to the set that it is tied to: most links are found there. Then
-   sets in order of size are dealt into bins, the tree's upper nodes, with their own bitmaps and ranges of
-   sizes. The upper part of the dual traversal works on these alone: pairs of bins that can't link, or that
-   are one component already, are dropped before any set is sent. Each pair that is left is traversed below.
+4. A tree that would hold more than a block (BLOCK sets or BLOCK_HASHES hashes) is cut: sets of about one size
+   are dealt into bins, the tree's upper nodes, with their own bitmaps and ranges of sizes. The upper part of the
+   dual traversal works on these alone: pairs of bins that can't link, or that are one component already, are
+   dropped before any set is sent. Each pair that is left is traversed below. In groups of more than BINS bins
+   sets first go, with their fellows in blocks, to a set that they are tied to: to the least one, then to those
+   that they weren't linked through yet. Trees over these find most components, whose bins needn't meet any more.
 
 Defined results: null and empty texts have an empty set, linked with nothing; a document with fewer words
 than a shingle has its whole sequence as one; rows with a null id keep their size and get a null
@@ -41,6 +42,8 @@ from .shingles import mix, shingle_set
 
 #: Sets in one block of a large rough group, and hashes in them: 8 MB.
 BLOCK, BLOCK_HASHES = 1024, 1 << 20
+#: Bins of a group from which on components are looked for before bins meet.
+BINS = 16
 #: Bits of a bin's bitmap.
 BIN_BITS = 1 << 13
 #: Signatures of one task that are held and folded at a time.
@@ -338,35 +341,31 @@ def solve_tiles(tiles: DataFrame, sets: DataFrame, t: int, path: str) -> DataFra
     return written(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_tiles(t), "u long, v long"), path)
 
 
-BIN = "rough long, own long, bin long, id long, low long, high long, extra long, bitmap binary"
+BIN = "rough long, own long, bin long, low long, high long, extra long, bitmap binary"
+#: Bins hold sets whose sizes differ by this factor at most.
+WIDTH = 1.1
 
 
-def _bins(block: int, hashes: int):
-    """Rows (rough, own, id, size, hashes) in order -> each set's bin, and a row without id for each bin, the OR of its sets."""
-    kinds = [pa.int64()] * 7 + [pa.binary()]
+def _bins():
+    """Rows (rough, own, bin, size, hashes) in order of bin -> a row for each bin: range of sizes, most extra hashes, OR of bitmaps."""
+    kinds = [pa.int64()] * 6 + [pa.binary()]
     names = [x.split()[0] for x in BIN.split(", ")]
 
     def run(batches):
-        out, now, members, held, node, low, high, extra = [], None, [], 0, None, 0, 0, 0
-
-        def close():
-            if members:
-                out.extend((*now, members[0], i, None, None, None, None) for i in members)
-                out.append((*now, members[0], None, low, high, extra, node.tobytes()))
-
+        now, node, low, high, extra = None, None, 0, 0, 0
         for batch in batches:
-            for rough, own, id, size, raw in zip(*[batch.column(c).to_pylist() for c in ("rough", "own", "id", "size", "hashes")], strict=True):
-                if now != (rough, own) or len(members) >= block or held + size > hashes:
-                    close()
-                    now, members, held, node, low, high, extra = (rough, own), [], 0, np.zeros(BIN_BITS // 64, np.uint64), size, 0, 0
+            out = []
+            for rough, own, bin_, size, raw in zip(*[batch.column(c).to_pylist() for c in ("rough", "own", "bin", "size", "hashes")], strict=True):
+                if now != (rough, own, bin_):
+                    if now:
+                        out.append((*now, low, high, extra, node.tobytes()))
+                    now, node, low, high, extra = (rough, own, bin_), np.zeros(BIN_BITS // 64, np.uint64), size, 0, 0
                 bits = bitmap(np.frombuffer(raw, np.uint64), BIN_BITS)
-                members.append(id)
-                held, node, low, high = held + size, node | bits, min(low, size), max(high, size)
+                node, low, high = node | bits, min(low, size), max(high, size)
                 extra = max(extra, size - int(np.bitwise_count(bits).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-            out = []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        last = [(*now, low, high, extra, node.tobytes())] if now else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in last], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
@@ -400,37 +399,57 @@ def exact_links(docs: DataFrame, members: DataFrame, met: DataFrame, n: int, t:
     if large.isEmpty():
         return solve_tiles(members.select(F.col("rough").alias("tile"), "id"), sets, t, f"{folder}/links")
     inside = written(sized.join(broadcast_if_small(large), "rough", "left_semi"), f"{folder}/inside")
-
-    # each set with the least one that it is tied to, in blocks; small groups are one block each
-    near = met.groupBy("u").agg(F.min("v").alias("home"))
-    homes = written(inside.join(near, inside.id == near.u, "left").select("id", "size", F.coalesce("home", "id").alias("home")), f"{folder}/homes")
-    held = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("s") * 2 / hashes))
-    placed = homes.join(written(held.select("home", blocks.alias("blocks")), f"{folder}/blocks"), "home")
-    placed = placed.select("id", "home", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k"))
-    heads = placed.select(F.col("home").alias("id"), "home", "k").distinct()
-    tiles = placed.unionByName(heads).distinct().select(F.xxhash64("home", "k").alias("tile"), "id")
-    tiles = tiles.unionByName(sized.join(broadcast_if_small(large), "rough", "left_anti").select(F.xxhash64("rough", F.lit(-1)).alias("tile"), "id"))
-    links = solve_tiles(tiles, sets, t, f"{folder}/links-0")
-    found = written(components(links, f"{folder}/one"), f"{folder}/one-roots")
+    small = sized.join(broadcast_if_small(large), "rough", "left_anti").select(F.xxhash64("rough", F.lit(-1)).alias("tile"), "id")
+    links = solve_tiles(small, sets, t, f"{folder}/links-0")
+
+    def blocks_of(n: str, s: str):
+        return F.greatest(F.ceil(F.col(n) * 2 / block), F.ceil(F.col(s) * 2 / hashes))
+
+    def by_hub(tied: DataFrame, path: str) -> DataFrame:
+        """(tile, id): the sets of tied (id, size, hub) with their hub, in blocks."""
+        tied = written(tied.select("id", "size", "hub"), f"{path}-tied")
+        counts = written(tied.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).select("hub", blocks_of("n", "s").alias("blocks")), f"{path}-blocks")
+        placed = tied.join(broadcast_if_small(counts), "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k"))
+        heads = placed.select(F.col("hub").alias("id"), "hub", "k").distinct()
+        return placed.unionByName(heads).distinct().select(F.xxhash64("hub", "k").alias("tile"), "id")
+
+    ends = inside.withColumn("root", F.col("id"))
+    huge = written(inside.groupBy("rough").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where(blocks_of("n", "s") > BINS).select("rough"), f"{folder}/huge")
+    if not huge.isEmpty():
+        # each set with the least one that it is tied to
+        many = written(inside.join(broadcast_if_small(huge), "rough", "left_semi").select("id", "size").distinct(), f"{folder}/many")
+        near = met.groupBy("u").agg(F.min("v").alias("hub"))
+        first = solve_tiles(by_hub(many.join(near, many.id == near.u), f"{folder}/near"), sets, t, f"{folder}/links-1")
+        # then with the others, where these links don't tie them yet
+        tied = written(first.groupBy("u").agg(F.min("v").alias("w")), f"{folder}/first")
+        of = lambda c: met.join(tied.select(F.col("u").alias(c), F.col("w").alias(f"w{c}")), c, "left")
+        cross = of("u").join(tied.select(F.col("u").alias("v"), F.col("w").alias("wv")), "v", "left").where("coalesce(wu, u) <> coalesce(wv, v)").select(F.col("u").alias("id"), F.col("v").alias("hub"))
+        second = solve_tiles(by_hub(cross.join(many, "id"), f"{folder}/cross"), sets, t, f"{folder}/links-2")
+        found = written(components(first.unionByName(second), f"{folder}/two"), f"{folder}/two-roots")
+        links = links.unionByName(first).unionByName(second)
+        ends = inside.join(found, inside.id == found.node, "left").select("rough", "id", "size", F.coalesce("root", "id").alias("root"))
 
     # bins: sets of one large component, or of many small ones, of about one size
-    ends = inside.join(found, inside.id == found.node, "left").select("rough", "id", "size", "lead", F.coalesce("root", "id").alias("root"))
     big = ends.groupBy("rough", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where((F.col("n") * 4 > block) | (F.col("s") * 4 > hashes))
     big = written(big.select("rough", "root", F.col("root").alias("own")), f"{folder}/big")
-    ends = ends.join(broadcast_if_small(big), ["rough", "root"], "left").join(sets.select("id", "hashes"), "id")
-    order = ["rough", "own", "size", "lead", "id"]
-    binned = ends.repartitionByRange(*order).sortWithinPartitions(*order).select("rough", "own", "id", "size", "hashes").mapInArrow(_bins(max(1, block // 2), hashes // 2), BIN)
+    ends = ends.join(broadcast_if_small(big), ["rough", "root"], "left").withColumn("width", F.floor(F.log(WIDTH, F.col("size").cast("double"))))
+    ends = written(ends.select("rough", "id", "size", "own", "width"), f"{folder}/ends")
+    per = ends.groupBy("rough", "own", "width").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).select("rough", "own", "width", blocks_of("n", "s").alias("blocks"))
+    dealt = ends.alias("e").join(broadcast_if_small(written(per, f"{folder}/widths")).alias("p"), F.expr("e.rough = p.rough AND e.own <=> p.own AND e.width = p.width"))
+    binned = dealt.select("e.rough", "e.own", "e.id", "e.size", F.xxhash64("e.own", "e.width", F.pmod(F.xxhash64("e.id"), F.col("p.blocks"))).alias("bin"))
     binned = written(binned, f"{folder}/binned")
+    # a rough group that is one component has no pairs of bins
+    open_ = binned.groupBy("rough").agg(F.count_if(F.col("own").isNull()).alias("loose"), F.countDistinct("own").alias("owns")).where("loose > 0 OR owns > 1").select("rough")
+    rows = binned.join(broadcast_if_small(written(open_, f"{folder}/open")), "rough", "left_semi").join(sets.select("id", "hashes"), "id")
+    nodes = written(rows.repartition("rough", "bin").sortWithinPartitions("rough", "own", "bin").select("rough", "own", "bin", "size", "hashes").mapInArrow(_bins(), BIN), f"{folder}/nodes")
 
     # the upper part of the dual traversal: bins that may link and aren't one component
-    nodes = binned.where("id IS NULL")
     side = lambda s: nodes.select("rough", *[F.col(c).alias(f"{c}{s}") for c in ("own", "bin", "low", "high", "extra", "bitmap")])
     pairs = side(1).join(side(2), "rough").where(f"bin1 <= bin2 AND NOT coalesce(own1 = own2, false) AND 100 * high1 >= {t} * low2 AND 100 * high2 >= {t} * low1")
     pairs = written(pairs.mapInArrow(_open_pairs(t), "rough long, bin1 long, bin2 long").select(F.xxhash64("rough", "bin1", "bin2").alias("tile"), "rough", "bin1", "bin2"), f"{folder}/pairs")
     ends_of = pairs.select("tile", "rough", F.col("bin1").alias("bin")).unionByName(pairs.select("tile", "rough", F.col("bin2").alias("bin"))).distinct()
-    tiles = ends_of.join(binned.where("id IS NOT NULL"), ["rough", "bin"]).select("tile", "id")
-    return links.unionByName(solve_tiles(tiles, sets, t, f"{folder}/links-2"))
+    tiles = ends_of.join(binned, ["rough", "bin"]).select("tile", "id")
+    return links.unionByName(solve_tiles(tiles, sets, t, f"{folder}/links-3"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
