@@ -193,3 +193,20 @@ def mixed_documents(docs, share, power=0.7):
         p = min(1.0, c * w[k] / cells[k]) if cells[k] else 1.0
         out[i] = (tokens[i], p, uniform(i) < p)
     return out
+
+
+def lines_left(docs, min_docs, min_chars):
+    """[(id, lines, dropped lines, text left)]"""
+    order = lambda i: (i is None, i or 0)
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOWER)
+    holders = defaultdict(set)
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        goes = lambda k: len(k) >= min_chars and len(holders[k]) >= min_docs and i != min(holders[k], key=order)  # noqa: B023, E731
+        left = [x for x in lines if not goes(key(x))]
+        out.append((i, len(lines), len(lines) - len(left), "\n".join(left)))
+    return out

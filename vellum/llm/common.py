@@ -115,3 +115,20 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
+
+
+#: Keys of a counted table that are broadcast at most: those that hold at least a HOT_KEYS-th of all rows.
+HOT_KEYS = 100_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with counted, a written table with one row a key whose column n tells at least how many of rows have it.
+
+    total: the sum of n over all keys, at least. A small counted table is broadcast whole. Otherwise its hot keys are (there
+    are HOT_KEYS of them at most), and the rest, none of which holds more than a HOT_KEYS-th of the rows, is joined by shuffle.
+    """
+    hinted = broadcast_if_small(counted)
+    if hinted is not counted:
+        return rows.join(hinted, on)
+    hot = F.col(n) * HOT_KEYS >= F.lit(max(total, HOT_KEYS))
+    return rows.join(F.broadcast(counted.where(hot)), on).unionByName(rows.join(counted.where(~hot), on))

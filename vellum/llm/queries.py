@@ -4,6 +4,7 @@ from .bpe import op4_byte_bpe
 from .compression_quality import op5_compression_quality
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op7_jaccard_join
+from .line_dedup import OP11_SQL, op11_line_dedup
 from .mixing import op10_mixing
 from .pii import op8_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op6_warc_revisits": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
