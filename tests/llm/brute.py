@@ -1,6 +1,7 @@
 """Plain versions of what the operators do, for small inputs."""
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -210,3 +211,41 @@ def lines_left(docs, min_docs, min_chars):
         left = [x for x in lines if not goes(key(x))]
         out.append((i, len(lines), len(lines) - len(left), "\n".join(left)))
     return out
+
+
+def plain_alignment(rows, hf, sp):
+    """[(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)] by the contract's words."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+    def piece(i):
+        p = sp.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+
+    told, links = [], []
+    for i, text in rows:
+        a = hf.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        b = sp.encode(text) if text else []
+        bytes_a, bytes_b = [bytes(char[c] for c in hf.id_to_token(x)) for x in a], [piece(x) for x in b]
+        if not text or not (b"".join(bytes_a) == b"".join(bytes_b) == b" " + text.encode()):
+            told.append((i, 0, 0, "")), links.append([])
+            continue
+        ends = lambda parts: list(itertools.accumulate(map(len, parts)))
+        ea, eb = ends(bytes_a), ends(bytes_b)
+        at_end = dict(zip(eb, b, strict=True))
+        links.append([(x, at_end[p]) for x, p in zip(a, ea, strict=True) if p in at_end])
+        both, groups, i_a, i_b = set(ea) & set(eb), [], 0, 0
+        for cut in sorted(both):
+            to_a, to_b = ea.index(cut, i_a) + 1, eb.index(cut, i_b) + 1
+            groups.append(",".join(map(str, a[i_a:to_a])) + "|" + ",".join(map(str, b[i_b:to_b])))
+            i_a, i_b = to_a, to_b
+        told.append((i, len(a), len(b), ";".join(groups)))
+    count = defaultdict(int)
+    for x in links:
+        for p in x:
+            count[p] += 1
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [(i, na, nb, g.count(";") + 1 if g else 0, len(x), sum(count[p] == most[p[1]] for p in x), sum(count[p] for p in x), g) for (i, na, nb, g), x in zip(told, links, strict=True)]

@@ -2,12 +2,17 @@
 
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
-from vellum.llm import common, line_dedup
+from tokenizers import Tokenizer
+from vellum.llm import alignment, common, line_dedup
 from vellum.llm.queries import ORACLES, QUERIES
 
-from ..oracle import SMALL, same
+from ..oracle import SMALL, rows_of_sql, same
+from . import brute
 from .brute import lines_left, sha
 
 DOCS = "doc_id long, text string"
@@ -43,3 +48,52 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, min_docs, bytes):
     out = line_dedup.drop_repeated_lines(df, min_docs=min_docs)
     assert out.columns == df.columns and out.where("text IS NULL").count() == 2
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+# --- alignment of tokenizers ----------------------------------------------------------------------
+
+PATHS = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+HF = Tokenizer.from_file(PATHS[0])
+HF.encode_special_tokens = True
+SP = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+PARTS = ["the ", "Straße", " naïve", "  ", "\n", "\t", "12345", "don't", "😀", "▁", "<|endoftext|>", "<s>", "<0x41>", "\0", "漢字かな", "aaaaaaaa", ".,;", " ", "é", "tokenizers ", "\r\n"]
+
+
+def test_side_a_equals_the_tokenizer_file():
+    side, r = alignment.SideA(open(PATHS[0], "rb").read(), public_tokenizers.PATTERN), random.Random(1)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(1, 30))) for _ in range(400)] + ["a" * 20_000, " \n" * 20_000]
+    assert [x.tolist() for x in side.encode(texts)] == [e.ids for e in HF.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def test_union_find_of_random_graphs():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(1, 30)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 40))]
+        up = list(range(n))
+        for _ in range(n):
+            for u, v in edges:
+                up[u] = up[v] = min(up[u], up[v])
+        got = alignment.union_find(np.array([u for u, _ in edges], int), np.array([v for _, v in edges], int), n)
+        assert got.tolist() == up
+
+
+@pytest.mark.parametrize("bytes", [common.BROADCAST_BYTES, 0])
+def test_alignment_equals_brute_force(spark, monkeypatch, bytes):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bytes)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(PARTS) for _ in range(r.randint(0, 25)))) for i in range(150)]
+    rows += [(3, "the the the"), (3, "the the the"), (None, "no id"), (None, None), (9, ""), (10, "word " * 3_000)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("pairs", F.lit(1)).withColumn("at", F.lit("x"))
+    key = lambda x: tuple((v is None, v) for v in x)
+    want = [(*x[:7], sha(x[7].encode()) if x[7] else "") for x in brute.plain_alignment(rows, HF, SP)]
+    got = alignment.alignment(df, PATHS[0], public_tokenizers.PATTERN, PATHS[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert sum(x[3] > 0 for x in want) > 60 and any(x[1] == 0 and i < 150 for i, x in enumerate(want))
+    assert alignment.alignment(df.limit(0), PATHS[0], public_tokenizers.PATTERN, PATHS[1]).count() == 0
+
+
+def test_alignment_query(spark):
+    docs = rows_of_sql("SELECT doc_id, text FROM documents", SMALL, ["doc_id", "text"])
+    got = {r.doc_id: tuple(r) for r in QUERIES["op13_alignment"](spark, SMALL).collect()}
+    assert got == {x[0]: (*x[:7], sha(x[7].encode()) if x[7] else "") for x in brute.plain_alignment(docs, HF, SP)}

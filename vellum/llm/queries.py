@@ -1,5 +1,6 @@
 """The queries of this folder and their SQL, for the registry at the repository's top."""
 
+from .alignment import op13_alignment
 from .bpe import op4_byte_bpe
 from .compression_quality import op5_compression_quality
 from .exact_dedup import OP1_SQL, op1_exact_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_line_dedup": op11_line_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
