@@ -249,3 +249,30 @@ def plain_alignment(rows, hf, sp):
     for (_, y), n in count.items():
         most[y] = max(most[y], n)
     return [(i, na, nb, g.count(";") + 1 if g else 0, len(x), sum(count[p] == most[p[1]] for p in x), sum(count[p] for p in x), g) for (i, na, nb, g), x in zip(told, links, strict=True)]
+
+
+def phrases(docs, longest, least, top):
+    """[(lang, rank, phrase, a, l, r, n, score)] of (lang, text) rows by the contract's words."""
+    f, n = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for size in range(1, longest + 1):
+                for i in range(len(w) - size + 1):
+                    f[lang, tuple(w[i : i + size])] += 1
+    found = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, w), a in found.items():
+        for size in range(2, len(w)):
+            for i in range(len(w) - size + 1):
+                if 100 * a >= 50 * found[lang, w[i : i + size]]:
+                    gone.add((lang, w[i : i + size]))
+    rows = defaultdict(list)
+    for (lang, w), a in found.items():
+        cuts = [(1_000_000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w))]
+        score, _, left, right = min(cuts)
+        if (lang, w) not in gone:
+            rows[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, x in rows.items() for i, (s, a, p, left, right) in enumerate(sorted(x)[:top])]

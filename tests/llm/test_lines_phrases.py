@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from vellum.llm import alignment, common, line_dedup
+from vellum.llm import alignment, collocations, common, line_dedup
 from vellum.llm.queries import ORACLES, QUERIES
 
 from ..oracle import SMALL, rows_of_sql, same
@@ -97,3 +97,40 @@ def test_alignment_query(spark):
     docs = rows_of_sql("SELECT doc_id, text FROM documents", SMALL, ["doc_id", "text"])
     got = {r.doc_id: tuple(r) for r in QUERIES["op13_alignment"](spark, SMALL).collect()}
     assert got == {x[0]: (*x[:7], sha(x[7].encode()) if x[7] else "") for x in brute.plain_alignment(docs, HF, SP)}
+
+# --- collocations ---------------------------------------------------------------------------------
+
+
+def phrase_docs():
+    r = random.Random(6)
+    words = ["new", "York", "city", "of", "the", "a", "São", "x", "12", "naïve word", "\x1c", "🙂"]
+    docs = [(i, "".join(r.choice(words) + r.choice([" ", " ", " ", " ", " ", "  ", "\t", ". ", "\n", ".."]) for _ in range(r.randint(0, 160))), r.choice(["en", "de", None])) for i in range(150)]
+    return [*docs, (1, None, "en"), (None, "new york " * 300, "en"), (None, "NEW YORK city.", None), (5, " . ,;", "fr"), (6, "rare " * 2_000 + "the end", "und")]
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 500, "WORDS": 4, "MINED": 8, "SHARES": 64, "COUNTERS": 3}])
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_collocations_equal_brute_force(spark, monkeypatch, longest, limits):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0 if limits else common.BROADCAST_BYTES)
+    monkeypatch.setattr(common, "HOT_KEYS", 5 if limits else common.HOT_KEYS)
+    for k, v in limits.items():
+        monkeypatch.setattr(collocations, k, v)
+    rows = phrase_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("phrase", F.lit(1)).withColumn("part", F.lit(2))
+    want = brute.phrases([(lang, text) for _, text, lang in rows], longest, 10, 25)
+    assert sorted(map(tuple, collocations.collocations(df, longest=longest, top=25).collect())) == sorted(want)
+    assert len(want) > 50 and collocations.collocations(df.limit(0)).count() == 0
+
+
+def test_collocations_query(spark):
+    docs = rows_of_sql("SELECT lang, text FROM documents", SMALL, ["lang", "text"])
+    got = sorted(map(tuple, QUERIES["op12_collocations"](spark, SMALL).collect()))
+    assert got == sorted(brute.phrases(docs, 3, 10, 2000)) and len(got) > 100
+
+
+def test_scores_of_large_counts_are_exact(spark, tmp_path):
+    a, x, y = 3_333_333_333_333_333, 4_000_000_000_000_007, 5_123_456_789_012_345
+    found = spark.createDataFrame([("en", "x y", 2, a)], "lang string, phrase string, size int, a long")
+    words = spark.createDataFrame([("en", "x", x), ("en", "y", y)], "lang string, word string, f long")
+    row = collocations.scored(found, words, f"file://{tmp_path}").first()
+    assert (row.score, row.l, row.r) == (1_000_000 * a * a // (x * y), x, y)

@@ -2,6 +2,7 @@
 
 from .alignment import op13_alignment
 from .bpe import op4_byte_bpe
+from .collocations import op12_collocations
 from .compression_quality import op5_compression_quality
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op7_jaccard_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
 
