@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from vellum.functions import labels, text as T
+from vellum.plans import streams
 from vellum.operators import audit, diff, locate, mine, redact, retrieve, rules, segment, splice, tables
 from vellum.sources import files
 from vellum.streaming import sessions
@@ -251,10 +252,12 @@ def test_lenient_json(spark, said, want):
 
 def test_file_session_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", "view"), (1, "2024-01-01 00:01:00", "view"), (1, "2024-01-01 00:02:00", "purchase"), (1, "2024-01-01 00:03:00", "view"), (2, "2024-01-01 00:00:00", "view"), (2, "2024-01-01 01:00:00", "view")]
-    df = spark.createDataFrame(rows, "user_id long, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, t string, event_type string").select("event_id", "user_id", F.to_timestamp("t").alias("ts"), "event_type", F.lit("{}").alias("props"))
     df.write.parquet(f"{tmp_path}/e")
-    q = sessions.file_sessions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e")).writeStream.format("memory").queryName("file_sessions").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
+    changes = sessions.file_sessions(streams.file_events(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e")))
+    with sessions.keyed_state(spark):
+        q = changes.writeStream.format("memory").queryName("file_sessions").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
     got = sorted((r.user_id, r.at.isoformat(), r.session, r.status) for r in spark.sql("SELECT * FROM file_sessions").collect())
     assert [(u, s, st) for u, _, s, st in got] == [(1, 1, "waiting"), (1, 1, "processing"), (1, 1, "done"), (1, 2, "waiting"), (2, 1, "waiting"), (2, 2, "waiting")]
 

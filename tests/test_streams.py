@@ -1,13 +1,13 @@
+import os
+import pathlib
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from vellum.operators import metrics
-from vellum.plans import registry
 from vellum.streaming import sessions
 
-from .oracle import SMALL, rows_of_sql
-
 START = datetime(2024, 1, 1)
 
 
@@ -36,23 +36,60 @@ def test_once_over_many_batches(spark):
     assert got == want
 
 
-def test_session_states_equal_a_plain_loop(spark):
-    events = rows_of_sql("SELECT event_type, ts, user_id FROM events", SMALL, ["event_type", "ts", "user_id"])
-    states, changes = {}, {}
-    for kind, ts, user in sorted(events, key=lambda e: (e[1], e[0])):
-        now = int(ts.timestamp())
-        status, session, last = states.get(user, ("none", 0, 0))
-        stale = now - last >= 86_400
-        if kind == "view":
-            new = ("waiting", now) if status in ("none", "done", "failed") or stale else ("processing", session)
-        elif kind in ("purchase", "error") and status == "processing" and not stale:
-            new = ("done" if kind == "purchase" else "failed", session)
-        else:
-            continue
-        states[user] = (*new, now)
-        changes.setdefault(new[0], []).append((user, new[1]))
-    got = {r.status: (r.n_changes, r.n_sessions) for r in registry.QUERIES["session_state_machine"](spark, SMALL).collect()}
-    assert got == {s: (len(c), len(set(c))) for s, c in changes.items()} and set(got) == {"waiting", "processing", "done", "failed"}
+def streamed(spark, tmp_path, rows, schema, one_by_one, make):
+    """What make(stream) gives for rows, one of them a trigger or all in one."""
+    folder = f"{tmp_path}/{'one' if one_by_one else 'all'}"
+    for i, part in enumerate([[r] for r in rows] if one_by_one else [rows]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in/{i:04d}")
+        for f in pathlib.Path(f"{folder}/in/{i:04d}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # the source takes files by their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    out = make(stream)
+    with sessions.keyed_state(spark):
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").collect()
+
+
+@pytest.mark.parametrize("one_by_one", [True, False])
+def test_once_on_a_stream(spark, tmp_path, one_by_one):
+    seconds = [("a", 0), ("b", 0), ("a", 299), ("a", 301), ("c", 400), ("b", 500), ("a", 600), ("a", 602), (None, 610), (None, 650), ("b", 799), ("b", 800)]
+    rows = [(k, START + timedelta(seconds=s), i) for i, (k, s) in enumerate(seconds)]
+    got = streamed(spark, tmp_path, rows, "key string, ts timestamp, id long", one_by_one, lambda e: sessions.once(e, ["key"], "ts", "id", late="10 seconds"))
+    assert sorted((r.key or "-", (r.ts - START).total_seconds()) for r in got) == [("-", 610), ("a", 0), ("a", 301), ("a", 602), ("b", 0), ("b", 500), ("b", 800), ("c", 400)]
+    assert sorted(r.id for r in got) == [0, 1, 3, 4, 5, 7, 8, 11]
+
+
+EVENTS = "user_id long, ts timestamp, kind string, message_id long, file_name string, file_key string"
+
+
+def files_of(spark, tmp_path, events, one_by_one, **more):
+    rows = [(u, START + timedelta(microseconds=int(s * 1e6)), kind, i, f"n{i}", f"k{i}") for i, (u, s, kind) in enumerate(events)]
+    got = streamed(spark, tmp_path, rows, EVENTS, one_by_one, lambda e: sessions.file_sessions(e, 1800, 10, "2 seconds", **more))
+    told = lambda r: (r.user_id, (r.at - START).total_seconds(), r.session, r.status, [(f.role, f.file_name, f.file_key, f.message_id) for f in r.files])
+    assert all(r.n_files == len(r.files) for r in got)
+    return sorted(map(told, got))
+
+
+@pytest.mark.parametrize("one_by_one", [True, False])
+def test_sessions_inside_one_second_are_told_apart(spark, tmp_path, one_by_one):
+    events = [(1, t / 10, k) for t, k in enumerate(["file", "file", "done", "file", "file", "failed"])]
+    file = lambda role, i: (role, f"n{i}", f"k{i}", i)
+    got = files_of(spark, tmp_path, events, one_by_one)
+    first, second = [file("first", 0), file("second", 1)], [file("first", 3), file("second", 4)]
+    assert got == [(1, 0.0, 1, "waiting", first[:1]), (1, 0.1, 1, "processing", first), (1, 0.2, 1, "done", first), (1, 0.3, 2, "waiting", second[:1]), (1, 0.4, 2, "processing", second), (1, 0.5, 2, "failed", second)]
+
+
+@pytest.mark.parametrize("one_by_one", [True, False])
+def test_a_request_waits_for_a_second_file(spark, tmp_path, one_by_one):
+    events = [(1, 0, "file"), (1, 1, "ask"), (1, 5, "file"), (2, 100, "file"), (2, 101, "ask"), (2, 103, "ask"), (3, 109, "file"), (2, 112, "file"), (2, 113, "done"), (2, 114, "file"), (4, 3_000, "ask"), (3, 3_000, "file"), (4, 5_000, "view")]
+    got = files_of(spark, tmp_path, events, one_by_one)
+    changes = [(u, at, n, status, len(f)) for u, at, n, status, f in got]
+    assert changes == [
+        (1, 0, 1, "waiting", 1), (1, 5, 1, "processing", 2),  # the second file came in time
+        (2, 100, 1, "waiting", 1), (2, 111, 1, "processing", 1),  # it didn't: on with one file, ten seconds after the first request
+        (2, 112, 2, "waiting", 1), (2, 114, 2, "processing", 2),  # a late file opens the next session; an end needs one that is processing
+        (3, 109, 1, "waiting", 1), (3, 3_000, 2, "waiting", 1),  # idle too long
+    ]
 
 
 def test_places_in_order_of_any_group(spark):

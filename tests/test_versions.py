@@ -17,7 +17,7 @@ def brute(texts, similar=versions.SIMILAR):
 def corpus():
     r = random.Random(3)
     texts = {0: None, 1: "", 2: "short", 3: "short", 4: "two words", 5: "two words"}
-    for base in range(12):
+    for base in range(40):
         words = [r.choice("abcdefghijkl") * r.randint(1, 3) for _ in range(r.randint(20, 80))]
         for _ in range(6):
             w = list(words)

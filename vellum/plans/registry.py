@@ -1,6 +1,6 @@
 """All queries over the driver tables and the SQL that must give the same rows."""
 
-from . import catalogue, contracts, documents, evaluation, retrieval, scores, tasks
+from . import catalogue, contracts, documents, evaluation, retrieval, scores, streams, tasks
 
-QUERIES = {**documents.QUERIES, **catalogue.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **contracts.QUERIES, **scores.QUERIES, **tasks.QUERIES}
-ORACLES = {**documents.ORACLES, **catalogue.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES, **contracts.ORACLES, **scores.ORACLES, **tasks.ORACLES}
+QUERIES = {**documents.QUERIES, **catalogue.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **contracts.QUERIES, **scores.QUERIES, **tasks.QUERIES, **streams.QUERIES}
+ORACLES = {**documents.ORACLES, **catalogue.ORACLES, **retrieval.ORACLES, **evaluation.ORACLES, **contracts.ORACLES, **scores.ORACLES, **tasks.ORACLES, **streams.ORACLES}

@@ -144,18 +144,6 @@ n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, k"""
 
 
-def session_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream through the two-file session with a day of patience; every state reached."""
-    folder = folder_for(spark, "sessions")
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
-    stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    out = S.file_sessions(stream, 86_400)
-    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("status").agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("user_id", "session").alias("n_sessions"))
-
-
 def bm25_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best documents of each language, an index of its own, for benchmark items whose id is divisible by 20."""
     q = _words(table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"), "item_id", "query_id")
@@ -196,5 +184,5 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNIT_SQL = "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS one FROM embeddings"
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, bm25_by_language, index_upkeep, unit_vectors, event_dedup, user_sessions, session_state_machine)}
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, bm25_by_language, index_upkeep, unit_vectors, event_dedup, user_sessions)}
 ORACLES = {"vector_topk": VECTOR_SQL, "bm25_topk": BM25_SQL, "hybrid_fusion": HYBRID_SQL, "tiered_retrieval": TIERED_SQL, "hash_embedding": HASH_SQL, "event_dedup": DEDUP_SQL, "user_sessions": SESSIONS_SQL, "bm25_by_language": BM25_LANG_SQL, "index_upkeep": INDEX_SQL, "unit_vectors": UNIT_SQL}
