@@ -124,9 +124,9 @@ def word_counts(texts: DataFrame, folder: str) -> DataFrame:
 def counters_of(words: DataFrame) -> np.ndarray:
     """Frequencies added up by the counter of each word: COUNTERS numbers, of which the driver reads those that aren't 0."""
     key = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("word").cast("binary"))) % COUNTERS
-    sums = words.groupBy(key.alias("counter")).agg(F.sum("f").alias("f")).toPandas()
+    sums = words.groupBy(key.cast("int").alias("counter")).agg(F.sum("f").cast("float").alias("f")).toArrow()
     out = np.zeros(COUNTERS, np.float32)
-    out[sums["counter"].to_numpy(np.int64)] = sums["f"].to_numpy()
+    out[sums["counter"].to_numpy()] = sums["f"].to_numpy()
     return out
 
 
