@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,23 +37,75 @@ def test_drop_copies_keeps_columns(spark):
     assert exact_dedup.drop_copies(df.limit(0)).count() == 0
 
 
-def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+def decided(df):
+    return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+
+
+COLLIDING = lambda t: F.length(t).cast("string")
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, COLLIDING], ids=["sha256", "colliding"])
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, digest):
     parts = [[(1, "a"), (2, "b"), (3, "b")], [(4, "a"), (0, "b"), (5, "c")], [(6, "c"), (7, None)], []]
-    tables = []
+    want = [
+        [(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True)],
+        [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)],
+        [(6, 6, 2, True), (7, 7, 1, True)],
+        [],
+    ]
+    calls = []
     for i, rows in enumerate(parts):
-        spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/part-{i}")
-        tables.append(f"{tmp_path}/part-{i}")
-    for digest in (exact_dedup.sha256, lambda t: F.length(t).cast("string")):
-        state, got = f"{tmp_path}/state-{digest is exact_dedup.sha256}", []
-        for i, path in enumerate(tables):
-            earlier = spark.read.parquet(*tables[:i]) if i else None
-            got.append(sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.read.parquet(path), digest=digest, state_dir=state, earlier=earlier).collect()))
-        assert got == [
-            [(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True)],
-            [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)],
-            [(6, 6, 2, True), (7, 7, 1, True)],
-            [],
-        ]
+        df = spark.createDataFrame(rows, DOCS)
+        if i != 2:  # the third is no plain scan: its texts are copied beside the state
+            df.coalesce(1).write.parquet(f"{tmp_path}/part-{i}")
+            df = spark.read.parquet(f"{tmp_path}/part-{i}")
+        calls.append(lambda df=df: decided(exact_dedup.exact_dedup(df, digest=digest, state_dir=f"{tmp_path}/state")))
+    assert [c() for c in calls] == want
+    assert [c() for c in calls] == want  # each again: nothing changes
+
+
+def test_exact_dedup_checks_bytes_of_earlier_calls_or_fails(spark, tmp_path):
+    for name, rows in (("one", [(1, "aaa"), (2, "cc")]), ("two", [(9, "bbb"), (8, "d")])):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    go = lambda name: decided(exact_dedup.exact_dedup(read(name), digest=COLLIDING, state_dir=f"{tmp_path}/state"))
+    go("one")
+    assert go("two") == [(8, 8, 1, True), (9, 9, 1, True)]
+    spark.createDataFrame([(5, "eee")], DOCS).coalesce(1).write.parquet(f"{tmp_path}/three")
+    os.rename(f"{tmp_path}/one", f"{tmp_path}/gone")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|aren't where they were"):
+        go("three")
+
+
+def test_exact_dedup_takes_up_a_call_that_broke_off(spark, tmp_path, monkeypatch):
+    for i, rows in enumerate([[(1, "a"), (2, "a")], [(3, "a"), (4, "b")]]):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    go = lambda i: decided(exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{i}"), state_dir=f"{tmp_path}/state"))
+    run = exact_dedup.keep_state
+
+    def dies(*args):
+        if steps.pop():
+            run(*args)  # the stream has read the rows, but nobody has told what came of it
+        raise OSError("lost")
+
+    for steps in ([False], [True]):
+        monkeypatch.setattr(exact_dedup, "keep_state", dies)
+        with pytest.raises(OSError, match="lost"):
+            go(0)
+        monkeypatch.setattr(exact_dedup, "keep_state", run)
+    assert go(0) == [(1, 2, 2, False), (2, 2, 2, True)]
+    assert go(1) == [(3, 3, 3, True), (4, 4, 1, True)]
+
+
+def test_a_call_reads_the_updates_of_its_own_batches(spark, tmp_path, monkeypatch):
+    read = []
+    after = exact_dedup._state_after
+    monkeypatch.setattr(exact_dedup, "_state_after", lambda s, f, low, high: read.append(high - low + 1) or after(s, f, low, high))
+    for i in range(4):
+        spark.createDataFrame([(i, "a"), (10 + i, f"x{i}")], DOCS).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        got = decided(exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{i}"), state_dir=f"{tmp_path}/state"))
+        assert got == [(i, i, i + 1, True), (10 + i, 10 + i, 1, True)]
+    assert len(set(read[1:])) == 1
 
 
 def near_copies(seed=2):
@@ -139,6 +193,18 @@ def test_suffix_dedup_splits_long_texts(spark, monkeypatch):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_dedup_of_many_repeated_rows(spark):
+    """Rows of one text: as many with no id cost about what as many with ids of their own do."""
+    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(3_000))
+    took = []
+    for rows in ([(i, text) for i in range(2_000)], [(None, text)] * 2_000):
+        at = time.time()
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(4)).groupBy("n_removed", "n_spans").count().collect()
+        took.append(time.time() - at)
+        assert [tuple(r) for r in got] == [(3_000, 1, 2_000)]
+    assert took[1] < 3 * took[0] + 10, took
+
+
 def test_suffix_query(spark):
     got = sorted(tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, SMALL).collect())
     assert got == sorted((i, n, k, s, sha(b)) for i, n, k, s, b in without_repeats(small_docs(), 400))
