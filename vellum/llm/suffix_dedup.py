@@ -393,7 +393,8 @@ def repeated_spans(docs: DataFrame, length: int, folder: str, group: int = GROUP
         segs = written(docs.select("id", "text_key", "bytes").mapInArrow(_segments(length, seed, digest), SEGMENT), f"{folder}/segments")
         met = written(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), f"{folder}/met")
         hits = written(segs.join(met, "anchor"), f"{folder}/hits")
-        asked = written(hits.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "seg", "lo", "windows", "at")).alias("asked")), f"{folder}/asked")
+        # rows that repeat id and text ask once, and each of them then gives its own copies
+        asked = written(hits.groupBy("id", "text_key").agg(F.collect_set(F.struct("anchor", "seg", "lo", "windows", "at")).alias("asked")), f"{folder}/asked")
         texts = docs.select("id", "text_key", "bytes").join(asked, ["id", "text_key"])
         pieces = fold(texts.mapInArrow(_pieces(length), PIECE), f"{folder}/pieces")
         if not ambiguous(pieces):
