@@ -109,15 +109,18 @@ def entities_of(text):
 
 def disclosing_terms(docs, alpha, support):
     """{term: whether it is certain} by a plain loop over all entities and terms. docs: [text]"""
-    held, words = [], []
+    held, words, seen = [], [], set()
     for t in docs:
         t = t or ""
+        if t in seen and identifiers(t):
+            continue  # equal texts with identifiers count once
+        seen.add(t)
         blank = list(t)
         for a, _, b in identifiers(t):
             blank[a:b] = " " * (b - a)
         held.append(entities_of(t))
-        words.append({w.lower() for w in re.findall(r"[^\W\d_]{4,}", "".join(blank))})
-    n, df_e, df_t, both = len(docs), defaultdict(int), defaultdict(int), defaultdict(int)
+        words.append({w.lower() for w in re.findall(r"[^\W_]{2,}", "".join(blank))})
+    n, df_e, df_t, both = len(held), defaultdict(int), defaultdict(int), defaultdict(int)
     for es, ws in zip(held, words, strict=True):
         for w in ws:
             df_t[w] += 1
@@ -127,8 +130,10 @@ def disclosing_terms(docs, alpha, support):
                 both[e, w] += 1
     out = {}
     for (e, w), k in both.items():
-        pmi, ic, joint = math.log2(n * k / (df_e[e] * df_t[w])), math.log2(n / df_e[e]), math.log2(n / k)
-        if df_e[e] < n and pmi >= alpha * ic - 1e-9 and (k >= support or pmi >= alpha * joint - 1e-9):
+        m, z = df_t[w], 1.2816
+        p = k / m
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if df_e[e] < n and k >= support and math.log2(low * n / df_e[e]) >= alpha * math.log2(n / df_e[e]) - 1e-9:
             out[w] = out.get(w, False) or k >= df_t[w]
     return out
 
@@ -138,7 +143,7 @@ def term_spans(text, given):
     blank = list(text or "")
     for a, _, b in identifiers(text):
         blank[a:b] = " " * (b - a)
-    return [m.span() for m in re.finditer(r"[^\W\d_]{4,}", "".join(blank)) if m.group().lower() in given]
+    return [m.span() for m in re.finditer(r"[^\W_]{2,}", "".join(blank)) if m.group().lower() in given]
 
 
 def topic_of(t):

@@ -4,21 +4,21 @@ Everything is DataFrame and SQL functions. Identifiers (e-mail, IP, card, phone)
 forms of the given patterns. Then corpus co-occurrence tells how strongly a term of a document that holds a
 protected entity reveals it. Entities are identifiers by exact value, and the classes they fall into: all of a
 kind, and those of one e-mail domain, network (two parts of an IP), card issuer (six digits) or country code.
-With document frequencies over all documents, a term t discloses an entity e if
-
-    PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))) >= ALPHA * IC(e),   IC(e) = log2(N / df(e))
-
-that is, if knowing t takes away ALPHA of the information that e carries. Pairs seen in fewer than MIN_SUPPORT
-documents must do so of their joint information as well, PMI(e; t) >= ALPHA * log2(N / df(e, t)): a rare term
-beside a rare identifier passes, one that came by chance into one document of a common identifier doesn't.
+With document frequencies, a term t would disclose an entity e if PMI(e; t) = log2(P(e | t) * N / df(e)) >= ALPHA * IC(e), where
+IC(e) = log2(N / df(e)): if knowing t took away ALPHA of the information that e carries. But of a term seen once beside an identifier
+seen once that is true by construction, so nothing is judged on fewer than MIN_SUPPORT documents that hold both, and P(e | t) isn't
+taken as df(e, t) / df(t) but as the lower end of its confidence interval (Wilson's, Z standard deviations): a term that was met a
+few times must meet e nearly always, one that was met often may miss it at times. Equal texts that hold identifiers count
+once, so that copies of a document don't vouch for each of its words.
 Entities that are in just the same documents disclose alike, so one stands for all of them: a document with
 thousands of identifiers of its own is one entity with its terms, not thousands.
-Terms are taken from whole documents, outside their identifiers, and every occurrence of a disclosing term in
-any document gets a span of kind `term`. sanitise() removes terms that always come with e and generalises the rest.
+Terms are runs of two or more letters and digits (names of several words are judged word by word), taken from whole documents, outside
+their identifiers, and every occurrence of a disclosing term in any document gets a span of kind `term`. sanitise() removes terms that
+always come with e; the others it generalises: to the broader term that a table gives for them, else to their kind.
 
 Defined results: null text counts as empty and has no spans; spans are half-open ranges of code points,
 sorted by start, then kind; of spans that overlap sanitise() takes the first; rows that repeat id and text
-each count as a document; an empty table gives an empty result; columns other than id and text are ignored,
+each get their spans; an empty table gives an empty result; columns other than id and text are ignored,
 whatever their names.
 """
 
@@ -40,9 +40,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}]{2,}"
 MIN_SUPPORT = 3
 ALPHA = 0.9
+#: Standard deviations: 9 of 10 shares lie above the lower end.
+Z = 1.2816
 #: Bits by which a threshold may be missed for the rounding of logarithms.
 ROUNDING = 1e-9
 
@@ -136,29 +138,37 @@ def entities_of(base: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(base, classed)))
 
 
+def wilson_low(k: Column, n: Column) -> Column:
+    """The lower end of the confidence interval of a share that was k of n."""
+    p, z2 = k / n, Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def disclosing(base: DataFrame, folder: str, alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, certain) of terms over the threshold. base: (row, entities, words), one row for each document.
+    """(entity, term, certain) of terms over the threshold. base: (row, text_key, entities, words), one row for each document.
 
     entity stands for every entity that is in just the same documents.
     """
-    n = float(base.count())
-    holders = base.where(F.size("entities") > 0)
+    holds = F.size("entities") > 0
+    holders = written(base.where(holds).select("row", "text_key", "entities", "words").dropDuplicates(["text_key"]), f"{folder}/holders")
+    n = float(base.where(~holds).count() + holders.count())
     entities = holders.select("row", F.explode("entities").alias("entity"))
     places = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("row"))).alias(f"x{seed}") for seed in (1, 2)]
-    met = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"), *places).where(F.col("df_entity") < n)
+    met = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"), *places).where(F.col("df_entity").between(support, n - 1))
     df_entity = written(met.groupBy("df_entity", "x1", "x2").agg(F.min("entity").alias("entity")).select("entity", "df_entity"), f"{folder}/entities")
     most = df_entity.agg(F.max("df_entity")).first()[0] or 0
-    # df(e, t) is at most df(e) and df(t), so a pair passes only if N / max(df(e), df(t)) >= (N / df(e)) ** alpha
+    # df(e, t) is at most df(e), so a pair passes only if df(t) <= df(e) * (N / df(e)) ** (1 - alpha)
     reach = lambda df: n ** (1 - alpha) * df**alpha * (1 + 1e-9)
-    terms = base.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    terms = written(terms.where(F.col("df_term") <= F.lit(float(max(reach(most), most)))), f"{folder}/words")
+    counted = base.where(~holds).select("words").unionByName(holders.select("words"))
+    terms = counted.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    terms = written(terms.where(F.col("df_term").between(F.lit(float(support)), F.lit(float(max(reach(most), most))))), f"{folder}/words")
     told = holders.select("row", F.explode("words").alias("term")).join(broadcast_if_small(terms), "term")
     known = entities.join(broadcast_if_small(df_entity), "entity")
     pairs = known.join(told, "row").where(F.col("df_term") <= F.greatest(F.col("df_entity"), F.lit(n) ** (1 - alpha) * F.col("df_entity") ** alpha * (1 + 1e-9)))
-    both = pairs.groupBy("entity", "term", "df_entity", "df_term").agg(F.count(F.lit(1)).alias("df_both"))
-    ic, joint = F.log2(F.lit(n) / F.col("df_entity")), F.log2(F.lit(n) / F.col("df_both"))
-    pmi = F.log2(F.lit(n) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    passed = both.where((pmi >= ic * alpha - ROUNDING) & ((F.col("df_both") >= support) | (pmi >= joint * alpha - ROUNDING)))
+    both = pairs.groupBy("entity", "term", "df_entity", "df_term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= support)
+    ic = F.log2(F.lit(n) / F.col("df_entity"))
+    pmi = F.log2(wilson_low(F.col("df_both"), F.col("df_term")) * n / F.col("df_entity"))
+    passed = both.where(pmi >= ic * alpha - ROUNDING)
     return written(passed.select("entity", "term", (F.col("df_both") >= F.col("df_term")).alias("certain")), f"{folder}/disclosing")
 
 
@@ -193,19 +203,36 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id.alias("doc_id"), F.coalesce(id, F.lit(0)).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = MIN_SUPPORT) -> DataFrame:
-    """doc_id and the sanitised text: identifiers and disclosing terms replaced by their kind, certain terms removed."""
-    spans = find_pii(docs, id_col, text_col, alpha, support).where(F.size("all") > 0).select("id", "text_key", "all").dropDuplicates(["id", "text_key"])
-    joined = _named(docs, id_col, text_col).join(spans, ["id", "text_key"], "left")
-    text = F.col("text")
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = MIN_SUPPORT, broader: DataFrame | None = None) -> DataFrame:
+    """doc_id and the sanitised text: identifiers replaced by their kind, disclosing terms by a broader term or their kind, certain ones removed.
+
+    broader: (term, broader), terms in lower case; one row a term. A broader term that discloses something itself isn't taken.
+    """
+    folder = shared_dir(docs.sparkSession, "sanitise")
+    found = written(find_pii(docs, id_col, text_col, alpha, support).where(F.size("all") > 0).select("id", "text_key", "all").dropDuplicates(["id", "text_key"]), f"{folder}/found")
+    named, text = _named(docs, id_col, text_col), F.col("text")
+    labelled = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["certain"], "").otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]"))).alias("label")))
+    spans = found.select("id", "text_key", labelled.alias("spans"))
+    if broader is not None:
+        # each term span with its word; a document's spans come together again by its name
+        one = named.select("id", "text_key", "text").dropDuplicates(["id", "text_key"]).join(found, ["id", "text_key"]).select("id", "text_key", F.posexplode("all").alias("i", "s"), "text")
+        term = F.when(F.col("s.kind") == KINDS.index("term"), F.lower(F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))))
+        one = written(one.select("id", "text_key", "i", "s", term.alias("term")), f"{folder}/one")
+        terms = one.where("term IS NOT NULL").select("term").distinct()
+        known = broader.select("term", F.col("broader")).dropDuplicates(["term"]).join(terms.withColumnRenamed("term", "gives"), F.lower("broader") == F.col("gives"), "left_anti")
+        known = broadcast_if_small(written(known.join(terms, "term", "left_semi"), f"{folder}/broader"))
+        name = F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind"))), F.lit("]"))
+        label = F.when(F.col("s.certain"), "").otherwise(F.coalesce("broader", name))
+        spans = one.join(known, "term", "left").groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("i", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), label.alias("label")).alias("s")))).alias("x"))
+        spans = spans.select("id", "text_key", F.transform("x", lambda x: x["s"]).alias("spans"))
+    joined = named.join(spans, ["id", "text_key"], "left")
 
     def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["certain"], "").otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]")))
-        told = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label)
+        told = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["label"])
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), told.alias("out")))
 
-    done = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select("doc_id", F.when(F.col("all").isNull(), text).otherwise(done).alias("text"))
+    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.select("doc_id", F.when(F.col("spans").isNull(), text).otherwise(done).alias("text"))
 
 
 def span_list(spans: Column) -> Column:
