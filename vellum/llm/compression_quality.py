@@ -6,8 +6,8 @@ to probability, fitted on labelled rows that the dictionaries haven't seen. Whol
 whole labelled texts are trained on, a piece at a time where they are long.
 
 Bounds: FIT_ROWS labelled rows at most, half for the dictionaries and half for the map, drawn by a hash of the
-id; of the dictionaries' half, a class's pieces are bounded by a quarter of FIT_ROWS, drawn by a hash of id and
-place, so that every part of a long text has the same chance. Scoring has no bound.
+id; of the dictionaries' half, a class's pieces are bounded by FIT_PIECES, drawn by a hash of id and place, so
+that every part of a long text has the same chance. Scoring has no bound.
 
 Defined results: a null or empty text has difference 0, and gets the score of that; rows are scored alone, so
 ties and repeated rows change nothing; repeated labels of a row count each; labels that are null are left out;
@@ -32,16 +32,18 @@ DICT_BYTES, SEGMENT, PART = 64 << 10, 1000, 8
 LEVEL = 3
 #: Bytes compressed, or trained on, at a time, so that the dictionary counts throughout a long text.
 PIECE = 4 << 10
+#: Most pieces of a class that its dictionary is trained on.
+FIT_PIECES = 5_000
 #: Bytes of a frame that hold no content.
 FRAME = 7
 
 
 def train(pieces: list[bytes]) -> bytes:
-    """A dictionary; of too few pieces for training, their raw content."""
+    """A dictionary; of pieces too few or too alike for training, each different one as it is."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces, k=SEGMENT, d=PART, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-DICT_BYTES:]
+        return b"".join(dict.fromkeys(pieces))
 
 
 def difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
@@ -96,13 +98,13 @@ def _pieces(sample: DataFrame, most: int) -> list[bytes]:
     return [bytes(r["piece"]) for r in cut.orderBy("draw", "piece").select("piece").toLocalIterator()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fitted on at most `rows` labelled rows: half for the dictionaries, half for calibration."""
+def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", rows: int = FIT_ROWS, pieces: int = FIT_PIECES) -> Model:
+    """Fitted on at most `rows` labelled rows: half for the dictionaries (about `pieces` pieces a class at most), half for calibration."""
     sample = fit_sample(docs, labels, label, keep, rows).withColumn("half", fold(F.col("doc_id"), 2)).cache()
     try:
         halves = {(r["half"], r["label"]): r["n"] for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
         good, bad = (sum(n for (_, c), n in halves.items() if c == which) for which in (1, 0))
-        dicts = [_pieces(sample.where((F.col("half") == 0) & (F.col("label") == which)), rows // 4) for which in (1, 0)]
+        dicts = [_pieces(sample.where((F.col("half") == 0) & (F.col("label") == which)), pieces) for which in (1, 0)]
         if not all(dicts) or not (halves.get((1, 0)) and halves.get((1, 1))):
             return Model(None, None, None, good / max(1, good + bad))
         dicts = [train(d) for d in dicts]
