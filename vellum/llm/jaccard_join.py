@@ -28,6 +28,7 @@ id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -346,6 +347,11 @@ BIN = "rough long, own long, bin long, low long, high long, extra long, bitmap b
 WIDTH = 1.1
 
 
+def size_classes(t: int) -> int:
+    """How many classes of sizes apart two sets that reach t % can be."""
+    return math.ceil(math.log(100 / max(t, 1)) / math.log(WIDTH)) + 1
+
+
 def _bins():
     """Rows (rough, own, bin, size, hashes) in order of bin -> a row for each bin: range of sizes, most extra hashes, OR of bitmaps."""
     kinds = [pa.int64()] * 6 + [pa.binary()]
@@ -444,8 +450,13 @@ def exact_links(docs: DataFrame, members: DataFrame, met: DataFrame, n: int, t:
     nodes = written(rows.repartition("rough", "bin").sortWithinPartitions("rough", "own", "bin").select("rough", "own", "bin", "size", "hashes").mapInArrow(_bins(), BIN), f"{folder}/nodes")
 
     # the upper part of the dual traversal: bins that may link and aren't one component
-    side = lambda s: nodes.select("rough", *[F.col(c).alias(f"{c}{s}") for c in ("own", "bin", "low", "high", "extra", "bitmap")])
-    pairs = side(1).join(side(2), "rough").where(f"bin1 <= bin2 AND NOT coalesce(own1 = own2, false) AND 100 * high1 >= {t} * low2 AND 100 * high2 >= {t} * low1")
+    # only bins whose ranges of sizes allow a link meet: each side is looked for under its own class of sizes and those near it
+    near = F.explode(F.sequence(F.lit(-size_classes(t)), F.lit(size_classes(t))))
+    classed = nodes.withColumn("width", F.floor(F.log(WIDTH, F.col("low").cast("double"))))
+    side = lambda s, *more: classed.select("rough", *more, *[F.col(c).alias(f"{c}{s}") for c in ("own", "bin", "low", "high", "extra", "bitmap")])
+    first = side(1, "width")
+    second = side(2, "width", near.alias("near")).withColumn("width", F.col("width") + F.col("near")).drop("near")
+    pairs = first.join(second, ["rough", "width"]).where(f"bin1 <= bin2 AND NOT coalesce(own1 = own2, false) AND 100 * high1 >= {t} * low2 AND 100 * high2 >= {t} * low1")
     pairs = written(pairs.mapInArrow(_open_pairs(t), "rough long, bin1 long, bin2 long").select(F.xxhash64("rough", "bin1", "bin2").alias("tile"), "rough", "bin1", "bin2"), f"{folder}/pairs")
     ends_of = pairs.select("tile", "rough", F.col("bin1").alias("bin")).unionByName(pairs.select("tile", "rough", F.col("bin2").alias("bin"))).distinct()
     tiles = ends_of.join(binned, ["rough", "bin"]).select("tile", "id")
