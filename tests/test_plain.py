@@ -1,10 +1,13 @@
 """Queries that SQL can't express, held against plain Python over the smallest tables."""
 
+import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
 from vellum.functions import text as T
-from vellum.operators import redact
+from vellum.operators import diff, redact, segment
 from vellum.plans import registry
 
 from .oracle import SMALL, rows_of_sql
@@ -58,22 +61,78 @@ def test_sentence_differences_of_versions(spark):
         assert (r.total, r.added, r.deleted, r.modified, r.unchanged) == (len(want[r.pair_id]), kinds["added"], kinds["deleted"], kinds["modified"], 0)
 
 
-def test_clause_differences_take_each_clause_once(spark):
+def clause_changes(before, after):
+    """[(kind, place before, place after)] by difflib's blocks, a plain search for the likest clause, and a plain search for moves."""
+    like = lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else float(x == y)
+    pairs, gone, come = [], [], []
+    for tag, i, j, k, m in SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
+        if tag == "equal":
+            continue
+        left = list(range(k, m))
+        for x in range(i, j):
+            scores = [like(before[x], after[y]) for y in left] if tag == "replace" else []
+            if scores and max(scores) >= 0.22:
+                y = left.pop(scores.index(max(scores)))
+                pairs.append(("moved" if before[x] == after[y] else "changed", x, y))
+            else:
+                gone.append(x)
+        come += left
+    deleted = []
+    for x in gone:
+        scores = [like(before[x], after[y]) for y in come]
+        if scores and max(scores) >= 0.92:
+            pairs.append(("moved", x, come.pop(scores.index(max(scores)))))
+        else:
+            deleted.append(("deleted", x, None))
+    return pairs + deleted + [("added", None, y) for y in come]
+
+
+def test_clause_differences_equal_difflib(spark):
+    """Over the version pairs of the table, and over versions whose clauses were dealt anew, so that some move."""
+    docs = documents()
+    r = random.Random(3)
+    texts = [(i, docs[old], docs[i]) for i, old in brute(docs).items()]
+    words = "pay deliver court term notice fee supplier buyer accept refuse".split()
+    for k in range(40):
+        old = [" ".join(r.choice(words) for _ in range(r.randint(4, 12))) for _ in range(r.randint(2, 14))]
+        new = [x if r.random() < 0.7 else x + " " + r.choice(words) for x in old if r.random() < 0.9]
+        for _ in range(r.randint(0, 3)):
+            new.insert(r.randint(0, len(new)), new.pop(r.randrange(len(new))) if new else "all new")
+        texts.append((100_000 + k, "\n".join(x + "。" for x in old), "\n".join(x + "。" for x in new)))
+    df = spark.createDataFrame(texts, "pair_id long, old string, new string")
+    sides = [segment.clauses(df.select("pair_id", F.translate(c, ".", "。").alias("t")), "pair_id", "t") for c in ("old", "new")]
+    cut = []
+    for side in sides:
+        cut.append({})
+        for x in side.orderBy("pair_id", "order").collect():
+            cut[-1].setdefault(x.pair_id, []).append((x.text, x.normalized))
+    got, kinds = {}, Counter()
+    for x in diff.clause_diff(*sides).collect():
+        got.setdefault(x.pair_id, []).append((int(x.diff_id.rsplit("-", 1)[1]), x.change_type, x.before, x.after))
+        kinds[x.change_type] += 1
+    for i, _, _ in texts:
+        b, a = cut[0].get(i, []), cut[1].get(i, [])
+        found = clause_changes([x for _, x in b], [x for _, x in a])
+        want = [(n + 1, kind, "" if x is None else b[x][0], "" if y is None else a[y][0]) for n, (kind, x, y) in enumerate(found)]
+        assert sorted(got.get(i, [])) == want, i
+    assert min(kinds[k] for k in ("moved", "changed", "added", "deleted")) >= 10
+
+
+def test_clause_diff_moves_query_is_that_of_its_versions(spark):
     docs = documents()
     pairs = brute(docs)
-    cut = lambda t: [x for line in t.replace(".", "。").split("\n") for s in re.findall(r"[^。；;！？!?]+[。；;！？!?]?", line.strip()) if (x := s.strip())]
-    met = {}
-    for r in registry.QUERIES["clause_diff_moves"](spark, SMALL).collect():
-        assert (r.before == "") == (r.change_type == "added") and (r.after == "") == (r.change_type == "deleted")
-        b, a = met.setdefault(r.pair_id, ([], []))
-        b += [r.before] * bool(r.before)
-        a += [r.after] * bool(r.after)
-    assert met and set(met) <= set(pairs)
-    bare = lambda s: re.sub(r"[。，,. \t、；;（）()：:]", "", s)
-    for i, (b, a) in met.items():
-        for found, text in ((b, docs[pairs[i]]), (a, docs[i])):
-            whole = Counter(map(bare, cut(text)))
-            assert all(any(bare(f) in w for w in whole) for f in found)
+    rows = registry.QUERIES["clause_diff_moves"](spark, SMALL).collect()
+    df = spark.createDataFrame([(i, docs[old], docs[i]) for i, old in pairs.items()], "pair_id long, old string, new string")
+    sides = [segment.clauses(df.select("pair_id", F.translate(c, ".", "。").alias("t")), "pair_id", "t") for c in ("old", "new")]
+    want = {(x.diff_id, x.change_type, x.before, x.after) for x in diff.clause_diff(*sides).collect()}
+    assert {(x.diff_id, x.change_type, x.before, x.after) for x in rows} == want and len(rows) == len(want)
+    # whether a change counts, by the words and numbers of both sides
+    for x in rows:
+        text = x.before + x.after
+        if not any(w in text for w in diff.SUBSTANTIVE_ZH) or x.change_type == "moved":
+            assert not x.is_substantive
+        elif not x.before or not x.after:
+            assert x.is_substantive
 
 
 def test_quotes_of_documents(spark):

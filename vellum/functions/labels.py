@@ -24,7 +24,7 @@ def cascade(text: Column, rules, default) -> Column:
 
 
 #: Words of key clauses.
-KEY_CLAUSE_ZH = "违约 赔偿 责任 罚款 解除 终止 付款 金额 交付 保密 知识产权".split()
+KEY_CLAUSE_ZH = ("违约", "赔偿", "责任", "罚款", "解除", "终止", "付款", "金额", "交付", "保密", "知识产权")
 
 #: Pattern, type and level of headings, in order of trial; lengths 2 to 200 only.
 HEADINGS_ZH = (
@@ -62,22 +62,22 @@ def style_heading(style: Column) -> Column:
 
 #: Review modules of changed clauses, in order of trial.
 MODULES_ZH = (
-    ("知识产权", "知识产权 源代码 交付成果 技术文档 接口文档 既有技术 通用组件".split()),
-    ("服务水平", "SLA 服务水平 响应 恢复 故障 未达标 扣减 扣款".split()),
-    ("押金退还", "押金 退还 无息退还 剩余押金".split()),
-    ("所有权/风险转移", "所有权 风险转移 灭失 毁损 到货签收 验收合格并完成交接".split()),
-    ("合同标的", "合同标的 设备数量 新增 试点".split()),
+    ("知识产权", ("知识产权", "源代码", "交付成果", "技术文档", "接口文档", "既有技术", "通用组件")),
+    ("服务水平", ("SLA", "服务水平", "响应", "恢复", "故障", "未达标", "扣减", "扣款")),
+    ("押金退还", ("押金", "退还", "无息退还", "剩余押金")),
+    ("所有权/风险转移", ("所有权", "风险转移", "灭失", "毁损", "到货签收", "验收合格并完成交接")),
+    ("合同标的", ("合同标的", "设备数量", "新增", "试点")),
     ("保密条款", ["保密"]),
-    ("解除条款", "解除 终止".split()),
-    ("数据安全", "数据 个人信息 删除 返还 书面证明 加密 访问控制".split()),
-    ("付款条款", "付款 支付 款项 付款申请 支付相应款项 服务费 发票".split()),
-    ("交付验收", "验收标准 组织验收 验收期限 验收不合格 免费整改 整改".split()),
-    ("管辖法院", "管辖 法院 仲裁".split()),
+    ("解除条款", ("解除", "终止")),
+    ("数据安全", ("数据", "个人信息", "删除", "返还", "书面证明", "加密", "访问控制")),
+    ("付款条款", ("付款", "支付", "款项", "付款申请", "支付相应款项", "服务费", "发票")),
+    ("交付验收", ("验收标准", "组织验收", "验收期限", "验收不合格", "免费整改", "整改")),
+    ("管辖法院", ("管辖", "法院", "仲裁")),
     ("争议解决", ["争议"]),
-    ("赔偿责任上限", "责任上限 赔偿总额 赔偿上限 已收取费用总额 合同总价为上限".split()),
+    ("赔偿责任上限", ("责任上限", "赔偿总额", "赔偿上限", "已收取费用总额", "合同总价为上限")),
 )
 #: Words of a breach, which is a cap on damages if both further words stand in the text.
-BREACH_ZH, CAP_ZH = "违约 赔偿 损失 律师费".split(), "上限 赔偿".split()
+BREACH_ZH, CAP_ZH = ("违约", "赔偿", "损失", "律师费"), ("上限", "赔偿")
 
 
 def review_module(before: Column, after: Column) -> Column:
@@ -89,12 +89,12 @@ def review_module(before: Column, after: Column) -> Column:
 
 #: Categories of differences, in order of trial.
 CATEGORIES_ZH = (
-    ("付款条款", "付款 支付".split()), ("合同金额", "金额 价款 合同总价 价格".split()), ("发票条款", ["发票"]), ("税费承担", "税 税费".split()),
-    ("验收条款", ["验收"]), ("交付条款", "交付 交货".split()), ("违约责任", "违约 赔偿".split()), ("解除终止", "解除 终止".split()),
-    ("保密义务", ["保密"]), ("知识产权归属", "知识产权 著作权 专利 成果归属".split()), ("争议解决", "争议 仲裁 法院 管辖".split()),
+    ("付款条款", ("付款", "支付")), ("合同金额", ("金额", "价款", "合同总价", "价格")), ("发票条款", ["发票"]), ("税费承担", ("税", "税费")),
+    ("验收条款", ["验收"]), ("交付条款", ("交付", "交货")), ("违约责任", ("违约", "赔偿")), ("解除终止", ("解除", "终止")),
+    ("保密义务", ["保密"]), ("知识产权归属", ("知识产权", "著作权", "专利", "成果归属")), ("争议解决", ("争议", "仲裁", "法院", "管辖")),
 )
 #: Categories of medium risk.
-MEDIUM_ZH = "合同金额 付款条款 违约责任 验收条款 争议解决 知识产权归属".split()
+MEDIUM_ZH = ("合同金额", "付款条款", "违约责任", "验收条款", "争议解决", "知识产权归属")
 #: Fixed values.
 CHANGE_TYPES = ("added", "deleted", "modified", "moved")
 
@@ -113,14 +113,19 @@ def diff_risk(category: Column) -> Column:
 
 
 #: Final risk, its word in results, and the spellings it goes by.
-RISKS = (("high", "高风险", "high 高 高风险"), ("medium", "中风险", "medium mid 中 中风险"), ("low", "低风险", "low 低 低风险"), ("pass", "通过", "pass passed 通过"))
+RISKS = (
+    ("high", "高风险", ("high", "高", "高风险")),
+    ("medium", "中风险", ("medium", "mid", "中", "中风险")),
+    ("low", "低风险", ("low", "低", "低风险")),
+    ("pass", "通过", ("pass", "passed", "通过")),
+)
 
 
 def _risk(value: Column, place: int) -> Column:
     v = F.replace(F.lower(F.coalesce(blank_to_null(value), F.lit("pass"))), F.lit(" "), F.lit(""))
     out = None
     for row in RISKS:
-        hit = v.isin(*row[2].split()) | F.contains(v, F.lit(row[1]))
+        hit = v.isin(*row[2]) | F.contains(v, F.lit(row[1]))
         out = F.when(hit, row[place]) if out is None else out.when(hit, row[place])
     return out.otherwise(RISKS[-1][place])
 
@@ -141,7 +146,7 @@ def compare_risk(value: Column) -> Column:
 
 
 #: What stands for nothing, for text that was not found, and for a vague key.
-NOTHING, NOT_FOUND, VAGUE = "无", ("未发现明确原文", "相关内容缺失"), "缺失 不明确 不清晰 不具体 不足".split()
+NOTHING, NOT_FOUND, VAGUE = "无", ("未发现明确原文", "相关内容缺失"), ("缺失", "不明确", "不清晰", "不具体", "不足")
 
 
 def action_type(risk: Column, key: Column, content: Column, replace_text: Column) -> Column:
@@ -160,8 +165,8 @@ def earliest(text: Column, names, default) -> Column:
 
 
 #: Roles on the side of either party; all others are neutral.
-ROLES_A = "甲方 起诉方 采购方 委托方 用户方 守约方 通知接收方 个人信息处理委托方".split()
-ROLES_B = "乙方 收款方 服务方 交付方 披露方 开发方 履约方 被限制方 开票方 被审计方 供应方".split()
+ROLES_A = ("甲方", "起诉方", "采购方", "委托方", "用户方", "守约方", "通知接收方", "个人信息处理委托方")
+ROLES_B = ("乙方", "收款方", "服务方", "交付方", "披露方", "开发方", "履约方", "被限制方", "开票方", "被审计方", "供应方")
 
 
 def perspective(role: Column) -> Column:

@@ -127,6 +127,11 @@ def unit(v: Column) -> Column:
     return let(F.sqrt(inner_product(v, v)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
 
 
+def flat(text: Column) -> Column:
+    """text in lower case without white space"""
+    return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
+
+
 # --- tokens ---------------------------------------------------------------------------------------
 
 
@@ -164,7 +169,10 @@ def token_slot(token: Column, dim: int = EMBEDDING_DIM) -> Column:
 # --- keywords -------------------------------------------------------------------------------------
 
 #: Words that are no keywords.
-STOP_WORDS_ZH = "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 它 他 她 们 这个 那个 什么 怎么 为什么 如果 因为 所以 但是 而且 或者 以及".split()
+STOP_WORDS_ZH = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看",
+    "好", "自己", "这", "那", "它", "他", "她", "们", "这个", "那个", "什么", "怎么", "为什么", "如果", "因为", "所以", "但是", "而且", "或者", "以及",
+)
 
 
 def keywords(text: Column, most: int = 5, stop=tuple(STOP_WORDS_ZH)) -> Column:

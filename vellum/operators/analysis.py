@@ -16,11 +16,11 @@ LEVELS_ZH = (
     ("低风险", ("低风险", "风险等级：低", "风险: 低", "Risk: 低")),
 )
 PASSES_ZH, PASSES = ("通过", "无风险"), ("this passes", "pass.", " pass", "no risk")
-RISKY_ZH = "存在风险 构成风险 未约定 不明确 缺失 另行协商".split()
+RISKY_ZH = ("存在风险", "构成风险", "未约定", "不明确", "缺失", "另行协商")
 RISKY = ("this is a risk", "is a risk", "risk: yes", "trigger", "doesn't mention", "does not mention", "doesn't specify", "not specify", "vague")
 #: Lines that are no tip, and lines that are one.
 NO_TIP = ("rule ", "check point", "trigger", "default risk", "contract content")
-TIP, TIP_ZH = ("doesn't", "does not", "not specify", "vague", "unclear", "missing", "risk"), "未约定 不明确 缺失 另行协商 风险".split()
+TIP, TIP_ZH = ("doesn't", "does not", "not specify", "vague", "unclear", "missing", "risk"), ("未约定", "不明确", "缺失", "另行协商", "风险")
 NOTHING_ZH, PASS_ZH = "无", "通过"
 TIP_CHARS = 120
 

@@ -11,8 +11,11 @@ from ..functions import labels
 from ..functions import text as T
 
 #: Fields that must be filled, lists that must have an item, the form of an id, the neutral role.
-FILLED = "case_id review_module change_pattern before_example after_example diff_summary user_intent risk_name check_point trigger_condition suggestion_template example_clause".split()
-LISTS = "contract_type review_role tags".split()
+FILLED = (
+    "case_id", "review_module", "change_pattern", "before_example", "after_example", "diff_summary", "user_intent", "risk_name",
+    "check_point", "trigger_condition", "suggestion_template", "example_clause",
+)
+LISTS = ("contract_type", "review_role", "tags")
 ID_FORM = r"^[a-z0-9]+(_[a-z0-9]+)*$"
 NEUTRAL_ZH = ("通用", "通用角色")
 

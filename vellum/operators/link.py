@@ -72,22 +72,63 @@ def outline(segments: DataFrame, doc_col: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy(doc_col).orderBy("order")))
 
 
+def overlap_weight(token: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.least(F.length(token), F.lit(8)) / 2)
+
+
 def overlap_score(tokens: Column, text: Column) -> Column:
     """Sum over the tokens that text has, without white space, of max(1, min(length, 8) / 2)."""
-    flat = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    weight = lambda t: F.greatest(F.lit(1.0), F.least(F.length(t), F.lit(8)) / 2)
-    return T.let(flat, lambda x: F.aggregate(F.filter(tokens, lambda t: (t != "") & F.contains(x, t)), F.lit(0.0), lambda s, t: s + weight(t)))
+    flat = T.flat(text)
+    return T.let(flat, lambda x: F.aggregate(F.filter(tokens, lambda t: (t != "") & F.contains(x, t)), F.lit(0.0), lambda s, t: s + overlap_weight(t)))
+
+
+#: Characters of the runs of a segment that its index holds: all of one to so many.
+GRAM = 4
 
 
 def context(segments: DataFrame, queries: DataFrame, doc_col: str, k: int = 4) -> DataFrame:
-    """The k segments of each query's document with the highest positive overlap score, each text once."""
-    scored = queries.withColumn("_t", T.context_tokens(F.col("query"))).join(segments, doc_col)
-    scored = scored.withColumn("score", overlap_score(F.col("_t"), F.col("text"))).where("score > 0").drop("_t")
+    """The k segments of each query's document with the highest positive overlap score, each text once.
+
+    An index of the segments' short runs of characters is joined with the queries' tokens: a token of up to GRAM characters is a
+    run itself, a longer one is looked for in the segments that hold its first GRAM. Segments that share nothing with a query never meet it.
+    """
+    asked = queries.select(doc_col, "query_id", F.explode(T.context_tokens(F.col("query"))).alias("token")).where("token <> ''")
+    asked = asked.withColumn("run", F.substring("token", 1, GRAM))
+    named = segments.select(doc_col, "order", T.flat(F.col("text")).alias("_flat"))
+    wanted = asked.select(doc_col, "run").distinct()
+    runs = named.select(doc_col, "order", F.explode(F.array_distinct(T.grams(F.col("_flat"), range(1, GRAM + 1)))).alias("run")).join(wanted, [doc_col, "run"])
+    met = asked.join(runs, [doc_col, "run"])
+    short = met.where(F.length("token") <= GRAM).select(doc_col, "query_id", "order", "token")
+    long = met.where(F.length("token") > GRAM).join(named, [doc_col, "order"]).where(F.contains("_flat", "token")).select(doc_col, "query_id", "order", "token")
+    scored = short.unionByName(long).groupBy(doc_col, "query_id", "order").agg(F.sum(overlap_weight(F.col("token"))).alias("score"))
+    scored = queries.join(scored, [doc_col, "query_id"]).join(segments, [doc_col, "order"])
     once = F.row_number().over(Window.partitionBy("query_id", "title", "text").orderBy("order"))
     best = scored.withColumn("_n", once).where("_n = 1").drop("_n")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "order"))).where(F.col("rank") <= k)
 
 
+def context_pack(segments: DataFrame, diffs: DataFrame, doc_col: str, window: int = 1, related: int = 4, per_term: int = 2) -> DataFrame:
+    """What a difference is read with: (doc, diff_id, part, place, order, title, text).
+
+    segments: doc, order, title, text; diffs: doc, diff_id, review_module, before, after. part is `local` (the segments around that of either
+    text), `related` (the best by overlap with the difference), `reference` (the best of each term that it names) or `outline` (the
+    document's titles, for every difference; text is null). Each part has a segment once; place counts within the part, from 1.
+    """
+    texts = diffs.select(doc_col, "diff_id", F.explode(F.array("before", "after")).alias("wanted")).where(F.coalesce("wanted", F.lit("")) != "")
+    texts = texts.withColumn("text_id", F.concat_ws("|", F.col("diff_id").cast("string"), F.sha2("wanted", 256))).dropDuplicates(["text_id"])
+    hits = segment_of(texts, segments, doc_col).where("order IS NOT NULL").select(doc_col, "diff_id", "order")
+    around = hits.select(doc_col, "diff_id", F.explode(F.sequence(F.col("order") - window, F.col("order") + window)).alias("order")).distinct()
+    local = around.join(segments, [doc_col, "order"]).withColumn("_by", F.col("order"))
+    query = F.concat_ws(" ", F.coalesce("review_module", F.lit("")), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
+    near = context(segments, diffs.select(doc_col, F.col("diff_id").alias("query_id"), query.alias("query")), doc_col, related).withColumn("_by", F.col("rank")).withColumnRenamed("query_id", "diff_id")
+    named = references(segments, diffs, doc_col, per_term).withColumn("_by", F.col("order"))
+    titles = diffs.select(doc_col, "diff_id").join(outline(segments, doc_col), doc_col).withColumns({"_by": F.col("order"), "text": F.lit(None).cast("string")})
+    parts = [df.select(doc_col, "diff_id", F.lit(name).alias("part"), "_by", "order", "title", "text") for name, df in (("local", local), ("related", near), ("reference", named), ("outline", titles))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    place = F.row_number().over(Window.partitionBy("diff_id", "part").orderBy("_by"))
+    return every.withColumn("place", place).select(doc_col, "diff_id", "part", "place", "order", "title", "text")
+
+
 def segment_of(texts: DataFrame, segments: DataFrame, doc_col: str) -> DataFrame:
     """texts (doc, text_id, wanted) with the order of the segment that is equal, else that holds it or is held; the first."""
     both = texts.join(segments.select(doc_col, "order", F.col("text").alias("_s")), doc_col)

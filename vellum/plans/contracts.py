@@ -55,7 +55,7 @@ def party_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EARLIEST = "CASE WHEN " + in_sql("title", _NAMES) + " THEN title ELSE coalesce((SELECT n FROM (VALUES " + ", ".join(f"({quoted(n)}, {i})" for i, n in enumerate(_NAMES)) + ") v(n, i) WHERE contains(title, n) ORDER BY instr(title, n), i LIMIT 1), '其他') END"
-_FINAL = "CASE " + " ".join(f"WHEN {in_sql('lv', words.split())} OR contains(lv, {quoted(name)}) THEN {quoted(risk)}" for risk, name, words in labels.RISKS) + " ELSE 'pass' END"
+_FINAL = "CASE " + " ".join(f"WHEN {in_sql('lv', words)} OR contains(lv, {quoted(name)}) THEN {quoted(risk)}" for risk, name, words in labels.RISKS) + " ELSE 'pass' END"
 PARTY_LABELS_SQL = f"""WITH c AS (SELECT {pick_sql(_TITLES, 'c_custkey')} AS title, coalesce({pick_sql(_ROLES, 'c_custkey')}, '') AS role, {pick_sql(_MODULES, 'c_custkey')} AS m, {pick_sql(_FALLBACKS, 'c_custkey')} AS fb, {pick_sql(_LEVELS, 'c_custkey')} AS lv0 FROM customer),
 d AS (SELECT *, replace(lower(trim(lv0)), ' ', '') AS lv FROM c)
 SELECT {_EARLIEST} AS contract_type, CASE WHEN {in_sql('role', labels.ROLES_A)} THEN '甲方' WHEN {in_sql('role', labels.ROLES_B)} THEN '乙方' ELSE '通用' END AS side,
@@ -203,9 +203,9 @@ def change_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBERS = lambda c: f"list_transform(regexp_extract_all({c}, '[0-9]+\\s*(?:日|天|年|个月|月|%|％)?'), lambda x: regexp_replace(x, '\\s', '', 'g'))"
 _NUMBER = f"CASE WHEN len({_NUMBERS('before')}) > 0 AND len({_NUMBERS('after')}) > 0 AND {_NUMBERS('before')} <> {_NUMBERS('after')} THEN {_NUMBERS('before')}[1] || '改' || {_NUMBERS('after')}[1] END"
 _DIRECTION = (
-    "CASE " + " ".join(f"WHEN {any_sql('t', words.split())} THEN {quoted(name)}" + (" || coalesce(' ' || num, '')" if numbered else "") for name, words, numbered in base_info.CHANGES_ZH)
+    "CASE " + " ".join(f"WHEN {any_sql('t', words)} THEN {quoted(name)}" + (" || coalesce(' ' || num, '')" if numbered else "") for name, words, numbered in base_info.CHANGES_ZH)
     + " WHEN num IS NOT NULL THEN num " + " ".join(f"WHEN contains(before, {quoted(x)}) AND contains(after, {quoted(y)}) THEN {quoted(name)}" for name, x, y in base_info.TURNS_ZH)
-    + f" WHEN contains(t, {quoted(base_info.SECRECY_ZH[1])}) AND contains(t, {quoted(base_info.SECRECY_ZH[2])}) THEN {quoted(base_info.SECRECY_ZH[0])} WHEN {any_sql('t', base_info.DISPUTE_ZH[1].split())} THEN {quoted(base_info.DISPUTE_ZH[0])} ELSE {quoted(base_info.CHANGED_ZH)} END"
+    + f" WHEN contains(t, {quoted(base_info.SECRECY_ZH[1])}) AND contains(t, {quoted(base_info.SECRECY_ZH[2])}) THEN {quoted(base_info.SECRECY_ZH[0])} WHEN {any_sql('t', base_info.DISPUTE_ZH[1])} THEN {quoted(base_info.DISPUTE_ZH[0])} ELSE {quoted(base_info.CHANGED_ZH)} END"
 )
 _DIRECTED = f"{_CHANGES}, nu AS (SELECT *, {_NUMBER} AS num FROM cm), di AS (SELECT *, {_DIRECTION} AS direction FROM nu)"
 DIRECTIONS_SQL = f"WITH {_DIRECTED} SELECT direction, count(*) AS n_rows FROM di GROUP BY ALL"

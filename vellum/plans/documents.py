@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text as T
-from ..operators import audit, diff, locate, redact, segment, splice, versions
+from ..operators import audit, diff, locate, redact, segment, shared, splice, versions
 
 #: Words of the driver's Latin texts, in the place of the Chinese key words: module and its words, in order.
 MODULES_LATIN = (("license", ["Licen", "licen"]), ("contact", ["@", "+1 ("]), ("secret", ["token", "key ="]), ("table", [" | "]), ("shout", ["!!"]))
@@ -180,10 +180,23 @@ def evidence_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.best_sentence(quote, s)
 
 
+#: The version ids of a folder's documents that an application has written.
+_VERSION_IDS: dict[tuple[str, str], str] = {}
+
+
+def _version_ids(spark, sf_dir, d):
+    """Written once for all queries that compare versions."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VERSION_IDS or not shared.names_in(spark, _VERSION_IDS[key]):
+        _VERSION_IDS[key] = shared.folder_for(spark, "version-ids")
+        versions.version_ids(d).write.parquet(_VERSION_IDS[key])
+    return spark.read.schema("doc_id long, old_id long").parquet(_VERSION_IDS[key])
+
+
 def _versions(spark, sf_dir):
     """Each document with the nearest lower id among its copies and near-duplicates: an old and a new version."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = versions.version_ids(d).join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
+    pairs = _version_ids(spark, sf_dir, d).join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
     return pairs.join(d, "doc_id").select(F.col("doc_id").alias("pair_id"), "old", F.col("text").alias("new"))
 
 

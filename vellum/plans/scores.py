@@ -99,7 +99,11 @@ mh AS (SELECT case_id, count(*) AS matched_diff_total, count(*) AS matched_quote
 c AS (SELECT c_custkey AS case_id, c_nationkey, {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 1')} AS old_text, {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 2')} AS new_text, c_custkey % 5 <> 0 AS success, c_custkey % 3 = c_custkey % 2 AS agree FROM customer),
 q AS (SELECT f.case_id, count(*) AS pred_diff_total, count(*) FILTER (oq <> '') AS old_quote_hit_total, count(*) FILTER (oq <> '' AND contains(old_text, oq)) AS old_quote_hits, count(*) FILTER (nq <> '') AS new_quote_hit_total, count(*) FILTER (nq <> '' AND contains(new_text, nq)) AS new_quote_hits FROM f JOIN c USING (case_id) GROUP BY 1),
 gt AS (SELECT case_id, count(*) AS gold_diff_total FROM g GROUP BY 1)"""
-_COUNTS = "gold_diff_total pred_diff_total old_quote_hit_total old_quote_hits new_quote_hit_total new_quote_hits matched_diff_total matched_quote_preserved matched_original_fact_hits matched_category_hits matched_risk_level_hits matched_suggestion_hits".split()
+_COUNTS = (
+    "gold_diff_total", "pred_diff_total", "old_quote_hit_total", "old_quote_hits", "new_quote_hit_total", "new_quote_hits",
+    "matched_diff_total", "matched_quote_preserved", "matched_original_fact_hits", "matched_category_hits", "matched_risk_level_hits",
+    "matched_suggestion_hits",
+)
 _CASES = f"{_COMPARED}, cc AS (SELECT case_id, c_nationkey, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COUNTS)}, success::BIGINT AS success_case_total, (success AND agree)::BIGINT AS total_risks_hits FROM c LEFT JOIN gt USING (case_id) LEFT JOIN q USING (case_id) LEFT JOIN mh USING (case_id))"
 COMPARE_COUNTS_SQL = f"WITH {_CASES} SELECT * EXCLUDE (c_nationkey) FROM cc"
 _ALL = [*_COUNTS, "success_case_total", "total_risks_hits"]
