@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, name):
 #: Queries that SQL can't express, or not fast enough: where they are held against plain Python.
 ELSEWHERE = {
     "redact_reversible": "test_plain", "sentence_diff": "test_plain", "diff_stats": "test_plain", "clause_diff_moves": "test_plain", "evidence_sentence": "test_plain", "jaccard_sentences": "test_best_match", "best_match": "test_best_match",
-    "bm25_topk_tokens": "test_tokens", "hybrid_fusion_tokens": "test_queries", "tiered_retrieval_tokens": "test_queries", "hash_embedding_documents": "test_hash_documents",
+    "bm25_topk_tokens": "test_tokens", "hybrid_fusion_tokens": "test_queries", "tiered_retrieval_tokens": "test_queries", "hash_embedding_documents": "test_hash_documents", "redacted_differences": "test_small",
 }
 
 

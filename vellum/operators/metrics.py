@@ -79,3 +79,35 @@ def stability(runs: DataFrame, by: str, signature: str) -> DataFrame:
 def report(rows: DataFrame, dim: str, measures: list[Column]) -> DataFrame:
     """Overall (dim null) and by dim."""
     return rows.rollup(dim).agg(*measures)
+
+
+def canonical(answer: Column) -> Column:
+    """A JSON text with its objects' keys in order and without blanks, so that equal answers are equal texts."""
+    return F.to_json(F.try_parse_json(answer))
+
+
+def _items(answer: Column) -> Column:
+    return F.coalesce(F.from_json(F.get_json_object(answer, "$.enhanced"), "array<string>"), F.array().cast("array<string>"))
+
+
+def structure(answer: Column) -> Column:
+    """What an answer is built like: its keys in their order, success, and of each item its keys, change type and risk."""
+    each = lambda path: F.transform(_items(answer), lambda x: F.coalesce(F.get_json_object(x, path), F.lit("")))
+    keys = F.transform(_items(answer), lambda x: F.array_join(F.array_sort(F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))), ","))
+    return F.to_json(F.struct(F.json_object_keys(answer).alias("top"), F.get_json_object(answer, "$.success").alias("success"), keys.alias("keys"), each("$.change_type").alias("kinds"), each("$.risk_level").alias("risks")))
+
+
+def quotes(answer: Column) -> Column:
+    """An answer's change types and quotes, whatever their order."""
+    text = lambda x, path: F.coalesce(F.get_json_object(x, path), F.lit(""))
+    one = lambda x: F.struct(text(x, "$.change_type").alias("kind"), text(x, "$.old_quote").alias("old"), text(x, "$.new_quote").alias("new"))
+    return F.to_json(F.array_sort(F.transform(_items(answer), one)))
+
+
+def answer_stability(runs: DataFrame, by: str, answer: str) -> DataFrame:
+    """For each case how many runs it had and the share of those that gave its commonest answer: whole, by structure, by quotes."""
+    signed = runs.select(by, *[f(F.col(answer)).alias(n) for n, f in (("exact", canonical), ("structure", structure), ("quotes", quotes))])
+    out = signed.groupBy(by).agg(F.count(F.lit(1)).alias("n_runs"))
+    for n in ("exact", "structure", "quotes"):
+        out = out.join(stability(signed.select(by, F.coalesce(n, F.lit("")).alias(n)), by, n).select(by, F.col("stability").alias(f"{n}_rate")), by)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions import text as T
 from ..functions.text import blank_to_null, first_filled, strip
 from .answers import rule_code
 from .base_info import change_direction
@@ -280,3 +281,16 @@ def rules_without_case(diffs: DataFrame, templates: DataFrame) -> DataFrame:
     out = diffs.where("is_substantive").join(named, "review_module", "left").withColumn("_one", F.lit(1)).join(generic, "_one", "left")
     fields = [F.coalesce(c, f"_{c}").alias(c) for c in templates.columns if c != "review_module"]
     return out.select("diff_id", "review_module", *fields, clip("before").alias("evidence_before"), clip("after").alias("evidence_after"), "confidence")
+
+
+#: How many pairs of versions a request may have.
+PAIRS = (1, 5)
+
+
+def checked_requests(requests: DataFrame, pairs: DataFrame, by: str = "request_id") -> DataFrame:
+    """requests with n_pairs and error: null if they have 1 to 5 pairs (by, before_text, after_text) and no text is blank."""
+    blank = F.greatest(*[(F.coalesce(T.strip(F.col(c)), F.lit("")) == "").cast("int") for c in ("before_text", "after_text")])
+    counted = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(blank).alias("_blank"))
+    out = requests.join(counted, by, "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+    error = F.when(~F.col("n_pairs").between(*PAIRS), f"a request has {PAIRS[0]} to {PAIRS[1]} pairs").when(F.col("_blank") > 0, "a text is blank")
+    return out.withColumn("error", error).drop("_blank")

@@ -155,3 +155,10 @@ def index_append(index: DataFrame | None, cases: DataFrame, id_col: str, text: C
     if index is None:
         return fresh
     return index.join(cases.select(id_col).distinct(), id_col, "left_anti").unionByName(fresh)
+
+
+def fetched(hits: DataFrame, records: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """hits (query_id, id, rank) with their records' columns, numbered anew where a record isn't there any more; order by query_id, rank."""
+    found = hits.join(records, id_col)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("rank", place)

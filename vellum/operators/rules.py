@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..functions import text as T
 
 #: Columns of a rule file by their headers, and the values of its two lists.
@@ -103,3 +104,26 @@ def resolve_codes(items: DataFrame, rules: DataFrame) -> DataFrame:
     """items with rule_code: their own, else that of the first rule of the same risk name."""
     by_name = rules.groupBy("risk_name").agg(F.min_by("rule_code", "pos").alias("_code"))
     return items.join(by_name, "risk_name", "left").withColumn("rule_code", F.coalesce(T.blank_to_null(F.col("rule_code")), "_code", F.lit(""))).drop("_code")
+
+
+#: The names that a rule's fields go by, the first filled one counts.
+FIELD_NAMES = {
+    "rule_code": ("rule_code", "rule_id", "规则编号"),
+    "contract_type": ("contract_type", "合同类型"),
+    "review_module": ("review_module", "module", "审核模块"),
+    "risk_name": ("risk_name", "风险名称"),
+    "check_point": ("check_point", "检查点"),
+    "trigger_condition": ("trigger_condition", "触发条件"),
+    "default_risk_level": ("default_risk_level", "默认风险等级"),
+    "suggestion_template": ("suggestion_template", "修改建议模板"),
+    "example_clause": ("example_clause", "示例问题条款"),
+}
+
+
+def named_fields(raw: DataFrame, fallback: str = OTHER_ZH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rules whose columns go by any of FIELD_NAMES, under the fields' own names; a field that no column has is empty."""
+    have = set(raw.columns)
+    picked = {field: T.first_filled(*[F.col(f"`{n}`") for n in names if n in have]) for field, names in FIELD_NAMES.items()}
+    picked["review_module"] = labels.rule_module(picked["review_module"], F.lit(fallback))
+    out = raw.select(*keep, *[c.alias(f) for f, c in picked.items()])
+    return out.withColumns({"rule_id": F.col("rule_code"), "module": F.col("review_module")})

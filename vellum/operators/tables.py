@@ -114,3 +114,18 @@ def decide(risks: DataFrame, decisions: DataFrame, key: str = "risk_id") -> Data
 
 def next_version(versions: DataFrame, by: str) -> DataFrame:
     return versions.groupBy(by).agg((F.coalesce(F.max("version_no"), F.lit(0)) + 1).alias("next_version"))
+
+
+#: Decisions on a candidate.
+DECISIONS = ("included", "ignored", "pending")
+
+
+def decide_ids(candidates: DataFrame, requests: DataFrame, task: str = "task_id", id_col: str = "candidate_id") -> DataFrame:
+    """candidates with the decision of the last request that names them. requests: (task, ids, decision, request_id).
+
+    A request of another decision than DECISIONS is refused whole; ids of other tasks change nothing.
+    """
+    asked = requests.where(F.col("decision").isin(*DECISIONS)).select(task, F.explode("ids").alias(id_col), F.struct("request_id", "decision").alias("r"))
+    last = asked.groupBy(task, id_col).agg(F.max("r").alias("r"))
+    out = candidates.join(last, [task, id_col], "left")
+    return out.withColumn("decision", F.coalesce("r.decision", "decision")).drop("r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import index, retrieve
 from ..operators.shared import folder_for
 from .documents import table
+from .retrieval import vector_sql
 
 
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +68,7 @@ def local_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.strong(found).select("query_id", "id", "tier", F.col("rank").cast("int").alias("rank"))
 
 
-def _vector_sql(name: str, table: str, id: str) -> str:
-    return f"""{name}_b AS (SELECT {id} AS id, lower(coalesce(text, '')) AS t, regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n]+', '', 'g') AS u FROM {table}),
-{name}_k AS (SELECT id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS tok FROM {name}_b
- UNION ALL SELECT id, substring(u, i, n) FROM (SELECT id, u, n, unnest(range(1, length(u) - n + 2)) AS i FROM {name}_b, (VALUES (1), (2), (3), (4)) x(n))),
-{name}_s AS (SELECT id, md5(tok) AS h, count(*) AS n FROM {name}_k GROUP BY ALL),
-{name}_w AS (SELECT id, (('0x' || left(h, 8))::BIGINT % 512)::INT AS slot, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END)::BIGINT AS weight FROM {name}_s GROUP BY ALL),
-{name}_v AS (SELECT id, slot, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS v FROM {name}_w WHERE weight <> 0)"""
-
-
-LOCAL_SEARCH_SQL = f"""WITH {_vector_sql('c', 'conversations', '(conv_id * 100 + turn)')}, {_vector_sql('q', 'benchmark', 'item_id')},
+LOCAL_SEARCH_SQL = f"""WITH {vector_sql('c', 'conversations', '(conv_id * 100 + turn)')}, {vector_sql('q', 'benchmark', 'item_id')},
 r AS (SELECT conv_id * 100 + turn AS id, 'm' || conv_id % 4 AS module, 't' || conv_id % 3 AS type, CASE role WHEN 'user' THEN ['甲方'] WHEN 'assistant' THEN ['乙方'] ELSE ['丙方', '乙方'] END AS roles FROM conversations),
 a AS (SELECT item_id AS query_id, [{', '.join(f"'{m}'" if m else 'NULL' for m, _, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wm, [{', '.join(f"'{t}'" if t else 'NULL' for _, t, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wt,
  [{', '.join(f"'{x}'" if x else 'NULL' for _, _, x in WANTS)}][item_id % {len(WANTS)} + 1] AS wr FROM benchmark),

@@ -164,14 +164,25 @@ r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, l
 
 
 def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of benchmark items, then of those with an even id anew with a text of their own: vectors by how long they are."""
+    """An index of benchmark items, then those with an even id anew with a longer text: slots and largest weight of every vector."""
     b = table(spark, sf_dir, "benchmark")
     index = retrieve.index_append(None, b, "item_id", F.col("text"))
-    index = retrieve.index_append(index, b.where("item_id % 2 = 0"), "item_id", F.lit("abc"))
-    return index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length")).where("item_id % 2 = 0")
+    index = retrieve.index_append(index, b.where("item_id % 2 = 0"), "item_id", F.concat("text", F.lit(" second version")))
+    return index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.round(F.max("value"), 6).alias("largest"))
 
 
-INDEX_SQL = "SELECT item_id, 6::BIGINT AS n_slots, 1.0::DOUBLE AS length FROM benchmark WHERE item_id % 2 = 0"
+def vector_sql(name: str, source: str, id: str) -> str:
+    """name_v (id, slot, v): hashed vectors of the texts of a table or a query."""
+    return f"""{name}_b AS (SELECT {id} AS id, lower(coalesce(text, '')) AS t, regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n]+', '', 'g') AS u FROM {source}),
+{name}_k AS (SELECT id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS tok FROM {name}_b
+ UNION ALL SELECT id, substring(u, i, n) FROM (SELECT id, u, n, unnest(range(1, length(u) - n + 2)) AS i FROM {name}_b, (VALUES (1), (2), (3), (4)) x(n))),
+{name}_s AS (SELECT id, md5(tok) AS h, count(*) AS n FROM {name}_k GROUP BY ALL),
+{name}_w AS (SELECT id, (('0x' || left(h, 8))::BIGINT % 512)::INT AS slot, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END)::BIGINT AS weight FROM {name}_s GROUP BY ALL),
+{name}_v AS (SELECT id, slot, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS v FROM {name}_w WHERE weight <> 0)"""
+
+
+_NEWER = "(SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || ' second version' ELSE text END AS text FROM benchmark)"
+INDEX_SQL = f"WITH {vector_sql('b', _NEWER, 'item_id')} SELECT id AS item_id, count(*) AS n_slots, round(max(v), 6) AS largest FROM b_v GROUP BY 1"
 
 
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +192,8 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(T.inner_product(u, F.col("embedding")), 6).alias("length"), F.round(T.inner_product(u, u), 6).alias("one"))
 
 
-UNIT_SQL = "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS one FROM embeddings"
+UNIT_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, e, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v)
+SELECT vec_id, round(list_inner_product(u, e), 6) AS length, round(list_inner_product(u, u), 6) AS one FROM u"""
 
 
 QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, hybrid_fusion, tiered_retrieval, bm25_topk_tokens, hybrid_fusion_tokens, tiered_retrieval_tokens, hash_embedding, hash_embedding_documents, bm25_by_language, index_upkeep, unit_vectors, event_dedup, user_sessions)}
