@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -98,16 +98,20 @@ def clipped(text: Column, limit: int = 80) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit), F.lit("...")))
 
 
-def template(module: Column, evidence: Column) -> Column:
-    """Struct (risk_name, check_point, trigger_condition, suggestion_template) of a module's rule; evidence ends the trigger."""
-    names = ("risk_name", "check_point", "trigger_condition", "suggestion_template")
+RULE_TEXTS = ("risk_name", "check_point", "trigger_condition", "suggestion_template")
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(t_module, and RULE_TEXTS with t_ in front): a row for each module that has a rule of its own."""
+    return spark.createDataFrame([(name, *texts) for name, texts in TEMPLATES_ZH.items()], ", ".join(f"t_{c} string" for c in ("module", *RULE_TEXTS)))
+
+
+def template_texts(module: Column, evidence: Column) -> list[Column]:
+    """RULE_TEXTS of a row joined with templates(), by name; evidence ends a module's trigger."""
     (_, named, other, end), *around = GENERIC_ZH
     generic = [F.concat(module, F.when(module.endswith(end), named).otherwise(other)), *[F.concat(F.lit(a), module, F.lit(b)) for a, b in around]]
-    out = None
-    for name, (risk, check, trigger, suggest) in TEMPLATES_ZH.items():
-        made = F.struct(*[c.alias(n) for c, n in zip((F.lit(risk), F.lit(check), F.concat(F.lit(trigger), clipped(evidence)), F.lit(suggest)), names, strict=True)])
-        out = F.when(module == name, made) if out is None else out.when(module == name, made)
-    return out.otherwise(F.struct(*[c.alias(n) for c, n in zip(generic, names, strict=True)]))
+    own = [F.concat(F.col(f"t_{c}"), clipped(evidence)) if c == "trigger_condition" else F.col(f"t_{c}") for c in RULE_TEXTS]
+    return [F.coalesce(x, y).alias(c) for c, x, y in zip(RULE_TEXTS, own, generic, strict=True)]
 
 
 def stub_candidates(diffs: DataFrame, pairs: DataFrame, cases: DataFrame, pair_col: str = "pair_id") -> DataFrame:
@@ -121,9 +125,11 @@ def stub_candidates(diffs: DataFrame, pairs: DataFrame, cases: DataFrame, pair_c
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     d = diffs.where("is_substantive").withColumn("review_module", F.when(empty(F.col("review_module")), NO_MODULE_ZH).otherwise(F.col("review_module")))
     d = d.join(pairs.select(pair_col, F.col("contract_type").alias("_type"), "review_role"), pair_col).join(first, [pair_col, "review_module"], "left")
+    # as many rows as TEMPLATES_ZH has
+    d = d.join(F.broadcast(templates(d.sparkSession)), F.col("review_module") == F.col("t_module"), "left")
     before, after = (F.coalesce(c, F.lit("")) for c in ("before", "after"))
-    cased = F.col("case").isNotNull() & ~F.col("review_module").isin(*TEMPLATES_ZH)
-    made = template(F.col("review_module"), F.when(after != "", after).otherwise(before))
+    cased = F.col("case").isNotNull() & F.col("t_module").isNull()
+    made = dict(zip(RULE_TEXTS, template_texts(F.col("review_module"), F.when(after != "", after).otherwise(before)), strict=True))
     of = lambda name, other: F.when(cased, F.col(f"case.{name}")).otherwise(other)
     filled = lambda c, other: F.when(c == "", other).otherwise(c)
     return d.select(
