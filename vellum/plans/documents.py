@@ -188,8 +188,9 @@ def _version_ids(spark, sf_dir, d):
     """Written once for all queries that compare versions."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VERSION_IDS or not shared.names_in(spark, _VERSION_IDS[key]):
-        _VERSION_IDS[key] = shared.folder_for(spark, "version-ids")
-        versions.version_ids(d).write.parquet(_VERSION_IDS[key])
+        folder = shared.folder_for(spark, "version-ids")
+        versions.version_ids(d).write.parquet(folder)
+        _VERSION_IDS[key] = folder
     return spark.read.schema("doc_id long, old_id long").parquet(_VERSION_IDS[key])
 
 
