@@ -1,4 +1,6 @@
+import io
 import random
+import zipfile
 
 from pyspark.sql import functions as F
 from vellum.operators import analysis, base_info, cases, evaluate
@@ -107,6 +109,28 @@ def test_docx_round_trip_and_template(spark):
     assert files.docx_text(bytes(got[0])).split("\n") == new.split("\n") and got[1] is None
 
 
+def test_tables_of_a_template_are_filled(spark):
+    lines = [("采购合同", 1), ("甲方应当付款", 0)]
+    table = [["名称", "数量"], ["旧", "1"]]
+    parts = {}
+    with zipfile.ZipFile(io.BytesIO(docx.docx_bytes(lines))) as z:
+        parts = {i.filename: z.read(i) for i in z.infolist()}
+    parts["word/document.xml"] = parts["word/document.xml"].replace("</w:body>".encode(), (docx._table(table) + "</w:body>").encode())
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, part in parts.items():
+            z.writestr(name, part)
+    text = "采购合同\n甲方应当及时付款\n名称\t数量\n新\t2\n\n【表格】\n名称 | 数量\n新 | 2\n\n另 | 3\n再 | 4\n末段甲乙丙丁\n[表格]\na | b\nc | d\n【表格】\nonly | one row\n[表格]\nx | y\nz | too | wide\n"
+    plain, tables = docx.table_blocks(text)
+    assert [x for x in plain.split("\n") if x.strip()] == ["采购合同", "甲方应当及时付款", "末段甲乙丙丁"]
+    assert tables == [[["名称", "数量"], ["新", "2"], ["另", "3"], ["再", "4"]], [["a", "b"], ["c", "d"]]]
+    made = files.docx_text(docx.filled(buffer.getvalue(), text))
+    assert made.split("\n") == ["采购合同", "甲方应当及时付款", files.TABLE_MARK, "名称 | 数量", "新 | 2", "另 | 3", "再 | 4", "末段甲乙丙丁", files.TABLE_MARK, "a | b", "c | d"]
+    # fewer rows than the template has: the rest is emptied
+    short = files.docx_text(docx.filled(docx.filled(buffer.getvalue(), text), "采购合同\n甲方应当付款\n【表格】\nq | r\ns | t"))
+    assert "新" not in short and "q | r" in short and "s | t" in short
+
+
 def test_heading_levels(spark):
     h = lambda x: value(spark, docx.heading_level(F.lit(x)))
     assert [h(x) for x in ("第二条 内容", "三、事项", "1. 期限", "附件：", "【重要】", "签于2024年度的某某合同里", "签于2024年", "普通的一段", "")] == [1, 2, 2, 2, 2, 3, 0, 0, 0]  # 4 digits of 14, of 7

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -60,8 +62,63 @@ def docx_bytes(lines: list[tuple[str, int]], title: str | None = None) -> bytes:
     return out.getvalue()
 
 
+#: What a line starts with that opens a table block.
+TABLE_MARKS = ("【表格】", "[表格]")
+#: A table block: lines with tabs in front of it (the same cells as a reader shows them), the mark, and lines with bars.
+_BLOCK = re.compile(
+    r"(?:^[^\n]*\t[^\n]*\n)*(?:^[^\S\n]*\n)*^[^\S\n]*(?:" + "|".join(map(re.escape, TABLE_MARKS)) + r")[^\n]*(?P<rows>(?:\n[^\S\n]*(?:$|[^\n|]*\|[^\n]*))*)", re.MULTILINE
+)
+
+
+def table_blocks(text: str) -> tuple[str, list[list[list[str]]]]:
+    """text without its table blocks, and the cells of those that have two rows or more, all of one width."""
+    tables = []
+    for block in _BLOCK.finditer(text):
+        rows = [[c.strip() for c in line.split("|")] for line in block["rows"].split("\n") if line.strip()]
+        if len(rows) > 1 and len({len(r) for r in rows}) == 1:
+            tables.append(rows)
+    return _BLOCK.sub("", text), tables
+
+
+def _say(parent, value: str) -> None:
+    """value as the text of a paragraph or cell, in the format that it has; a cell's other paragraphs are emptied."""
+    places = list(parent.iter(f"{_W}t"))
+    if not places:
+        if not value:
+            return
+        home = parent if parent.tag == f"{_W}p" else next(parent.iter(f"{_W}p"), None)
+        home = ElementTree.SubElement(parent, f"{_W}p") if home is None else home
+        run = next(home.iter(f"{_W}r"), None)
+        places = [ElementTree.SubElement(ElementTree.SubElement(home, f"{_W}r") if run is None else run, f"{_W}t")]
+    for t in places[1:]:
+        t.text = ""
+    places[0].text = value
+
+
+def _fill_table(table, rows: list[list[str]]) -> None:
+    """A template's table with these cells: rows are added in the last one's format, cells without a value are emptied."""
+    lines = table.findall(f"{_W}tr")
+    while lines and len(lines) < len(rows):
+        lines.append(copy.deepcopy(lines[-1]))
+        table.append(lines[-1])
+    for i, line in enumerate(lines):
+        for k, cell in enumerate(line.findall(f"{_W}tc")):
+            _say(cell, rows[i][k] if i < len(rows) and k < len(rows[i]) else "")
+
+
+def _table(rows: list[list[str]]) -> str:
+    cell = lambda x, bold: f'<w:tc><w:p><w:r><w:rPr>{"<w:b/>" if bold else ""}</w:rPr><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p></w:tc>'
+    lines = "".join(f"<w:tr>{''.join(cell(x, i == 0) for x in row)}</w:tr>" for i, row in enumerate(rows))
+    grid = "".join("<w:gridCol/>" for _ in rows[0])
+    return f'<w:tbl><w:tblPr><w:tblStyle w:val="TableGrid"/></w:tblPr><w:tblGrid>{grid}</w:tblGrid>{lines}</w:tbl>'
+
+
 def filled(template: bytes, text: str) -> bytes:
-    """The template with its body's paragraphs replaced, cleared or appended to, as fill_template aligns them; formats stay."""
+    """The template with its body's paragraphs replaced, cleared or appended to, as fill_template aligns them; formats stay.
+
+    Table blocks of the text go into the template's tables one by one; further ones come last, as new tables.
+    """
+    text, tables = table_blocks(text)
     with zipfile.ZipFile(io.BytesIO(template)) as z:
         parts = {i.filename: z.read(i) for i in z.infolist()}
     root = ElementTree.fromstring(parts["word/document.xml"])
@@ -70,19 +127,21 @@ def filled(template: bytes, text: str) -> bytes:
     old = [p for p in body.findall(f"{_W}p") if said(p)]
     new = [x.strip() for x in text.split("\n") if x.strip()]
 
-    def put(p, value: str) -> None:
-        places = list(p.iter(f"{_W}t"))
-        for t in places[1:]:
-            t.text = ""
-        places[0].text = value
+    def append(xml: str) -> None:
+        made = ElementTree.fromstring(f'<w:x xmlns:w="{_NS}">{xml}</w:x>')[0]
+        last = body.find(f"{_W}sectPr")
+        body.insert(len(body) if last is None else list(body).index(last), made)
 
+    own = body.findall(f"{_W}tbl")
     for action, i, k in fill_template([said(p) for p in old], new):
         if action == "append":
-            made = ElementTree.fromstring(f'<w:x xmlns:w="{_NS}">{_paragraph(new[k], 0)}</w:x>')[0]
-            last = body.find(f"{_W}sectPr")
-            body.insert(len(body) if last is None else list(body).index(last), made)
+            append(_paragraph(new[k], 0))
         else:
-            put(old[i], new[k] if action == "replace" else "")
+            _say(old[i], new[k] if action == "replace" else "")
+    for table, rows in zip(own, tables, strict=False):
+        _fill_table(table, rows)
+    for rows in tables[len(own) :]:
+        append(_table(rows))
     parts["word/document.xml"] = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
