@@ -94,7 +94,8 @@ def audit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT_ITEMS_SQL = """WITH i AS (SELECT o_orderkey AS k, string_split(o_orderpriority, '-')[-1] AS p FROM orders),
 r AS (SELECT k, CASE p WHEN 'URGENT' THEN 'high' WHEN 'HIGH' THEN 'high' WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'pass' END AS risk FROM i)
 SELECT risk, CASE risk WHEN 'high' THEN '高风险' WHEN 'medium' THEN '中风险' WHEN 'low' THEN '低风险' ELSE '通过' END AS risk_label,
- CASE WHEN risk = 'pass' OR k % 7 = 0 THEN 'manual' WHEN k % 3 = 0 THEN 'append' WHEN k % 5 = 0 THEN 'insert' ELSE 'replace' END AS action_type, count(*) AS n_items FROM r GROUP BY ALL"""
+ CASE WHEN risk = 'pass' OR k % 7 = 0 THEN 'manual' WHEN k % 3 = 0 THEN 'append' WHEN k % 5 = 0 THEN 'insert' ELSE 'replace' END AS action_type,
+  count(*) AS n_items FROM r GROUP BY ALL"""
 
 
 def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +144,12 @@ def status_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.decide(risks, d).groupBy("new_status").agg(F.count(F.lit(1)).alias("n_risks"), F.max("confirmed_at").alias("last_confirmed"))
 
 
-STATUS_SQL = """WITH d AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'ignored' WHEN 'view' THEN 'pending' END AS s FROM events),
-l AS (SELECT user_id, arg_max(s, (ts, event_id)) AS s, arg_max(ts, (ts, event_id)) AS ts FROM d WHERE s IS NOT NULL GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
-SELECT coalesce(s, 'pending') AS new_status, count(*) AS n_risks, max(CASE WHEN s = 'confirmed' THEN ts END) AS last_confirmed FROM u LEFT JOIN l USING (user_id) GROUP BY 1"""
+STATUS_SQL = """WITH d AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'ignored'
+  WHEN 'view' THEN 'pending' END AS s FROM events),
+l AS (SELECT user_id, arg_max(s, (ts, event_id)) AS s, arg_max(ts, (ts, event_id)) AS ts FROM d WHERE s IS NOT NULL GROUP BY 1),
+  u AS (SELECT DISTINCT user_id FROM events)
+SELECT coalesce(s, 'pending') AS new_status, count(*) AS n_risks, max(CASE WHEN s = 'confirmed' THEN ts END) AS last_confirmed FROM u LEFT
+  JOIN l USING (user_id) GROUP BY 1"""
 
 
 def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +160,11 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("review_module", "risk_name", "check_point", "attribute", F.array_join(F.transform("traces", lambda t: t["trace"]), ",").alias("traces"))
 
 
-MERGE_SQL = """WITH c AS (SELECT l_returnflag AS review_module, l_linestatus AS risk_name, l_suppkey AS check_point, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, l_partkey AS trace, l_partkey % 100 AS attribute FROM lineitem),
+MERGE_SQL = """WITH c AS (SELECT l_returnflag AS review_module, l_linestatus AS risk_name, l_suppkey AS check_point,
+  (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, l_partkey AS trace, l_partkey % 100 AS attribute FROM lineitem),
 t AS (SELECT review_module, risk_name, check_point, trace, min(pos) AS pos, arg_min(attribute, pos) AS attribute FROM c GROUP BY ALL)
-SELECT review_module, risk_name, check_point, arg_min(attribute, pos) AS attribute, string_agg(trace::VARCHAR, ',' ORDER BY pos) AS traces FROM t GROUP BY ALL"""
+SELECT review_module, risk_name, check_point, arg_min(attribute, pos) AS attribute, string_agg(trace::VARCHAR, ',' ORDER BY pos) AS traces FROM t
+  GROUP BY ALL"""
 
 
 def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +177,8 @@ def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", ok.alias("modified_valid"), added.alias("added_valid"))
 
 
-EVIDENCE_CHECK_SQL = """SELECT c.conv_id, c.turn, left(b.text, 20) <> '' AND left(c.text, 5) <> '' AS modified_valid, left(c.text, 5) <> '' AND contains(b.text, left(c.text, 5)) AS added_valid
+EVIDENCE_CHECK_SQL = """SELECT c.conv_id, c.turn, left(b.text, 20) <> '' AND left(c.text, 5) <> '' AS modified_valid, left(c.text, 5) <> ''
+  AND contains(b.text, left(c.text, 5)) AS added_valid
 FROM conversations c JOIN conversations b ON c.conv_id = b.conv_id AND c.turn = b.turn + 1"""
 
 
@@ -186,7 +193,8 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
-NEAREST_SQL = """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) - 1 AS n FROM events WHERE value IS NOT NULL)
+NEAREST_SQL = """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*)
+  OVER (PARTITION BY event_type) - 1 AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(value) FILTER (i = round_even(0.5 * n, 0)) AS p50, max(value) FILTER (i = round_even(0.95 * n, 0)) AS p95 FROM r GROUP BY 1"""
 
 
@@ -207,7 +215,8 @@ def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVAL_SQL = """WITH d AS (SELECT lang, toxic, (CASE WHEN n_chars > 500 THEN 1 ELSE 0 END) = quality AS r FROM documents JOIN labels USING (doc_id))
-SELECT lang, count(*) AS n, round(count(*) FILTER (r) / count(*), 6) AS accuracy, round(coalesce(count(*) FILTER (r AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 1.0), 6) AS toxic_accuracy FROM d GROUP BY ROLLUP (lang)"""
+SELECT lang, count(*) AS n, round(count(*) FILTER (r) / count(*), 6) AS accuracy, round(coalesce(count(*) FILTER (r
+  AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 1.0), 6) AS toxic_accuracy FROM d GROUP BY ROLLUP (lang)"""
 
 
 def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +229,10 @@ def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("l_linenumber", F.col("m").alias("matched"), *metrics.prf(F.col("m"), F.col("g"), F.col("f")))
 
 
-PRF_SQL = """WITH c AS (SELECT l_linenumber, l_suppkey, count(*) FILTER (l_returnflag = 'A') AS g, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY ALL),
-s AS (SELECT l_linenumber, sum(least(g, f))::BIGINT AS matched, sum(g) AS g, sum(f) AS f FROM c GROUP BY 1), p AS (SELECT *, coalesce(matched / nullif(f, 0), 0) AS p, coalesce(matched / nullif(g, 0), 0) AS r FROM s)
+PRF_SQL = """WITH c AS (SELECT l_linenumber, l_suppkey, count(*) FILTER (l_returnflag = 'A') AS g, count(*) FILTER (l_returnflag = 'R') AS f
+  FROM lineitem GROUP BY ALL),
+s AS (SELECT l_linenumber, sum(least(g, f))::BIGINT AS matched, sum(g) AS g, sum(f) AS f FROM c GROUP BY 1), p AS (SELECT *,
+  coalesce(matched / nullif(f, 0), 0) AS p, coalesce(matched / nullif(g, 0), 0) AS r FROM s)
 SELECT l_linenumber, matched, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM p"""
 
 

@@ -48,7 +48,8 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_SENTENCES_SQL = f"""WITH {_P},
-s AS (SELECT doc_id, paragraph_index, char_offset_start AS base, length(regexp_extract(text, '^[.!?]+')) AS lead, regexp_extract_all(text, '[^.!?]+[.!?]*') AS l FROM paras),
+s AS (SELECT doc_id, paragraph_index, char_offset_start AS base, length(regexp_extract(text, '^[.!?]+')) AS lead, regexp_extract_all(text,
+  '[^.!?]+[.!?]*') AS l FROM paras),
 e AS (SELECT doc_id, paragraph_index, base + lead AS base, l, unnest(range(1, len(l) + 1)) AS i FROM s)
 SELECT doc_id, paragraph_index, (i - 1)::INT AS sentence_in_paragraph, l[i] AS text,
  (base + coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x))), 0))::INT AS char_offset_start,
@@ -89,7 +90,8 @@ def _triggers(paras):
 
 
 _TRIGGER = """CASE WHEN contains(text, 'Licen') OR contains(text, 'licen') THEN 'license' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact'
- WHEN contains(text, 'token') OR contains(text, 'key =') THEN 'secret' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout' ELSE 'general' END"""
+ WHEN contains(text, 'token') OR contains(text, 'key =') THEN 'secret' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout'
+  ELSE 'general' END"""
 _RISK = "CASE WHEN module IN ('contact', 'secret') THEN 'high' WHEN module IN ('table', 'shout') THEN 'medium' WHEN module = 'license' THEN 'low' ELSE 'pass' END"
 
 
@@ -108,9 +110,11 @@ def doc_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.counts(hits, "doc_id", F.count_if(T.mask(F.col("text")) != F.col("text")).alias("n_masked"))
 
 
-DOC_RISK_SQL = f"""WITH {_P}, h AS (SELECT doc_id, text, {_TRIGGER} AS module FROM paras), r AS (SELECT doc_id, {_RISK} AS risk, {_mask_sql('text')} <> text AS m FROM h)
+DOC_RISK_SQL = f"""WITH {_P}, h AS (SELECT doc_id, text, {_TRIGGER} AS module FROM paras), r AS (SELECT doc_id, {_RISK} AS risk,
+  {_mask_sql('text')} <> text AS m FROM h)
 SELECT doc_id, count(*) FILTER (risk = 'pass')::VARCHAR AS "agreeCount", count(*) FILTER (risk = 'high')::VARCHAR AS "highlevelriskCount",
- count(*) FILTER (risk = 'medium')::VARCHAR AS "mediumlevelriskCount", count(*) FILTER (risk = 'low')::VARCHAR AS "lowlevelriskCount", count(*) FILTER (m) AS n_masked FROM r GROUP BY doc_id"""
+ count(*) FILTER (risk = 'medium')::VARCHAR AS "mediumlevelriskCount", count(*) FILTER (risk = 'low')::VARCHAR AS "lowlevelriskCount",
+  count(*) FILTER (m) AS n_masked FROM r GROUP BY doc_id"""
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +166,20 @@ def evidence_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.best_paragraph(quote, paras)
 
 
-EVIDENCE_SQL = f"""WITH {_P}, q0 AS (SELECT doc_id, left(arg_max(text, (length(text), -paragraph_index)), 60) AS e FROM paras WHERE doc_id % 2 = 0 GROUP BY doc_id UNION ALL SELECT doc_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE doc_id % 2 = 1),
+EVIDENCE_SQL = f"""WITH {_P}, q0 AS (SELECT doc_id, left(arg_max(text, (length(text), -paragraph_index)), 60) AS e FROM paras WHERE doc_id % 2 = 0
+  GROUP BY doc_id UNION ALL SELECT doc_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE doc_id % 2 = 1),
 q AS (SELECT doc_id, trim(e) AS e, list_distinct(regexp_extract_all(trim(e), '(?s).')) AS ec FROM q0 WHERE trim(e) <> ''),
-j AS (SELECT p.doc_id, p.paragraph_index, p.text, p.char_offset_start AS s, q.e, len(ec) AS n, CASE WHEN contains(p.text, q.e) OR contains(regexp_replace(p.text, '\\s+', ' ', 'g'), regexp_replace(q.e, '\\s+', ' ', 'g')) THEN length(q.e) / length(p.text) WHEN contains(q.e, p.text) THEN length(p.text) / length(q.e) ELSE 0 END AS score,
+j AS (SELECT p.doc_id, p.paragraph_index, p.text, p.char_offset_start AS s, q.e, len(ec) AS n, CASE WHEN contains(p.text, q.e)
+  OR contains(regexp_replace(p.text, '\\s+', ' ', 'g'), regexp_replace(q.e, '\\s+', ' ', 'g')) THEN length(q.e) / length(p.text) WHEN contains(q.e,
+  p.text) THEN length(p.text) / length(q.e) ELSE 0 END AS score,
  len(list_intersect(ec, list_distinct(regexp_extract_all(p.text, '(?s).')))) AS common FROM paras p JOIN q USING (doc_id)),
-b AS (SELECT doc_id, e, n, max(score) AS top, max(common) AS most, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (score, -paragraph_index)) AS m1, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (common, -paragraph_index)) AS m2 FROM j GROUP BY doc_id, e, n),
+b AS (SELECT doc_id, e, n, max(score) AS top, max(common) AS most, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (score,
+  -paragraph_index)) AS m1, arg_max({{'i': paragraph_index, 't': text, 's': s}}, (common, -paragraph_index)) AS m2 FROM j GROUP BY doc_id, e, n),
 c AS (SELECT *, CASE WHEN top > 0 THEN m1 ELSE m2 END AS m FROM b WHERE top > 0 OR most >= n * 0.5)
 SELECT doc_id, doc_id AS evidence_id, m.i AS paragraph_index, (m.s + greatest(instr(m.t, e), 1) - 1)::INT AS char_offset_start,
  (CASE WHEN contains(m.t, e) THEN m.s + instr(m.t, e) - 1 + length(e) ELSE m.s + length(m.t) END)::INT AS char_offset_end,
- CASE WHEN top > 0 THEN CASE WHEN contains(m.t, e) THEN 'containment_exact' ELSE 'containment_paragraph' END WHEN contains(m.t, e) THEN 'overlap_exact' ELSE 'overlap' END AS match_strategy FROM c"""
+ CASE WHEN top > 0 THEN CASE WHEN contains(m.t, e) THEN 'containment_exact' ELSE 'containment_paragraph' END WHEN contains(m.t,
+  e) THEN 'overlap_exact' ELSE 'overlap' END AS match_strategy FROM c"""
 
 
 def evidence_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,10 +217,12 @@ def section_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.section_pairs(side("user"), side("assistant"), "conv_id")
 
 
-SECTION_SQL = """WITH s AS (SELECT conv_id, role, '#' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS section_key, turn, text FROM conversations),
+SECTION_SQL = """WITH s AS (SELECT conv_id, role, '#' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS section_key, turn, text
+  FROM conversations),
 o AS (SELECT * FROM s WHERE role = 'user'), n AS (SELECT * FROM s WHERE role = 'assistant')
 SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.section_key, n.section_key) AS section_key, o.turn AS old_position, n.turn AS new_position,
- coalesce(o.text, '') AS old_text, coalesce(n.text, '') AS new_text, o.text IS NOT DISTINCT FROM n.text AS unchanged FROM o FULL JOIN n ON o.conv_id = n.conv_id AND o.section_key = n.section_key"""
+ coalesce(o.text, '') AS old_text, coalesce(n.text, '') AS new_text, o.text IS NOT DISTINCT FROM n.text AS unchanged FROM o FULL
+  JOIN n ON o.conv_id = n.conv_id AND o.section_key = n.section_key"""
 
 
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +253,10 @@ def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splice.check_spans(_spans(spark, sf_dir)[1], "doc_id").groupBy("problem").agg(F.count(F.lit(1)).alias("n_spans"))
 
 
-OVERLAP_SQL = """WITH s AS (SELECT doc_id, doc_id % 7 AS st, doc_id % 7 + 5 AS en FROM documents UNION ALL SELECT doc_id, doc_id % 11, doc_id % 11 + 4 FROM documents),
-c AS (SELECT st, lag(en) OVER (PARTITION BY doc_id ORDER BY st, en) AS b FROM s) SELECT CASE WHEN b IS NOT NULL AND st < b THEN 'overlaps' END AS problem, count(*) AS n_spans FROM c GROUP BY 1"""
+OVERLAP_SQL = """WITH s AS (SELECT doc_id, doc_id % 7 AS st, doc_id % 7 + 5 AS en FROM documents UNION ALL SELECT doc_id, doc_id % 11, doc_id % 11 + 4
+  FROM documents),
+c AS (SELECT st, lag(en) OVER (PARTITION BY doc_id ORDER BY st, en) AS b FROM s) SELECT CASE WHEN b IS NOT NULL
+  AND st < b THEN 'overlaps' END AS problem, count(*) AS n_spans FROM c GROUP BY 1"""
 
 
 def span_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +265,8 @@ def span_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2("spliced_text", 256).alias("spliced_sha256"))
 
 
-SPLICE_SQL = """WITH s AS (SELECT doc_id, text, least(doc_id % 7, doc_id % 11) AS a, CASE WHEN doc_id % 7 <= doc_id % 11 THEN doc_id % 7 + 5 ELSE doc_id % 11 + 4 END AS ae,
+SPLICE_SQL = """WITH s AS (SELECT doc_id, text, least(doc_id % 7, doc_id % 11) AS a, CASE WHEN doc_id % 7 <= doc_id % 11 THEN doc_id % 7 + 5
+  ELSE doc_id % 11 + 4 END AS ae,
  greatest(doc_id % 7, doc_id % 11) AS b, CASE WHEN doc_id % 7 > doc_id % 11 THEN doc_id % 7 + 5 ELSE doc_id % 11 + 4 END AS be FROM documents)
 SELECT doc_id, CASE WHEN b >= ae AND a <> b THEN sha256(t[1:a] || '<' || a || '>' || t[ae+1:]) END AS spliced_sha256
 FROM (SELECT *, text[1:b] || '<' || b || '>' || text[be+1:] AS t FROM s)"""
@@ -265,7 +279,8 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(t, 256).alias("text_sha256"), F.length(t).cast("long").alias("n_chars"))
 
 
-PAGE_TEXT_SQL = r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
+PAGE_TEXT_SQL = r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, sha256(t) AS text_sha256, length(t) AS n_chars FROM t"""
 
 QUERIES = {f.__name__: f for f in (doc_paragraphs, doc_sentences, mask_basic, redact_reversible, redact_roundtrip, keyword_trigger_hits, doc_risk_summary, jaccard_pairs, jaccard_sentences, best_match, evidence_paragraph, evidence_sentence, section_outer_join, sentence_diff, diff_stats, clause_diff_moves, overlap_check, span_splice, page_text)}

@@ -36,11 +36,15 @@ def expectation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderpriority", "n", "n_found", "risk_accuracy", "key_hit_rate", "false_negative_rate")
 
 
-EXPECTATION_SQL = """WITH i AS (SELECT l_orderkey AS c, l_linenumber::BIGINT * 100000000 + l_partkey AS pos, 'R' || (l_partkey % 40) AS code, 'widget ' || (l_partkey % 7) AS k, ['pass', 'high', 'low'][l_partkey % 3 + 1] AS risk FROM lineitem),
-e AS (SELECT o_orderkey AS c, o_orderpriority, 'R' || (o_custkey % 40) AS code, 'widget ' || (o_custkey % 7) AS alias, ['pass', 'high', 'low'][o_custkey % 3 + 1] AS gold, o_orderstatus = 'F' AND o_custkey % 2 = 0 AS needed FROM orders),
-m AS (SELECT e.c, i.k, i.risk, row_number() OVER (PARTITION BY e.c ORDER BY CASE WHEN i.code = e.code THEN 0 ELSE 1 END, i.pos) AS n FROM e JOIN i ON e.c = i.c AND (i.code = e.code OR contains(i.k, e.alias) OR contains(e.alias, i.k))),
+EXPECTATION_SQL = """WITH i AS (SELECT l_orderkey AS c, l_linenumber::BIGINT * 100000000 + l_partkey AS pos, 'R' || (l_partkey % 40) AS code,
+  'widget ' || (l_partkey % 7) AS k, ['pass', 'high', 'low'][l_partkey % 3 + 1] AS risk FROM lineitem),
+e AS (SELECT o_orderkey AS c, o_orderpriority, 'R' || (o_custkey % 40) AS code, 'widget ' || (o_custkey % 7) AS alias, ['pass', 'high',
+  'low'][o_custkey % 3 + 1] AS gold, o_orderstatus = 'F' AND o_custkey % 2 = 0 AS needed FROM orders),
+m AS (SELECT e.c, i.k, i.risk, row_number() OVER (PARTITION BY e.c ORDER BY CASE WHEN i.code = e.code THEN 0 ELSE 1 END, i.pos) AS n FROM e
+  JOIN i ON e.c = i.c AND (i.code = e.code OR contains(i.k, e.alias) OR contains(e.alias, i.k))),
 f AS (SELECT e.*, m.k, m.risk FROM e LEFT JOIN m ON e.c = m.c AND m.n = 1)
-SELECT o_orderpriority, count(*) AS n, count(risk) AS n_found, round(count(*) FILTER (risk = gold) / nullif(count(risk), 0), 6) AS risk_accuracy, round(count(*) FILTER (contains(k, alias)) / count(*), 6) AS key_hit_rate,
+SELECT o_orderpriority, count(*) AS n, count(risk) AS n_found, round(count(*) FILTER (risk = gold) / nullif(count(risk), 0), 6) AS risk_accuracy,
+  round(count(*) FILTER (contains(k, alias)) / count(*), 6) AS key_hit_rate,
 round(count(*) FILTER (needed AND (risk IS NULL OR risk = 'pass')) / nullif(count(*) FILTER (needed), 0), 6) AS false_negative_rate FROM f GROUP BY 1"""
 
 
@@ -50,7 +54,8 @@ def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.run_stability(e, "user_id", "event_id", ["event_type"], ["all"])
 
 
-RUN_STABILITY_SQL = """SELECT 'all' AS "all", round(count(*) FILTER (n > 1 AND event_type IS NOT DISTINCT FROM f) / count(*) FILTER (n > 1), 6) AS event_type_stability
+RUN_STABILITY_SQL = """SELECT 'all' AS "all", round(count(*) FILTER (n > 1 AND event_type IS NOT DISTINCT FROM f) / count(*) FILTER (n > 1),
+  6) AS event_type_stability
 FROM (SELECT event_type, row_number() OVER w AS n, first_value(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 
 

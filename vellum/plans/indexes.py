@@ -40,11 +40,16 @@ def _bm25_sql(n: int, where: str) -> str:
     return f"""SELECT {n} AS step, * FROM (WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents WHERE {where}),
 nd AS (SELECT lang, count(*) AS n, avg(len(tk)) AS avgdl FROM d GROUP BY 1),
 tf AS (SELECT doc_id, lang, len(tk) AS dl, unnest(tk) AS term FROM d), tfc AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
-dfc AS (SELECT lang, term, count(*) AS df FROM tfc GROUP BY ALL), raw AS (SELECT lang, term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc JOIN nd USING (lang)),
-mean AS (SELECT lang, avg(raw) AS m FROM raw GROUP BY 1), idf AS (SELECT lang, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mean USING (lang)),
-qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
-bm AS (SELECT query_id, lang, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term) JOIN tfc USING (lang, term) JOIN nd USING (lang) GROUP BY ALL),
-r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM bm) SELECT * FROM r WHERE rank <= 3)"""
+dfc AS (SELECT lang, term, count(*) AS df FROM tfc GROUP BY ALL), raw AS (SELECT lang, term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc
+  JOIN nd USING (lang)),
+mean AS (SELECT lang, avg(raw) AS m FROM raw GROUP BY 1), idf AS (SELECT lang, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw
+  JOIN mean USING (lang)),
+qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+  qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+bm AS (SELECT query_id, lang, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term)
+  JOIN tfc USING (lang, term) JOIN nd USING (lang) GROUP BY ALL),
+r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM bm)
+  SELECT * FROM r WHERE rank <= 3)"""
 
 
 TERM_INDEX_SQL = _bm25_sql(1, "doc_id % 3 <> 0") + " UNION ALL " + _bm25_sql(2, "doc_id % 5 <> 0")
@@ -69,10 +74,13 @@ def local_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOCAL_SEARCH_SQL = f"""WITH {vector_sql('c', 'conversations', '(conv_id * 100 + turn)')}, {vector_sql('q', 'benchmark', 'item_id')},
-r AS (SELECT conv_id * 100 + turn AS id, 'm' || conv_id % 4 AS module, 't' || conv_id % 3 AS type, CASE role WHEN 'user' THEN ['甲方'] WHEN 'assistant' THEN ['乙方'] ELSE ['丙方', '乙方'] END AS roles FROM conversations),
-a AS (SELECT item_id AS query_id, [{', '.join(f"'{m}'" if m else 'NULL' for m, _, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wm, [{', '.join(f"'{t}'" if t else 'NULL' for _, t, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wt,
+r AS (SELECT conv_id * 100 + turn AS id, 'm' || conv_id % 4 AS module, 't' || conv_id % 3 AS type, CASE role WHEN 'user' THEN ['甲方']
+  WHEN 'assistant' THEN ['乙方'] ELSE ['丙方', '乙方'] END AS roles FROM conversations),
+a AS (SELECT item_id AS query_id, [{', '.join(f"'{m}'" if m else 'NULL' for m, _, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wm,
+  [{', '.join(f"'{t}'" if t else 'NULL' for _, t, _ in WANTS)}][item_id % {len(WANTS)} + 1] AS wt,
  [{', '.join(f"'{x}'" if x else 'NULL' for _, _, x in WANTS)}][item_id % {len(WANTS)} + 1] AS wr FROM benchmark),
-t AS (SELECT query_id, id, coalesce(wm = module, true) AS m, coalesce(wt = type, true) AS ty, wr IS NULL OR list_contains(list_transform(roles, lambda x: CASE x WHEN '甲方' THEN 'A' WHEN '乙方' THEN 'B' ELSE 'G' END), CASE wr WHEN '甲方' THEN 'A' WHEN '乙方' THEN 'B' ELSE 'G' END) AS ro FROM a, r),
+t AS (SELECT query_id, id, coalesce(wm = module, true) AS m, coalesce(wt = type, true) AS ty, wr IS NULL OR list_contains(list_transform(roles,
+  lambda x: CASE x WHEN '甲方' THEN 'A' WHEN '乙方' THEN 'B' ELSE 'G' END), CASE wr WHEN '甲方' THEN 'A' WHEN '乙方' THEN 'B' ELSE 'G' END) AS ro FROM a, r),
 f AS (SELECT query_id, id, CASE WHEN m AND ty AND ro THEN 0 WHEN m AND ty THEN 1 WHEN m THEN 2 ELSE 3 END AS tier FROM t),
 l AS (SELECT query_id, id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM f) WHERE tier = least),
 p AS (SELECT q_v.id AS query_id, c_v.id, sum(q_v.v * c_v.v) AS score FROM q_v JOIN c_v USING (slot) GROUP BY ALL),

@@ -20,9 +20,11 @@ def request_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.checked_requests(o, pairs).select("request_id", "n_pairs", "error")
 
 
-BOUNDS_SQL = f"""WITH p AS (SELECT l_orderkey AS request_id, count(*) AS n, count(*) FILTER (WHERE {pick_sql(PHRASES, 'l_orderkey + l_linenumber')} = '' OR {pick_sql(PHRASES, 'l_orderkey + l_linenumber * 2')} = '') AS blank
+BOUNDS_SQL = f"""WITH p AS (SELECT l_orderkey AS request_id, count(*) AS n,
+  count(*) FILTER (WHERE {pick_sql(PHRASES, 'l_orderkey + l_linenumber')} = '' OR {pick_sql(PHRASES, 'l_orderkey + l_linenumber * 2')} = '') AS blank
  FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_returnflag = 'N' GROUP BY 1)
-SELECT o_orderkey AS request_id, coalesce(n, 0) AS n_pairs, CASE WHEN coalesce(n, 0) NOT BETWEEN 1 AND 5 THEN 'a request has 1 to 5 pairs' WHEN blank > 0 THEN 'a text is blank' END AS error
+SELECT o_orderkey AS request_id, coalesce(n, 0) AS n_pairs, CASE WHEN coalesce(n, 0) NOT BETWEEN 1 AND 5 THEN 'a request has 1 to 5 pairs'
+  WHEN blank > 0 THEN 'a text is blank' END AS error
 FROM orders LEFT JOIN p ON request_id = o_orderkey"""
 
 
@@ -38,8 +40,10 @@ def bulk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DECISIONS_SQL = """WITH c AS (SELECT l_orderkey AS task_id, CASE WHEN o_orderkey % 4 = 0 AND l_linenumber IN (2, 3) THEN 'ignored'
-  WHEN l_linenumber IN (1, 2) AND o_custkey % 3 < 2 THEN ['included', 'ignored'][o_custkey % 3 + 1] ELSE 'pending' END AS decision FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT task_id, count(*) AS total, count(*) FILTER (WHERE decision = 'included') AS included, count(*) FILTER (WHERE decision = 'ignored') AS ignored, count(*) FILTER (WHERE decision = 'pending') AS pending
+  WHEN l_linenumber IN (1, 2) AND o_custkey % 3 < 2 THEN ['included', 'ignored'][o_custkey % 3 + 1] ELSE 'pending' END AS decision FROM lineitem
+  JOIN orders ON o_orderkey = l_orderkey)
+SELECT task_id, count(*) AS total, count(*) FILTER (WHERE decision = 'included') AS included, count(*) FILTER (WHERE decision = 'ignored') AS ignored,
+  count(*) FILTER (WHERE decision = 'pending') AS pending
 FROM c GROUP BY 1"""
 
 
@@ -56,8 +60,10 @@ def rule_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "rule_code", "contract_type", "module", "risk_name", "check_point", "trigger_condition")
 
 
-HEADERS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'R' ELSE 'C' END || p_partkey AS rule_code, trim(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END) AS contract_type,
- CASE p_partkey % 4 WHEN 0 THEN '财务' WHEN 1 THEN '法务' ELSE '其他' END AS module, trim(p_name) AS risk_name, p_size::VARCHAR AS check_point, '' AS trigger_condition FROM part"""
+HEADERS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'R' ELSE 'C' END || p_partkey AS rule_code, trim(CASE
+  WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END) AS contract_type,
+ CASE p_partkey % 4 WHEN 0 THEN '财务' WHEN 1 THEN '法务' ELSE '其他' END AS module, trim(p_name) AS risk_name, p_size::VARCHAR AS check_point,
+  '' AS trigger_condition FROM part"""
 
 
 def listed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +96,8 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.retrieval_queries(diffs, ["l_orderkey"])
 
 
-QUERY_TEXTS_SQL = f"""WITH d AS (SELECT l_orderkey, ['付款条款', '保密条款'][l_linenumber % 2 + 1] AS review_module, l_linenumber AS n, {pick_sql(PHRASES, 'l_partkey')} || ' ' || {pick_sql(PHRASES, 'l_suppkey')} AS t FROM lineitem),
+QUERY_TEXTS_SQL = f"""WITH d AS (SELECT l_orderkey, ['付款条款', '保密条款'][l_linenumber % 2 + 1] AS review_module, l_linenumber AS n,
+  {pick_sql(PHRASES, 'l_partkey')} || ' ' || {pick_sql(PHRASES, 'l_suppkey')} AS t FROM lineitem),
 o AS (SELECT l_orderkey, review_module, t, min(n) AS n FROM d GROUP BY ALL)
 SELECT l_orderkey, review_module, string_agg(t, ' ' ORDER BY n, t) AS query FROM o GROUP BY ALL"""
 
@@ -111,8 +118,10 @@ def answer_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # runs 0 and 1 are one answer; 2 has its items the other way round, 3 another risk, 4 another quote
 STABILITY_SQL = """WITH r AS (SELECT o_custkey, o_orderkey % 5 AS k FROM orders),
-c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE k <= 1) AS k01, count(*) FILTER (WHERE k = 2) AS k2, count(*) FILTER (WHERE k = 3) AS k3, count(*) FILTER (WHERE k = 4) AS k4 FROM r GROUP BY 1)
-SELECT o_custkey, n AS n_runs, round(greatest(k01, k2, k3, k4) / n, 6) AS exact_rate, round(greatest(k01 + k4, k2, k3) / n, 6) AS structure_rate, round(greatest(k01 + k2 + k3, k4) / n, 6) AS quotes_rate FROM c"""
+c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE k <= 1) AS k01, count(*) FILTER (WHERE k = 2) AS k2,
+  count(*) FILTER (WHERE k = 3) AS k3, count(*) FILTER (WHERE k = 4) AS k4 FROM r GROUP BY 1)
+SELECT o_custkey, n AS n_runs, round(greatest(k01, k2, k3, k4) / n, 6) AS exact_rate, round(greatest(k01 + k4, k2, k3) / n, 6) AS structure_rate,
+  round(greatest(k01 + k2 + k3, k4) / n, 6) AS quotes_rate FROM c"""
 
 QUERIES = {f.__name__: f for f in (request_bounds, bulk_decisions, rule_headers, listed_rules, bm25_records, query_texts, answer_stability)}
 ORACLES = {

@@ -19,7 +19,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.vector_topk(q, v.select("vec_id", "embedding"), 5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
-VECTOR_SQL = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+VECTOR_SQL = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
 
 
@@ -39,10 +40,13 @@ def _bm25(spark, sf_dir, tokens=_words):
 
 _BM25 = """d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents), nd AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM d),
 tf AS (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM d), tfc AS (SELECT doc_id, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
-dfc AS (SELECT term, count(*) AS df FROM tfc GROUP BY 1), raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc, nd), mean AS (SELECT avg(raw) AS m FROM raw),
+dfc AS (SELECT term, count(*) AS df FROM tfc GROUP BY 1), raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc, nd),
+  mean AS (SELECT avg(raw) AS m FROM raw),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw, mean),
-qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
-bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term) JOIN tfc USING (term), nd GROUP BY ALL)"""
+qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+  qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term)
+  JOIN tfc USING (term), nd GROUP BY ALL)"""
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
@@ -72,11 +76,13 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
     return retrieve.ranked(kept, "query_id", [F.desc("score"), "doc_id"], 10).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
-HYBRID_SQL = f"""WITH {_BM25}, {_VEC}, t AS (SELECT query_id, doc_id, greatest(score, 0) / max(greatest(score, 0)) OVER (PARTITION BY query_id) AS score FROM bm),
+HYBRID_SQL = f"""WITH {_BM25}, {_VEC}, t AS (SELECT query_id, doc_id, greatest(score, 0) / max(greatest(score, 0))
+  OVER (PARTITION BY query_id) AS score FROM bm),
 f AS (SELECT query_id, doc_id, 0.6 * coalesce(v.score, 0) + 0.4 * coalesce(t.score, 0) AS score FROM v FULL JOIN t USING (query_id, doc_id)),
 a AS (SELECT query_id, doc_id FROM f JOIN documents USING (doc_id) WHERE query_id % 40 = 0 AND lang = 'de'),
 k AS (SELECT * FROM f WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM a) OR query_id NOT IN (SELECT query_id FROM a)),
-r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM k) SELECT * FROM r WHERE rank <= 10"""
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM k) SELECT * FROM r
+  WHERE rank <= 10"""
 
 
 def tiered_retrieval(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFrame:
@@ -87,8 +93,10 @@ def tiered_retrieval(spark: SparkSession, sf_dir: str, tokens=_words) -> DataFra
     return best.select("query_id", "doc_id", "tier", F.col("rank").cast("int").alias("rank"), "score")
 
 
-TIERED_SQL = f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(score, 6) AS score, CASE WHEN lang = 'es' AND source = 'src' || query_id THEN 0 WHEN lang = 'es' THEN 1 ELSE 2 END AS tier FROM bm JOIN documents USING (doc_id)),
-m AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM m WHERE tier <= least)
+TIERED_SQL = f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(score, 6) AS score, CASE WHEN lang = 'es' AND source = 'src' || query_id THEN 0
+  WHEN lang = 'es' THEN 1 ELSE 2 END AS tier FROM bm JOIN documents USING (doc_id)),
+m AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+  doc_id)::INT AS rank FROM m WHERE tier <= least)
 SELECT query_id, doc_id, tier, rank, round(1 - (rank - 1) / greatest(count(*) OVER (PARTITION BY query_id), 10), 4) AS score FROM r WHERE rank <= 3"""
 
 
@@ -112,8 +120,10 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HASH_SQL = """WITH b AS (SELECT item_id, lower(text) AS t, regexp_replace(lower(text), '[ \\t\\r\\n]+', '', 'g') AS u FROM benchmark),
-k AS (SELECT item_id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS tok FROM b UNION ALL SELECT item_id, substring(u, i, n) FROM (SELECT item_id, u, n, unnest(range(1, length(u) - n + 2)) AS i FROM b, (VALUES (1), (2), (3), (4)) x(n))),
-s AS (SELECT item_id, (('0x' || left(md5(tok), 8))::BIGINT % 512)::INT AS slot, CASE WHEN ('0x' || substring(md5(tok), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM k),
+k AS (SELECT item_id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS tok FROM b UNION ALL SELECT item_id, substring(u, i, n) FROM (SELECT item_id, u,
+  n, unnest(range(1, length(u) - n + 2)) AS i FROM b, (VALUES (1), (2), (3), (4)) x(n))),
+s AS (SELECT item_id, (('0x' || left(md5(tok), 8))::BIGINT % 512)::INT AS slot, CASE WHEN ('0x' || substring(md5(tok), 9, 2))::BIGINT % 2 = 0 THEN 1
+  ELSE -1 END AS sign FROM k),
 w AS (SELECT item_id, slot, sum(sign)::BIGINT AS weight FROM s GROUP BY ALL HAVING sum(sign) <> 0)
 SELECT item_id, slot, weight, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY item_id)), 9) AS value FROM w"""
 
@@ -130,8 +140,10 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.once_batch(e, ["room", "event_type"], "ts", "event_id", S.MESSAGE_TTL).select("event_id", "room", "event_type")
 
 
-DEDUP_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS room, event_type, ts FROM events), f AS (SELECT room, event_type, min(ts) AS ts FROM e GROUP BY ALL
- UNION ALL SELECT f.room, f.event_type, min(e.ts) FROM f JOIN e ON e.room = f.room AND e.event_type = f.event_type AND e.ts >= f.ts + INTERVAL 300 SECOND GROUP BY f.room, f.event_type)
+DEDUP_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS room, event_type, ts FROM events), f AS (SELECT room, event_type, min(ts) AS ts
+  FROM e GROUP BY ALL
+ UNION ALL SELECT f.room, f.event_type, min(e.ts) FROM f JOIN e ON e.room = f.room AND e.event_type = f.event_type
+  AND e.ts >= f.ts + INTERVAL 300 SECOND GROUP BY f.room, f.event_type)
 SELECT min(event_id) AS event_id, room, event_type FROM f JOIN e USING (room, event_type, ts) GROUP BY room, event_type, ts"""
 
 
@@ -139,7 +151,8 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sessions(table(spark, sf_dir, "events"))
 
 
-SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, k"""
 
@@ -154,13 +167,18 @@ def bm25_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.ranked(s, ["query_id", "lang"], [F.desc("score"), "doc_id"], 3).select("query_id", "lang", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
-BM25_LANG_SQL = """WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents), nd AS (SELECT lang, count(*) AS n, avg(len(tk)) AS avgdl FROM d GROUP BY 1),
+BM25_LANG_SQL = """WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents), nd AS (SELECT lang,
+  count(*) AS n, avg(len(tk)) AS avgdl FROM d GROUP BY 1),
 tf AS (SELECT doc_id, lang, len(tk) AS dl, unnest(tk) AS term FROM d), tfc AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
-dfc AS (SELECT lang, term, count(*) AS df FROM tfc GROUP BY ALL), raw AS (SELECT lang, term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc JOIN nd USING (lang)), mean AS (SELECT lang, avg(raw) AS m FROM raw GROUP BY 1),
+dfc AS (SELECT lang, term, count(*) AS df FROM tfc GROUP BY ALL), raw AS (SELECT lang, term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfc
+  JOIN nd USING (lang)), mean AS (SELECT lang, avg(raw) AS m FROM raw GROUP BY 1),
 idf AS (SELECT lang, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN mean USING (lang)),
-qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
-bm AS (SELECT query_id, lang, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term) JOIN tfc USING (lang, term) JOIN nd USING (lang) GROUP BY ALL),
-r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM bm) SELECT * FROM r WHERE rank <= 3"""
+qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+  qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+bm AS (SELECT query_id, lang, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qc JOIN idf USING (term)
+  JOIN tfc USING (lang, term) JOIN nd USING (lang) GROUP BY ALL),
+r AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM bm)
+  SELECT * FROM r WHERE rank <= 3"""
 
 
 def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +191,13 @@ def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_sql(name: str, source: str, id: str) -> str:
     """name_v (id, slot, v): hashed vectors of the texts of a table or a query."""
-    return f"""{name}_b AS (SELECT {id} AS id, lower(coalesce(text, '')) AS t, regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n]+', '', 'g') AS u FROM {source}),
+    return f"""{name}_b AS (SELECT {id} AS id, lower(coalesce(text, '')) AS t, regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n]+', '',
+  'g') AS u FROM {source}),
 {name}_k AS (SELECT id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS tok FROM {name}_b
  UNION ALL SELECT id, substring(u, i, n) FROM (SELECT id, u, n, unnest(range(1, length(u) - n + 2)) AS i FROM {name}_b, (VALUES (1), (2), (3), (4)) x(n))),
 {name}_s AS (SELECT id, md5(tok) AS h, count(*) AS n FROM {name}_k GROUP BY ALL),
-{name}_w AS (SELECT id, (('0x' || left(h, 8))::BIGINT % 512)::INT AS slot, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END)::BIGINT AS weight FROM {name}_s GROUP BY ALL),
+{name}_w AS (SELECT id, (('0x' || left(h, 8))::BIGINT % 512)::INT AS slot, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN n
+  ELSE -n END)::BIGINT AS weight FROM {name}_s GROUP BY ALL),
 {name}_v AS (SELECT id, slot, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS v FROM {name}_w WHERE weight <> 0)"""
 
 
@@ -192,7 +212,8 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(T.inner_product(u, F.col("embedding")), 6).alias("length"), F.round(T.inner_product(u, u), 6).alias("one"))
 
 
-UNIT_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, e, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v)
+UNIT_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, e, list_transform(e,
+  lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v)
 SELECT vec_id, round(list_inner_product(u, e), 6) AS length, round(list_inner_product(u, u), 6) AS one FROM u"""
 
 

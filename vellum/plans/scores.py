@@ -26,9 +26,12 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WEIGHTED_SQL = """WITH k AS (SELECT p_partkey AS k FROM part),
-f AS (SELECT (k % 2 = 0)::INT AS a, (k % 3 = 0)::INT AS b, coalesce(CASE WHEN k % 5 <> 0 THEN (k % 4 = 0)::INT END, 0) AS c, (k % 7 < 3)::INT AS d, (k % 11 < 5)::INT AS e, (k % 13 < 9)::INT AS t, (k % 2 = 1)::INT AS s, (k % 10) / 10 AS x, (k % 8) / 8 AS y, (k % 4) / 4 AS z FROM k)
-SELECT round(0.25::DOUBLE * a + 0.15::DOUBLE * b + 0.15::DOUBLE * c + 0.15::DOUBLE * d + 0.1::DOUBLE * e + 0.1::DOUBLE * t + 0.05::DOUBLE * s + 0.05::DOUBLE, 6) AS score,
- round(0.35::DOUBLE * x + 0.3::DOUBLE * y + 0.2::DOUBLE * z + 0.05::DOUBLE * s + 0.05::DOUBLE + 0.05::DOUBLE * t, 6) AS dense_score, count(*) AS n_rows FROM f GROUP BY ALL"""
+f AS (SELECT (k % 2 = 0)::INT AS a, (k % 3 = 0)::INT AS b, coalesce(CASE WHEN k % 5 <> 0 THEN (k % 4 = 0)::INT END, 0) AS c, (k % 7 < 3)::INT AS d,
+  (k % 11 < 5)::INT AS e, (k % 13 < 9)::INT AS t, (k % 2 = 1)::INT AS s, (k % 10) / 10 AS x, (k % 8) / 8 AS y, (k % 4) / 4 AS z FROM k)
+SELECT round(0.25::DOUBLE * a + 0.15::DOUBLE * b + 0.15::DOUBLE * c + 0.15::DOUBLE * d + 0.1::DOUBLE * e + 0.1::DOUBLE * t + 0.05::DOUBLE * s +
+  0.05::DOUBLE, 6) AS score,
+ round(0.35::DOUBLE * x + 0.3::DOUBLE * y + 0.2::DOUBLE * z + 0.05::DOUBLE * s + 0.05::DOUBLE + 0.05::DOUBLE * t, 6) AS dense_score,
+  count(*) AS n_rows FROM f GROUP BY ALL"""
 
 _BODIES = (
     ('{"success": true, "enhanced": [{"original": "a", "change_type": "added", "old_quote": "", "new_quote": "n", "category": "c", "summary": "s", "risk_level": "high", "evidence": "e", "impact": "i", "suggestion": "g"}], "total_risks": 1, "message": ""}', ""),
@@ -87,17 +90,27 @@ def _category_sql(t):
 _Q7 = (*_QUOTES, "")
 _COMPARED = f"""n AS (SELECT o_custkey AS case_id, o_orderkey, o_orderkey // 2 AS n FROM orders),
 v AS (SELECT *, {pick_sql(_KINDS, 'n')} AS kind, {pick_sql(_Q7, 'n')} AS o, {pick_sql(_Q7, 'n + case_id')} AS w FROM n),
-g AS (SELECT case_id, o_orderkey AS gold_id, n, kind, CASE WHEN kind = 'added' THEN '' ELSE o END AS oq, CASE WHEN kind = 'deleted' THEN '' ELSE w END AS nq FROM v WHERE o_orderkey % 2 = 0),
-f AS (SELECT case_id, o_orderkey AS found_id, n, kind, CASE WHEN kind = 'added' AND n % 4 <> 0 THEN '' ELSE o END AS oq, CASE WHEN kind = 'deleted' AND n % 4 <> 0 THEN '' ELSE w END AS nq, o || w AS original, {_category_sql('o || w')} AS category,
+g AS (SELECT case_id, o_orderkey AS gold_id, n, kind, CASE WHEN kind = 'added' THEN '' ELSE o END AS oq, CASE WHEN kind = 'deleted' THEN ''
+  ELSE w END AS nq FROM v WHERE o_orderkey % 2 = 0),
+f AS (SELECT case_id, o_orderkey AS found_id, n, kind, CASE WHEN kind = 'added' AND n % 4 <> 0 THEN '' ELSE o END AS oq, CASE WHEN kind = 'deleted'
+  AND n % 4 <> 0 THEN '' ELSE w END AS nq, o || w AS original, {_category_sql('o || w')} AS category,
  {pick_sql(("low", "medium"), 'n')} AS risk_level, {pick_sql((scoring.REVIEW_ZH, scoring.FORMAT_ZH, ""), 'n')} AS suggestion FROM v WHERE o_orderkey % 2 = 1),
 gn AS (SELECT *, row_number() OVER (PARTITION BY case_id, kind, oq, nq ORDER BY gold_id) AS i FROM g),
-fn AS (SELECT *, row_number() OVER (PARTITION BY case_id, kind, oq, nq ORDER BY found_id) AS i FROM f WHERE NOT (kind = 'added' AND oq <> '') AND NOT (kind = 'deleted' AND nq <> '')),
-m AS (SELECT gn.case_id, gn.n AS gnum, fn.* EXCLUDE (case_id) FROM gn JOIN fn ON gn.case_id = fn.case_id AND gn.kind = fn.kind AND gn.oq = fn.oq AND gn.nq = fn.nq AND gn.i = fn.i),
-mh AS (SELECT case_id, count(*) AS matched_diff_total, count(*) AS matched_quote_preserved, count(*) FILTER ((contains(original, '甲方') OR contains(original, '合同')) AND (contains(original, '付款') OR contains(original, '解除'))) AS matched_original_fact_hits,
+fn AS (SELECT *, row_number() OVER (PARTITION BY case_id, kind, oq, nq ORDER BY found_id) AS i FROM f WHERE NOT (kind = 'added' AND oq <> '')
+  AND NOT (kind = 'deleted' AND nq <> '')),
+m AS (SELECT gn.case_id, gn.n AS gnum, fn.* EXCLUDE (case_id) FROM gn JOIN fn ON gn.case_id = fn.case_id AND gn.kind = fn.kind AND gn.oq = fn.oq
+  AND gn.nq = fn.nq AND gn.i = fn.i),
+mh AS (SELECT case_id, count(*) AS matched_diff_total, count(*) AS matched_quote_preserved, count(*) FILTER ((contains(original, '甲方')
+  OR contains(original, '合同')) AND (contains(original, '付款') OR contains(original, '解除'))) AS matched_original_fact_hits,
  count(*) FILTER (category IN ('付款条款', '解除终止')) AS matched_category_hits, count(*) FILTER (risk_level = 'medium') AS matched_risk_level_hits,
- count(*) FILTER (CASE gnum % 4 WHEN 0 THEN gnum % 2 = 0 AND contains(suggestion, '建议') WHEN 1 THEN suggestion = '{scoring.REVIEW_ZH}' WHEN 2 THEN suggestion = '{scoring.FORMAT_ZH}' ELSE true END) AS matched_suggestion_hits FROM m GROUP BY 1),
-c AS (SELECT c_custkey AS case_id, c_nationkey, {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 1')} AS old_text, {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 2')} AS new_text, c_custkey % 5 <> 0 AS success, c_custkey % 3 = c_custkey % 2 AS agree FROM customer),
-q AS (SELECT f.case_id, count(*) AS pred_diff_total, count(*) FILTER (oq <> '') AS old_quote_hit_total, count(*) FILTER (oq <> '' AND contains(old_text, oq)) AS old_quote_hits, count(*) FILTER (nq <> '') AS new_quote_hit_total, count(*) FILTER (nq <> '' AND contains(new_text, nq)) AS new_quote_hits FROM f JOIN c USING (case_id) GROUP BY 1),
+ count(*) FILTER (CASE gnum % 4 WHEN 0 THEN gnum % 2 = 0 AND contains(suggestion, '建议') WHEN 1 THEN suggestion = '{scoring.REVIEW_ZH}'
+  WHEN 2 THEN suggestion = '{scoring.FORMAT_ZH}' ELSE true END) AS matched_suggestion_hits FROM m GROUP BY 1),
+c AS (SELECT c_custkey AS case_id, c_nationkey, {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 1')} AS old_text,
+  {pick_sql(PHRASES, 'c_custkey')} || {pick_sql(PHRASES, 'c_custkey + 2')} AS new_text, c_custkey % 5 <> 0 AS success,
+  c_custkey % 3 = c_custkey % 2 AS agree FROM customer),
+q AS (SELECT f.case_id, count(*) AS pred_diff_total, count(*) FILTER (oq <> '') AS old_quote_hit_total, count(*) FILTER (oq <> ''
+  AND contains(old_text, oq)) AS old_quote_hits, count(*) FILTER (nq <> '') AS new_quote_hit_total, count(*) FILTER (nq <> '' AND contains(new_text,
+  nq)) AS new_quote_hits FROM f JOIN c USING (case_id) GROUP BY 1),
 gt AS (SELECT case_id, count(*) AS gold_diff_total FROM g GROUP BY 1)"""
 _COUNTS = (
     "gold_diff_total", "pred_diff_total", "old_quote_hit_total", "old_quote_hits", "new_quote_hit_total", "new_quote_hits",
@@ -133,16 +146,23 @@ def trace_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.trace_diagnostics(samples, diffs, expected, rules)
 
 
-TRACE_SQL = f"""WITH o AS (SELECT o_custkey AS s, o_orderkey AS k, {pick_sql(PHRASES, 'o_orderkey')} AS b, {pick_sql(PHRASES, 'o_custkey')} AS a, {pick_sql(_KINDS, 'o_orderkey')} AS kind, o_orderkey % 5 > 1 AS sub FROM orders),
+TRACE_SQL = f"""WITH o AS (SELECT o_custkey AS s, o_orderkey AS k, {pick_sql(PHRASES, 'o_orderkey')} AS b, {pick_sql(PHRASES, 'o_custkey')} AS a,
+  {pick_sql(_KINDS, 'o_orderkey')} AS kind, o_orderkey % 5 > 1 AS sub FROM orders),
 d AS (SELECT s, count(*) AS n, count(*) FILTER (sub) AS ns, count(*) FILTER (NOT sub) AS nn FROM o GROUP BY 1),
 e AS (SELECT s, k, {pick_sql(("added", None), 'k')} AS kind FROM o WHERE k % 3 = 0), en AS (SELECT s, count(*) AS n FROM e GROUP BY 1),
-h AS (SELECT *, contains(b || chr(10) || a, '甲方')::INT + contains(b || chr(10) || a, '付款')::INT + contains(b || chr(10) || a, '合同')::INT AS hits FROM o WHERE k % 2 = 0),
+h AS (SELECT *, contains(b || chr(10) || a, '甲方')::INT + contains(b || chr(10) || a, '付款')::INT + contains(b || chr(10) || a, '合同')::INT AS hits
+  FROM o WHERE k % 2 = 0),
 c AS (SELECT e.s, count(DISTINCT e.k) AS n FROM e JOIN h ON e.s = h.s AND (e.kind IS NULL OR e.kind = h.kind) AND h.hits / 3 >= 0.6 GROUP BY 1),
-r AS (SELECT s, k, b || chr(10) || a AS t, {pick_sql(("d", "", None), 'k')} AS src, k % 7 < 4 AS ok FROM o WHERE k % 2 = 1), rn AS (SELECT s, count(*) AS n, count(*) FILTER (ok) AS nv, count(*) FILTER (src <> '') AS nt FROM r GROUP BY 1),
+r AS (SELECT s, k, b || chr(10) || a AS t, {pick_sql(("d", "", None), 'k')} AS src, k % 7 < 4 AS ok FROM o WHERE k % 2 = 1), rn AS (SELECT s,
+  count(*) AS n, count(*) FILTER (ok) AS nv, count(*) FILTER (src <> '') AS nt FROM r GROUP BY 1),
 p AS (SELECT r.s, count(DISTINCT r.k) AS n FROM r JOIN o ON r.s = o.s AND NOT o.sub AND (contains(r.t, o.b) OR contains(r.t, o.a)) GROUP BY 1)
-SELECT c_custkey AS sample_id, coalesce(d.n, 0) AS candidate_diff_count, coalesce(ns, 0) AS substantive_diff_count, round(coalesce(coalesce(c.n, 0) / nullif(en.n, 0), 1.0), 6) AS expected_diff_coverage,
- round(1 - coalesce(coalesce(p.n, 0) / nullif(nn, 0), 0.0), 6) AS move_noop_filter_accuracy, round(coalesce(coalesce(rn.n, 0) / nullif(ns, 0), 0.0), 6) AS diff_to_rule_conversion_rate, round(coalesce(nv / nullif(rn.n, 0), 0.0), 6) AS trace_validated_rate, round(coalesce(nt / nullif(rn.n, 0), 0.0), 6) AS trace_diff_id_present_rate
-FROM customer LEFT JOIN d ON c_custkey = d.s LEFT JOIN en ON c_custkey = en.s LEFT JOIN c ON c_custkey = c.s LEFT JOIN rn ON c_custkey = rn.s LEFT JOIN p ON c_custkey = p.s"""
+SELECT c_custkey AS sample_id, coalesce(d.n, 0) AS candidate_diff_count, coalesce(ns, 0) AS substantive_diff_count, round(coalesce(coalesce(c.n,
+  0) / nullif(en.n, 0), 1.0), 6) AS expected_diff_coverage,
+ round(1 - coalesce(coalesce(p.n, 0) / nullif(nn, 0), 0.0), 6) AS move_noop_filter_accuracy, round(coalesce(coalesce(rn.n, 0) / nullif(ns, 0), 0.0),
+  6) AS diff_to_rule_conversion_rate, round(coalesce(nv / nullif(rn.n, 0), 0.0), 6) AS trace_validated_rate, round(coalesce(nt / nullif(rn.n, 0), 0.0),
+  6) AS trace_diff_id_present_rate
+FROM customer LEFT JOIN d ON c_custkey = d.s LEFT JOIN en ON c_custkey = en.s LEFT JOIN c ON c_custkey = c.s LEFT JOIN rn ON c_custkey = rn.s LEFT
+  JOIN p ON c_custkey = p.s"""
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +181,25 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.audit_summary(evaluate.record_rates(records, ["all"]), evaluate.item_rates(items, ["all"]), evaluate.expectation_rates(found, ["all"]), runs).drop("n", "false_negative_rate")
 
 
-AUDIT_SQL = f"""WITH r AS (SELECT o_orderkey AS k FROM orders), rr AS (SELECT round(count(*) FILTER (k % 9 <> 0) / count(*), 6) AS schema_pass_rate, round(count(*) FILTER (k % 4 <> 0) / count(*), 6) AS count_alignment_rate,
- round(count(*) FILTER ({pick_sql(("a", "b", None), 'k')} = {pick_sql(("a", "b"), 'k')}) / count({pick_sql(("a", "b", None), 'k')}), 6) AS type_accuracy, round(sum(least(k % 6, k % 5)) / sum(k % 5), 6) AS retention_rate FROM r),
-i AS (SELECT l_partkey AS k FROM lineitem), ii AS (SELECT round(count(*) FILTER ({pick_sql(("通过", "高风险", "中风险", "低风险"), 'k')} = {pick_sql(("通过", "高风险", "低风险"), 'k')}) / count(*), 6) AS label_consistency_rate, round(count(*) FILTER (k % 3 = 0) / count(*), 6) AS code_fill_rate,
+AUDIT_SQL = f"""WITH r AS (SELECT o_orderkey AS k FROM orders), rr AS (SELECT round(count(*) FILTER (k % 9 <> 0) / count(*), 6) AS schema_pass_rate,
+  round(count(*) FILTER (k % 4 <> 0) / count(*), 6) AS count_alignment_rate,
+ round(count(*) FILTER ({pick_sql(("a", "b", None), 'k')} = {pick_sql(("a", "b"), 'k')}) / count({pick_sql(("a", "b", None), 'k')}),
+  6) AS type_accuracy, round(sum(least(k % 6, k % 5)) / sum(k % 5), 6) AS retention_rate FROM r),
+i AS (SELECT l_partkey AS k FROM lineitem),
+  ii AS (SELECT round(count(*) FILTER ({pick_sql(("通过", "高风险", "中风险", "低风险"), 'k')} = {pick_sql(("通过", "高风险", "低风险"), 'k')}) / count(*),
+  6) AS label_consistency_rate, round(count(*) FILTER (k % 3 = 0) / count(*), 6) AS code_fill_rate,
  round(count(*) FILTER (k % 2 = 0 AND k % 4 <> 0) / count(*) FILTER (k % 2 = 0), 6) AS false_positive_rate FROM i),
-c AS (SELECT c_custkey AS k, c_custkey % 5 <> 0 AS there, c_custkey % 2 AS two, c_custkey % 3 AS three FROM customer), cc AS (SELECT count(*) FILTER (there) AS n_found, round(1.0::DOUBLE * count(*) FILTER (there AND two = 0) / count(*) FILTER (there), 6) AS risk_accuracy,
- round(count(*) FILTER (there AND two = 0) / count(*) FILTER (there), 6) AS action_type_accuracy, round(count(*) FILTER (there AND two = 0) / count(*), 6) AS key_hit_rate, round(count(*) FILTER (there) / count(*), 6) AS content_quote_accuracy,
- round(count(*) FILTER (there AND three = 0) / count(*) FILTER (three = 0), 6) AS missing_clause_accuracy, round(count(*) FILTER (there AND two = 0) / count(*) FILTER (there), 6) AS advice_alignment_rate, round(count(*) FILTER (there AND two = 0 AND three <> 1) / count(*) FILTER (there AND two = 0), 6) AS non_fabrication_rate FROM c),
-e AS (SELECT round(count(*) FILTER (n > 1 AND event_type IS NOT DISTINCT FROM f) / count(*) FILTER (n > 1), 6) AS event_type_stability FROM (SELECT event_type, row_number() OVER w AS n, first_value(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))
+c AS (SELECT c_custkey AS k, c_custkey % 5 <> 0 AS there, c_custkey % 2 AS two, c_custkey % 3 AS three FROM customer),
+  cc AS (SELECT count(*) FILTER (there) AS n_found, round(1.0::DOUBLE * count(*) FILTER (there AND two = 0) / count(*) FILTER (there),
+  6) AS risk_accuracy,
+ round(count(*) FILTER (there AND two = 0) / count(*) FILTER (there), 6) AS action_type_accuracy, round(count(*) FILTER (there
+  AND two = 0) / count(*), 6) AS key_hit_rate, round(count(*) FILTER (there) / count(*), 6) AS content_quote_accuracy,
+ round(count(*) FILTER (there AND three = 0) / count(*) FILTER (three = 0), 6) AS missing_clause_accuracy, round(count(*) FILTER (there
+  AND two = 0) / count(*) FILTER (there), 6) AS advice_alignment_rate, round(count(*) FILTER (there AND two = 0
+  AND three <> 1) / count(*) FILTER (there AND two = 0), 6) AS non_fabrication_rate FROM c),
+e AS (SELECT round(count(*) FILTER (n > 1 AND event_type IS NOT DISTINCT FROM f) / count(*) FILTER (n > 1), 6) AS event_type_stability
+  FROM (SELECT event_type, row_number() OVER w AS n, first_value(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id
+  ORDER BY event_id)))
 SELECT * FROM rr, ii, cc, e"""
 
 

@@ -26,7 +26,8 @@ def stored_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHILDREN_SQL = """WITH r AS (SELECT (l_orderkey % 16)::INT AS task_id, l_linenumber, l_quantity AS weight FROM lineitem)
-SELECT task_id, count(*) AS n_risks, sum(CASE WHEN task_id = 3 THEN 2 * weight ELSE weight END) AS weight FROM r WHERE task_id <> 5 AND (task_id <> 3 OR l_linenumber > 2) GROUP BY task_id"""
+SELECT task_id, count(*) AS n_risks, sum(CASE WHEN task_id = 3 THEN 2 * weight ELSE weight END) AS weight FROM r WHERE task_id <> 5 AND (task_id <> 3
+  OR l_linenumber > 2) GROUP BY task_id"""
 
 
 def stored_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +48,12 @@ def stored_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("c_nationkey", "version").agg(F.count("c_custkey").alias("n_customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_orders"))
 
 
-UPKEEP_SQL = """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END AS version
+UPKEEP_SQL = """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal, CASE
+  WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END AS version
  FROM customer WHERE c_nationkey <> 3),
 o AS (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) GROUP BY 1)
-SELECT c_nationkey, version, count(c_custkey) AS n_customers, round(sum(c_acctbal), 2) AS balance, coalesce(sum(n), 0)::BIGINT AS n_orders FROM c FULL JOIN o USING (c_custkey) GROUP BY ALL"""
+SELECT c_nationkey, version, count(c_custkey) AS n_customers, round(sum(c_acctbal), 2) AS balance, coalesce(sum(n), 0)::BIGINT AS n_orders FROM c FULL
+  JOIN o USING (c_custkey) GROUP BY ALL"""
 
 
 def recovered_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,8 @@ def recovered_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("task_id", "n_lines", "status", "message")
 
 
-RECOVERED_SQL = f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 11 <> 0 THEN n END AS n_lines, CASE WHEN o_orderkey % 11 <> 0 THEN 'completed' ELSE 'failed' END AS status,
+RECOVERED_SQL = f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 11 <> 0 THEN n END AS n_lines, CASE
+  WHEN o_orderkey % 11 <> 0 THEN 'completed' ELSE 'failed' END AS status,
 CASE WHEN o_orderkey % 11 = 0 THEN '{recovery.NO_PATH}' END AS message
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'"""
 

@@ -67,22 +67,29 @@ def machine_sql(idle: int, wait: int, asks: bool) -> str:
     """The changes of all sessions by stepping through each user's events, as (user_id, session, status, ids, t)."""
     idle, wait = idle * S.SECOND, wait * S.SECOND
     kinds = "CASE event_type WHEN 'view' THEN 'file' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'ask' END"
-    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, {kinds} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, {kinds} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts,
+  event_id) AS rn
   FROM events WHERE event_type IN ('view', 'purchase', 'error'{", 'click'" if asks else ""})),
-s AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS n, 'none' AS status, 0::BIGINT AS last, NULL::BIGINT AS until, false AS asked, []::BIGINT[] AS files,
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS n, 'none' AS status, 0::BIGINT AS last, NULL::BIGINT AS until, false AS asked,
+  []::BIGINT[] AS files,
   NULL::BIGINT AS went, 0::BIGINT AS went_n, []::BIGINT[] AS went_files, false AS said, 0::BIGINT AS t FROM e
  UNION ALL
- SELECT user_id, rn, n + opens::BIGINT, CASE WHEN opens THEN 'waiting' WHEN adds THEN 'processing' WHEN ends THEN kind ELSE status END, CASE WHEN opens OR adds OR ends THEN t ELSE last END,
+ SELECT user_id, rn, n + opens::BIGINT, CASE WHEN opens THEN 'waiting' WHEN adds THEN 'processing' WHEN ends THEN kind ELSE status END, CASE
+  WHEN opens OR adds OR ends THEN t ELSE last END,
   CASE WHEN opens OR adds OR ends THEN NULL WHEN asks THEN t + {wait} ELSE until END, asked AND NOT (opens OR adds OR ends),
   CASE WHEN opens THEN [event_id] WHEN adds THEN list_append(files, event_id) ELSE files END, went, n, went_files, opens OR adds OR ends, t
- FROM (SELECT *, kind = 'file' AND (status IN ('none', 'done', 'failed') OR asked) AS opens, kind = 'file' AND status IN ('waiting', 'processing') AND NOT asked AS adds,
+ FROM (SELECT *, kind = 'file' AND (status IN ('none', 'done', 'failed') OR asked) AS opens, kind = 'file' AND status IN ('waiting', 'processing')
+  AND NOT asked AS adds,
    kind = 'ask' AND status = 'waiting' AND until IS NULL AS asks, kind IN ('done', 'failed') AND status = 'processing' AS ends
-  FROM (SELECT user_id, rn, n, t, kind, event_id, went, went_files, CASE WHEN gone THEN 'none' ELSE status END AS status, last, CASE WHEN gone THEN NULL ELSE until END AS until,
+  FROM (SELECT user_id, rn, n, t, kind, event_id, went, went_files, CASE WHEN gone THEN 'none' ELSE status END AS status, last, CASE
+  WHEN gone THEN NULL ELSE until END AS until,
     asked AND NOT gone AS asked, CASE WHEN gone THEN [] ELSE went_files END AS files
    FROM (SELECT *, status <> 'none' AND t >= last + {idle} AS gone
-    FROM (SELECT s.user_id, e.rn, s.n, e.t, e.kind, e.event_id, CASE WHEN w THEN s.until END AS went, s.files AS went_files, CASE WHEN w THEN 'processing' ELSE s.status END AS status,
+    FROM (SELECT s.user_id, e.rn, s.n, e.t, e.kind, e.event_id, CASE WHEN w THEN s.until END AS went, s.files AS went_files, CASE
+  WHEN w THEN 'processing' ELSE s.status END AS status,
       CASE WHEN w THEN s.until ELSE s.last END AS last, CASE WHEN NOT w THEN s.until END AS until, s.asked OR w AS asked
-     FROM (SELECT *, coalesce(until < last + {idle}, false) AS in_time FROM s) s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1, LATERAL (SELECT s.in_time AND s.until <= e.t AS w))))))
+     FROM (SELECT *, coalesce(until < last + {idle}, false) AS in_time FROM s) s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1,
+  LATERAL (SELECT s.in_time AND s.until <= e.t AS w))))))
 """
 
 

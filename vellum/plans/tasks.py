@@ -36,7 +36,8 @@ def task_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TASK_RETRIES_SQL = f"""WITH {_TASKS}, g AS (SELECT *, task_id % 2 = 0 AND status = 'failed' AS go FROM t)
-SELECT CASE WHEN go THEN 'parsing' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN go END AS accepted, CASE WHEN go THEN 0 ELSE progress END = 0 AS at_start, go OR error_message IS NULL AS clean, count(*) AS n_tasks FROM g GROUP BY ALL"""
+SELECT CASE WHEN go THEN 'parsing' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN go END AS accepted, CASE WHEN go THEN 0
+  ELSE progress END = 0 AS at_start, go OR error_message IS NULL AS clean, count(*) AS n_tasks FROM g GROUP BY ALL"""
 
 
 def versions_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,13 @@ def risk_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("kind", "owner").agg(F.count(F.lit(1)).alias("n_risks"), F.count("sentence").alias("n_sentences"))
 
 
-RISK_OWNERS_SQL = """WITH r AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'review' ELSE 'comparison' END AS kind, CASE WHEN l_linenumber % 2 = 1 THEN l_orderkey ELSE l_partkey END AS task_id, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey END AS sentence_id FROM lineitem),
-t AS (SELECT 'review' AS kind, o_orderkey AS task_id, o_custkey AS owner FROM orders UNION ALL SELECT 'comparison', p_partkey, p_size::BIGINT FROM part WHERE p_partkey % 5 <> 0)
-SELECT kind, owner, count(*) AS n_risks, count(s_name) AS n_sentences FROM r LEFT JOIN t USING (kind, task_id) LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON sentence_id = s_suppkey GROUP BY ALL"""
+RISK_OWNERS_SQL = """WITH r AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'review' ELSE 'comparison' END AS kind, CASE
+  WHEN l_linenumber % 2 = 1 THEN l_orderkey ELSE l_partkey END AS task_id, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey END AS sentence_id
+  FROM lineitem),
+t AS (SELECT 'review' AS kind, o_orderkey AS task_id, o_custkey AS owner FROM orders UNION ALL SELECT 'comparison', p_partkey, p_size::BIGINT
+  FROM part WHERE p_partkey % 5 <> 0)
+SELECT kind, owner, count(*) AS n_risks, count(s_name) AS n_sentences FROM r LEFT JOIN t USING (kind, task_id) LEFT JOIN (SELECT * FROM supplier
+  WHERE s_suppkey % 2 = 0) ON sentence_id = s_suppkey GROUP BY ALL"""
 
 
 def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +83,10 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ID_SETS_SQL = """WITH a AS (SELECT l_orderkey, l_partkey % 9 AS id FROM lineitem), b AS (SELECT l_orderkey, l_suppkey % 9 AS id FROM lineitem),
-x AS (SELECT l_orderkey, list_distinct(list(id)) AS sa, count(*) AS na FROM a GROUP BY 1), y AS (SELECT l_orderkey, list_distinct(list(id)) AS sb, count(*) AS nb FROM b GROUP BY 1),
-z AS (SELECT l_orderkey, na + nb AS n_all, len(list_distinct(list_concat(sa, sb))) AS n_union, len(list_intersect(sa, sb)) AS n_common, len(list_filter(sa, lambda i: NOT list_contains(sb, i))) AS n_lacking, len(sa) AS n_asked FROM x JOIN y USING (l_orderkey))
+x AS (SELECT l_orderkey, list_distinct(list(id)) AS sa, count(*) AS na FROM a GROUP BY 1), y AS (SELECT l_orderkey, list_distinct(list(id)) AS sb,
+  count(*) AS nb FROM b GROUP BY 1),
+z AS (SELECT l_orderkey, na + nb AS n_all, len(list_distinct(list_concat(sa, sb))) AS n_union, len(list_intersect(sa, sb)) AS n_common,
+  len(list_filter(sa, lambda i: NOT list_contains(sb, i))) AS n_lacking, len(sa) AS n_asked FROM x JOIN y USING (l_orderkey))
 SELECT *, n_common AS n_owned, n_asked = n_common AS all_owned, n_common = n_union AS equal, n_common = 0 AS apart FROM z"""
 
 
@@ -94,9 +101,14 @@ def account_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("login", "user_id", F.when(F.col("user_id").isNull(), F.substring(made, 1, 8)).alias("new_id"))
 
 
-ACCOUNTS_SQL = """WITH l AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'o' || c_custkey END AS o, CASE WHEN c_custkey % 3 = 0 THEN 'u' || c_custkey END AS u, CASE WHEN c_custkey % 2 = 0 THEN 'e' || c_custkey END AS e, CASE WHEN c_custkey % 11 <> 0 THEN 'p' || c_custkey END AS p FROM customer),
-us AS (SELECT c_custkey * 10 AS id, CASE WHEN c_custkey % 2 = 0 THEN 'o' || c_custkey END AS o, 'u' || (c_custkey + 3) AS u, CASE WHEN c_custkey % 3 = 0 THEN 'e' || c_custkey END AS e, CASE WHEN c_custkey % 5 < 3 THEN 'p' || c_custkey END AS p FROM customer WHERE c_custkey % 4 <> 0),
-j AS (SELECT k, coalesce(a.id, b.id, c.id, d.id) AS user_id, coalesce(l.o, l.u, l.e, l.p) AS first FROM l LEFT JOIN us a ON l.o = a.o LEFT JOIN us b ON l.u = b.u LEFT JOIN us c ON l.e = c.e LEFT JOIN us d ON l.p = d.p)
+ACCOUNTS_SQL = """WITH l AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'o' || c_custkey END AS o, CASE
+  WHEN c_custkey % 3 = 0 THEN 'u' || c_custkey END AS u, CASE WHEN c_custkey % 2 = 0 THEN 'e' || c_custkey END AS e, CASE
+  WHEN c_custkey % 11 <> 0 THEN 'p' || c_custkey END AS p FROM customer),
+us AS (SELECT c_custkey * 10 AS id, CASE WHEN c_custkey % 2 = 0 THEN 'o' || c_custkey END AS o, 'u' || (c_custkey + 3) AS u, CASE
+  WHEN c_custkey % 3 = 0 THEN 'e' || c_custkey END AS e, CASE WHEN c_custkey % 5 < 3 THEN 'p' || c_custkey END AS p FROM customer
+  WHERE c_custkey % 4 <> 0),
+j AS (SELECT k, coalesce(a.id, b.id, c.id, d.id) AS user_id, coalesce(l.o, l.u, l.e, l.p) AS first FROM l LEFT JOIN us a ON l.o = a.o LEFT
+  JOIN us b ON l.u = b.u LEFT JOIN us c ON l.e = c.e LEFT JOIN us d ON l.p = d.p)
 SELECT k AS login, user_id, CASE WHEN user_id IS NULL THEN left(sha256(first), 8) END AS new_id FROM j"""
 
 
@@ -113,11 +125,16 @@ def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crossJoin(rules.importable(out).agg(F.count(F.lit(1)).alias("n_importable")))
 
 
-RULE_CHECKS_SQL = f"""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 <> 0 THEN 'C' || (p_partkey - p_partkey % 2 * (p_partkey % 3)) END AS code FROM part),
+RULE_CHECKS_SQL = f"""WITH p AS (SELECT p_partkey AS k, CASE
+  WHEN p_partkey % 13 <> 0 THEN 'C' || (p_partkey - p_partkey % 2 * (p_partkey % 3)) END AS code FROM part),
 e AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY k) > 1 AND code IS NOT NULL AS again FROM p)
-SELECT array_to_string(list_filter([CASE WHEN code IS NULL THEN 'rule_code is required' END, CASE WHEN k % 2 = 1 THEN 'contract_type is required' END, CASE WHEN k % 3 = 1 THEN 'risk_name is required' END,
- CASE WHEN k % 4 = 2 THEN 'default_risk_level is required' END, CASE WHEN k % 4 = 1 THEN 'default_risk_level is unknown' END, CASE WHEN k % 3 = 1 THEN 'review_perspective is unknown' END, CASE WHEN again THEN 'rule_code occurs twice' END], lambda x: x IS NOT NULL), ',') AS errors,
- code IN (SELECT 'C' || p_partkey FROM part WHERE p_partkey % 7 = 0) AND code IS NOT NULL AS exists, count(*) AS n_rows, 0::BIGINT AS n_importable FROM e GROUP BY ALL"""
+SELECT array_to_string(list_filter([CASE WHEN code IS NULL THEN 'rule_code is required' END, CASE WHEN k % 2 = 1 THEN 'contract_type is required' END,
+  CASE WHEN k % 3 = 1 THEN 'risk_name is required' END,
+ CASE WHEN k % 4 = 2 THEN 'default_risk_level is required' END, CASE WHEN k % 4 = 1 THEN 'default_risk_level is unknown' END, CASE
+  WHEN k % 3 = 1 THEN 'review_perspective is unknown' END, CASE WHEN again THEN 'rule_code occurs twice' END], lambda x: x IS NOT NULL),
+  ',') AS errors,
+ code IN (SELECT 'C' || p_partkey FROM part WHERE p_partkey % 7 = 0) AND code IS NOT NULL AS exists, count(*) AS n_rows, 0::BIGINT AS n_importable
+  FROM e GROUP BY ALL"""
 
 
 def rule_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +144,8 @@ def rule_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULE_TYPES_SQL = """WITH e AS (SELECT p_brand AS contract_type, string_split(p_type, ' ')[-1] AS review_module, count(*) AS n_module FROM part GROUP BY ALL)
-SELECT *, sum(n_module) OVER w::BIGINT AS n_rules, count(*) OVER w AS n_modules, CASE WHEN contract_type = 'Brand#11' THEN 'common' ELSE 'specific' END AS scope FROM e WINDOW w AS (PARTITION BY contract_type)"""
+SELECT *, sum(n_module) OVER w::BIGINT AS n_rules, count(*) OVER w AS n_modules, CASE WHEN contract_type = 'Brand#11' THEN 'common'
+  ELSE 'specific' END AS scope FROM e WINDOW w AS (PARTITION BY contract_type)"""
 RULE_TYPES_SQL = RULE_TYPES_SQL.replace("sum(n_module) OVER w::BIGINT", "(sum(n_module) OVER w)::BIGINT")
 
 
@@ -157,11 +175,15 @@ def contract_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.outline(seg, "s_suppkey")
 
 
-_CLAUSES = f"""l AS (SELECT s_suppkey, unnest([1, 2, 3, 4, 5, 6, 7]) AS line, unnest(['总则', {pick_sql(PHRASES, 's_suppkey')}, {pick_sql(PHRASES, 's_suppkey + 1')} || '。' || {pick_sql(PHRASES, 's_suppkey + 2')}, '附则', {pick_sql(PHRASES, 's_suppkey + 3')}, {pick_sql(PHRASES, 's_suppkey')}, '总则']) AS body,
+_CLAUSES = f"""l AS (SELECT s_suppkey, unnest([1, 2, 3, 4, 5, 6, 7]) AS line, unnest(['总则', {pick_sql(PHRASES, 's_suppkey')},
+  {pick_sql(PHRASES, 's_suppkey + 1')} || '。' || {pick_sql(PHRASES, 's_suppkey + 2')}, '附则', {pick_sql(PHRASES, 's_suppkey + 3')},
+  {pick_sql(PHRASES, 's_suppkey')}, '总则']) AS body,
  unnest(['第一条', '第一条', '第一条 1', '第二条', '第二条 2', '第二条', '第一条']) AS title FROM supplier),
-b AS (SELECT s_suppkey, line, title, list_filter(list_transform(regexp_extract_all(body, '[^。；;！？!?]+[。；;！？!?]?'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM l),
+b AS (SELECT s_suppkey, line, title, list_filter(list_transform(regexp_extract_all(body, '[^。；;！？!?]+[。；;！？!?]?'), lambda x: trim(x)),
+  lambda x: x <> '') AS parts FROM l),
 u AS (SELECT s_suppkey, line, title, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS text FROM b),
-cl AS (SELECT s_suppkey, title, text, row_number() OVER (PARTITION BY s_suppkey ORDER BY line, part)::INTEGER AS "order" FROM u WHERE translate(text, '。，,. 、；;（）()：:', '') <> '')"""
+cl AS (SELECT s_suppkey, title, text, row_number() OVER (PARTITION BY s_suppkey ORDER BY line, part)::INTEGER AS "order" FROM u WHERE translate(text,
+  '。，,. 、；;（）()：:', '') <> '')"""
 OUTLINE_SQL = f"""WITH {_CLAUSES}, f AS (SELECT s_suppkey, title, min("order") AS "order" FROM cl GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY "order")::INTEGER AS place FROM f"""
 
 
@@ -183,9 +205,12 @@ def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.segment_of(wanted, seg.select("s_suppkey", "order", "text"), "s_suppkey")
 
 
-SEGMENT_SQL = f"""WITH {_CLAUSES}, w0 AS (SELECT s_suppkey, unnest(range(0, 6)) AS n FROM supplier), w1 AS (SELECT s_suppkey, n, s_suppkey * 10 + n AS text_id, left({pick_sql(PHRASES[:14], 's_suppkey + n')}, 25) AS t FROM w0),
-w AS (SELECT s_suppkey, text_id, CASE WHEN n % 2 = 1 THEN left(t, 4) ELSE t END AS wanted FROM w1), j AS (SELECT w.s_suppkey, text_id, "order", CASE WHEN text = wanted THEN 0 WHEN contains(text, wanted) OR contains(wanted, text) THEN 1 END AS tier FROM w JOIN cl USING (s_suppkey)),
-f AS (SELECT text_id, arg_min("order", tier * 1000 + "order") AS "order" FROM j WHERE tier IS NOT NULL GROUP BY 1) SELECT w.s_suppkey, w.text_id, wanted, f."order" FROM w LEFT JOIN f USING (text_id)"""
+SEGMENT_SQL = f"""WITH {_CLAUSES}, w0 AS (SELECT s_suppkey, unnest(range(0, 6)) AS n FROM supplier), w1 AS (SELECT s_suppkey, n,
+  s_suppkey * 10 + n AS text_id, left({pick_sql(PHRASES[:14], 's_suppkey + n')}, 25) AS t FROM w0),
+w AS (SELECT s_suppkey, text_id, CASE WHEN n % 2 = 1 THEN left(t, 4) ELSE t END AS wanted FROM w1), j AS (SELECT w.s_suppkey, text_id, "order", CASE
+  WHEN text = wanted THEN 0 WHEN contains(text, wanted) OR contains(wanted, text) THEN 1 END AS tier FROM w JOIN cl USING (s_suppkey)),
+f AS (SELECT text_id, arg_min("order", tier * 1000 + "order") AS "order" FROM j WHERE tier IS NOT NULL GROUP BY 1) SELECT w.s_suppkey, w.text_id,
+  wanted, f."order" FROM w LEFT JOIN f USING (text_id)"""
 
 
 def reference_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +223,9 @@ def _terms_sql(terms):
     return "list_filter([" + ", ".join(f"CASE WHEN contains(x, {quoted(t)}) THEN {quoted(t)} END" for t in terms) + "], lambda y: y IS NOT NULL)"
 
 
-REFERENCE_SQL = f"""WITH c AS (SELECT {pick_sql(PHRASES, 'o_orderkey')} || {pick_sql(("附件一", "", "上述", "定义"), 'o_orderkey')} || {pick_sql(PHRASES, 'o_custkey')} AS x FROM orders), t AS (SELECT {_terms_sql(link.REFERENCES_ZH)} AS a, {_terms_sql(link.MORE_REFERENCES_ZH)} AS b FROM c)
+REFERENCE_SQL = f"""WITH c AS (SELECT {pick_sql(PHRASES, 'o_orderkey')} || {pick_sql(("附件一", "", "上述", "定义"), 'o_orderkey')} ||
+  {pick_sql(PHRASES, 'o_custkey')} AS x FROM orders), t AS (SELECT {_terms_sql(link.REFERENCES_ZH)} AS a, {_terms_sql(link.MORE_REFERENCES_ZH)} AS b
+  FROM c)
 SELECT array_to_string(CASE WHEN len(a) > 0 THEN a ELSE b END, ',') AS terms, count(*) AS n_changes FROM t GROUP BY ALL"""
 
 
@@ -211,9 +238,12 @@ def item_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.item_to_diff(items, diffs).select("item_id", "diff_index")
 
 
-ITEM_DIFFS_SQL = f"""WITH n AS (SELECT *, o_orderkey // 2 AS n FROM orders), d AS (SELECT o_custkey, n % 2 AS kind, o_orderkey AS i, coalesce({pick_sql((*PHRASES, None), 'n')}, '') AS o, {pick_sql(PHRASES, 'n + 3')} AS w FROM n WHERE o_orderkey % 2 = 0),
-t AS (SELECT o_custkey, n % 2 AS kind, o_orderkey AS id, left({pick_sql(PHRASES, 'n + 1')}, 4) AS oq, substring({pick_sql(PHRASES, 'n + 2')}, 3, 3) AS nq FROM n WHERE o_orderkey % 2 = 1)
-SELECT id AS item_id, min(i) FILTER ((oq <> '' AND contains(o, oq)) OR (nq <> '' AND contains(w, nq))) AS diff_index FROM t LEFT JOIN d USING (o_custkey, kind) GROUP BY id"""
+ITEM_DIFFS_SQL = f"""WITH n AS (SELECT *, o_orderkey // 2 AS n FROM orders), d AS (SELECT o_custkey, n % 2 AS kind, o_orderkey AS i,
+  coalesce({pick_sql((*PHRASES, None), 'n')}, '') AS o, {pick_sql(PHRASES, 'n + 3')} AS w FROM n WHERE o_orderkey % 2 = 0),
+t AS (SELECT o_custkey, n % 2 AS kind, o_orderkey AS id, left({pick_sql(PHRASES, 'n + 1')}, 4) AS oq, substring({pick_sql(PHRASES, 'n + 2')}, 3,
+  3) AS nq FROM n WHERE o_orderkey % 2 = 1)
+SELECT id AS item_id, min(i) FILTER ((oq <> '' AND contains(o, oq)) OR (nq <> '' AND contains(w, nq))) AS diff_index FROM t LEFT
+  JOIN d USING (o_custkey, kind) GROUP BY id"""
 
 
 def evidence_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,9 +260,12 @@ def evidence_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.join(one, "rule_id", "left")
 
 
-EVIDENCE_VALID_SQL = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, {pick_sql(PHRASES, 'o_orderkey')} AS b, {pick_sql(PHRASES, 'o_custkey')} AS a FROM orders),
-m AS (SELECT x.k, min(y.k) AS d FROM o x JOIN o y ON x.c = y.c AND contains(y.b, left(x.b, 4)) AND contains(y.a, left(x.a, 4)) WHERE x.k % 5 = 0 GROUP BY x.k HAVING count(*) = 1)
-SELECT o.k AS rule_id, k % 5 IN (0, 4) AND (k // 5) % 2 = 0 AND (left(b, 4) <> '' OR left(a, 4) <> '') AS valid, m.d AS source_diff_id FROM o LEFT JOIN m USING (k)"""
+EVIDENCE_VALID_SQL = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, {pick_sql(PHRASES, 'o_orderkey')} AS b,
+  {pick_sql(PHRASES, 'o_custkey')} AS a FROM orders),
+m AS (SELECT x.k, min(y.k) AS d FROM o x JOIN o y ON x.c = y.c AND contains(y.b, left(x.b, 4)) AND contains(y.a, left(x.a, 4)) WHERE x.k % 5 = 0
+  GROUP BY x.k HAVING count(*) = 1)
+SELECT o.k AS rule_id, k % 5 IN (0, 4) AND (k // 5) % 2 = 0 AND (left(b, 4) <> '' OR left(a, 4) <> '') AS valid, m.d AS source_diff_id FROM o LEFT
+  JOIN m USING (k)"""
 
 
 def answer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +280,12 @@ def answer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(*o.columns).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-ANSWER_SQL = f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 3 AS t FROM orders), p AS (SELECT k, CASE WHEN k % 3 = 1 THEN 'bad' END AS error, CASE t % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS a,
- CASE k % 7 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 6 THEN 4 END::BIGINT AS total, CASE k % 5 WHEN 0 THEN '甲方应付款' WHEN 3 THEN 'long quote' ELSE '未发现明确原文，但相关内容缺失' END AS quote,
- (CASE WHEN k % 6 = 0 THEN k % 4 ELSE CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END END)::INTEGER AS n_diffs, 'RULE-' || CASE k % 3 WHEN 0 THEN 'PAY-' WHEN 1 THEN 'BREA' ELSE 'GEN-' END AS code FROM o)
+ANSWER_SQL = f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 3 AS t FROM orders), p AS (SELECT k, CASE WHEN k % 3 = 1 THEN 'bad' END AS error,
+  CASE t % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS a,
+ CASE k % 7 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 6 THEN 4 END::BIGINT AS total, CASE k % 5 WHEN 0 THEN '甲方应付款' WHEN 3 THEN 'long quote'
+  ELSE '未发现明确原文，但相关内容缺失' END AS quote,
+ (CASE WHEN k % 6 = 0 THEN k % 4 ELSE CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END END)::INTEGER AS n_diffs, 'RULE-' || CASE k % 3 WHEN 0 THEN 'PAY-'
+  WHEN 1 THEN 'BREA' ELSE 'GEN-' END AS code FROM o)
 SELECT error, CASE WHEN error IS NULL THEN a END AS a, total, quote, n_diffs, code, count(*) AS n_rows FROM p GROUP BY ALL"""
 
 _TEXTS = ("采购合同\n甲方采购设备，乙方供应并安装调试", "甲方委托乙方提供技术服务，向乙方支付服务费", "双方合作", "甲方负责验收", "随便", "《设备采购合同》\n乙方供货")
@@ -264,9 +300,11 @@ def base_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BASE_SQL = f"""WITH c AS (SELECT c_custkey % 6 AS t, c_custkey % 3 AS g FROM customer)
-SELECT ([{', '.join("replace(" + quoted(x.replace(chr(10), '~')) + ", '~', chr(10))" for x in _TEXTS)}])[t + 1] AS before_text, CASE WHEN g = 1 THEN '框架合同' ELSE (['采购合同', '技术服务合同', '合作协议', '通用合同', '通用合同', '采购合同'])[t + 1] END AS contract_type,
+SELECT ([{', '.join("replace(" + quoted(x.replace(chr(10), '~')) + ", '~', chr(10))" for x in _TEXTS)}])[t + 1] AS before_text, CASE
+  WHEN g = 1 THEN '框架合同' ELSE (['采购合同', '技术服务合同', '合作协议', '通用合同', '通用合同', '采购合同'])[t + 1] END AS contract_type,
  (['乙方', '乙方', '通用角色', '甲方', '通用角色', '乙方'])[t + 1] AS review_role, (['采购', '服务事项', '通用合同事项', '通用合同事项', '通用合同事项', '设备采购'])[t + 1] AS contract_subject,
- (['采购方', '委托方', '合作方', NULL, NULL, '采购方'])[t + 1] AS party_a_identity, (['供应及安装调试方', '服务方', '合作方', NULL, NULL, '供应方'])[t + 1] AS party_b_identity, ([0.92::DOUBLE, 0.86::DOUBLE, 0.56::DOUBLE, 0.4::DOUBLE, 0.29::DOUBLE, 0.92::DOUBLE])[t + 1] AS confidence, count(*) AS n_pairs FROM c GROUP BY ALL"""
+ (['采购方', '委托方', '合作方', NULL, NULL, '采购方'])[t + 1] AS party_a_identity, (['供应及安装调试方', '服务方', '合作方', NULL, NULL, '供应方'])[t + 1] AS party_b_identity,
+  ([0.92::DOUBLE, 0.86::DOUBLE, 0.56::DOUBLE, 0.4::DOUBLE, 0.29::DOUBLE, 0.92::DOUBLE])[t + 1] AS confidence, count(*) AS n_pairs FROM c GROUP BY ALL"""
 
 
 def partial_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +317,8 @@ def partial_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARTIAL_SQL = """WITH f AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey IN (1, 2) AND c_custkey % 3 = 0)
-SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) UNION ALL SELECT * FROM f"""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED'
+  ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) UNION ALL SELECT * FROM f"""
 
 
 def conformance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +330,8 @@ def conformance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONFORMANCE_SQL = """WITH r AS (SELECT l_orderkey, bool_or(l_partkey % 40 = 0) AS a, bool_or(l_partkey % 50 = 0) AS b FROM lineitem GROUP BY 1)
-SELECT CASE WHEN a AND b THEN 'label_fits,code_present' WHEN a THEN 'label_fits' WHEN b THEN 'code_present' ELSE '' END AS issues, count(*) AS n_results FROM r GROUP BY ALL"""
+SELECT CASE WHEN a AND b THEN 'label_fits,code_present' WHEN a THEN 'label_fits' WHEN b THEN 'code_present' ELSE '' END AS issues,
+  count(*) AS n_results FROM r GROUP BY ALL"""
 
 
 def inserted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
