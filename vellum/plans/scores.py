@@ -33,22 +33,26 @@ SELECT round(0.25::DOUBLE * a + 0.15::DOUBLE * b + 0.15::DOUBLE * c + 0.15::DOUB
  round(0.35::DOUBLE * x + 0.3::DOUBLE * y + 0.2::DOUBLE * z + 0.05::DOUBLE * s + 0.05::DOUBLE + 0.05::DOUBLE * t, 6) AS dense_score,
   count(*) AS n_rows FROM f GROUP BY ALL"""
 
-_BODIES = (
-    ('{"success": true, "enhanced": [{"original": "a", "change_type": "added", "old_quote": "", "new_quote": "n", "category": "c", "summary": "s", "risk_level": "high", "evidence": "e", "impact": "i", "suggestion": "g"}], "total_risks": 1, "message": ""}', ""),
-    ('{"success": "yes", "enhanced": [], "total_risks": 0, "message": ""}', "success_type"),
-    ('{"success": true, "enhanced": {}, "total_risks": "1", "message": null}', "total_risks_type,message_type,enhanced_not_list"),
-    ('{"success": true, "enhanced": [{"change_type": "turned", "risk_level": "low"}], "total_risks": 1, "message": "m", "more": 1}', "top_level_fields,item_fields,change_type"),
-    ('{"enhanced": [{"change_type": "moved"}]}', "top_level_fields,success_type,total_risks_type,message_type,item_fields,risk_level"),
-)
-
-
 def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as results in several forms; what is wrong with each, counted."""
-    e = table(spark, sf_dir, "events").select(pick([b for b, _ in _BODIES], "event_id").alias("body"))
-    return e.select(F.array_join(scoring.form_errors(F.col("body")), ",").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n_results"))
+    """Events as results whose fields are well or ill formed independently of one another; what is wrong with each, counted."""
+    e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    kind, risk = F.when(i % 7 == 0, "turned").otherwise("moved"), F.when(i % 11 == 0, "dire").otherwise("low")
+    more = "".join(f', "{n}": ""' for n in ("original", "old_quote", "new_quote", "category", "summary", "evidence", "impact", "suggestion"))
+    whole = F.concat(F.lit('[{"change_type": "'), kind, F.lit('", "risk_level": "'), risk, F.lit('"' + more + "}]"))
+    enhanced = F.when(u % 4 == 0, whole).when(u % 4 == 1, "[]").when(u % 4 == 2, "{}").otherwise('[{"change_type": "added"}]')
+    body = F.concat(
+        F.lit("{"), F.when(i % 3 == 0, '"success": true, ').when(i % 3 == 1, '"success": "yes", ').otherwise(""), F.lit('"enhanced": '), enhanced,
+        F.lit(', "total_risks": '), F.when(i % 5 == 0, '"1"').otherwise("1"), F.lit(', "message": '), F.when(i % 2 == 0, '"m"').otherwise("null"),
+        F.when(i % 13 == 0, ', "more": 1').otherwise(""), F.lit("}"),
+    )
+    return e.select(F.array_join(scoring.form_errors(body), ",").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n_results"))
 
 
-FORM_SQL = f"SELECT {pick_sql([x for _, x in _BODIES], 'event_id')} AS errors, count(*) AS n_results FROM events GROUP BY ALL"
+FORM_SQL = """SELECT concat_ws(',', CASE WHEN event_id % 3 = 2 OR event_id % 13 = 0 THEN 'top_level_fields' END, CASE WHEN event_id % 3 <> 0 THEN 'success_type' END,
+  CASE WHEN event_id % 5 = 0 THEN 'total_risks_type' END, CASE WHEN event_id % 2 = 1 THEN 'message_type' END, CASE WHEN user_id % 4 = 2 THEN 'enhanced_not_list' END,
+  CASE WHEN user_id % 4 = 3 THEN 'item_fields' END, CASE WHEN user_id % 4 = 0 AND event_id % 7 = 0 THEN 'change_type' END,
+  CASE WHEN user_id % 4 = 3 OR user_id % 4 = 0 AND event_id % 11 = 0 THEN 'risk_level' END) AS errors, count(*) AS n_results
+FROM events GROUP BY ALL"""
 
 
 def _compared(spark, sf_dir):

@@ -113,28 +113,34 @@ SELECT k AS login, user_id, CASE WHEN user_id IS NULL THEN left(sha256(first), 8
 
 
 def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as rows of a rule file: what is wrong with each, codes met before, codes that the catalogue has; counted."""
+    """Parts as rows of a faulty rule file and of one without fault: errors, codes met before, codes that the catalogue has, rows to import."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     rows = p.select(
         k.alias("row_number"), F.when(k % 13 != 0, F.concat(F.lit("C"), (k - k % 2 * (k % 3)).cast("string"))).alias("rule_code"), pick(("采购合同", " "), k).alias("contract_type"), F.lit("m").alias("review_module"), pick(("r", None, "s"), k).alias("risk_name"),
         F.lit("c").alias("check_point"), F.lit("t").alias("trigger_condition"), pick(("高", "很高", "", "低"), k).alias("default_risk_level"), F.lit("s").alias("suggestion_template"), pick(("甲方", "丙方", None), k).alias("review_perspective"),
     )
-    known = p.where("p_partkey % 7 = 0").select(F.concat(F.lit("C"), k.cast("string")).alias("rule_code"))
-    out = rules.check_import(rows, known)
-    counts = out.groupBy(F.array_join("errors", ",").alias("errors"), "exists").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.crossJoin(rules.importable(out).agg(F.count(F.lit(1)).alias("n_importable")))
+    known = p.where("p_partkey % 7 = 0").select(F.explode(F.array(F.concat(F.lit("C"), k.cast("string")), F.concat(F.lit("N"), k.cast("string")))).alias("rule_code"))
+    fine = {"rule_code": F.concat(F.lit("N"), F.col("row_number")), "contract_type": F.lit("采购合同"), "risk_name": F.lit("r"), "default_risk_level": F.lit("高"), "review_perspective": F.lit("甲方")}
+
+    def checked(file: str, of: DataFrame) -> DataFrame:
+        out = rules.check_import(of, known)
+        counts = out.groupBy(F.lit(file).alias("file"), F.array_join("errors", ",").alias("errors"), "exists").agg(F.count(F.lit(1)).alias("n_rows"))
+        return counts.crossJoin(rules.importable(out).agg(F.count(F.lit(1)).alias("n_importable")))  # one row of one number
+
+    return checked("faulty", rows).unionByName(checked("fine", rows.withColumns(fine)))
 
 
 RULE_CHECKS_SQL = f"""WITH p AS (SELECT p_partkey AS k, CASE
   WHEN p_partkey % 13 <> 0 THEN 'C' || (p_partkey - p_partkey % 2 * (p_partkey % 3)) END AS code FROM part),
 e AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY k) > 1 AND code IS NOT NULL AS again FROM p)
-SELECT array_to_string(list_filter([CASE WHEN code IS NULL THEN 'rule_code is required' END, CASE WHEN k % 2 = 1 THEN 'contract_type is required' END,
+SELECT 'faulty' AS file, array_to_string(list_filter([CASE WHEN code IS NULL THEN 'rule_code is required' END, CASE WHEN k % 2 = 1 THEN 'contract_type is required' END,
   CASE WHEN k % 3 = 1 THEN 'risk_name is required' END,
  CASE WHEN k % 4 = 2 THEN 'default_risk_level is required' END, CASE WHEN k % 4 = 1 THEN 'default_risk_level is unknown' END, CASE
   WHEN k % 3 = 1 THEN 'review_perspective is unknown' END, CASE WHEN again THEN 'rule_code occurs twice' END], lambda x: x IS NOT NULL),
   ',') AS errors,
  code IN (SELECT 'C' || p_partkey FROM part WHERE p_partkey % 7 = 0) AND code IS NOT NULL AS exists, count(*) AS n_rows, 0::BIGINT AS n_importable
-  FROM e GROUP BY ALL"""
+  FROM e GROUP BY ALL
+UNION ALL SELECT 'fine', '', p_partkey % 7 = 0, count(*), (SELECT count(*) FROM part WHERE p_partkey % 7 <> 0) FROM part GROUP BY ALL"""
 
 
 def rule_types(spark: SparkSession, sf_dir: str) -> DataFrame:
