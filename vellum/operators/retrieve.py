@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import shared
 
 #: BM25's parameters, the floor of negative idf as a share of the mean, and the fusion's weights.
 K1, B, IDF_FLOOR, W_VECTOR, W_TERMS = 1.5, 0.75, 0.25, 0.6, 0.4
@@ -25,10 +26,15 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int
     length only.
     """
     pack = lambda df, id, n: df.where(F.col("embedding").isNotNull()).groupBy(F.pmod(F.xxhash64(id), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(F.col(id).alias("id"), "embedding")).alias("v"))
-    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    sizes = [df.where(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first() for df in (queries, vectors)]
+    n_q, n_v = (max(1, -(-rows // block)) for rows, _ in sizes)
     q, v = pack(queries, "query_id", n_q), pack(vectors, "vec_id", n_v)
-    pairs = q.select(F.col("b").alias("qb"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    pairs = pairs.join(v.select(F.col("b").cast("int").alias("vb"), F.col("v").alias("x")), "vb").select("q", "x")
+    if 16 * sizes[0][0] + 8 * sizes[0][1] <= shared.BROADCAST_BYTES:
+        # the queries go to the vectors' blocks, which don't move again
+        pairs = v.select(F.col("v").alias("x")).crossJoin(F.broadcast(q.select(F.col("v").alias("q")))).select("q", "x")
+    else:
+        pairs = q.select(F.col("b").alias("qb"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+        pairs = pairs.join(v.select(F.col("b").cast("int").alias("vb"), F.col("v").alias("x")), "vb").select("q", "x")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
