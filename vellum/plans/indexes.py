@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, retrieve
+from ..operators import cases, index, retrieve
 from ..operators.shared import folder_for
 from .documents import table
 from .retrieval import vector_sql
@@ -88,5 +88,29 @@ s AS (SELECT query_id, id, tier, round(coalesce(score, 0), 6) AS score FROM l LE
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s)
 SELECT query_id, id, tier, rank FROM k WHERE rank <= 3 AND score >= 0.02"""
 
-QUERIES = {f.__name__: f for f in (term_index, local_index_search)}
-ORACLES = {"term_index": TERM_INDEX_SQL, "local_index_search": LOCAL_SEARCH_SQL}
+#: Cases that stand in where no search finds any.
+FIXED = (-1, -2)
+
+
+def case_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each item's cases come from: a term search that every third item is allowed, else the local index, else fixed cases."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    c = table(spark, sf_dir, "conversations").select(F.lit("all").alias("module"), (F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.coalesce(words, F.array()).alias("tokens"))
+    store = index.TermIndex(spark, folder_for(spark, "case-terms"), parts=16)
+    store.append(c)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("module"), words.alias("tokens"))
+    by_terms = retrieve.ranked(store.search(items.where("query_id % 3 = 0")), "query_id", [F.desc("score"), "doc_id"], 3).select("query_id", F.col("doc_id").alias("id"))
+    fixed = items.select("query_id", F.explode(F.array(*[F.lit(x).cast("long") for x in FIXED])).alias("id"))
+    found = cases.standing_in(["query_id"], by_terms, local_index_search(spark, sf_dir).select("query_id", "id"), fixed)
+    return found.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+CHAIN_SQL = f"""WITH found AS ({LOCAL_SEARCH_SQL}), l AS (SELECT query_id, count(*) AS n FROM found GROUP BY 1),
+q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 3 = 0),
+d AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations),
+t AS (SELECT query_id, count(DISTINCT id) AS n FROM q JOIN d USING (term) GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN t.n > 0 THEN 0 WHEN l.n > 0 THEN 1 ELSE 2 END AS source, CASE WHEN t.n > 0 THEN least(t.n, 3) WHEN l.n > 0 THEN l.n ELSE {len(FIXED)} END AS n_cases
+FROM benchmark LEFT JOIN t ON t.query_id = item_id LEFT JOIN l ON l.query_id = item_id"""
+
+QUERIES = {f.__name__: f for f in (term_index, local_index_search, case_chain)}
+ORACLES = {"term_index": TERM_INDEX_SQL, "local_index_search": LOCAL_SEARCH_SQL, "case_chain": CHAIN_SQL}
