@@ -59,6 +59,16 @@ def test_once_on_a_stream(spark, tmp_path, one_by_one):
     assert sorted(r.id for r in got) == [0, 1, 3, 4, 5, 7, 8, 11]
 
 
+@pytest.mark.parametrize("one_by_one", [True, False])
+def test_user_sessions_on_a_stream(spark, tmp_path, one_by_one):
+    seconds = [(1, 0), (2, 100), (1, 1_700), (1, 3_600), (2, 9_000), (3, 90_000)]
+    rows = [(u, START + timedelta(seconds=s)) for u, s in seconds]
+    got = streamed(spark, tmp_path, rows, "user_id long, ts timestamp", one_by_one, lambda e: sessions.sessions(e.withWatermark("ts", "10 seconds")))
+    told = sorted((r.user_id, (r.session_start - START).total_seconds(), (r.session_end - START).total_seconds(), r.n_events) for r in got)
+    # the last one may still go on
+    assert told == [(1, 0, 3_500, 2), (1, 3_600, 5_400, 1), (2, 100, 1_900, 1), (2, 9_000, 10_800, 1)]
+
+
 EVENTS = "user_id long, ts timestamp, kind string, message_id long, file_name string, file_key string"
 
 
