@@ -16,6 +16,6 @@ def parts(tmp_path_factory):
     return str(base)
 
 
-@pytest.mark.parametrize("name", ["rule_snapshot"])
+@pytest.mark.parametrize("name", ["rule_snapshot", "rule_buckets", "rule_halves"])
 def test_codes_of_long_keys(spark, parts, name):
     same(registry.QUERIES[name](spark, parts), registry.ORACLES[name], parts)
