@@ -29,6 +29,11 @@ def neighbours(segments: DataFrame, hits: DataFrame, doc_col: str, window: int =
     return around.join(segments, [doc_col, "order"])
 
 
+def _met(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are never broadcast: all of a pack's sides grow with the documents, and many at once fill the driver."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def link_accounts(logins: DataFrame, users: DataFrame) -> DataFrame:
     """logins with user_id by the first identity of the cascade that a user has: open id, union id, mail, phone."""
     cascade = (("open_id", "open_id"), ("union_id", "union_id"), ("email", "email"), ("mobile", "phone"))
@@ -96,12 +101,13 @@ def context(segments: DataFrame, queries: DataFrame, doc_col: str, k: int = 4) -
     asked = asked.withColumn("run", F.substring("token", 1, GRAM))
     named = segments.select(doc_col, "order", T.flat(F.col("text")).alias("_flat"))
     wanted = asked.select(doc_col, "run").distinct()
-    runs = named.select(doc_col, "order", F.explode(F.array_distinct(T.grams(F.col("_flat"), range(1, GRAM + 1)))).alias("run")).join(wanted, [doc_col, "run"])
-    met = asked.join(runs, [doc_col, "run"])
+    runs = named.select(doc_col, "order", F.explode(F.array_distinct(T.grams(F.col("_flat"), range(1, GRAM + 1)))).alias("run"))
+    runs = _met(runs, wanted, [doc_col, "run"])
+    met = _met(asked, runs, [doc_col, "run"])
     short = met.where(F.length("token") <= GRAM).select(doc_col, "query_id", "order", "token")
-    long = met.where(F.length("token") > GRAM).join(named, [doc_col, "order"]).where(F.contains("_flat", "token")).select(doc_col, "query_id", "order", "token")
+    long = _met(met.where(F.length("token") > GRAM), named, [doc_col, "order"]).where(F.contains("_flat", "token")).select(doc_col, "query_id", "order", "token")
     scored = short.unionByName(long).groupBy(doc_col, "query_id", "order").agg(F.sum(overlap_weight(F.col("token"))).alias("score"))
-    scored = queries.join(scored, [doc_col, "query_id"]).join(segments, [doc_col, "order"])
+    scored = _met(_met(queries, scored, [doc_col, "query_id"]), segments, [doc_col, "order"])
     once = F.row_number().over(Window.partitionBy("query_id", "title", "text").orderBy("order"))
     best = scored.withColumn("_n", once).where("_n = 1").drop("_n")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "order"))).where(F.col("rank") <= k)
@@ -118,11 +124,11 @@ def context_pack(segments: DataFrame, diffs: DataFrame, doc_col: str, window: in
     texts = texts.withColumn("text_id", F.concat_ws("|", F.col("diff_id").cast("string"), F.sha2("wanted", 256))).dropDuplicates(["text_id"])
     hits = segment_of(texts, segments, doc_col).where("order IS NOT NULL").select(doc_col, "diff_id", "order")
     around = hits.select(doc_col, "diff_id", F.explode(F.sequence(F.col("order") - window, F.col("order") + window)).alias("order")).distinct()
-    local = around.join(segments, [doc_col, "order"]).withColumn("_by", F.col("order"))
+    local = _met(around, segments, [doc_col, "order"]).withColumn("_by", F.col("order"))
     query = F.concat_ws(" ", F.coalesce("review_module", F.lit("")), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     near = context(segments, diffs.select(doc_col, F.col("diff_id").alias("query_id"), query.alias("query")), doc_col, related).withColumn("_by", F.col("rank")).withColumnRenamed("query_id", "diff_id")
     named = references(segments, diffs, doc_col, per_term).withColumn("_by", F.col("order"))
-    titles = diffs.select(doc_col, "diff_id").join(outline(segments, doc_col), doc_col).withColumns({"_by": F.col("order"), "text": F.lit(None).cast("string")})
+    titles = _met(diffs.select(doc_col, "diff_id"), outline(segments, doc_col), doc_col).withColumns({"_by": F.col("order"), "text": F.lit(None).cast("string")})
     parts = [df.select(doc_col, "diff_id", F.lit(name).alias("part"), "_by", "order", "title", "text") for name, df in (("local", local), ("related", near), ("reference", named), ("outline", titles))]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     place = F.row_number().over(Window.partitionBy("diff_id", "part").orderBy("_by"))
@@ -131,7 +137,7 @@ def context_pack(segments: DataFrame, diffs: DataFrame, doc_col: str, window: in
 
 def segment_of(texts: DataFrame, segments: DataFrame, doc_col: str) -> DataFrame:
     """texts (doc, text_id, wanted) with the order of the segment that is equal, else that holds it or is held; the first."""
-    both = texts.join(segments.select(doc_col, "order", F.col("text").alias("_s")), doc_col)
+    both = _met(texts, segments.select(doc_col, "order", F.col("text").alias("_s")), doc_col)
     tier = F.when(F.col("_s") == F.col("wanted"), 0).when(F.contains("_s", "wanted") | F.contains("wanted", "_s"), 1)
     found = both.withColumn("_r", F.struct(tier.alias("tier"), "order")).where("_r.tier IS NOT NULL").groupBy("text_id").agg(F.min("_r").alias("_r"))
-    return texts.join(found, "text_id", "left").select(*texts.columns, F.col("_r.order").alias("order"))
+    return _met(texts, found, "text_id", "left").select(*texts.columns, F.col("_r.order").alias("order"))
