@@ -40,3 +40,18 @@ def test_version_pairs_of_whole_texts(spark, tmp_path):
     rows = [(1, f"first opening {tail}"), (2, f"another opening {tail}"), (3, f"{head} one two three four"), (4, f"{head} {' '.join(f'other{i}' for i in range(40))}"), (5, "tiny text"), (6, "tiny text")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.pair_id, r.old) for r in documents._versions(spark, str(tmp_path)).collect()) == [(2, rows[0][1]), (6, "tiny text")]
+
+
+def test_only_the_nearest_candidates_are_compared(spark, monkeypatch):
+    """Of near-duplicates of one text, each is compared with a few before it, and with all of those only if none of them is a version."""
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words[:50] + [f"own{i}"] + words[50:]) for i in range(40)}
+    texts |= {100 + i: " ".join(words[i : i + 34]) for i in range(12)} | {200: texts[3], 201: texts[3], 202: " ".join(words[:58])}
+    compared = []
+    near = versions.near
+    monkeypatch.setattr(versions, "near", lambda sets, pairs, similar: compared.append(pairs.count()) or near(sets, pairs, similar))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for nearest in (1, 4):
+        compared.clear()
+        assert {r.doc_id: r.old_id for r in versions.version_ids(df, nearest=nearest).collect()} == brute(texts)
+        assert compared[0] <= nearest * len(texts) and sum(compared) < 6 * len(texts)
