@@ -51,3 +51,13 @@ def test_vectors_of_long_texts_of_one_id(spark, tmp_path):
         for s, (w, _) in vector(t).items():
             both[s] = both.get(s, 0) + w
     assert found[2] == {s: w for s, w in both.items() if w}
+
+
+def test_long_versions_with_the_same_sentences(spark):
+    """Sentences whose equal is free are looked up; those without one are compared with all that are free."""
+    from vellum.operators import diff
+
+    sentences = ["".join(chr(97 + (i >> b & 1) * 13 + b) for b in range(13)) for i in range(2000)]
+    df = spark.createDataFrame([(1, sentences, sentences[:1000] + ["字"] + sentences[1000:])], "pair_id int, old_sentences array<string>, new_sentences array<string>")
+    got = [(r.change_type, r.old_index, r.new_index, r.similarity) for r in diff.sentence_diff(df).orderBy("diff_index").collect()]
+    assert got == [("modified", i, i + (i >= 1000), 1.0) for i in range(1000)] + [("added", None, 1000, 0.0)] + [("modified", i, i + 1, 1.0) for i in range(1000, 2000)]
