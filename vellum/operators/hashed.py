@@ -99,25 +99,50 @@ def vectors(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
     Whole vectors move, one for each text, and are taken apart behind the shuffle.
     """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots(dim)
-        for batch in batches:
-            w = weights(batch.column(1).to_pylist(), batch.column(2).to_pylist(), slots)
-            lists = pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * dim, w.ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "v"])
-
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                each = batch.column(1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                v = np.add.reduceat(each, np.r_[0, ends[:-1]], axis=0, dtype=np.int64)
+                v = _added(batch.column(1), dim)
                 at, slot = np.nonzero(v)
                 w = v[at, slot]
                 value = w / np.sqrt((v * v).sum(axis=1))[at]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(slot.astype(np.int32)), pa.array(w), pa.array(value)], names=[id_col, "slot", "weight", "value"])
 
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return _counted(docs, id_col, text, dim).mapInArrow(apart, f"`{id_col}` {kind}, slot int, weight long, value double")
+
+
+def whole(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
+    """Rows (id, v) of each id's weights by slot, dim of them; those of vectors, not taken apart."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _added(batch.column(1), dim)
+                lists = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * dim, v.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "v"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return _counted(docs, id_col, text, dim).mapInArrow(added, f"`{id_col}` {kind}, v array<int>")
+
+
+def _added(vs: pa.ListArray, dim: int) -> np.ndarray:
+    """Lists of vectors added up, one row for each list."""
+    each = vs.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    ends = np.cumsum(vs.value_lengths().to_numpy(zero_copy_only=False))
+    return np.add.reduceat(each, np.r_[0, ends[:-1]], axis=0, dtype=np.int64)
+
+
+def _counted(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
+    """Rows (id, vs) of the weights of each of an id's texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots(dim)
+        for batch in batches:
+            w = weights(batch.column(1).to_pylist(), batch.column(2).to_pylist(), slots)
+            lists = pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * dim, w.ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "v"])
+
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     asked = docs.where(text.isNotNull()).select(id_col, F.lower(text).alias("lowered"), T.flat(text).alias("flat"))
-    found = asked.mapInArrow(counted, f"`{id_col}` {kind}, v array<int>").groupBy(id_col).agg(F.collect_list("v").alias("vs"))
-    return found.mapInArrow(apart, f"`{id_col}` {kind}, slot int, weight long, value double")
+    return asked.mapInArrow(counted, f"`{id_col}` {kind}, v array<int>").groupBy(id_col).agg(F.collect_list("v").alias("vs"))
