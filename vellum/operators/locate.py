@@ -39,11 +39,13 @@ def best_paragraph(evidence: DataFrame, paras: DataFrame, id_col: str = "doc_id"
 def best_sentence(evidence: DataFrame, sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Three tiers: containment (2 or 1.5), then keywords met, then similarity of characters of 0.3 or more."""
     s = sents.select(id_col, "sentence_index", F.col("text").alias("s_text"))
-    both = evidence.where("evidence <> ''").withColumn("_k", T.keywords(F.col("evidence"))).join(s, id_col)
+    # the evidence is taken apart once, not once a sentence
+    asked = evidence.where("evidence <> ''").withColumns({"_k": T.keywords(F.col("evidence")), "_c": T.chars(T.clean(F.col("evidence")))})
+    both = asked.join(s, id_col)
     e, t = F.col("evidence"), F.col("s_text")
     inside = F.when(F.contains(t, e) | F.contains(e, t), F.when(F.length(e) <= F.length(t), 2.0).otherwise(1.5)).otherwise(0.0)
     met = F.size(F.filter("_k", lambda k: F.contains(t, k))).cast("double")
-    both = both.withColumn("inside", inside).withColumn("met", met).withColumn("like", T.clean_jaccard(e, t))
+    both = both.withColumn("inside", inside).withColumn("met", met).withColumn("like", T.let(T.chars(T.clean(t)), lambda c: T.set_jaccard(F.col("_c"), c)))
     fit = lambda by: F.max_by(F.struct("sentence_index", F.col(by).alias("score")), F.struct(by, -F.col("sentence_index")))
     best = both.groupBy(id_col, "evidence_id").agg(fit("inside").alias("a"), fit("met").alias("b"), fit("like").alias("c"))
     pick = F.when(F.col("a.score") >= 1, F.struct(F.lit("containment").alias("tier"), "a.*")).when(F.col("b.score") >= 1, F.struct(F.lit("keywords").alias("tier"), "b.*")).when(F.col("c.score") >= 0.3, F.struct(F.lit("similarity").alias("tier"), "c.*"))
