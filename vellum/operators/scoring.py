@@ -101,20 +101,27 @@ def trace_diagnostics(samples: DataFrame, diffs: DataFrame, expected: DataFrame,
     diffs (sample, diff_id, review_module, change_type, before, after, is_substantive), expected (sample, rule_id, modules,
     change_type or null, keywords), rules (sample, rule_id, source_diff_id, evidence_before, evidence_after, valid).
     """
-    one = diffs.groupBy(sample).agg(F.count(F.lit(1)).alias("candidate_diff_count"), F.count_if("is_substantive").alias("substantive_diff_count"), F.count_if(~F.col("is_substantive")).alias("noop_diff_count"))
-    e = expected.select(sample, F.col("rule_id").alias("_rule"), F.explode(F.array_distinct(F.transform("modules", F.lower))).alias("_module"), F.col("change_type").alias("_kind"), "keywords")
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     text = F.concat_ws("\n", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    met = e.join(diffs.withColumn("_module", F.lower("review_module")), [sample, "_module"])
-    met = met.where((F.col("_kind").isNull() | (F.col("_kind") == F.col("change_type"))) & (T.keyword_ratio(text, F.coalesce("keywords", F.array())) >= THRESHOLD))
-    covered = met.groupBy(sample).agg(F.countDistinct("_rule").alias("_covered"))
-    wanted = expected.groupBy(sample).agg(F.countDistinct("rule_id").alias("_expected"))
-    noop = diffs.where("NOT is_substantive").select(sample, "before", "after")
-    told = F.concat_ws("\n", "evidence_before", "evidence_after")
-    pointed = rules.join(noop, sample).where(F.contains(told, "before") | F.contains(told, "after")).groupBy(sample).agg(F.countDistinct("rule_id").alias("_noop_rules"))
-    made = rules.groupBy(sample).agg(F.count(F.lit(1)).alias("_rules"), F.count_if("valid").alias("_valid"), F.count_if(F.coalesce("source_diff_id", F.lit("")) != "").alias("_traced"))
-    out = samples.select(sample)
-    for part in (one, covered, wanted, pointed, made):
-        out = out.join(part, sample, "left")
+    e = expected.select(sample, F.col("rule_id").alias("_rule"), F.explode(F.array_distinct(F.transform("modules", F.lower))).alias("_module"), F.col("change_type").alias("_kind"), F.coalesce("keywords", F.array()).alias("_keywords")).alias("e")
+    d = diffs.select(sample, F.lower("review_module").alias("_module"), "change_type", text.alias("_text")).alias("d")
+    same = (F.col(f"e.{sample}") == F.col(f"d.{sample}")) & (F.col("e._module") == F.col("d._module"))
+    met = e.join(d, same & (F.col("_kind").isNull() | (F.col("_kind") == F.col("change_type"))) & (T.keyword_ratio(F.col("_text"), F.col("_keywords")) >= THRESHOLD), "left_semi")
+    asked = expected.select(sample, F.col("rule_id").alias("_rule"), F.lit(0).alias("_covered")).unionByName(met.select(sample, "_rule", F.lit(1).alias("_covered")))
+    asked = asked.where("_rule IS NOT NULL").groupBy(sample, "_rule").agg(F.max("_covered").alias("_covered"))
+    r = rules.select(sample, F.col("rule_id").alias("_rule"), F.concat_ws("\n", "evidence_before", "evidence_after").alias("_told")).alias("r")
+    noop = diffs.where("NOT is_substantive").select(sample, "before", "after").alias("n")
+    pointed = r.join(noop, (F.col(f"r.{sample}") == F.col(f"n.{sample}")) & (F.contains("_told", "before") | F.contains("_told", "after")), "left_semi")
+    parts = (
+        diffs.select(sample, F.lit(1).alias("candidate_diff_count"), one(F.col("is_substantive")).alias("substantive_diff_count"), one(~F.col("is_substantive")).alias("noop_diff_count")),
+        asked.select(sample, F.lit(1).alias("_expected"), "_covered"),
+        pointed.where("_rule IS NOT NULL").select(sample, "_rule").distinct().select(sample, F.lit(1).alias("_noop_rules")),
+        rules.select(sample, F.lit(1).alias("_rules"), one(F.col("valid")).alias("_valid"), one(F.coalesce("source_diff_id", F.lit("")) != "").alias("_traced")),
+    )
+    # summed together: joined one by one, all parts' sums and sorted rows would stand in one task
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    sums = rows.groupBy(sample).agg(*[F.sum(c).alias(c) for c in rows.columns if c != sample])
+    out = samples.select(sample).join(sums, sample, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     over = lambda a, b, empty: F.round(F.coalesce(F.try_divide(zero(a), zero(b)), F.lit(empty)), 6)
     return out.select(
